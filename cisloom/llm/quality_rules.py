@@ -20,8 +20,10 @@ def _repeated_words(words: Column) -> Column:
     k = REPEAT_WINDOW
 
     def windows(h: Column) -> Column:
-        grams = F.transform(F.sequence(F.lit(1), F.size(h) - (k - 1)), lambda i: F.xxhash64(F.slice(h, i, k)))
-        return F.when(F.size(h) < k + 1, F.lit(0)).otherwise(let(grams, covered))
+        """Hashes of 1, 2, 4 and then 8 words; the last k - 1 places hold no whole window."""
+        grams = lambda g, step: F.transform(g, lambda x, i: F.xxhash64(x, F.get(g, i + step)))
+        eight = let(grams(h, 1), lambda two: let(grams(two, 2), lambda four: F.slice(grams(four, 4), 1, F.size(h) - (k - 1))))
+        return F.when(F.size(h) < k + 1, F.lit(0)).otherwise(let(eight, covered))
 
     def covered(g: Column) -> Column:
         return F.when(F.size(F.array_distinct(g)) == F.size(g), F.lit(0)).otherwise(
