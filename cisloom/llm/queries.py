@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, license_scan, media, mixing, quality_model, quality_rules, secret_scan, window_dedup
+from . import bpe, byte_dedup, jaccard_join, license_scan, media, mixing, quality_model, quality_rules, secret_scan, window_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
@@ -16,6 +16,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_mixing": mixing.op5_mixing,
     "op6_secret_scan": secret_scan.op6_secret_scan,
     "op7_quality_classifier": quality_model.op7_quality_classifier,
+    "op8_jaccard_join": jaccard_join.op8_jaccard_join,
+    "op9_suffix_dedup": byte_dedup.op9_suffix_dedup,
     "op10_license_scan": license_scan.op10_license_scan,
 }
 
