@@ -33,7 +33,8 @@ ENTROPY = 3.2
 
 def _random(s: str) -> bool:
     letters, digits = sum(c.isalpha() for c in s), sum(c.isdigit() for c in s)
-    if letters < 4 or digits < 3:
+    mixed = any(c.islower() for c in s) and any(c.isupper() for c in s)
+    if letters < 4 or digits < (1 if mixed else 3):
         return False
     return -sum(n / len(s) * math.log2(n / len(s)) for n in Counter(s).values()) >= ENTROPY
 
@@ -55,9 +56,11 @@ def weak_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, i
     found += [(m.start(), 3, m.end()) for m in IDENTIFIER.finditer(text)]
     if ENDPOINT_HINT.search(text):
         found += [(m.start(), 5, m.end()) for m in ENDPOINT.finditer(text)]
-    taken = bytearray(len(text)) if found and base else b""
+    if not found:
+        return []
+    taken = bytearray(len(text))
     for s, _, e in base:
-        taken[s:e] = b"\x01" * (e - s) if taken else b""
+        taken[s:e] = b"\x01" * (e - s)
     return sorted(x for x in found if not any(taken[x[0] : x[2]]))
 
 
