@@ -140,8 +140,8 @@ def _tags(blob: bytes, out: Audio) -> tuple[int, int]:
 def read_audio(blob: bytes) -> Audio:
     """Parse a stream.
 
-    A frame is accepted where its header is valid and either the stream ends with it or another valid header follows; else
-    the search goes on at the next byte 255 (a resynchronisation).  Frames whose CRC is wrong are counted and kept.
+    A frame that follows another is accepted by its valid header.  At the start and after anything else, the search goes on at the
+    next byte 255 (a resynchronisation) until a valid header is followed by another or by the end.  Frames whose CRC is wrong are counted and kept.
     """
     out, good = Audio(), {}
     at, end = _tags(blob, out)
@@ -149,7 +149,7 @@ def read_audio(blob: bytes) -> Audio:
     while at + 4 <= end:
         h = read_header(blob[at : at + 4])
         after = at + h.length if h else 0
-        if h is None or after > end or (after + 4 <= end and read_header(blob[after : after + 4]) is None):
+        if h is None or after > end or ((lost or first) and after + 4 <= end and read_header(blob[after : after + 4]) is None):
             lost = True
             at = blob.find(b"\xff", at + 1, end)
             if at < 0:
