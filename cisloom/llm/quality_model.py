@@ -30,16 +30,16 @@ def labellers(tokens: Column) -> list[Column]:
     def share(test) -> Column:
         return F.size(F.filter(tokens, test)) / F.greatest(F.size(tokens), F.lit(1))
 
-    def vote(test, bad: float, good: float) -> Column:
-        return let(share(test), lambda s: F.when(F.size(tokens) < 3, 0).when(s > bad, -1).when(s < good, 1).otherwise(0))
+    def vote(test, bad, good=lambda s: F.lit(False)) -> Column:
+        return let(share(test), lambda s: F.when(F.size(tokens) < 3, 0).when(bad(s), -1).when(good(s), 1).otherwise(0))
 
     return [
-        vote(lambda t: t.rlike(r"[#*$%&|<>]"), 0.12, 0.03),
-        vote(lambda t: t.rlike(r"^\P{Ll}*\p{Lu}\P{Ll}*$"), 0.4, 0.15),
-        vote(lambda t: t.rlike(r"[!?]{2}"), 0.2, 0.05),
-        vote(lambda t: t == "<again>", 0.15, 0.05),
-        vote(lambda t: ~t.rlike(r"[A-Za]"), 0.3, 0.1),
-        vote(lambda t: t.rlike(r"[,.;:]$"), 0.6, 0.45),
+        vote(lambda t: t.rlike(r"[#*$%&|<>]"), lambda s: s > 0.12),
+        vote(lambda t: t.rlike(r"^\P{Ll}*\p{Lu}\P{Ll}*$"), lambda s: s > 0.4),
+        vote(lambda t: t.rlike(r"[^\p{L}\p{N}]{2}|^\P{L}+$"), lambda s: s > 0.15),
+        vote(lambda t: t == "<again>", lambda s: s > 0.15),
+        vote(lambda t: t.rlike(r"^\p{L}+[,.;:]?$"), lambda s: s < 0.6, lambda s: s > 0.85),
+        vote(lambda t: t.rlike(r"[!?]{2}"), lambda s: s > 0.2),
     ]
 
 
