@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import text_of
+from .rolling import within
 
 #: Columns of a candidate: hash, second hash, weight (2: known to be repeated), class, place in the text.
 CANDIDATE = "a bigint, b bigint, c tinyint, k1 bigint, k2 int, at int"
@@ -31,7 +32,7 @@ def text_classes(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame
 
 
 def candidates(batch: pa.RecordBatch, row: np.ndarray, at: np.ndarray, a: np.ndarray, b: np.ndarray | None = None) -> pa.RecordBatch:
-    """Candidate rows of a chunk: ``row`` in the batch, place, hash(es)."""
+    """Candidate rows of a chunk: ``row`` in the batch, place (both ascending), hash(es)."""
     k1, k2 = column(batch, "k1")[row], column(batch, "k2")[row]
     n = column(batch, "n")[row]
     a = a.view(np.int64)
@@ -44,15 +45,21 @@ def candidates(batch: pa.RecordBatch, row: np.ndarray, at: np.ndarray, a: np.nda
     weight = np.bincount(group, np.minimum(n, 2)) if len(a) else np.zeros(0)
     settled = (weight[group] >= 2) if len(a) else np.zeros(0, bool)
     heads = order[new & settled[order]] if len(a) else np.zeros(0, np.int64)
-    own = np.arange(len(a), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    own_a = np.where(settled, (own ^ k1.view(np.uint64)).view(np.int64), a)
+    # settled places of one text that follow each other travel as one run: b is its length
+    run = settled.copy()
+    run[1:] &= ~(settled[:-1] & (row[1:] == row[:-1]) & (at[1:] == at[:-1] + 1))
+    first = np.flatnonzero(run)
+    length = np.diff(np.append(np.cumsum(settled)[first] - 1, settled.sum()))
+    own = ((np.arange(len(first), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ k1[first].view(np.uint64)).view(np.int64)
+    open_ = np.flatnonzero(~settled)
+    sent = np.concatenate([open_, first])
     none = pa.nulls(len(heads), pa.int64()), pa.nulls(len(heads), pa.int32())
     both = lambda x, y: pa.chunked_array([x, y]).combine_chunks()
     return pa.RecordBatch.from_arrays(
         [
-            pa.array(np.concatenate([own_a, a[heads]])), pa.array(np.concatenate([np.where(settled, at, b), b[heads]])),
-            pa.array(np.concatenate([np.where(settled, 2, 1), np.full(len(heads), 2)]).astype(np.int8)),
-            both(pa.array(k1), none[0]), both(pa.array(k2), none[1]), both(pa.array(at.astype(np.int32)), none[1]),
+            pa.array(np.concatenate([a[open_], own, a[heads]])), pa.array(np.concatenate([b[open_], length, b[heads]])),
+            pa.array(np.repeat(np.array([1, 2, 2], np.int8), [len(open_), len(first), len(heads)])),
+            both(pa.array(k1[sent]), none[0]), both(pa.array(k2[sent]), none[1]), both(pa.array(at[sent].astype(np.int32)), none[1]),
         ],
         names=["a", "b", "c", "k1", "k2", "at"],
     )
@@ -63,15 +70,20 @@ def column(batch: pa.RecordBatch, name: str) -> np.ndarray:
 
 
 def repeated(found: DataFrame) -> DataFrame:
-    """k1, k2 and ``places``: the candidates whose hash stands anywhere else too."""
+    """k1, k2 and ``places``: the candidates whose hash stands anywhere else too, as place + 2**32 * length of the run."""
     total = F.sum("c").over(Window.partitionBy("a", "b"))
     kept = found.withColumn("total", total).where("k1 IS NOT NULL AND total >= 2")
-    return kept.groupBy("k1", "k2").agg(F.collect_list("at").alias("places"))
+    return kept.groupBy("k1", "k2").agg(F.collect_list(F.col("at") + F.shiftleft(F.when(F.col("c") == 2, F.col("b")).otherwise(F.lit(1)).cast("long"), 32)).alias("places"))
 
 
 def lists(batch: pa.RecordBatch, name: str, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
-    """Row (from 0 at ``lo``) and value of every entry of a list column's rows ``lo`` to ``hi``; null lists are empty."""
+    """Row (from 0 at ``lo``) and place of every entry of the runs of rows ``lo`` to ``hi``; null lists are empty."""
     col = batch.column(name).slice(lo, hi - lo)
-    values = col.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-    size = np.array([0 if v is None else v for v in pa.compute.list_value_length(col).to_pylist()], np.int64)
-    return np.repeat(np.arange(hi - lo), size), values
+    row = np.repeat(np.arange(hi - lo), pa.compute.list_value_length(col).fill_null(0).to_numpy(zero_copy_only=False))
+    place, length = runs(col.flatten().to_numpy(zero_copy_only=False))
+    return np.repeat(row, length), np.repeat(place, length) + within(length)
+
+
+def runs(places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place, length) of packed runs."""
+    return places & 0xFFFFFFFF, places >> 32

@@ -106,26 +106,27 @@ def within(count: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - count, count)
 
 
-def minimisers(h: np.ndarray, row: np.ndarray, span: int) -> np.ndarray:
-    """Positions that hold the smallest hash (leftmost on ties) of any ``span`` neighbours in one row.
+def window_minimisers(h: np.ndarray, row: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
+    """(start, place) of every ``span`` neighbours in one row and of their smallest hash, leftmost on ties.
 
     ``row`` numbers the row of each position.  Two equal stretches of ``span`` positions choose the same place.
     """
     n = len(h)
     if n < span:
-        return np.zeros(0, np.int64)
-    best = h.copy()
-    where = np.arange(n)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    best, where = h.copy(), np.arange(n)
     width = 1
     while width < span:  # doubling: the minimum over [i, i + width)
         step = min(width, span - width)
-        a, b = best[: n - step], best[step:]
-        later = np.zeros(n, bool)
-        later[: n - step] = b < a
-        i = np.flatnonzero(later)
-        best, where = best.copy(), where.copy()
+        i = np.flatnonzero(best[step:] < best[: n - step])
         new_best, new_where = best[i + step], where[i + step]
+        best, where = best.copy(), where.copy()
         best[i], where[i] = new_best, new_where
         width += step
-    whole = row[: n - span + 1] == row[span - 1 :]
-    return np.unique(where[: n - span + 1][whole])
+    start = np.flatnonzero(row[: n - span + 1] == row[span - 1 :])
+    return start, where[start]
+
+
+def minimisers(h: np.ndarray, row: np.ndarray, span: int) -> np.ndarray:
+    """Places that any of the windows of :func:`window_minimisers` chooses."""
+    return np.unique(window_minimisers(h, row, span)[1])

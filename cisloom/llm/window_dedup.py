@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from . import rolling as R
 from .common import documents
-from .repeats import CANDIDATE, candidates, lists, repeated, text_classes
+from .repeats import CANDIDATE, candidates, lists, repeated, runs, text_classes
 
 #: Words of a window.
 WINDOW = 35
@@ -71,18 +71,19 @@ def _second_level(short: int, middle: int):
     return run
 
 
-def _last_level(middle: int, window: int):
+def _last_level(short: int, middle: int, window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, data, at in R.chunks(batch, "text"):
                 w = _Words(data, at)
                 row, place = lists(batch, "places", lo, hi)
-                q = w.before[row] + place
-                near = np.zeros(len(w.row) + 1, np.int64)
-                np.add.at(near, np.maximum(q - (window - middle), w.before[row]), 1)
-                np.add.at(near, q + 1, -1)
-                s = w.starts(window)
-                s = s[np.cumsum(near)[s] > 0]
+                alive = np.zeros(len(w.row) + window, bool)
+                alive[w.before[row] + place] = True
+                i = w.starts(short)
+                start, chosen = R.window_minimisers(R.window(w.sums, i, i + short, 2), w.row[i], window - short + 1)
+                s, p = i[start], i[chosen]
+                # both windows of the second level that hold the chosen place and lie in this one must have survived
+                s = s[(alive[p] | (p + middle > s + window)) & (alive[p + short - middle] | (p + short - middle < s))]
                 second = R.prefix(w.hashes, 3)
                 yield candidates(batch, lo + w.row[s], s - w.before[w.row[s]], R.window(w.sums, s, s + window, 2), R.window(second, s, s + window, 3))
 
@@ -106,9 +107,9 @@ def _finish(window: int, with_text: bool):
                         gone = np.zeros(len(words), bool)
                         if places.is_valid:
                             step = np.zeros(len(words) + 1, np.int64)
-                            s = places.values.to_numpy()
-                            step[s] += 1
-                            np.add.at(step, s + window, -1)
+                            s, length = runs(places.values.to_numpy())
+                            np.add.at(step, s, 1)
+                            np.add.at(step, s + length + window - 1, -1)
                             gone = np.cumsum(step[:-1]) > 0
                     kept = b" ".join(compress(words, (~gone).tolist()) if gone.any() else words)
                     rows[0].append(len(words))
@@ -128,8 +129,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Level 1 takes windows of a quarter of the length, and of these the smallest hash among those in any full window: two equal
     full windows choose the same, so nothing is lost and one window in fourteen travels.  Where one is repeated, both windows of twice
-    its length that end or begin with it are candidates of level 2; where those are repeated, the full windows around
-    them are judged by 128 bits of hash.  A level without survivors leaves no rows to the next.
+    its length that end or begin with it are candidates of level 2; full windows whose own smallest hash has kept those of the two that
+    lie within are judged by 128 bits of hash.  A level without survivors leaves no rows to the next.
 
     Copies of a text are one class: with ``window`` words or more all their words go.  Texts cross one exchange
     that all levels read.
@@ -144,7 +145,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     key = ["k1", "k2"]
     one = repeated(classes.mapInArrow(_first_level(short, window), CANDIDATE))
     two = repeated(classes.join(one, key).mapInArrow(_second_level(short, middle), CANDIDATE))
-    three = repeated(classes.join(two, key).mapInArrow(_last_level(middle, window), CANDIDATE))
+    three = repeated(classes.join(two, key).mapInArrow(_last_level(short, middle, window), CANDIDATE))
     done = classes.join(three, key, "left").mapInArrow(_finish(window, with_text), RESULT)
     out = rows.join(done, key)
     return out.select(F.col("id").alias(id_col), "n_words", "n_removed", "kept_sha256", *(["kept"] if with_text else []))
