@@ -43,7 +43,7 @@ def read_coordinates(spark: SparkSession, path: str, drop_prefix: bool = True) -
     pattern = r"^(.+):(-?\d+)\.\.(-?\d+)\s*$"
     lines = _lines(spark, path)
     seq = F.when(~F.col("value").rlike(pattern), F.raise_error(F.concat(F.lit("no coordinates: "), F.col("value"))).cast("string")).otherwise(F.regexp_extract("value", pattern, 1))
-    out = lines.select(seq.alias("seq"), F.regexp_extract("value", pattern, 2).cast("bigint").alias("r_start"), F.regexp_extract("value", pattern, 3).cast("bigint").alias("r_end"))
+    out = lines.select(seq.alias("seq"), F.regexp_extract("value", pattern, 2).try_cast("bigint").alias("r_start"), F.regexp_extract("value", pattern, 3).try_cast("bigint").alias("r_end"))
     return as_regions(out, drop_prefix)
 
 
