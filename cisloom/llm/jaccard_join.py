@@ -1,4 +1,4 @@
-"""Exact Jaccard self-join of shingle sets by signature trees, inside blocks that a rare-first prefix filter leaves."""
+"""Exact Jaccard self-join of shingle sets by signature trees, inside clusters of sets that share an untouched part."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import rolling as R
@@ -16,8 +16,8 @@ from .common import WORD, documents, stored, text_of
 from .graph import components
 
 SHINGLE, PERCENT = 3, 90
-#: Counters of the frequency sketch that orders shingles, in parts of a row each.
-SKETCH, PARTS = 1 << 18, 16
+#: Ratio of the sizes of a level's largest and smallest sets.
+LEVEL = 1.5
 #: Most sets and most shingles in a leaf; bits of a node's signature; sets in the smallest node.
 LEAF_SETS, LEAF_SHINGLES, BITS, TIP = 64, 200_000, 1 << 13, 8
 
@@ -45,64 +45,94 @@ def _sets(data: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndar
     return row[new], h[new]
 
 
-def frequency_order(classes: DataFrame, shingle: int) -> np.ndarray:
-    """Rank of every sketch counter (0 rarest): the order in which shingles are looked up, whatever the corpus' size one byte each.
+def _fingerprints(n: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Id of the set of each row, from two sums over its shingles and its size."""
+    start = np.concatenate([[0], np.cumsum(n)])
+    sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(R.mix(h ^ np.uint64(x)))]) for x in (0x51ED270B, 0xA3C59AC3)]
+    one, two = (s[start[1:]] - s[start[:-1]] for s in sums)
+    return R.mix(one ^ R.mix(two + n.astype(np.uint64))).view(np.int64)
 
-    Counts come from all texts.  They only order the shingles: any order gives the same links.
-    """
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(SKETCH, np.uint32)
-        for batch in batches:
-            for _, _, data, at in R.chunks(batch, "text"):
-                _, h = _shingles(data, at, shingle)
-                total += np.bincount((h >> np.uint64(20)).astype(np.int64) % SKETCH, minlength=SKETCH).astype(np.uint32)
-        if total.any():
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(PARTS, dtype=np.int32)), pa.array([x.tobytes() for x in np.split(total, PARTS)], pa.binary())], names=["part", "counts"])
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
+def _describe(shingle: int):
+    """id, k1, k2 of every row, with the size and the id of its set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, counts in zip(batch.column("part").to_pylist(), batch.column("counts"), strict=True):
-                sums[part] = sums.get(part, np.zeros(SKETCH // PARTS, np.uint64)) + np.frombuffer(counts.as_buffer(), np.uint32)
-        for part, total in sums.items():
-            level = np.minimum(255, np.log2(1 + total.astype(np.float64)) * 8).astype(np.uint8)
-            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([level.tobytes()], pa.binary())], names=["part", "counts"])
+            for lo, hi, data, at in R.chunks(batch, "text"):
+                row, h = _sets(data, at, shingle)
+                n = np.bincount(row, minlength=hi - lo)
+                part = batch.slice(lo, hi - lo)
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in ("id", "k1", "k2")], pa.array(n.astype(np.int32)), pa.array(_fingerprints(n, h))], names=["id", "k1", "k2", "size", "cid"])
+
+    return run
+
 
-    partial = classes.select("text").mapInArrow(count, "part int, counts binary")
-    whole = partial.repartition(PARTS, "part").mapInArrow(add, "part int, counts binary").collect()
-    out = np.zeros((PARTS, SKETCH // PARTS), np.uint8)
-    for part, level in whole:
-        out[part] = np.frombuffer(level, np.uint8)
-    return out.reshape(-1)
+def level_of(n: np.ndarray) -> np.ndarray:
+    return np.floor(np.log(np.maximum(n, 1)) / math.log(LEVEL) + 1e-9).astype(np.int64)
 
 
-def prefix_length(n: np.ndarray, percent: int) -> np.ndarray:
-    """Shingles of a set of ``n``, in one order for all sets, of which two linked sets share one at least."""
-    return n - -(-n * percent // 100) + 1
+def parts_of(level: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(parts, differences) of a level: linked sets of it differ in so many shingles at most, and the parts are more by a few than
+    the differences and the parts that are likely to be empty."""
+    least, most = LEVEL**level, LEVEL ** (level + 1.0) + 1
+    differ = np.floor(2 * most * (100 - percent) / (100 + percent)).astype(np.int64)
+    m = differ + 3.0
+    for _ in range(4):
+        m = differ + 3 + np.ceil(1.5 * m * np.exp(-least / m))
+    return m.astype(np.int64), differ
 
 
-def _describe(shingle: int, percent: int, level):
-    """id, k1, k2, size and 128-bit fingerprint of the set of every row, and its prefix in the common order."""
+def _keys(row: np.ndarray, h: np.ndarray, n: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key): two linked sets have a key in common.
+
+    The shingles of a set are dealt by hash to the parts of its level; two linked sets differ in fewer shingles than there are parts, so that
+    some part is the same in both.  A set whose larger partners may lie in the next level has the keys of that one too.  Where a
+    set has so many empty parts that the same part could be an empty one, it also has its smallest hashes as keys, of which linked sets share one.
+    """
+    own = level_of(n)
+    rows, keys = [], []
+    start = np.concatenate([[0], np.cumsum(n)])
+    for level, some in ((own, n > 0), (level_of(n * 100 // percent), (n > 0) & (level_of(n * 100 // percent) != own))):
+        m, differ = parts_of(level, percent)
+        m = np.where(some, m, 0)
+        base = np.concatenate([[0], np.cumsum(m)])
+        pick = some[row]
+        part = ((h[pick] >> np.uint64(32)).astype(np.int64)) % m[row[pick]]
+        at = base[row[pick]] + part
+        total = np.zeros(base[-1], np.uint64)
+        np.add.at(total, at, R.mix(h[pick] ^ np.uint64(0x2545F491)))
+        full = np.bincount(at, minlength=base[-1]) > 0
+        of = np.repeat(np.arange(len(n)), m)
+        place = R.mix(((np.arange(base[-1]) - base[of]) * 4096 + level[of]).astype(np.uint64))
+        rows.append(of[full])
+        keys.append(R.mix(total[full] + place[full]))
+        empty = np.bincount(of[~full], minlength=len(n))
+        few = np.flatnonzero(some & (empty >= m - differ))
+        take = n[few] - -(-n[few] * percent // 100) + 1
+        rows.append(np.repeat(few, take))
+        keys.append(R.mix(h[np.repeat(start[few], take) + R.within(take)] ^ np.uint64(0x9E3779B9)))
+    return np.concatenate(rows), np.concatenate(keys)
+
+
+def _blocks(shingle: int, percent: int):
+    """(key, u, v): a set ``u`` under a key (v is null), once a chunk; the chunk's other sets of that key are linked (u, v) to it here."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        levels = level.value
         for batch in batches:
             for lo, hi, data, at in R.chunks(batch, "text"):
                 row, h = _sets(data, at, shingle)
                 n = np.bincount(row, minlength=hi - lo)
-                start = np.concatenate([[0], np.cumsum(n)])
-                sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(R.mix(h ^ np.uint64(x)))]) for x in (0x51ED270B, 0xA3C59AC3)]
-                fa, fb = ((s[start[1:]] - s[start[:-1]]).view(np.int64) for s in sums)
-                order = np.lexsort((levels[(h >> np.uint64(20)).astype(np.int64) % SKETCH], row))
-                p = np.where(n > 0, prefix_length(n, percent), 0)
-                taken = order[R.within(n) < np.repeat(p, n)]
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(p)]).astype(np.int32)), pa.array(h[taken].view(np.int64)))
-                part = batch.slice(lo, hi - lo)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("id"), part.column("k1"), part.column("k2"), pa.array(n.astype(np.int32)), pa.array(fa), pa.array(fb), lists],
-                    names=["id", "k1", "k2", "size", "fa", "fb", "prefix"],
-                )
+                cid = _fingerprints(n, h)
+                rows, key = _keys(row, h, n, percent)
+                order = np.argsort(key, kind="stable")
+                key, u = key[order], cid[rows[order]]
+                new = np.ones(len(key), bool)
+                new[1:] = key[1:] != key[:-1]
+                head = u[new][np.cumsum(new) - 1]
+                own = ~new & (u != head)
+                spread = R.mix(np.flatnonzero(own).astype(np.uint64) + key[own])
+                told = pa.chunked_array([pa.nulls(int(new.sum()), pa.int64()), pa.array(head[own], pa.int64())]).combine_chunks()
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([key[new], spread]).view(np.int64)), pa.array(np.concatenate([u[new], u[own]])), told], names=["key", "u", "v"])
 
     return run
 
@@ -238,9 +268,9 @@ def _make_leaves(shingle: int, percent: int):
                         continue
                     ids.append(keys[i][4])
                     sets.append(h[cut_at[i - lo] : cut_at[i - lo + 1]].copy())
-            if len(out) >= 64:
-                yield _leaf_batch(out)
-                out = []
+                    if len(out) >= 32:
+                        yield _leaf_batch(out)
+                        out = []
         if key is not None:
             out.append(packed(key, ids, sets, alone))
         if out:
@@ -256,33 +286,38 @@ def _leaf_batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _join_leaves(percent: int):
-    """Links between the two leaves of every row (columns a_ and b_)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            us, vs = [], []
-            for r in range(batch.num_rows):
-                ids, sets = [], []
-                for side in ("a_", "b_"):
-                    sizes = batch.column(f"{side}sizes")[r].as_py()
-                    blob = np.frombuffer(batch.column(f"{side}sets")[r].as_buffer(), np.uint64)
-                    sets += np.split(blob, np.cumsum(sizes)[:-1])
-                    ids += batch.column(f"{side}ids")[r].as_py()
-                tree, forest = Tree(sets, percent), Forest(len(sets))
-                half = len(batch.column("a_ids")[r])
-                tree.join(tree.build(np.arange(half)), tree.build(np.arange(half, len(sets))), forest)
-                us += [ids[i] for i, _ in forest.links]
-                vs += [ids[j] for _, j in forest.links]
-            yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
+    """Links between the two leaves of a pair, which come as the rows of one group."""
+
+    def run(pair: pa.Table) -> pa.Table:
+        ids, sets, half = [], [], 0
+        for i in range(pair.num_rows):
+            half = len(ids)
+            blob = np.frombuffer(pair.column("sets")[i].as_buffer(), np.uint64)
+            sets += np.split(blob, np.cumsum(pair.column("sizes")[i].as_py())[:-1])
+            ids += pair.column("ids")[i].as_py()
+        tree, forest = Tree(sets, percent), Forest(len(sets))
+        if half:
+            tree.join(tree.build(np.arange(half)), tree.build(np.arange(half, len(sets))), forest)
+        us, vs = [ids[i] for i, _ in forest.links], [ids[j] for _, j in forest.links]
+        return pa.table({"u": pa.array(us, pa.int64()), "v": pa.array(vs, pa.int64())})
 
     return run
 
 
-def _pairs(leaves: DataFrame, extra: str, more: list[str] | None = None) -> DataFrame:
-    """Pairs of leaves of one cluster whose size steps are neighbours, with their sets."""
-    cols = ["step", "leaf", "ids", "sizes", "sets", *(more or [])]
+def _pairs(leaves: DataFrame, extra: str, more: tuple[str, ...] = ()) -> DataFrame:
+    """Keys of the pairs of leaves of one cluster whose size steps are neighbours: (pair, cluster, step, leaf), two rows a pair."""
+    cols = ["step", "leaf", *more]
     a, b = (leaves.select("cluster", *[F.col(c).alias(f"{s}_{c}") for c in cols]) for s in "ab")
-    return a.join(b, "cluster").where("(a_step = b_step AND a_leaf < b_leaf) OR a_step = b_step - 1").where(extra)
+    both = a.join(b, "cluster").where("(a_step = b_step AND a_leaf < b_leaf) OR a_step = b_step - 1").where(extra)
+    pair = F.struct("cluster", "a_step", "a_leaf", "b_step", "b_leaf")
+    side = lambda s: F.struct(F.col(f"{s}_step").alias("step"), F.col(f"{s}_leaf").alias("leaf"))
+    return both.select(pair.alias("pair"), "cluster", F.explode(F.array(side("a"), side("b"))).alias("x")).select("pair", "cluster", "x.*")
+
+
+def _linked(leaves: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """Links (u, v) found between the leaves of every pair; one pair at a time is in memory."""
+    rows = pairs.join(leaves.select("cluster", "step", "leaf", "ids", "sizes", "sets"), ["cluster", "step", "leaf"])
+    return rows.groupBy("pair").applyInArrow(_join_leaves(percent), "u bigint, v bigint")
 
 
 @dataclass
@@ -295,16 +330,13 @@ class Groups:
 
 def find_groups(docs: DataFrame, id_col: str, text_col: str, shingle: int, percent: int) -> Groups:
     """Components of the links between all rows of ``docs``; see :func:`jaccard_components`."""
-    spark = docs.sparkSession
     own = docs.select(docs[id_col].alias("id"), F.xxhash64(text_of(docs, text_col)).alias("k1"), F.hash(text_of(docs, text_col)).alias("k2"), text_of(docs, text_col).alias("text"))
-    level = spark.sparkContext.broadcast(frequency_order(own, shingle))
-    told = f"id {own.schema['id'].dataType.simpleString()}, k1 bigint, k2 int, size int, fa bigint, fb bigint, prefix array<bigint>"
-    texts = stored(own.mapInArrow(_describe(shingle, percent, level), told)).withColumn("cid", F.xxhash64("fa", "fb", "size"))
-    sets = texts.where("size > 0").groupBy("cid").agg(F.first("size").alias("size"), F.first("prefix").alias("prefix"), F.min(F.struct("k1", "k2")).alias("text"))
-    # blocks: sets that share a shingle of their prefixes hang on the smallest of them
-    tokens = sets.select("cid", F.explode("prefix").alias("token"))
-    shared = tokens.groupBy("token").agg(F.min("cid").alias("least"), F.max("cid").alias("most")).where("least < most")
-    near = tokens.join(shared, "token").where("cid <> least").select(F.col("cid").alias("u"), F.col("least").alias("v"))
+    told = f"id {own.schema['id'].dataType.simpleString()}, k1 bigint, k2 int, size int, cid bigint"
+    texts = stored(own.mapInArrow(_describe(shingle), told))
+    sets = texts.where("size > 0").groupBy("cid").agg(F.first("size").alias("size"), F.min(F.struct("k1", "k2")).alias("text"))
+    keyed = own.select("text").mapInArrow(_blocks(shingle, percent), "key bigint, u bigint, v bigint")
+    least = F.min(F.when(F.col("v").isNull(), F.col("u"))).over(Window.partitionBy("key"))
+    near = keyed.withColumn("v", F.coalesce("v", least)).where("u <> v").select("u", "v")
     clusters = components(near)
     step = F.floor(F.log("size") / F.lit(-math.log(percent / 100))).cast("int")
     member = clusters.withColumnsRenamed({"u": "cid", "root": "cluster"}).join(sets.select("cid", "size", "text"), "cid").withColumn("step", step)
@@ -320,13 +352,13 @@ def find_groups(docs: DataFrame, id_col: str, text_col: str, shingle: int, perce
     links = leaves.select(F.explode(F.arrays_zip(F.col("us").alias("u"), F.col("vs").alias("v"))).alias("l")).select("l.u", "l.v")
     large = leaves.where("sets IS NOT NULL").drop("us", "vs")
     # every leaf with the first of its own and the next size step; then what is not connected by that
-    first = stored(_pairs(large, "a_leaf = 0 OR b_leaf = 0").mapInArrow(_join_leaves(percent), "u bigint, v bigint"))
+    first = stored(_linked(large, _pairs(large, "a_leaf = 0 OR b_leaf = 0"), percent))
     links = links.unionByName(first)
     roots = components(links)
     in_leaf = large.select("cluster", "step", "leaf", F.explode("ids").alias("cid")).join(roots.withColumnRenamed("u", "cid"), "cid", "left")
     state = in_leaf.groupBy("cluster", "step", "leaf").agg(F.min(F.coalesce("root", "cid")).alias("lo"), F.max(F.coalesce("root", "cid")).alias("hi"))
-    open_ = large.join(state, ["cluster", "step", "leaf"])
-    rest = stored(_pairs(open_, "a_leaf <> 0 AND b_leaf <> 0 AND NOT (a_lo = a_hi AND b_lo = b_hi AND a_lo = b_lo)", ["lo", "hi"]).mapInArrow(_join_leaves(percent), "u bigint, v bigint"))
+    apart = "a_leaf <> 0 AND b_leaf <> 0 AND NOT (a_lo = a_hi AND b_lo = b_hi AND a_lo = b_lo)"
+    rest = stored(_linked(large, _pairs(state, apart, ("lo", "hi")), percent))
     if not rest.isEmpty():
         roots = components(links.unionByName(rest))
     return Groups(texts.select("id", "k1", "k2", "size", "cid"), roots.withColumnRenamed("u", "cid"))
@@ -336,8 +368,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """Component of every row under links ``100 * |A and B| >= percent * |A or B|`` between sets of ``shingle``-word shingles.
 
     1. Rows with one shingle set are one class.
-    2. Prefix filter: with shingles ordered rarest first (a fixed-size sketch over all texts), linked sets share one of their
-       first ``n - ceil(percent n / 100) + 1``.  Classes that share one form a cluster; no pair is listed for that.
+    2. The shingles of a set are dealt by hash to more parts than linked sets differ in, so that linked sets have the same content in
+       some part.  Classes that share the content of a part form a cluster; no pair is listed for that.
     3. A cluster's sets are dealt to leaves of bounded size by steps of set size; each leaf is a signature tree (OR-combined
        bitmaps, size ranges), joined with itself by dual traversal, which leaves out node pairs whose largest possible overlap
        is too small or whose sets are connected already; what is left is counted exactly.
