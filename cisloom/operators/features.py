@@ -79,10 +79,10 @@ def kmer_spectrum_positional(seqs: DataFrame, k: int, per: float = 1000.0) -> Da
     the reverse complement the other way round."""
     found = F.regexp_extract_all("dna", F.lit(f"(?=([{NUCLEOTIDES}]{{{k}}}|))[ATGCN]"), F.lit(1))
     at = seqs.select("sid", F.length("dna").alias("n"), F.posexplode(found).alias("pos", "kmer")).where("kmer <> ''")
-    p = (F.col("pos") + k - 1) / F.col("n")
-    both = F.array(F.struct(F.col("kmer").alias("kmer"), p.alias("a"), (1 - p).alias("b")), F.struct(reverse_complement_column(F.col("kmer")).alias("kmer"), (1 - p).alias("a"), p.alias("b")))
+    p, q = F.col("pos") + (k - 1), F.col("n") - (F.col("pos") + (k - 1))  # sums of whole numbers do not depend on the order of rows
+    both = F.array(F.struct(F.col("kmer").alias("kmer"), p.alias("a"), q.alias("b")), F.struct(reverse_complement_column(F.col("kmer")).alias("kmer"), q.alias("a"), p.alias("b")))
     x = at.select("sid", "n", F.explode(both).alias("x")).select("sid", "n", "x.*")
-    return x.groupBy("sid", "n", "kmer").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).select("sid", "kmer", *[(F.col(c) * F.lit(per) / F.col("n")).alias(c) for c in "ab"])
+    return x.groupBy("sid", "n", "kmer").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).select("sid", "kmer", *[(F.col(c) * F.lit(per) / F.col("n") / F.col("n")).alias(c) for c in "ab"])
 
 
 def vectors(long: DataFrame, names: list[str], key: str = "kmer") -> DataFrame:

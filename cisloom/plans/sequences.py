@@ -202,9 +202,9 @@ def kmer_spectrum_mmd(spark, d):
     return V.kmer_spectrum_mismatch(X.dna(spark, d), K, True).withColumn("value", F.round("value", 6))
 
 
-@query(f"""WITH {X.DNA}, {KM}, pos AS (SELECT sid, n, split_part(x, ':', 1) AS k, (CAST(split_part(x, ':', 2) AS INT) + {K} - 1) / n::DOUBLE AS p FROM km),
-ab AS (SELECT sid, n, k AS kmer, p AS a, 1 - p AS b FROM pos UNION ALL SELECT sid, n, {_rc('k')}, 1 - p, p FROM pos)
-SELECT sid, kmer, round(sum(a) * 1000.0::DOUBLE / n, 4) AS a, round(sum(b) * 1000.0::DOUBLE / n, 4) AS b FROM ab GROUP BY sid, n, kmer""")
+@query(f"""WITH {X.DNA}, {KM}, pos AS (SELECT sid, n, split_part(x, ':', 1) AS k, CAST(split_part(x, ':', 2) AS BIGINT) + {K} - 1 AS p FROM km),
+ab AS (SELECT sid, n, k AS kmer, p AS a, n - p AS b FROM pos UNION ALL SELECT sid, n, {_rc('k')}, n - p, p FROM pos)
+SELECT sid, kmer, round(sum(a) * 1000.0::DOUBLE / n / n, 4) AS a, round(sum(b) * 1000.0::DOUBLE / n / n, 4) AS b FROM ab GROUP BY sid, n, kmer""")
 def kmer_spectrum_gps(spark, d):
     return V.kmer_spectrum_positional(X.dna(spark, d), K).select("sid", "kmer", F.round("a", 4).alias("a"), F.round("b", 4).alias("b"))
 
