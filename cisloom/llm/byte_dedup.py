@@ -16,9 +16,9 @@ from .grouping import suffix_array
 from .repeats import CANDIDATE, candidates, column, lists, repeated, runs, text_classes
 
 #: Bytes of a string, of the gram that anchors it, of a symbol of the suffix arrays, and rows that share one array.
-LENGTH, GRAM, SYMBOL, BLOCK = 100, 24, 16, 3000
+LENGTH, GRAM, SYMBOL, BLOCK = 100, 20, 16, 3000
 #: Ranges of the anchor's place within a string; strings of one range share the bytes around the anchor that all of them hold.
-RANGES = ((0, 19), (20, 38), (39, 57), (58, LENGTH - GRAM))
+RANGES = ((0, 40), (41, LENGTH - GRAM))
 #: Bytes of a range's span: from the earliest start to the latest end of its strings.
 SPAN = LENGTH + max(b - a for a, b in RANGES)
 
@@ -63,7 +63,7 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = (np.arange(len(p), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ column(batch, "k1")[lo + row].view(np.uint64)).view(np.int64)
             index = pa.array(lo + row)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.where(later, own, v)), pa.array(c), pa.array(later), batch.column("first_id").take(index), batch.column("k1").take(index), batch.column("k2").take(index), pa.array(place.astype(np.int32))],
+                [pa.array(np.where(later, own, v)), pa.array(np.where(later, 0, c)), pa.array(later), batch.column("first_id").take(index), batch.column("k1").take(index), batch.column("k2").take(index), pa.array(place.astype(np.int32))],
                 names=["v", "c", "later", "first_id", "k1", "k2", "at"],
             )
 
@@ -264,11 +264,11 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """Remove from every text (as UTF-8) each byte covered by a 100-byte string that starts earlier too: in a smaller id, or before in the same.
 
     1. Copies of a text are one class: only the row of the smallest id keeps anything (texts under 100 bytes all stay).
-    2. Of the 24-byte grams of every string that with the smallest hash anchors it, so that equal strings have equal anchors at equal
+    2. Of the 20-byte grams of every string that with the smallest hash anchors it, so that equal strings have equal anchors at equal
        places.  Anchors that stand once in the corpus end here.
     3. Where all bytes of the strings around a repeated anchor stand earlier too, they go.  What is left are first
        occurrences whose anchor has other surroundings elsewhere: edges of common passages.
-    4. There the spans of strings that share 81 bytes meet, dealt by a hash of these, in blocks of suffix arrays built by grouping, which
+    4. There the spans of strings that share 60 bytes or more meet, dealt by a hash of these, in blocks of suffix arrays built by grouping, which
        give each string's first occurrence exactly.
 
     Cases: a null text counts as empty; rows with the same id and text are one document; ids that are null count as largest, in

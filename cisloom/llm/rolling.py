@@ -127,6 +127,22 @@ def window_minimisers(h: np.ndarray, row: np.ndarray, span: int) -> tuple[np.nda
     return start, where[start]
 
 
+def _sliding(best: np.ufunc, x: np.ndarray, span: int) -> np.ndarray:
+    """``best`` (minimum or maximum) of every ``span`` neighbours, by doubling."""
+    width = 1
+    while width < span:
+        step = min(width, span - width)
+        x = best(x[: len(x) - step], x[step:])
+        width += step
+    return x.copy() if span == 1 else x
+
+
 def minimisers(h: np.ndarray, row: np.ndarray, span: int) -> np.ndarray:
-    """Places that any of the windows of :func:`window_minimisers` chooses."""
-    return np.unique(window_minimisers(h, row, span)[1])
+    """Places of the smallest hash (all of them on ties) of any ``span`` neighbours in one row: equal stretches choose equal places."""
+    n = len(h)
+    if n < span:
+        return np.zeros(0, np.int64)
+    least = _sliding(np.minimum, h, span)
+    least[row[: n - span + 1] != row[span - 1 :]] = 0
+    edge = np.zeros(span - 1, np.uint64)
+    return np.flatnonzero((_sliding(np.maximum, np.concatenate([edge, least, edge]), span) == h) & (h > 0))
