@@ -17,7 +17,6 @@ import pyarrow as pa
 import regex
 import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from .common import documents, free_name, text_of
 
