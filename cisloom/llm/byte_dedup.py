@@ -19,8 +19,9 @@ from .repeats import CANDIDATE, candidates, column, lists, repeated, runs, text_
 LENGTH, GRAM, SYMBOL, BLOCK = 100, 20, 16, 3000
 #: Ranges of the anchor's place within a string; strings of one range share the bytes around the anchor that all of them hold.
 RANGES = ((0, 40), (41, LENGTH - GRAM))
-#: Bytes of a range's span: from the earliest start to the latest end of its strings.
-SPAN = LENGTH + max(b - a for a, b in RANGES)
+#: Bytes of a range's span, from the earliest start to the latest end of its strings, and of either side that not all of them share.
+SIDE = max(b - a for a, b in RANGES)
+SPAN = LENGTH + SIDE
 
 
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,7 +107,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Key, owner, and the bytes from the earliest start to the latest end of the strings of every range that is left."""
+    """Key, owner, and the bytes on either side of what all strings of a range share; that part is the key's and does not travel."""
     for batch in batches:
         for lo, hi, data, at in R.chunks(batch, "text"):
             row, place = lists(batch, "places", lo, hi)
@@ -118,12 +119,13 @@ def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             where = (p - b)[:, None] + np.arange(SPAN)
             inside = (where >= at[row][:, None]) & (where < np.minimum(at[row + 1], p + LENGTH - a)[:, None])
             span = np.where(inside, np.append(data, 0)[np.clip(where, 0, len(data))], 0).astype(np.uint8)
+            sides = np.concatenate([span[:, :SIDE], span[:, LENGTH:]], axis=1)
             index = pa.array(lo + row)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(key.view(np.int64)), batch.column("first_id").take(index), batch.column("k1").take(index), batch.column("k2").take(index),
                     pa.array((p - b - at[row]).astype(np.int32)), pa.array((b - last).astype(np.int32)), pa.array((b - first).astype(np.int32)),
-                    pa.FixedSizeBinaryArray.from_buffers(pa.binary(SPAN), len(p), [None, pa.py_buffer(np.ascontiguousarray(span).tobytes())]).cast(pa.binary()),
+                    pa.FixedSizeBinaryArray.from_buffers(pa.binary(2 * SIDE), len(p), [None, pa.py_buffer(sides.tobytes())]).cast(pa.binary()),
                 ],
                 names=["key", "first_id", "k1", "k2", "start", "t0", "t1", "bytes"],
             )
@@ -177,7 +179,9 @@ def _arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def emit(rows: list[pa.RecordBatch], seen: dict[bytes, tuple] | None) -> pa.RecordBatch:
         t = pa.Table.from_batches(rows).combine_chunks().to_batches()[0]
-        spans = np.frombuffer(t.column("bytes").buffers()[2], np.uint8)[t.column("bytes").offset * SPAN :][: len(t) * SPAN].reshape(-1, SPAN)
+        sides = np.frombuffer(b"".join(t.column("bytes").to_pylist()), np.uint8).reshape(-1, 2 * SIDE)
+        middle = np.tile(column(t, "key").view(np.uint8).reshape(-1, 8), LENGTH // 8 + 1)[:, : LENGTH - SIDE]
+        spans = np.concatenate([sides[:, :SIDE], middle, sides[:, SIDE:]], axis=1)
         order = pa.compute.sort_indices(pa.table({x: t.column(x) for x in ("first_id", "k1", "k2")}), [(x, "ascending") for x in ("first_id", "k1", "k2")]).to_numpy()
         k1, k2 = column(t, "k1"), column(t, "k2")
         place = np.empty((len(t), 2), np.int64)

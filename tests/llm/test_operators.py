@@ -250,7 +250,7 @@ def test_suffix_dedup_of_long_groups(monkeypatch):
         spans.append(s.tobytes())
     n = len(spans)
     batch = pa.RecordBatch.from_arrays(
-        [pa.array([9] * n, pa.int64()), pa.array(range(n), pa.int64()), pa.array(range(n), pa.int64()), pa.array([0] * n, pa.int32()), pa.array([0] * n, pa.int32()), pa.array([0] * n, pa.int32()), pa.array([19] * n, pa.int32()), pa.array(spans, pa.binary())],
+        [pa.array([9] * n, pa.int64()), pa.array(range(n), pa.int64()), pa.array(range(n), pa.int64()), pa.array([0] * n, pa.int32()), pa.array([0] * n, pa.int32()), pa.array([0] * n, pa.int32()), pa.array([19] * n, pa.int32()), pa.array([s[: byte_dedup.SIDE] + s[100:] for s in spans], pa.binary())],
         names=["key", "first_id", "k1", "k2", "start", "t0", "t1", "bytes"],
     )
     got = set()
