@@ -8,6 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -18,8 +19,8 @@ from .graph import components
 SHINGLE, PERCENT = 3, 90
 #: Ratio of the sizes of a level's largest and smallest sets.
 LEVEL = 1.5
-#: Most sets and most shingles in a leaf; bits of a node's signature; sets in the smallest node.
-LEAF_SETS, LEAF_SHINGLES, BITS, TIP = 64, 200_000, 1 << 13, 8
+#: Most sets and most shingles in a leaf; bits of a node's signature; sets in the smallest node; sets that stand for a leaf at first; leaves that travel together after.
+LEAF_SETS, LEAF_SHINGLES, BITS, TIP, PIVOTS, TILE = 256, 100_000, 1 << 13, 8, 12, 8
 
 
 def _shingles(data: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -115,14 +116,18 @@ def _keys(row: np.ndarray, h: np.ndarray, n: np.ndarray, percent: int) -> tuple[
 
 
 def _blocks(shingle: int, percent: int):
-    """(key, u, v): a set ``u`` under a key (v is null), once a chunk; the chunk's other sets of that key are linked (u, v) to it here."""
+    """(key, u, v): a row ``u`` under a key (v is null), once a chunk; the chunk's other rows of that key are linked (u, v) to it here.
+
+    A row goes by ``name``, its id where that is a whole number (small numbers travel cheaper than hashes), else its set.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, data, at in R.chunks(batch, "text"):
                 row, h = _sets(data, at, shingle)
                 n = np.bincount(row, minlength=hi - lo)
-                cid = _fingerprints(n, h)
+                given = batch.column("name").slice(lo, hi - lo)
+                cid = pa.compute.coalesce(given, pa.array(_fingerprints(n, h))).to_numpy(zero_copy_only=False)
                 rows, key = _keys(row, h, n, percent)
                 order = np.argsort(key, kind="stable")
                 key, u = key[order], cid[rows[order]]
@@ -268,7 +273,7 @@ def _make_leaves(shingle: int, percent: int):
                         continue
                     ids.append(keys[i][4])
                     sets.append(h[cut_at[i - lo] : cut_at[i - lo + 1]].copy())
-                    if len(out) >= 32:
+                    if len(out) >= 16:
                         yield _leaf_batch(out)
                         out = []
         if key is not None:
@@ -285,38 +290,51 @@ def _leaf_batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
 
+def _head() -> list:
+    """The first PIVOTS sets of a leaf."""
+    sizes = F.slice("sizes", 1, PIVOTS)
+    total = F.aggregate(sizes, F.lit(0), lambda a, x: a + x)
+    return [F.slice("ids", 1, PIVOTS).alias("ids"), sizes.alias("sizes"), F.substring("sets", F.lit(1), total * 8).alias("sets")]
+
+
 def _join_leaves(percent: int):
-    """Links between the two leaves of a pair, which come as the rows of one group."""
+    """Links between the rows (leaves, or parts of them) of a group on side 0 and on side 1; within side 0 if it is alone."""
 
     def run(pair: pa.Table) -> pa.Table:
+        pair = pair.sort_by("side")
         ids, sets, half = [], [], 0
         for i in range(pair.num_rows):
-            half = len(ids)
             blob = np.frombuffer(pair.column("sets")[i].as_buffer(), np.uint64)
             sets += np.split(blob, np.cumsum(pair.column("sizes")[i].as_py())[:-1])
             ids += pair.column("ids")[i].as_py()
+            half = len(ids) if pair.column("side")[i].as_py() == 0 else half
         tree, forest = Tree(sets, percent), Forest(len(sets))
-        if half:
-            tree.join(tree.build(np.arange(half)), tree.build(np.arange(half, len(sets))), forest)
+        left = tree.build(np.arange(half))
+        tree.join(left, left if half == len(sets) else tree.build(np.arange(half, len(sets))), forest)
         us, vs = [ids[i] for i, _ in forest.links], [ids[j] for _, j in forest.links]
         return pa.table({"u": pa.array(us, pa.int64()), "v": pa.array(vs, pa.int64())})
 
     return run
 
 
-def _pairs(leaves: DataFrame, extra: str, more: tuple[str, ...] = ()) -> DataFrame:
-    """Keys of the pairs of leaves of one cluster whose size steps are neighbours: (pair, cluster, step, leaf), two rows a pair."""
-    cols = ["step", "leaf", *more]
-    a, b = (leaves.select("cluster", *[F.col(c).alias(f"{s}_{c}") for c in cols]) for s in "ab")
-    both = a.join(b, "cluster").where("(a_step = b_step AND a_leaf < b_leaf) OR a_step = b_step - 1").where(extra)
-    pair = F.struct("cluster", "a_step", "a_leaf", "b_step", "b_leaf")
-    side = lambda s: F.struct(F.col(f"{s}_step").alias("step"), F.col(f"{s}_leaf").alias("leaf"))
-    return both.select(pair.alias("pair"), "cluster", F.explode(F.array(side("a"), side("b"))).alias("x")).select("pair", "cluster", "x.*")
+def _tile():
+    return F.floor(F.col("leaf") / TILE).cast("int")
+
+
+def _apart(state: DataFrame) -> DataFrame:
+    """Pairs of tiles (TILE leaves of one size step) of one cluster, of the same or neighbouring steps, that are not in one component:
+    (pair, cluster, step, tile, side), one row a side; a tile paired with itself has one."""
+    tiles = state.groupBy("cluster", "step", _tile().alias("tile")).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    a, b = (tiles.select("cluster", *[F.col(c).alias(f"{s}_{c}") for c in ("step", "tile", "lo", "hi")]) for s in "ab")
+    both = a.join(b, "cluster").where("(a_step = b_step AND a_tile <= b_tile) OR a_step = b_step - 1").where("NOT (a_lo = a_hi AND b_lo = b_hi AND a_lo = b_lo)")
+    side = lambda s: F.struct(F.col(f"{s}_step").alias("step"), F.col(f"{s}_tile").alias("tile"), F.lit("ab".index(s)).alias("side"))
+    sides = F.when((F.col("a_step") == F.col("b_step")) & (F.col("a_tile") == F.col("b_tile")), F.array(side("a"))).otherwise(F.array(side("a"), side("b")))
+    return both.select(F.struct("cluster", "a_step", "a_tile", "b_step", "b_tile").alias("pair"), "cluster", F.explode(sides).alias("x")).select("pair", "cluster", "x.*")
 
 
 def _linked(leaves: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """Links (u, v) found between the leaves of every pair; one pair at a time is in memory."""
-    rows = pairs.join(leaves.select("cluster", "step", "leaf", "ids", "sizes", "sets"), ["cluster", "step", "leaf"])
+    """Links (u, v) found between the leaves of every pair of tiles; one pair at a time is in memory."""
+    rows = pairs.join(leaves.select("cluster", "step", _tile().alias("tile"), "ids", "sizes", "sets"), ["cluster", "step", "tile"])
     return rows.groupBy("pair").applyInArrow(_join_leaves(percent), "u bigint, v bigint")
 
 
@@ -334,12 +352,15 @@ def find_groups(docs: DataFrame, id_col: str, text_col: str, shingle: int, perce
     told = f"id {own.schema['id'].dataType.simpleString()}, k1 bigint, k2 int, size int, cid bigint"
     texts = stored(own.mapInArrow(_describe(shingle), told))
     sets = texts.where("size > 0").groupBy("cid").agg(F.first("size").alias("size"), F.min(F.struct("k1", "k2")).alias("text"))
-    keyed = own.select("text").mapInArrow(_blocks(shingle, percent), "key bigint, u bigint, v bigint")
+    whole = own.schema["id"].dataType.typeName() in ("byte", "short", "integer", "long")
+    name = F.col("id").cast("bigint") if whole else F.lit(None).cast("bigint")
+    keyed = own.select(name.alias("name"), "text").mapInArrow(_blocks(shingle, percent), "key bigint, u bigint, v bigint")
     least = F.min(F.when(F.col("v").isNull(), F.col("u"))).over(Window.partitionBy("key"))
     near = keyed.withColumn("v", F.coalesce("v", least)).where("u <> v").select("u", "v")
-    clusters = components(near)
+    named = texts.where("size > 0").select("cid", F.coalesce(name, "cid").alias("u"))
+    clusters = components(near).join(named, "u").groupBy("cid").agg(F.min("root").alias("cluster"))
     step = F.floor(F.log("size") / F.lit(-math.log(percent / 100))).cast("int")
-    member = clusters.withColumnsRenamed({"u": "cid", "root": "cluster"}).join(sets.select("cid", "size", "text"), "cid").withColumn("step", step)
+    member = clusters.join(sets.select("cid", "size", "text"), "cid").withColumn("step", step)
     room = F.greatest(F.lit(2), F.least(F.lit(LEAF_SETS), (F.lit(LEAF_SHINGLES) / F.max("size")).cast("int")))
     plan = member.groupBy("cluster", "step").agg(F.ceil(F.count(F.lit(1)) / room).cast("int").alias("leaves"))
     alone = plan.groupBy("cluster").agg((F.sum("leaves") == 1).alias("alone"))
@@ -351,14 +372,16 @@ def find_groups(docs: DataFrame, id_col: str, text_col: str, shingle: int, perce
     leaves = stored(with_text.repartition("cluster", "step", "leaf").sortWithinPartitions(*order).mapInArrow(_make_leaves(shingle, percent), LEAF))
     links = leaves.select(F.explode(F.arrays_zip(F.col("us").alias("u"), F.col("vs").alias("v"))).alias("l")).select("l.u", "l.v")
     large = leaves.where("sets IS NOT NULL").drop("us", "vs")
-    # every leaf with the first of its own and the next size step; then what is not connected by that
-    first = stored(_linked(large, _pairs(large, "a_leaf = 0 OR b_leaf = 0"), percent))
+    # every leaf with a few sets of the first leaf of its own and the next steps; then what is not connected by that
+    pivot = large.where("leaf = 0").select("cluster", F.explode(F.array(F.col("step") - 1, F.col("step"), F.col("step") + 1)).alias("step"), *_head())
+    keys = large.select("cluster", "step", "leaf")
+    asked = keys.join(pivot, ["cluster", "step"]).withColumn("side", F.lit(1)).unionByName(large.drop("us", "vs").withColumn("side", F.lit(0)))
+    first = stored(asked.groupBy("cluster", "step", "leaf").applyInArrow(_join_leaves(percent), "u bigint, v bigint"))
     links = links.unionByName(first)
     roots = components(links)
     in_leaf = large.select("cluster", "step", "leaf", F.explode("ids").alias("cid")).join(roots.withColumnRenamed("u", "cid"), "cid", "left")
     state = in_leaf.groupBy("cluster", "step", "leaf").agg(F.min(F.coalesce("root", "cid")).alias("lo"), F.max(F.coalesce("root", "cid")).alias("hi"))
-    apart = "a_leaf <> 0 AND b_leaf <> 0 AND NOT (a_lo = a_hi AND b_lo = b_hi AND a_lo = b_lo)"
-    rest = stored(_linked(large, _pairs(state, apart, ("lo", "hi")), percent))
+    rest = stored(_linked(large, _apart(state), percent))
     if not rest.isEmpty():
         roots = components(links.unionByName(rest))
     return Groups(texts.select("id", "k1", "k2", "size", "cid"), roots.withColumnRenamed("u", "cid"))
@@ -373,8 +396,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     3. A cluster's sets are dealt to leaves of bounded size by steps of set size; each leaf is a signature tree (OR-combined
        bitmaps, size ranges), joined with itself by dual traversal, which leaves out node pairs whose largest possible overlap
        is too small or whose sets are connected already; what is left is counted exactly.
-    4. Leaves of large clusters are joined with the first leaf of their and the next step, then all pairs of leaves that this
-       has not connected.  No link between components is missed.
+    4. Leaves of large clusters are joined with a few sets of the first leaf of their and the next steps, then, in tiles of
+       some leaves, with all others that this has not connected.  No link between components is missed.
 
     Cases: a null text or one without words has no set: its component is its own id.  Repeated rows are linked.  A null id is
     no candidate for ``component_id``, which is null if no row of the component has an id.  An empty table gives an empty result.
