@@ -29,7 +29,7 @@ TEMPLATES = {
 }
 #: Words of the templates too common in any prose to be looked up.
 COMMON = frozenset("a and any are as at by for in is it may not of or that the this to under use v with you your 0 2 3 4".split())
-#: Rarest licence words of a file that are looked up, and the share of a template's rarity that must agree in position.
+#: Rarest words of each template found in a file that are looked up, and the share of a template's rarity that must agree in position.
 RAREST, AGREE = 6, 0.5
 
 # Characters between words and in words, once letters are lowered; the second is the complement of the first, which Java matches faster as ranges.
@@ -71,8 +71,8 @@ def document_frequencies(lowered: DataFrame) -> dict[str, int]:
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rarest: int = RAREST, agree: float = AGREE) -> DataFrame:
     """Licence labels of every row of ``docs``.
 
-    First pass: document frequencies of the licence vocabulary over all rows.  Second: a file's rarest licence words
-    look up the postings (word -> template, place); postings that agree on the difference between place in the file and place in
+    First pass: document frequencies of the licence vocabulary over all rows.  Second: of each template the rarest words in the file
+    look up the postings (word -> template, place), so that one licence takes no other's lookups; postings that agree on the difference between place in the file and place in
     the template add up, and a template whose best difference holds ``agree`` of the file's looked-up and its own rarity is
     labelled if its mandatory phrases stand in the file.  All of it happens within a row: no shuffle but the frequencies'.
 
@@ -95,7 +95,7 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         return F.transform(places, lambda i: F.struct(i.alias("at"), F.lit(label).alias("label")))
 
     def scan(words: Column) -> Column:
-        """Places of base phrases, and the scores of the templates by the file's rarest licence words."""
+        """Places of base phrases, and the scores of the templates, each by its rarest words in the file."""
         known = F.filter(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda h: h["w"].isin(VOCABULARY))
         return let(known, lambda k: scores(words, k))
 
@@ -104,9 +104,8 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         base = F.sort_array(F.flatten(F.array(*[labelled(_places(words, known, p), x) for p, x in BASE.items()])))
 
         def aligned(hits: Column) -> Column:
-            kinds = F.slice(F.sort_array(F.array_distinct(F.transform(hits, lambda h: F.struct(h["idf"].alias("idf"), h["w"].alias("w")))), False), 1, rarest)
-            top = lambda k: F.filter(hits, lambda h: F.exists(k, lambda r: r["w"] == h["w"]))
-            return let(kinds, lambda k: let(top(k), lambda h: F.array(*[_aligned(h, k, t, words, known, idf, agree) for t in TEMPLATES])))
+            kinds = F.sort_array(F.array_distinct(F.transform(hits, lambda h: F.struct(h["idf"].alias("idf"), h["w"].alias("w")))), False)
+            return let(kinds, lambda k: F.array(*[_aligned(hits, k, t, words, known, idf, rarest, agree) for t in TEMPLATES]))
 
         return F.struct(base.alias("base"), let(rated, aligned).alias("scores"))
 
@@ -128,30 +127,33 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
 
 
-def _aligned(hits: Column, kinds: Column, name: str, words: Column, known: Column, idf: dict[str, float], agree: float) -> Column:
-    """(label, score, ok) of one template: the largest rarity that agrees on one relative position."""
+def _aligned(hits: Column, kinds: Column, name: str, words: Column, known: Column, idf: dict[str, float], rarest: int, agree: float) -> Column:
+    """(label, score, ok) of one template: the largest rarity that agrees on one relative position; ``kinds`` are the file's licence words, rarest first."""
     text, keys = TEMPLATES[name]
     postings: dict[str, list[int]] = {}
     for i, w in enumerate(text.split()):
         if w in idf:
             postings.setdefault(w, []).append(i)
     places = F.create_map(*[x for w, at in postings.items() for x in (F.lit(w), F.array(*[F.lit(i) for i in at]))])
-    mine = F.filter(hits, lambda h: F.map_contains_key(places, h["w"]))
-    shifts = F.sort_array(F.flatten(F.transform(mine, lambda h: F.transform(places[h["w"]], lambda p: F.struct((h["i"] - p).alias("shift"), h["w"].alias("w"), h["idf"].alias("idf"))))))
+    whole = sum(sorted((idf[w] for w in postings), reverse=True)[:rarest])
     zero = F.struct(F.lit(-(10**6)).alias("shift"), F.lit("").alias("w"), F.lit(0.0).alias("sum"), F.lit(0.0).alias("best"))
 
     def step(a: Column, x: Column) -> Column:
         now = F.when(a["shift"] == x["shift"], a["sum"] + x["idf"]).otherwise(x["idf"])
         return F.struct(x["shift"].alias("shift"), x["w"].alias("w"), now.alias("sum"), F.greatest(a["best"], now).alias("best"))
 
-    best = F.aggregate(shifts, zero, step, lambda a: a["best"])
-    own = F.aggregate(F.filter(kinds, lambda k: F.map_contains_key(places, k["w"])), F.lit(0.0), lambda a, k: a + k["idf"])
-    whole = min(sum(sorted((idf[w] for w in postings), reverse=True)[:RAREST]), sum(idf[w] for w in postings))
-    score = F.least(F.lit(1.0), best / F.greatest(own, F.lit(whole * agree), F.lit(1e-9)))
+    def scored(top: Column) -> Column:
+        mine = F.filter(hits, lambda h: F.exists(top, lambda k: k["w"] == h["w"]))
+        shifts = F.sort_array(F.flatten(F.transform(mine, lambda h: F.transform(places[h["w"]], lambda p: F.struct((h["i"] - p).alias("shift"), h["w"].alias("w"), h["idf"].alias("idf"))))))
+        best = F.aggregate(shifts, zero, step, lambda a: a["best"])
+        own = F.aggregate(top, F.lit(0.0), lambda a, k: a + k["idf"])
+        return F.least(F.lit(1.0), best / F.greatest(own, F.lit(whole * agree), F.lit(1e-9)))
+
     keyed = F.lit(True)
     for k in keys:
         keyed = keyed & (F.size(_places(words, known, k)) > 0)
-    return F.struct(F.lit(name).alias("label"), score.alias("score"), ((score >= agree) & keyed).alias("ok"))
+    score = F.when(keyed, let(F.slice(F.filter(kinds, lambda k: F.map_contains_key(places, k["w"])), 1, rarest), scored)).otherwise(0.0)
+    return let(score, lambda s: F.struct(F.lit(name).alias("label"), s.alias("score"), ((s >= agree) & (s > 0)).alias("ok")))
 
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

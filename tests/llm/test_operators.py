@@ -272,3 +272,15 @@ def test_license_scan(odd, rows, empty):
     labels = {r[0]: (r[1], r[2]) for r in license_scan.license_scan(odd).select("doc_id", "labels", "score").collect()}
     assert labels[20][0] == "apache,apache-2.0,cc-by,cc-by-nc-4.0,mit,mit-notice" and 0.5 <= labels[20][1] <= 1 and labels[4] == ("", 0.0)
     assert license_scan.license_scan(empty).count() == 0
+
+
+def test_license_scan_many_licences(spark):
+    """One long licence does not use up the lookups of the others, whatever the filler between them."""
+    notices = {k: text for k, (text, _) in license_scan.TEMPLATES.items()}
+    one = [(k, f"some words before {text} and some after") for k, text in notices.items()]
+    many = [("all", " filler between ".join(notices.values())), ("back", " - ".join(reversed(notices.values())).title()), ("two", f"{notices['bsd']}; Released under the MIT License")]
+    got = {r[0]: r for r in license_scan.license_scan(spark.createDataFrame(one + many, "doc_id string, text string")).collect()}
+    assert all(k in got[k]["labels"].split(",") for k in notices)
+    for k in ("all", "back"):
+        assert set(got[k]["labels"].split(",")) >= set(notices) and got[k]["score"] == 1.0
+    assert {"bsd", "mit-notice"} <= set(got["two"]["labels"].split(","))
