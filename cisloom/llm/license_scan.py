@@ -61,11 +61,15 @@ def _places(words: Column, known: Column, phrase: str) -> Column:
     return F.transform(F.filter(known, here), lambda h: h["i"] - at)
 
 
-def document_frequencies(lowered: DataFrame) -> dict[str, int]:
-    """Rows in which each licence word stands; the result has as many entries as the vocabulary."""
-    parts = F.array_distinct(F.regexp_extract_all("low", F.lit(f"(?<!{CHAR})({'|'.join(VOCABULARY)})(?!{CHAR})"), F.lit(1)))
-    seen = lowered.select(F.explode_outer(F.when(F.col("maybe"), parts)).alias("word")).groupBy("word").count().collect()
-    return {r[0]: r[1] for r in seen if r[0]}
+def document_frequencies(docs: DataFrame) -> tuple[int, dict[str, int]]:
+    """Number of all rows, and of those in which each licence word stands; as many entries as the vocabulary and one reach the driver."""
+    heads = "|".join(f"{c}(?:{'|'.join(w[1:] for w in VOCABULARY if w[0] == c)})" for c in sorted({w[0] for w in VOCABULARY}))
+    found = F.regexp_extract_all("text", F.lit(f"(?i)(?<!{CHAR})({heads})(?!{CHAR})"), F.lit(1))
+    parts = F.array_distinct(F.transform(F.array_distinct(found), F.lower))
+    # The empty word stands once in every row.
+    seen = docs.select(F.explode(F.concat(F.array(F.lit("")), parts)).alias("word")).groupBy("word").count().collect()
+    df = {r[0]: r[1] for r in seen}
+    return df.pop("", 0), df
 
 
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rarest: int = RAREST, agree: float = AGREE) -> DataFrame:
@@ -86,9 +90,8 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     base = base.withColumn("hint", hint).withColumn("maybe", F.when(some, F.col("text").rlike(f"(?i){NEEDED}")).otherwise(False)).drop("hint")
     low = F.when(F.col("maybe"), F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
     lowered = base.withColumn("low", low)
-    df = document_frequencies(lowered)
-    total = max(1, sum(df.values()))
-    idf = {w: math.log1p(total / (1 + df.get(w, 0))) for w in VOCABULARY}
+    total, df = document_frequencies(base.select("text"))
+    idf = {w: math.log1p(max(1, total) / (1 + df.get(w, 0))) for w in VOCABULARY}
     rarity = F.create_map(*[F.lit(x) for w in VOCABULARY for x in (w, idf[w])])
 
     def labelled(places: Column, label: str) -> Column:

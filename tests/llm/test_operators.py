@@ -284,3 +284,14 @@ def test_license_scan_many_licences(spark):
     for k in ("all", "back"):
         assert set(got[k]["labels"].split(",")) >= set(notices) and got[k]["score"] == 1.0
     assert {"bsd", "mit-notice"} <= set(got["two"]["labels"].split(","))
+
+
+def test_license_frequencies_over_all_rows(spark):
+    """Rows without any licence phrase count in the statistics: what they often say weighs less in a score."""
+    half = ("x", "permission is hereby granted, free of charge; as for the SOFTWARE, see its documentation or the person")
+    plain = [(str(i), f"Documentation of Software for any Person, row {i}") for i in range(50)]
+    scan = lambda r: {x[0]: x for x in license_scan.license_scan(spark.createDataFrame(r, "doc_id string, text string")).collect()}
+    alone, among = scan([half])["x"], scan([half, *plain])["x"]
+    assert alone["score"] < among["score"] <= 1 and among["labels"] == "mit-text"
+    n, df = license_scan.document_frequencies(spark.createDataFrame([half, *plain, ("e", ""), ("p", "permissions, re-GRANTED softwar\u00e9")], "doc_id string, text string"))
+    assert (n, df["software"], df["documentation"], df["granted"], df["permission"]) == (53, 51, 51, 2, 1)
