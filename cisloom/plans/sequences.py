@@ -217,9 +217,14 @@ def kmer_indices(spark, d):
 EMB = "em AS (SELECT vec_id AS sid, CAST(label AS DOUBLE) AS label, [CAST(x AS DOUBLE) for x in embedding[1:6]] AS v FROM embeddings)"
 
 
-def _emb(spark, d, width: int = 6):
+def _whole(spark, d):
     e = X.table(spark, d, "embeddings")
-    return e.select(F.col("vec_id").alias("sid"), F.col("label").cast("double").alias("label"), F.transform(F.slice("embedding", 1, width), lambda x: x.cast("double")).alias("features"))
+    return e.select(F.col("vec_id").alias("sid"), F.col("label").cast("double").alias("label"), F.transform("embedding", lambda x: x.cast("double")).alias("features"))
+
+
+def _emb(spark, d, width: int = 6):
+    """The first values only, as :data:`EMB` has them."""
+    return _whole(spark, d).withColumn("features", F.slice("features", 1, width))
 
 
 def _long(df, name: str = "features"):
@@ -425,12 +430,12 @@ def cv_split(spark, d):
 @query()
 def cv_auc_table(spark, d):
     e = _signed(spark, d).withColumn("dna", F.concat_ws(",", "features")).withColumn("features", F.transform("features", lambda x: F.abs(x))).withColumnRenamed("label", "y")
-    s = MOD.cv_split(e, F.col("y"), repeats=2, ratio=0.6, seed=9)
-    return MOD.auc_table(MOD.cross_validate(s, {"log-odds": MOD.LogOdds(), "dummy": MOD.Dummy()}, 2))
+    s = MOD.cv_split(e, F.col("y"), repeats=20, ratio=0.6, seed=9)
+    return MOD.auc_table(MOD.cross_validate(s, {"log-odds": MOD.LogOdds(), "dummy": MOD.Dummy()}, 20))
 
 
 def _signed(spark, d):
-    return _emb(spark, d).withColumn("label", F.when(F.col("label") % 2 == 1, 1.0).otherwise(-1.0))
+    return _whole(spark, d).withColumn("label", F.when(F.col("label") % 2 == 1, 1.0).otherwise(-1.0))
 
 
 @query()
@@ -448,7 +453,7 @@ def svm_quadratic(spark, d):
 @query()
 def random_forest(spark, d):
     v = _signed(spark, d)
-    return MOD.RandomForest(trees=20).fit(v).score(v).select("sid", "label", "score")
+    return MOD.RandomForest().fit(v).score(v).select("sid", "label", "score")
 
 
 @query()

@@ -18,6 +18,7 @@ from cisloom.operators import motifs as O
 from cisloom.operators import network as N
 from cisloom.operators import sequences as S
 from cisloom.operators import tables as T
+from cisloom.plans import sequences as P
 from cisloom.sources import curves as WC
 from cisloom.sources import regions as WR
 from cisloom.sources import sequences as WS
@@ -289,3 +290,13 @@ def test_streaming_merge(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(tuple(r) for r in spark.sql("SELECT seq, r_start, r_end, n FROM merged").collect()) == [("X", 0, 15, 2), ("X", 40, 45, 1), ("Y", 3, 7, 1)]
+
+
+def test_model_queries_read_whole_vectors(spark, tmp_path):
+    """Labels that show in the 41st value of 64 only."""
+    rng = random.Random(8)
+    rows = [(i, [0.1] * 40 + [(1.0 if i % 2 else -1.0) + rng.random() / 2] + [0.2] * 23, i % 2) for i in range(120)]
+    spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    for name in ("svm_linear", "svm_quadratic", "random_forest", "lasso"):
+        scored = P.Q[name](spark, str(tmp_path)).select(F.col("sid").alias("id"), "score", (F.col("label") > 0).alias("positive"))
+        assert E.auc(E.roc(scored)).first()[0] > 0.99, name
