@@ -148,19 +148,36 @@ def nucleotide_f1(a: DataFrame, b: DataFrame) -> DataFrame:
     return both.select(F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0).alias("nucleotide_f1"))
 
 
+def _placed(lengths: DataFrame) -> DataFrame:
+    """``lengths`` with ``from`` and ``upto``, the sequences laid end to end by the hash of their names.
+
+    Sequences are sorted within 4096 buckets of the hash, and the buckets' totals give the offsets, so that no task sorts all of them.
+    """
+    hashed = lengths.where("n > 0").select("seq", "n", F.md5(F.coalesce("seq", F.lit(""))).alias("_h")).withColumn("_b", F.substring("_h", 1, 3))
+    sizes = hashed.groupBy("_b").agg(F.sum("n").alias("_n"))
+    before = sizes.select("_b", F.coalesce(F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    inside = F.sum("n").over(Window.partitionBy("_b").orderBy("_h", "seq", "n").rowsBetween(Window.unboundedPreceding, 0))
+    upto = hashed.withColumn("_inside", inside).join(F.broadcast(before), "_b").withColumn("upto", F.col("_before") + F.col("_inside"))
+    return upto.select("seq", (F.col("upto") - F.col("n")).alias("from"), "upto")
+
+
 def dummy(a: DataFrame, lengths: DataFrame, repeats: int = 1, seed: int = 0) -> DataFrame:
-    """``repeats`` sets (column ``rep``) of regions as long as those of ``a``, at seeded random places of the sequences ``lengths`` (seq, n)."""
-    order = Window.orderBy("seq")
-    placed = lengths.withColumn("upto", F.sum("n").over(order)).withColumn("from", F.col("upto") - F.col("n"))
-    total = lengths.agg(F.sum("n").alias("total"))
+    """``repeats`` sets (column ``rep``) of regions as long as those of ``a``, at seeded random places of the sequences ``lengths`` (seq, n).
+
+    Draws meet sequences in bins of the positions as wide as a mean sequence: a sequence lies in two bins more than its share of the
+    total, and a draw meets a few sequences on average, however many there are and however their lengths differ.
+    """
+    total = lengths.where("n > 0").agg(F.sum("n").alias("total"), F.greatest(F.lit(1), F.floor(F.sum("n") / F.count(F.lit(1)))).alias("width"))
     row = F.concat_ws(":", F.lit(seed), "rep", "seq", "r_start", "r_end", "feature")
     draws = a.select(*REGION_COLUMNS, F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("rep")).crossJoin(F.broadcast(total))
     at = F.pmod(F.conv(F.substring(F.md5(row), 1, 12), 16, 10).cast("bigint"), F.col("total"))
-    cuts = F.array_sort(F.collect_list(F.struct("from", "seq")))
-    table = placed.agg(cuts.alias("cuts"))  # one entry a sequence
-    spot = F.element_at(F.filter("cuts", lambda c: c["from"] <= F.col("at")), -1)
-    out = draws.withColumn("at", at).withColumn("size", length()).crossJoin(F.broadcast(table)).withColumn("spot", spot)
-    return out.select("rep", F.col("spot.seq").alias("seq"), (F.col("at") - F.col("spot.from")).alias("r_start"), (F.col("at") - F.col("spot.from") + F.col("size") - 1).alias("r_end"), *REGION_COLUMNS[3:])
+    draws = draws.withColumn("at", at).withColumn("size", length()).withColumn("bin", F.floor(F.col("at") / F.col("width"))).drop("seq", "r_start", "r_end")
+    first, last = F.floor(F.col("from") / F.col("width")), F.floor((F.col("upto") - 1) / F.col("width"))
+    spots = _placed(lengths).crossJoin(F.broadcast(total.select("width"))).select("seq", "from", "upto", F.explode(F.sequence(first, last)).alias("bin"))
+    d, s = draws.alias("d"), spots.alias("s")
+    here = (F.col("d.bin") == F.col("s.bin")) & (F.col("s.from") <= F.col("d.at")) & (F.col("d.at") < F.col("s.upto"))
+    start = F.col("d.at") - F.col("s.from")
+    return d.join(s, here, "left").select("rep", F.col("s.seq").alias("seq"), start.alias("r_start"), (start + F.col("size") - 1).alias("r_end"), *REGION_COLUMNS[3:])
 
 
 def expected_overlap(a: DataFrame, b: DataFrame, lengths: DataFrame, repeats: int = 100, seed: int = 0, width: int = BIN) -> DataFrame:

@@ -1,6 +1,9 @@
 """Interval algebra on literal sets, and laws that hold for any."""
 
+import bisect
+import hashlib
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -91,3 +94,25 @@ def test_genes(spark):
     g = genome.Genome().with_annotation(as_regions(gtf))
     assert tuple(genome.gene_table(g.gene("G1")).first()) == ("abc", "abc; G1", 90, 2, 1)
     assert spots(g.cds()) == [("X", 5, 10)]
+
+
+def test_dummy_places_by_join(spark, ab):
+    """Places equal a plain search, on many sequences of unlike lengths, and no row holds all sequences."""
+    lengths = {f"s{i}": 0 if i % 50 == 0 else 20_000 if i % 97 == 0 else i % 7 + 1 for i in range(1500)}
+    out = R.dummy(ab[0], spark.createDataFrame(list(lengths.items()), "seq string, n bigint"), repeats=40, seed=2)
+    md5 = lambda x: hashlib.md5(x.encode()).hexdigest()
+    order = sorted((x for x, n in lengths.items() if n), key=md5)
+    starts, total = [], 0
+    for x in order:
+        starts.append(total)
+        total += lengths[x]
+    want = Counter()
+    features = [(r["seq"], r["r_start"], r["r_end"], r["feature"]) for r in ab[0].collect()]
+    for rep in range(40):
+        for q, s, e, f in features:
+            at = int(md5(":".join(str(x) for x in (2, rep, q, s, e, f) if x is not None))[:12], 16) % total
+            k = bisect.bisect_right(starts, at) - 1
+            want[rep, order[k], at - starts[k], at - starts[k] + e - s] += 1
+    assert Counter((r["rep"], r["seq"], r["r_start"], r["r_end"]) for r in out.collect()) == want
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan and "windowspecdefinition(seq" not in plan
