@@ -20,12 +20,12 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
 # Weak candidates: told only together with a part that completes them.
 IDENTIFIER = re.compile(r"""(?:user(?:name)?|login|account|client_?id|access_?key_?id)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@._-]{3,})""", re.I | re.A)
-KEY = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,88}={0,2}(?![A-Za-z0-9+/_=-])", re.A)
+KEY = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}+={0,2}(?![A-Za-z0-9+/_=-])", re.A)
 ENDPOINT = re.compile(r"https?://[^\s\"'<>]+|(?<![\w.])(?:[a-z0-9-]+\.)+(?:com|net|io|org|cloud|internal)\b(?::\d+)?|(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w.])(?::\d+)?", re.A)
 ENDPOINT_HINT = re.compile(r"://|\.(?:com|net|io|org|cloud|internal)|\d\.\d", re.A)
 
 KINDS = ("assign", "access", "hex", "identifier", "key", "endpoint")
-#: Code points of a scope; parts nearer than half of it always share one.
+#: Parts of a credential share a scope where fewer code points than this lie between them.
 SCOPE = 400
 #: Least entropy (bits a character) of a weak key.
 ENTROPY = 3.2
@@ -94,20 +94,23 @@ _ROLE = (0, 1, 0, 1, 0, 2)
 
 
 def link(scanned: DataFrame) -> DataFrame:
-    """Weak spans by text digest, kept where parts of other roles share their scope.
+    """Weak spans by text digest, kept where parts of other roles stand less than SCOPE code points away.
 
-    A text is covered by scopes of SCOPE code points, each half over the next; a part lies in those that it touches.  What
-    roles a scope holds is three flags a scope, aggregated before the shuffle; the weak parts then join the flags of their
-    scopes, never each other.  Copies of a text count once.
+    A part lies in the cells of SCOPE code points that it touches.  A cell holds the least start and the greatest end of each
+    role, aggregated before the shuffle; a weak part meets the cells that its surroundings touch, never other parts.  That is
+    exact: whatever touches the first of these cells starts early enough, whatever touches the last ends late enough, and both
+    hold in between.  Copies of a text count once.
     """
     parts = scanned.where(F.size("parts") > 0).select("digest", F.explode("parts").alias("p")).groupBy("digest", "p").count().select("digest", "p.*")
-    role = F.array(*[F.lit(r) for r in _ROLE])[F.col("kind")]
-    half = SCOPE // 2
-    scopes = F.sequence(F.floor(F.col("start") / half) - 1, F.floor((F.col("end") - 1) / half))
-    placed = parts.withColumns({"role": role, "scope": F.explode(scopes)})
-    held = placed.groupBy("digest", "scope").agg(*[F.max((F.col("role") == r).cast("int")).alias(f"has{r}") for r in range(3)])
-    other = F.when(F.col("kind") == 4, (F.col("has1") + F.col("has2")) > 0).when(F.col("kind") == 3, F.col("has0") > 0).otherwise((F.col("has0") + F.col("has1")) > 1)
-    linked = placed.where("kind >= 3").join(held, ["digest", "scope"]).where(other)
+    parts = parts.withColumn("role", F.array(*[F.lit(r) for r in _ROLE])[F.col("kind")])
+    cells = lambda lo, hi: F.explode(F.sequence(F.floor(lo / SCOPE), F.floor((hi - 1) / SCOPE)))
+    of = lambda c, r: F.when(F.col("role") == r, F.col(c))
+    ends = [x for r in range(3) for x in (F.min(of("start", r)).alias(f"first{r}"), F.max(of("end", r)).alias(f"last{r}"))]
+    held = parts.withColumn("cell", cells(F.col("start"), F.col("end"))).groupBy("digest", "cell").agg(*ends)
+    met = parts.where("kind >= 3").withColumn("cell", cells(F.col("start") - SCOPE, F.col("end") + SCOPE)).join(held, ["digest", "cell"])
+    near = [F.max(F.coalesce((F.col(f"first{r}") < F.col("end") + SCOPE) & (F.col(f"last{r}") > F.col("start") - SCOPE), F.lit(False))).alias(f"near{r}") for r in range(3)]
+    other = F.when(F.col("kind") == 4, F.col("near1") | F.col("near2")).when(F.col("kind") == 3, F.col("near0")).otherwise(F.col("near0") & F.col("near1"))
+    linked = met.groupBy("digest", "start", "kind", "end").agg(*near).where(other)
     return linked.groupBy("digest").agg(F.sort_array(F.collect_set(F.struct("start", "kind", "end"))).alias("linked"))
 
 
@@ -119,7 +122,7 @@ def told(spans: Column) -> Column:
 def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Base and linked spans of every row of ``docs``.
 
-    One pass over the texts; spans (not texts) are checkpointed and only weak parts are shuffled, by text digest and scope.
+    One pass over the texts; spans (not texts) are checkpointed and only parts are shuffled, by text digest and cell.
 
     Cases: a null or empty text has no spans; copies share their links; repeated rows and null ids stay, one row
     each; other columns are not read; an empty table gives an empty result.
