@@ -28,11 +28,10 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of the grams of every string of LENGTH bytes that with the smallest hash: equal strings choose the same place."""
     for batch in batches:
         for lo, _, data, at in R.chunks(batch, "text"):
-            sums = R.prefix(data, 1)
             row = np.repeat(np.arange(len(at) - 1), np.diff(at))
             i = np.arange(max(0, len(data) - GRAM + 1))
             i = i[row[i] == row[i + GRAM - 1]]
-            h = R.window(sums, i, i + GRAM, 1)
+            h = R.windows(R.table(1)[data], GRAM)[i]
             m = R.minimisers(h, row[i], LENGTH - GRAM + 1)
             p = i[m]
             yield candidates(batch, lo + row[p], p - at[row[p]], h[m])
@@ -43,16 +42,35 @@ def _around(p: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray,
     return np.maximum(p - (LENGTH - GRAM), lo), np.minimum(p + LENGTH, hi)
 
 
+def _surroundings(data: np.ndarray, p: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+    """A hash of the bytes ``s`` to ``e`` and of the place of ``p`` in them."""
+    step, width = 16, 2 * LENGTH - GRAM
+    blocks = R.windows(R.table(4)[data], step)
+    out = np.zeros(len(p), np.uint64)
+    whole = e - s == width
+    at = s[whole]
+    acc = np.full(len(at), width, np.uint64)
+    for x in [*range(0, width - step, step), width - step]:
+        acc = R.combine(acc, blocks[at + x])
+    out[whole] = acc
+    edge, place = np.flatnonzero(~whole), np.arange(width)
+    for some in np.array_split(edge, len(edge) // 4096 + 1):  # texts' ends
+        where = s[some][:, None] + place
+        terms = R.mix(R.table(5)[data[np.minimum(where, len(data) - 1)]] + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) if len(some) else np.zeros((0, width), np.uint64)
+        own = np.where(where < e[some][:, None], terms, np.uint64(0)).sum(1, dtype=np.uint64)
+        out[some] = R.combine(R.mix(own), (width * (p[some] - s[some]) + e[some] - s[some]).astype(np.uint64))
+    return out
+
+
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Anchors by all bytes of the strings around them; of those that agree within a chunk, only the first is told to others."""
     for batch in batches:
         for lo, hi, data, at in R.chunks(batch, "text"):
             row, place = lists(batch, "places", lo, hi)
             p = at[row] + place
-            one, two = R.prefix(data, 1), R.prefix(data, 4)
-            v = R.window(one, p, p + GRAM, 1).view(np.int64)
+            v = R.windows(R.table(1)[data], GRAM)[p].view(np.int64)
             s, e = _around(p, at[row], at[row + 1])
-            c = (R.window(two, s, e, 4) ^ R.mix((p - s + 1).astype(np.uint64))).view(np.int64)
+            c = _surroundings(data, p, s, e).view(np.int64)
             ids = batch.column("first_id").slice(lo, hi - lo)
             rank = np.empty(hi - lo, np.int64)
             rank[pa.compute.sort_indices(pa.table({"i": ids, "k": batch.column("k1").slice(lo, hi - lo)}), [("i", "ascending"), ("k", "ascending")]).to_numpy()] = np.arange(hi - lo)
@@ -87,6 +105,15 @@ def _states(batch: pa.RecordBatch, name: str, lo: int, hi: int) -> tuple[np.ndar
     return row, *runs(col.flatten().to_numpy(zero_copy_only=False))
 
 
+def _shared(data: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """A hash of the bytes that all strings of range ``q`` around anchor ``p`` hold."""
+    out = np.zeros(len(p), np.uint64)
+    for k, (a, b) in enumerate(RANGES):
+        mine = q == k
+        out[mine] = R.combine(R.windows(R.table(1)[data], LENGTH - b + a)[p[mine] - a], np.full(int(mine.sum()), k + 1, np.uint64))
+    return out
+
+
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For open anchors: the bytes that all strings of a range share; place is 4 * anchor + range."""
     for batch in batches:
@@ -95,11 +122,10 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             row, place = row[state == 1], place[state == 1]
             order = np.lexsort((place, row))
             row, p = row[order], (at[row] + place)[order]
-            sums = R.prefix(data, 1)
             parts = []
             for q, (a, b) in enumerate(RANGES):
                 ok = (np.maximum(a, LENGTH - (at[row + 1] - p)) <= np.minimum(b, p - at[row])).nonzero()[0]
-                h = R.window(sums, p[ok] - a, p[ok] + LENGTH - b, 1) ^ R.mix(np.full(len(ok), q + 1, np.uint64))
+                h = _shared(data, p[ok], np.full(len(ok), q))
                 parts.append((row[ok], 4 * (p[ok] - at[row[ok]]) + q, h))
             rows, places, h = (np.concatenate(x) for x in zip(*parts, strict=True))
             order = np.lexsort((places, rows))
@@ -113,8 +139,7 @@ def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             row, place = lists(batch, "places", lo, hi)
             p, q = at[row] + place // 4, place % 4
             a, b = np.array(RANGES)[q].T
-            sums = R.prefix(data, 1)
-            key = R.window(sums, p - a, p + LENGTH - b, 1) ^ R.mix((q + 1).astype(np.uint64))
+            key = _shared(data, p, q)
             first, last = np.maximum(a, LENGTH - (at[row + 1] - p)), np.minimum(b, p - at[row])
             where = (p - b)[:, None] + np.arange(SPAN)
             inside = (where >= at[row][:, None]) & (where < np.minimum(at[row + 1], p + LENGTH - a)[:, None])

@@ -1,143 +1,109 @@
-"""Exact Jaccard self-join of shingle sets by signature trees, inside clusters of sets that share an untouched part."""
+"""Exact Jaccard self-join of shingle sets by signature trees, between leaves of sets that share a rare shingle."""
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import rolling as R
-from .common import WORD, documents, stored, text_of
+from .common import documents, stored, text_of
 from .graph import components
 
 SHINGLE, PERCENT = 3, 90
-#: Ratio of the sizes of a level's largest and smallest sets.
-LEVEL = 1.5
-#: Most sets and most shingles in a leaf; bits of a node's signature; sets in the smallest node; sets that stand for a leaf at first; leaves that travel together after.
-LEAF_SETS, LEAF_SHINGLES, BITS, TIP, PIVOTS, TILE = 256, 100_000, 1 << 13, 8, 12, 8
+#: Most sets and most shingles in a leaf; bits of a node's signature; sets in the smallest node; longs of the signature by which pairs of leaves are left out; leaves that meet one leaf in one task.
+LEAF_SETS, LEAF_SHINGLES, BITS, TIP, SIGNATURE, MEET = 256, 100_000, 1 << 13, 8, 32, 16
+#: Most keys that are broadcast to pick rows by; more are joined by a shuffle.
+BROADCAST_KEYS = 1_000_000
 
 
-def _shingles(data: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, hash) of every shingle; a row of fewer than ``k`` words has one, its whole sequence."""
+def share_of(percent: int) -> int:
+    """One shingle in so many takes part in the search for candidates: twice as many as linked sets may differ in."""
+    return max(1, min(8, 50 // max(1, 100 - percent) + 1))
+
+
+def _sets(data: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(shingles of each row, their hashes): distinct and sorted within a row; a row of fewer than ``k`` words has one, its whole sequence."""
     data = R.lower(data)
     starts, ends, before = R.words(data, at)
-    sums = R.prefix(R.window(R.prefix(data, 1), starts, ends, 1), 2)
-    row = np.repeat(np.arange(len(at) - 1), np.diff(before))
+    words, count = R.word_hashes(data, starts, ends, 1), np.diff(before)
+    row = np.repeat(np.arange(len(at) - 1), count)
     i = np.arange(max(0, len(row) - k + 1))
     i = i[row[i] == row[i + k - 1]]
-    few = np.flatnonzero((np.diff(before) > 0) & (np.diff(before) < k))
-    own = R.window(sums, before[few], before[few + 1], 2) if len(few) else np.zeros(0, np.uint64)
-    return np.concatenate([row[i], few]), np.concatenate([R.window(sums, i, i + k, 2), own])
-
+    h = R.windows(words, k)[i]
+    n = np.bincount(row[i], minlength=len(count))
+    few = [(r, R.combine(R.windows(words[before[r] : before[r + 1]], int(count[r])), np.full(1, count[r], np.uint64))) for r in np.flatnonzero((count > 0) & (count < k))]
+    parts, edge = [], np.concatenate([[0], np.cumsum(n)])
+    own = dict(few)
+    for r in range(len(n)):
+        s = own[r] if r in own else np.sort(h[edge[r] : edge[r + 1]])
+        if len(s) > 1:
+            new = np.ones(len(s), bool)
+            np.not_equal(s[1:], s[:-1], out=new[1:])
+            s = s[new]
+        parts.append(s)
+    return np.array([len(s) for s in parts], np.int64), np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+
+
+def _fingerprints(n: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """128 bits for the set of each row, from two sums over its shingles and its size; and its least shingle in another order."""
+    start = np.concatenate([[0], np.cumsum(n)])
+    out = []
+    for x in (0x51ED270B, 0xA3C59AC3):
+        s = np.concatenate([np.zeros(1, np.uint64), np.cumsum(R.mix(h ^ np.uint64(x)))])
+        out.append(R.mix(s[start[1:]] - s[start[:-1]] + n.astype(np.uint64)).view(np.int64))
+    least = np.zeros(len(n), np.uint64)
+    some = np.flatnonzero(n)
+    if len(some):
+        least[some] = np.minimum.reduceat(R.mix(h ^ np.uint64(0x2545F491)), start[:-1][some])
+    return out[0], out[1], least.view(np.int64)
 
-def _sets(data: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingles, sorted by row and hash."""
-    row, h = _shingles(data, at, k)
-    order = np.lexsort((h, row))
-    row, h = row[order], h[order]
-    new = np.ones(len(h), bool)
-    new[1:] = (row[1:] != row[:-1]) | (h[1:] != h[:-1])
-    return row[new], h[new]
 
+def _sampled(n: np.ndarray, h: np.ndarray, share: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, 48 bits) of shingles, distinct within a row, and which of them are in the sample."""
+    row, token = np.repeat(np.arange(len(n)), n), (h >> np.uint64(16)).astype(np.int64)
+    new = np.ones(len(token), bool)
+    new[1:] = (token[1:] != token[:-1]) | (row[1:] != row[:-1])
+    return row[new], token[new], token[new] % share == 0
 
-def _fingerprints(n: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """Id of the set of each row, from two sums over its shingles and its size."""
-    start = np.concatenate([[0], np.cumsum(n)])
-    sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(R.mix(h ^ np.uint64(x)))]) for x in (0x51ED270B, 0xA3C59AC3)]
-    one, two = (s[start[1:]] - s[start[:-1]] for s in sums)
-    return R.mix(one ^ R.mix(two + n.astype(np.uint64))).view(np.int64)
 
-
-def _describe(shingle: int):
-    """id, k1, k2 of every row, with the size and the id of its set."""
+def _describe(shingle: int, share: int):
+    """id and mark of every row, with the size, the sampled shingles, the id and the least shingle of its set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, data, at in R.chunks(batch, "text"):
-                row, h = _sets(data, at, shingle)
-                n = np.bincount(row, minlength=hi - lo)
+                n, h = _sets(data, at, shingle)
+                row, _, sampled = _sampled(n, h, share)
                 part = batch.slice(lo, hi - lo)
-                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in ("id", "k1", "k2")], pa.array(n.astype(np.int32)), pa.array(_fingerprints(n, h))], names=["id", "k1", "k2", "size", "cid"])
+                told = (n.astype(np.int32), np.bincount(row[sampled], minlength=hi - lo).astype(np.int32), *_fingerprints(n, h))
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("mark"), *map(pa.array, told)], names=["id", "mark", "size", "sampled", "a", "b", "low"])
 
     return run
 
 
-def level_of(n: np.ndarray) -> np.ndarray:
-    return np.floor(np.log(np.maximum(n, 1)) / math.log(LEVEL) + 1e-9).astype(np.int64)
-
-
-def parts_of(level: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """(parts, differences) of a level: linked sets of it differ in so many shingles at most, and the parts are more by a few than
-    the differences and the parts that are likely to be empty."""
-    least, most = LEVEL**level, LEVEL ** (level + 1.0) + 1
-    differ = np.floor(2 * most * (100 - percent) / (100 + percent)).astype(np.int64)
-    m = differ + 3.0
-    for _ in range(4):
-        m = differ + 3 + np.ceil(1.5 * m * np.exp(-least / m))
-    return m.astype(np.int64), differ
-
-
-def _keys(row: np.ndarray, h: np.ndarray, n: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, key): two linked sets have a key in common.
-
-    The shingles of a set are dealt by hash to the parts of its level; two linked sets differ in fewer shingles than there are parts, so that
-    some part is the same in both.  A set whose larger partners may lie in the next level has the keys of that one too.  Where a
-    set has so many empty parts that the same part could be an empty one, it also has its smallest hashes as keys, of which linked sets share one.
-    """
-    own = level_of(n)
-    rows, keys = [], []
-    start = np.concatenate([[0], np.cumsum(n)])
-    for level, some in ((own, n > 0), (level_of(n * 100 // percent), (n > 0) & (level_of(n * 100 // percent) != own))):
-        m, differ = parts_of(level, percent)
-        m = np.where(some, m, 0)
-        base = np.concatenate([[0], np.cumsum(m)])
-        pick = some[row]
-        part = ((h[pick] >> np.uint64(32)).astype(np.int64)) % m[row[pick]]
-        at = base[row[pick]] + part
-        total = np.zeros(base[-1], np.uint64)
-        np.add.at(total, at, R.mix(h[pick] ^ np.uint64(0x2545F491)))
-        full = np.bincount(at, minlength=base[-1]) > 0
-        of = np.repeat(np.arange(len(n)), m)
-        place = R.mix(((np.arange(base[-1]) - base[of]) * 4096 + level[of]).astype(np.uint64))
-        rows.append(of[full])
-        keys.append(R.mix(total[full] + place[full]))
-        empty = np.bincount(of[~full], minlength=len(n))
-        few = np.flatnonzero(some & (empty >= m - differ))
-        take = n[few] - -(-n[few] * percent // 100) + 1
-        rows.append(np.repeat(few, take))
-        keys.append(R.mix(h[np.repeat(start[few], take) + R.within(take)] ^ np.uint64(0x9E3779B9)))
-    return np.concatenate(rows), np.concatenate(keys)
-
-
-def _blocks(shingle: int, percent: int):
-    """(key, u, v): a row ``u`` under a key (v is null), once a chunk; the chunk's other rows of that key are linked (u, v) to it here.
-
-    A row goes by ``name``, its id where that is a whole number (small numbers travel cheaper than hashes), else its set.
-    """
+def _postings(shingle: int, percent: int, share: int):
+    """(token, a) of the sampled shingles of every set, once a chunk; a set whose sample is smaller than the part of it that must be looked
+    at has some of its other shingles too, in the order of their hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, data, at in R.chunks(batch, "text"):
-                row, h = _sets(data, at, shingle)
-                n = np.bincount(row, minlength=hi - lo)
-                given = batch.column("name").slice(lo, hi - lo)
-                cid = pa.compute.coalesce(given, pa.array(_fingerprints(n, h))).to_numpy(zero_copy_only=False)
-                rows, key = _keys(row, h, n, percent)
-                order = np.argsort(key, kind="stable")
-                key, u = key[order], cid[rows[order]]
-                new = np.ones(len(key), bool)
-                new[1:] = key[1:] != key[:-1]
-                head = u[new][np.cumsum(new) - 1]
-                own = ~new & (u != head)
-                spread = R.mix(np.flatnonzero(own).astype(np.uint64) + key[own])
-                told = pa.chunked_array([pa.nulls(int(new.sum()), pa.int64()), pa.array(head[own], pa.int64())]).combine_chunks()
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([key[new], spread]).view(np.int64)), pa.array(np.concatenate([u[new], u[own]])), told], names=["key", "u", "v"])
+            for _, _, data, at in R.chunks(batch, "text"):
+                n, h = _sets(data, at, shingle)
+                a = _fingerprints(n, h)[0]
+                first = np.zeros(len(n), bool)
+                first[np.unique(a, return_index=True)[1]] = True
+                row, token, sampled = _sampled(n, h, share)
+                missing = n - (n * percent + 99) // 100 + 1 - np.bincount(row[sampled], minlength=len(n))
+                other = np.flatnonzero(~sampled)
+                nth = R.within(np.bincount(row[other], minlength=len(n)))
+                pick = np.sort(np.concatenate([np.flatnonzero(sampled), other[nth < missing[row[other]]]]))
+                pick = pick[first[row[pick]]]
+                yield pa.RecordBatch.from_arrays([pa.array(token[pick]), pa.array(a[row[pick]])], names=["token", "a"])
 
     return run
 
@@ -243,41 +209,43 @@ class Tree:
                     self.join(x, y, forest)
 
 
-LEAF = "cluster bigint, step int, leaf int, ids array<bigint>, sizes array<int>, sets binary, us array<bigint>, vs array<bigint>"
+LEAF = "low bigint, part int, ids array<bigint>, sizes array<int>, sets binary, bits array<bigint>, least int, most int, hidden int, us array<bigint>, vs array<bigint>"
 
 
-def _make_leaves(shingle: int, percent: int):
-    """Gather the rows of a leaf (they follow each other), link its sets, and pack them for joins with other leaves of its cluster."""
+def _make_leaves(shingle: int):
+    """Gather the sets of a leaf (its rows follow each other), link them, and pack them for joins with other leaves."""
 
-    def packed(key: tuple, ids: list[int], sets: list[np.ndarray], alone: bool) -> tuple:
-        tree, forest = Tree(sets, percent), Forest(len(sets))
-        root = tree.build(np.arange(len(sets)))
-        tree.join(root, root, forest)
-        us, vs = [ids[i] for i, _ in forest.links], [ids[j] for _, j in forest.links]
-        return (*key, ids, [len(s) for s in sets], None if alone else np.concatenate(sets).tobytes(), us, vs)
+    def run(percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def packed(key: tuple, ids: list[int], sets: list[np.ndarray]) -> tuple:
+            tree, forest = Tree(sets, percent), Forest(len(sets))
+            root = tree.build(np.arange(len(sets)))
+            tree.join(root, root, forest)
+            bits = np.zeros(SIGNATURE * 64, bool)
+            every = np.concatenate(sets) % np.uint64(SIGNATURE * 64)
+            bits[every.astype(np.int64)] = True
+            hidden = max(len(s) - len(np.unique(s % np.uint64(SIGNATURE * 64))) for s in sets)
+            us, vs = [ids[i] for i, _ in forest.links], [ids[j] for _, j in forest.links]
+            sizes = [len(s) for s in sets]
+            return (*key, ids, sizes, np.concatenate(sets).tobytes(), np.packbits(bits).view(np.int64), min(sizes), max(sizes), hidden, us, vs)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, ids, sets, alone = None, [], [], True
+        key, ids, sets = None, [], []
         out: list[tuple] = []
         for batch in batches:
-            keys = list(zip(*(batch.column(c).to_pylist() for c in ("cluster", "step", "leaf", "alone", "cid")), strict=True))
+            keys = list(zip(*(batch.column(c).to_pylist() for c in ("low", "part", "sid")), strict=True))
             for lo, hi, data, at in R.chunks(batch, "text"):
-                row, h = _sets(data, at, shingle)
-                cut_at = np.searchsorted(row, np.arange(hi - lo + 1))
-                for i in range(lo, hi):
-                    if keys[i][:3] != key:
+                n, h = _sets(data, at, shingle)
+                for (low, part, sid), s in zip(keys[lo:hi], np.split(h, np.cumsum(n)[:-1]), strict=True):
+                    if (low, part) != key:
                         if key is not None:
-                            out.append(packed(key, ids, sets, alone))
-                        key, ids, sets, alone = keys[i][:3], [], [], keys[i][3]
-                    if ids and ids[-1] == keys[i][4]:
-                        continue
-                    ids.append(keys[i][4])
-                    sets.append(h[cut_at[i - lo] : cut_at[i - lo + 1]].copy())
-                    if len(out) >= 16:
+                            out.append(packed(key, ids, sets))
+                        key, ids, sets = (low, part), [], []
+                    ids.append(sid)
+                    sets.append(s.copy())
+                    if len(out) >= 64:
                         yield _leaf_batch(out)
                         out = []
         if key is not None:
-            out.append(packed(key, ids, sets, alone))
+            out.append(packed(key, ids, sets))
         if out:
             yield _leaf_batch(out)
 
@@ -286,146 +254,185 @@ def _make_leaves(shingle: int, percent: int):
 
 def _leaf_batch(rows: list[tuple]) -> pa.RecordBatch:
     names = [x.split()[0] for x in LEAF.split(", ")]
-    types = [pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+    long, ints = pa.list_(pa.int64()), pa.int32()
+    types = [pa.int64(), ints, long, pa.list_(ints), pa.binary(), long, ints, ints, ints, long, long]
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
 
-def _head() -> list:
-    """The first PIVOTS sets of a leaf."""
-    sizes = F.slice("sizes", 1, PIVOTS)
-    total = F.aggregate(sizes, F.lit(0), lambda a, x: a + x)
-    return [F.slice("ids", 1, PIVOTS).alias("ids"), sizes.alias("sizes"), F.substring("sets", F.lit(1), total * 8).alias("sets")]
-
-
-def _join_leaves(percent: int):
-    """Links between the rows (leaves, or parts of them) of a group on side 0 and on side 1; within side 0 if it is alone."""
+def _meet(percent: int):
+    """Links between the one leaf of a group on side 0 and each of its leaves on side 1; sets with one root are linked already."""
 
-    def run(pair: pa.Table) -> pa.Table:
-        pair = pair.sort_by("side")
-        ids, sets, half = [], [], 0
-        for i in range(pair.num_rows):
-            blob = np.frombuffer(pair.column("sets")[i].as_buffer(), np.uint64)
-            sets += np.split(blob, np.cumsum(pair.column("sizes")[i].as_py())[:-1])
-            ids += pair.column("ids")[i].as_py()
-            half = len(ids) if pair.column("side")[i].as_py() == 0 else half
+    def run(group: pa.Table) -> pa.Table:
+        group = group.sort_by("side")
+        ids, sets, roots, ends = [], [], [], []
+        for i in range(group.num_rows):
+            sets += np.split(np.frombuffer(group.column("sets")[i].as_buffer(), np.uint64), np.cumsum(group.column("sizes")[i].as_py())[:-1])
+            ids += group.column("ids")[i].as_py()
+            roots += group.column("roots")[i].as_py()
+            ends.append(len(ids))
         tree, forest = Tree(sets, percent), Forest(len(sets))
-        left = tree.build(np.arange(half))
-        tree.join(left, left if half == len(sets) else tree.build(np.arange(half, len(sets))), forest)
+        first: dict[int, int] = {}
+        for i, r in enumerate(roots):
+            forest.link(first.setdefault(r, i), i)
+        forest.links = []
+        one = tree.build(np.arange(ends[0]))
+        for lo, hi in zip(ends, ends[1:], strict=False):
+            tree.join(one, tree.build(np.arange(lo, hi)), forest)
         us, vs = [ids[i] for i, _ in forest.links], [ids[j] for _, j in forest.links]
         return pa.table({"u": pa.array(us, pa.int64()), "v": pa.array(vs, pa.int64())})
 
     return run
 
 
-def _tile():
-    return F.floor(F.col("leaf") / TILE).cast("int")
+def _possible(percent: int) -> Column:
+    """Whether leaves ``x`` and ``y`` can hold linked sets, by their sizes and by the overlap that their signatures allow."""
+    fits = (100 * F.col("x.most") >= percent * F.col("y.least")) & (100 * F.col("y.most") >= percent * F.col("x.least"))
+    both = F.aggregate(F.zip_with("x.bits", "y.bits", lambda a, b: F.bit_count(a.bitwiseAND(b))), F.lit(0), lambda s, c: s + c)
+    return fits & ((both + F.least("x.hidden", "y.hidden")) * (100 + percent) >= percent * (F.col("x.least") + F.col("y.least")))
 
 
-def _apart(state: DataFrame) -> DataFrame:
-    """Pairs of tiles (TILE leaves of one size step) of one cluster, of the same or neighbouring steps, that are not in one component:
-    (pair, cluster, step, tile, side), one row a side; a tile paired with itself has one."""
-    tiles = state.groupBy("cluster", "step", _tile().alias("tile")).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    a, b = (tiles.select("cluster", *[F.col(c).alias(f"{s}_{c}") for c in ("step", "tile", "lo", "hi")]) for s in "ab")
-    both = a.join(b, "cluster").where("(a_step = b_step AND a_tile <= b_tile) OR a_step = b_step - 1").where("NOT (a_lo = a_hi AND b_lo = b_hi AND a_lo = b_lo)")
-    side = lambda s: F.struct(F.col(f"{s}_step").alias("step"), F.col(f"{s}_tile").alias("tile"), F.lit("ab".index(s)).alias("side"))
-    sides = F.when((F.col("a_step") == F.col("b_step")) & (F.col("a_tile") == F.col("b_tile")), F.array(side("a"))).otherwise(F.array(side("a"), side("b")))
-    return both.select(F.struct("cluster", "a_step", "a_tile", "b_step", "b_tile").alias("pair"), "cluster", F.explode(sides).alias("x")).select("pair", "cluster", "x.*")
+def _linked(leaves: DataFrame, pairs: DataFrame, roots: DataFrame | None, percent: int) -> DataFrame:
+    """Links (u, v) found between the leaves of every pair (x, y: structs of low and part).
 
-
-def _linked(leaves: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """Links (u, v) found between the leaves of every pair of tiles; one pair at a time is in memory."""
-    rows = pairs.join(leaves.select("cluster", "step", _tile().alias("tile"), "ids", "sizes", "sets"), ["cluster", "step", "tile"])
-    return rows.groupBy("pair").applyInArrow(_join_leaves(percent), "u bigint, v bigint")
+    Pairs are left out by signature before sets move; a leaf then travels once for every MEET leaves that it is paired with.
+    """
+    slim = leaves.select(F.struct("low", "part").alias("leaf"), F.struct("bits", "least", "most", "hidden").alias("told"))
+    for side in "xy":
+        pairs = pairs.join(slim.withColumnsRenamed({"leaf": f"{side}_leaf", "told": side}), f"{side}_leaf")
+    pairs = stored(pairs.where(_possible(percent)).select("x_leaf", "y_leaf"))
+    tasks = pairs.groupBy("y_leaf").agg(F.ceil(F.count(F.lit(1)) / MEET).cast("int").alias("tasks"))
+    dealt = pairs.join(tasks, "y_leaf").withColumn("task", F.pmod(F.xxhash64("x_leaf"), F.col("tasks")))
+    ones = dealt.select("y_leaf", "task").distinct()
+    sides = ones.select("y_leaf", "task", F.lit(0).alias("side"), F.col("y_leaf").alias("leaf")).unionByName(dealt.select("y_leaf", "task", F.lit(1).alias("side"), F.col("x_leaf").alias("leaf")))
+    held = leaves.select(F.struct("low", "part").alias("leaf"), "ids", "sizes", "sets")
+    if roots is None:
+        held = held.withColumn("roots", F.col("ids"))
+    else:
+        each = held.select("leaf", F.posexplode("ids").alias("at", "sid")).join(roots.withColumnRenamed("u", "sid"), "sid", "left")
+        each = each.groupBy("leaf").agg(F.sort_array(F.collect_list(F.struct("at", F.coalesce("root", "sid").alias("root")))).alias("r"))
+        held = held.join(each, "leaf").withColumn("roots", F.col("r.root")).drop("r")
+    rows = sides.join(held, "leaf").drop("leaf")
+    return stored(rows.groupBy("y_leaf", "task").applyInArrow(_meet(percent), "u bigint, v bigint"))
+
+
+def picked(rows: DataFrame, keys: DataFrame, on: str, how: str) -> DataFrame:
+    """``rows`` joined with ``keys`` (stored, one row a key): broadcast up to BROADCAST_KEYS keys, beyond that by a shuffle."""
+    return rows.join(F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys, on, how)
+
+
+def _candidates(own: DataFrame, rows: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """(token, a): what sets must be compared for.
+
+    Linked sets differ in few shingles, so that of the rarest of each, a few more than these, one is shared; passages that
+    many texts share are not among the rarest.  Rarity is counted within a sample of the shingles, which comes first in the order.
+    """
+    share = share_of(percent)
+    posts = own.select("text").mapInArrow(_postings(shingle, percent, share), "token bigint, a bigint")
+    counts = posts.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = posts.join(counts, "token").groupBy("a", "token").agg(F.first("n").alias("n")).groupBy("a").agg(F.collect_list(F.struct("n", "token")).alias("s"))
+    sets = rows.where("size > 0").groupBy("a").agg(F.max("size").alias("size"), F.min("sampled").alias("sampled"), (F.min("b") != F.max("b")).alias("several"))
+    inside = F.filter("s", lambda x: x["token"] % share == 0)
+    known = shared.join(sets, "a").withColumns({"inside": F.sort_array(inside), "outside": F.filter("s", lambda x: x["token"] % share != 0)})
+    look = F.col("size") - F.floor((F.col("size") * percent + 99) / 100) + 1 - (F.col("sampled") - F.size("inside"))
+    rare = F.when(F.col("several"), F.col("inside")).otherwise(F.slice("inside", 1, F.greatest(F.lit(0), look.cast("int"))))
+    return stored(known.select("a", F.explode(F.concat(rare, "outside")).alias("x")).select("x.token", "a"))
 
 
 @dataclass
 class Groups:
-    """``rows``: id, k1, k2, size and cid (set class) of every row; ``roots``: root of every cid that is linked."""
+    """``rows``: id, mark, size, a, b of every row; ``best``: for every set (a, b) its component's best row (without, id, mark)."""
 
     rows: DataFrame
-    roots: DataFrame
+    best: DataFrame
 
 
 def find_groups(docs: DataFrame, id_col: str, text_col: str, shingle: int, percent: int) -> Groups:
     """Components of the links between all rows of ``docs``; see :func:`jaccard_components`."""
-    own = docs.select(docs[id_col].alias("id"), F.xxhash64(text_of(docs, text_col)).alias("k1"), F.hash(text_of(docs, text_col)).alias("k2"), text_of(docs, text_col).alias("text"))
-    told = f"id {own.schema['id'].dataType.simpleString()}, k1 bigint, k2 int, size int, cid bigint"
-    texts = stored(own.mapInArrow(_describe(shingle), told))
-    sets = texts.where("size > 0").groupBy("cid").agg(F.first("size").alias("size"), F.min(F.struct("k1", "k2")).alias("text"))
-    whole = own.schema["id"].dataType.typeName() in ("byte", "short", "integer", "long")
-    name = F.col("id").cast("bigint") if whole else F.lit(None).cast("bigint")
-    keyed = own.select(name.alias("name"), "text").mapInArrow(_blocks(shingle, percent), "key bigint, u bigint, v bigint")
-    least = F.min(F.when(F.col("v").isNull(), F.col("u"))).over(Window.partitionBy("key"))
-    near = keyed.withColumn("v", F.coalesce("v", least)).where("u <> v").select("u", "v")
-    named = texts.where("size > 0").select("cid", F.coalesce(name, "cid").alias("u"))
-    clusters = components(near).join(named, "u").groupBy("cid").agg(F.min("root").alias("cluster"))
-    step = F.floor(F.log("size") / F.lit(-math.log(percent / 100))).cast("int")
-    member = clusters.join(sets.select("cid", "size", "text"), "cid").withColumn("step", step)
-    room = F.greatest(F.lit(2), F.least(F.lit(LEAF_SETS), (F.lit(LEAF_SHINGLES) / F.max("size")).cast("int")))
-    plan = member.groupBy("cluster", "step").agg(F.ceil(F.count(F.lit(1)) / room).cast("int").alias("leaves"))
-    alone = plan.groupBy("cluster").agg((F.sum("leaves") == 1).alias("alone"))
-    placed = member.join(plan, ["cluster", "step"]).join(alone, "cluster").withColumn("leaf", F.pmod(F.xxhash64("cid"), F.col("leaves")).cast("int"))
-    placed = placed.select("cluster", "step", "leaf", "alone", "cid", F.col("text.k1").alias("k1"), F.col("text.k2").alias("k2"))
-    classes = own.groupBy("k1", "k2").agg(F.first("text").alias("text"))
-    with_text = placed.join(classes, ["k1", "k2"]).drop("k1", "k2")
-    order = ["cluster", "step", "leaf", "cid"]
-    leaves = stored(with_text.repartition("cluster", "step", "leaf").sortWithinPartitions(*order).mapInArrow(_make_leaves(shingle, percent), LEAF))
+    own = marked(docs.select(docs[id_col].alias("id"), text_of(docs, text_col).alias("text")), "id", "text")
+    told = f"id {own.schema['id'].dataType.simpleString()}, mark binary, size int, sampled int, a bigint, b bigint, low bigint"
+    rows = stored(own.mapInArrow(_describe(shingle, share_of(percent)), told))
+    posts = _candidates(own, rows, shingle, percent)
+    met = posts.groupBy("token").agg(F.min("a").alias("lo"), F.max("a").alias("hi")).where("lo < hi").select("token")
+    posts = stored(posts.join(met, "token"))
+    classes = rows.where("size > 0").groupBy("a", "b").agg(F.min(F.struct(F.col("id").isNull().alias("without"), "id", "mark")).alias("best"), F.first("size").alias("size"), F.first("low").alias("low"))
+    both = classes.groupBy("a").agg(F.min("b").alias("lo"), F.max("b").alias("hi")).where("lo < hi").select("a")
+    wanted = posts.select("a").unionByName(both).distinct()
+    chosen = stored(classes.join(wanted, "a").withColumn("sid", F.monotonically_increasing_id()))
+    room = F.greatest(F.lit(1), F.least(F.lit(LEAF_SETS), F.floor(F.lit(LEAF_SHINGLES) / F.max("size"))))
+    leaves_of = chosen.groupBy("low").agg(F.ceil(F.count(F.lit(1)) / room).cast("int").alias("leaves"))
+    placed = chosen.join(leaves_of, "low").withColumn("part", F.pmod(F.xxhash64("sid"), F.col("leaves")).cast("int"))
+    placed = stored(placed.select("sid", "a", "b", "low", "part", F.col("best.mark").alias("mark")))
+    texts = picked(own.select("mark", "text"), placed.select("mark", "sid", "low", "part"), "mark", "inner").groupBy("low", "part", "sid").agg(F.first("text").alias("text"))
+    make = _make_leaves(shingle)
+    leaves = stored(texts.repartition("low", "part").sortWithinPartitions("low", "part", "sid").mapInArrow(lambda x: make(percent, x), LEAF))
     links = leaves.select(F.explode(F.arrays_zip(F.col("us").alias("u"), F.col("vs").alias("v"))).alias("l")).select("l.u", "l.v")
-    large = leaves.where("sets IS NOT NULL").drop("us", "vs")
-    # every leaf with a few sets of the first leaf of its own and the next steps; then what is not connected by that
-    pivot = large.where("leaf = 0").select("cluster", F.explode(F.array(F.col("step") - 1, F.col("step"), F.col("step") + 1)).alias("step"), *_head())
-    keys = large.select("cluster", "step", "leaf")
-    asked = keys.join(pivot, ["cluster", "step"]).withColumn("side", F.lit(1)).unionByName(large.drop("us", "vs").withColumn("side", F.lit(0)))
-    first = stored(asked.groupBy("cluster", "step", "leaf").applyInArrow(_join_leaves(percent), "u bigint, v bigint"))
-    links = links.unionByName(first)
+    # sets whose first 64 bits agree meet too, whatever they share
+    tokens = posts.select("token", "a").unionByName(both.select((-F.col("a").bitwiseAND(F.lit((1 << 62) - 1)) - 1).alias("token"), "a"))
+    where = placed.select("a", "sid", F.struct("low", "part").alias("leaf"))
+    entries = stored(tokens.join(where, "a").select("token", "leaf", "sid"))
+    heads = entries.groupBy("token").agg(F.min("leaf").alias("y_leaf"), F.max("leaf").alias("last")).where("y_leaf < last").select("token", "y_leaf")
+    star = entries.select("token", "leaf").join(heads, "token").where("leaf <> y_leaf").select(F.col("leaf").alias("x_leaf"), "y_leaf").distinct()
+    links = links.unionByName(_linked(leaves, star, None, percent))
     roots = components(links)
-    in_leaf = large.select("cluster", "step", "leaf", F.explode("ids").alias("cid")).join(roots.withColumnRenamed("u", "cid"), "cid", "left")
-    state = in_leaf.groupBy("cluster", "step", "leaf").agg(F.min(F.coalesce("root", "cid")).alias("lo"), F.max(F.coalesce("root", "cid")).alias("hi"))
-    rest = stored(_linked(large, _apart(state), percent))
-    if not rest.isEmpty():
-        roots = components(links.unionByName(rest))
-    return Groups(texts.select("id", "k1", "k2", "size", "cid"), roots.withColumnRenamed("u", "cid"))
+    # tokens that still stand in several components
+    state = entries.join(roots.withColumnRenamed("u", "sid"), "sid", "left").select("token", "leaf", F.coalesce("root", "sid").alias("root"))
+    apart = state.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("token")
+    state = stored(state.join(apart, "token").distinct())
+    x, y = (state.select("token", F.col("leaf").alias(f"{s}_leaf"), F.col("root").alias(f"{s}_root")) for s in "xy")
+    rest = x.join(y, "token").where("x_leaf > y_leaf AND x_root <> y_root").select("x_leaf", "y_leaf").distinct().join(star, ["x_leaf", "y_leaf"], "left_anti")
+    more = _linked(leaves, rest, roots, percent)
+    if not more.isEmpty():
+        roots = components(links.unionByName(more))
+    linked = stored(placed.select("a", "b", "sid").join(roots.withColumnRenamed("u", "sid"), "sid"))
+    joined = classes.select("a", "b", "best").join(linked.select("a", "b", "root"), ["a", "b"])
+    of_root = joined.groupBy("root").agg(F.min("best").alias("first"))
+    best = classes.select("a", "b", "best").join(linked.join(of_root, "root").select("a", "b", "first"), ["a", "b"], "left")
+    return Groups(rows, best.select("a", "b", F.coalesce("first", "best").alias("best")))
+
+
+def marked(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``df`` with ``mark``, 128 bits of hash of id and text."""
+    name = F.coalesce(F.concat(F.lit("i"), F.col(id_col).cast("string")), F.lit("n"))
+    return df.withColumn("mark", F.unhex(F.md5(F.concat(F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit(""))), name))))
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """Component of every row under links ``100 * |A and B| >= percent * |A or B|`` between sets of ``shingle``-word shingles.
 
-    1. Rows with one shingle set are one class.
-    2. The shingles of a set are dealt by hash to more parts than linked sets differ in, so that linked sets have the same content in
-       some part.  Classes that share the content of a part form a cluster; no pair is listed for that.
-    3. A cluster's sets are dealt to leaves of bounded size by steps of set size; each leaf is a signature tree (OR-combined
+    1. Rows with one shingle set (128 bits of hash) are one class.
+    2. Of the rarest shingles of a set, a few more than linked sets differ in, linked sets share one; only classes that share one
+       with another class go on.  Rarity is counted over all rows, within a sample of shingles that comes first in the order.
+    3. Classes are dealt to leaves of bounded size by their least shingle, so that like sets stand together.  Each leaf is a signature tree (OR-combined
        bitmaps, size ranges), joined with itself by dual traversal, which leaves out node pairs whose largest possible overlap
        is too small or whose sets are connected already; what is left is counted exactly.
-    4. Leaves of large clusters are joined with a few sets of the first leaf of their and the next steps, then, in tiles of
-       some leaves, with all others that this has not connected.  No link between components is missed.
+    4. Leaves meet the first leaf of each rare shingle of theirs; then, for shingles that still stand in several components, the leaves of
+       different components meet.  Pairs of leaves are left out by their signatures before sets move.  No link between components is missed.
 
     Cases: a null text or one without words has no set: its component is its own id.  Repeated rows are linked.  A null id is
-    no candidate for ``component_id``, which is null if no row of the component has an id.  An empty table gives an empty result.
+    no candidate for ``component_id``, which is null if no row of the component has an id.  Very long texts have leaves of their own; other
+    columns are not read.  An empty table gives an empty result.
 
-    Returns id, ``n_shingles``, ``component_id``.
+    Returns id, ``n_shingles``, ``component_id``.  Links within a component are not counted: the join stops where sets are connected.
     """
     g = find_groups(docs, id_col, text_col, shingle, percent)
-    rows = g.rows.join(g.roots, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
-    smallest = rows.where("size > 0").groupBy("root").agg(F.min("id").alias("component_id"))
-    out = rows.join(smallest, "root", "left")
-    return out.select(F.col("id").alias(id_col), F.col("size").cast("long").alias("n_shingles"), F.when(F.col("size") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
+    out = g.rows.join(g.best, ["a", "b"], "left")
+    return out.select(F.col("id").alias(id_col), F.col("size").cast("long").alias("n_shingles"), F.when(F.col("size") > 0, F.col("best.id")).otherwise(F.col("id")).alias("component_id"))
 
 
 def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
     """One row of each component, that with the smallest id, with all columns; rows without words all stay.
 
-    Of rows that share both id and text one stays.  Ids that are null count as largest.
+    Of rows that share both id and text one stays.  Ids that are null count as largest.  Rows that go are picked by ``mark``: the rows that stay
+    cross no exchange unless more than BROADCAST_KEYS go.
     """
     flat = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
     i, t = (f"c{docs.columns.index(x)}" for x in (id_col, text_col))
     g = find_groups(flat, i, t, shingle, percent)
-    rows = g.rows.where("size > 0").join(g.roots, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
-    best = rows.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("first_id"), "k1", "k2")).alias("best")).select("best.first_id", "best.k1", "best.k2")
-    text = F.coalesce(F.col(t).cast("string"), F.lit(""))
-    keyed = flat.withColumns({"k1": F.xxhash64(text), "k2": F.hash(text)})
-    kept = keyed.join(best, ["k1", "k2"]).where(F.col(i).eqNullSafe(F.col("first_id"))).dropDuplicates(["k1", "k2"])
-    empty = flat.where(~text.rlike(WORD))
-    out = kept.select(*flat.columns).unionByName(empty)
+    each = g.rows.where("size > 0").groupBy("mark", "a", "b").agg(F.count(F.lit(1)).alias("n")).join(g.best, ["a", "b"])
+    stays = F.col("mark") == F.col("best.mark")
+    fate = stored(each.where(~stays | (F.col("n") > 1)).select("mark", stays.alias("once")).groupBy("mark").agg(F.max("once").alias("once")))
+    met = picked(marked(flat, i, t), fate, "mark", "left")
+    out = met.where("once IS NULL").select(*flat.columns).unionByName(met.where("once").dropDuplicates(["mark"]).select(*flat.columns))
     return out.toDF(*docs.columns)
 
 

@@ -1,8 +1,8 @@
 """Vectorised hashing of text held in one byte buffer.
 
 Every function here works on a bounded chunk of a task's rows: a flat ``uint8`` buffer and the offsets of
-its rows.  ``substring hash = (S[e] - S[s]) * P**-s (mod 2**64)`` over prefix sums ``S`` makes the hash of
-any substring two subtractions, so that all windows of a chunk are hashed without a Python loop.
+its rows.  Windows of any length come from those of half the length, so that all windows of a chunk are hashed in a few passes
+without a Python loop.
 """
 
 from __future__ import annotations
@@ -31,45 +31,48 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-class Powers:
-    """Powers of an odd multiplier and of its inverse, grown on demand."""
+_GOLD, _ODD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
-    def __init__(self, seed: int):
-        rng = np.random.default_rng(seed)
-        self.p = int(rng.integers(1 << 62)) * 8 + 5
-        self.table = rng.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        self.up = self.down = np.ones(1, np.uint64)
 
-    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            n = max(n, 1 << 16)
-            for name, base in (("up", self.p % (1 << 64)), ("down", pow(self.p, -1, 1 << 64))):
-                a = np.full(n, base, np.uint64)
-                a[0] = 1
-                setattr(self, name, np.cumprod(a))
-        return self.up[:n], self.down[:n]
+def combine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hash of ``a`` followed by ``b``; no sum of terms, so that no pattern of differences cancels."""
+    x = a * _GOLD
+    x += b
+    x ^= x >> np.uint64(29)
+    x *= _ODD
+    x ^= x >> np.uint64(32)
+    return x
 
 
-_POWERS: dict[int, Powers] = {}
+_TABLES: dict[int, np.ndarray] = {}
 
 
-def powers(seed: int) -> Powers:
-    return _POWERS.setdefault(seed, Powers(seed))
+def table(seed: int) -> np.ndarray:
+    """A random number for each byte."""
+    if seed not in _TABLES:
+        _TABLES[seed] = np.random.default_rng(seed).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    return _TABLES[seed]
 
 
-def prefix(values: np.ndarray, seed: int) -> np.ndarray:
-    """Prefix sums for :func:`window`; bytes go through a random table first."""
-    pw = powers(seed)
-    up, _ = pw.upto(len(values) + 1)
-    out = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum((pw.table[values] if values.dtype == np.uint8 else values) * up[: len(values)], out=out[1:])
-    return out
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int) -> np.ndarray:
+    """A hash of each word: the sum, over its bytes, of random numbers that hang on byte and place in the word."""
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    place = np.arange(len(data), dtype=np.int64)
+    place -= np.repeat(np.concatenate([[0], starts]), np.diff(np.concatenate([[0], starts, [len(data)]])))
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(mix(table(seed)[data] + place.view(np.uint64) * _GOLD), out=total[1:])
+    return mix(total[ends] - total[starts] + (ends - starts).view(np.uint64) * _ODD)
 
 
-def window(sums: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int) -> np.ndarray:
-    """Hashes of the substrings ``start`` to ``end``."""
-    _, down = powers(seed).upto(len(sums))
-    return mix((sums[end] - sums[start]) * down[start])
+def windows(h: np.ndarray, length: int) -> np.ndarray:
+    """Hashes of every ``length`` neighbours, by doubling: halves (the last two may overlap) are combined."""
+    width = 1
+    while width < length:
+        step = min(width, length - width)
+        h = combine(h[: max(0, len(h) - step)], h[step:])
+        width += step
+    return h
 
 
 def chunks(batch: pa.RecordBatch, column: str, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:

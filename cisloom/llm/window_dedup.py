@@ -26,14 +26,18 @@ def levels(window: int) -> tuple[int, int, int]:
 
 
 class _Words:
-    """Words of a chunk of a batch and prefix sums of their hashes."""
+    """Words of a chunk of a batch and their hashes."""
 
     def __init__(self, data: np.ndarray, at: np.ndarray):
-        starts, ends, self.before = R.words(data, at)
-        self.hashes = R.window(R.prefix(data, 1), starts, ends, 1)
-        self.sums = R.prefix(self.hashes, 2)
+        self.data = data
+        self.at, self.ends, self.before = R.words(data, at)
+        self.hashes = R.word_hashes(data, self.at, self.ends, 1)
         self.row = np.repeat(np.arange(len(at) - 1), np.diff(self.before))
 
+    def second(self) -> np.ndarray:
+        """Hashes that share nothing with the first ones."""
+        return R.word_hashes(self.data, self.at, self.ends, 2)
+
     def starts(self, length: int) -> np.ndarray:
         """Words at which a whole window of a row begins."""
         i = np.arange(max(0, len(self.row) - length + 1))
@@ -49,7 +53,7 @@ def _first_level(short: int, window: int):
             for lo, _, data, at in R.chunks(batch, "text"):
                 w = _Words(data, at)
                 i = w.starts(short)
-                h = R.window(w.sums, i, i + short, 2)
+                h = R.windows(w.hashes, short)[i]
                 m = R.minimisers(h, w.row[i], window - short + 1)
                 p = i[m]
                 yield candidates(batch, lo + w.row[p], p - w.before[w.row[p]], h[m])
@@ -66,7 +70,7 @@ def _second_level(short: int, middle: int):
                 p = w.before[row] + place
                 both, rows = np.concatenate([p, p + short - middle]), np.concatenate([row, row])
                 s = np.unique(both[w.within(both, rows, middle)])
-                yield candidates(batch, lo + w.row[s], s - w.before[w.row[s]], R.window(w.sums, s, s + middle, 2))
+                yield candidates(batch, lo + w.row[s], s - w.before[w.row[s]], R.windows(w.hashes, middle)[s])
 
     return run
 
@@ -80,12 +84,11 @@ def _last_level(short: int, middle: int, window: int):
                 alive = np.zeros(len(w.row) + window, bool)
                 alive[w.before[row] + place] = True
                 i = w.starts(short)
-                start, chosen = R.window_minimisers(R.window(w.sums, i, i + short, 2), w.row[i], window - short + 1)
+                start, chosen = R.window_minimisers(R.windows(w.hashes, short)[i], w.row[i], window - short + 1)
                 s, p = i[start], i[chosen]
                 # both windows of the second level that hold the chosen place and lie in this one must have survived
                 s = s[(alive[p] | (p + middle > s + window)) & (alive[p + short - middle] | (p + short - middle < s))]
-                second = R.prefix(w.hashes, 3)
-                yield candidates(batch, lo + w.row[s], s - w.before[w.row[s]], R.window(w.sums, s, s + window, 2), R.window(second, s, s + window, 3))
+                yield candidates(batch, lo + w.row[s], s - w.before[w.row[s]], R.windows(w.hashes, window)[s], R.windows(w.second(), window)[s])
 
     return run
 

@@ -313,3 +313,39 @@ def test_license_frequencies_over_all_rows(spark):
     assert alone["score"] < among["score"] <= 1 and among["labels"] == "mit-text"
     n, df = license_scan.document_frequencies(spark.createDataFrame([half, *plain, ("e", ""), ("p", "permissions, re-GRANTED softwar\u00e9")], "doc_id string, text string"))
     assert (n, df["software"], df["documentation"], df["granted"], df["permission"]) == (53, 51, 51, 2, 1)
+
+
+def test_words_that_simple_hashes_confuse(spark):
+    """A Thue-Morse word and its complement have one polynomial hash modulo any power of two."""
+    w = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    other = w.translate(str.maketrans("ab", "ba"))
+    tail = " ".join(f"t{i}" for i in range(34))
+    rows = [(1, f"{w} {tail}"), (2, f"{other} {tail}"), (3, w), (4, other)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    same(window_dedup.substring_dedup(df, with_text=False).collect(), brute.substring_dedup(rows))
+    for k, percent in ((3, 90), (5, 80), (3, 99)):
+        same(jaccard_join.jaccard_components(df, shingle=k, percent=percent).collect(), brute.components(rows, k, percent))
+    raw = [(i, f"{x}{y}{x}") for i, (x, y) in enumerate(((w, other), (other, w)))]
+    got = byte_dedup.suffix_dedup(spark.createDataFrame(raw, "doc_id bigint, text string"), with_bytes=False).collect()
+    same(got, [(d, *brute.suffix_dedup(raw)[d, t.encode()]) for d, t in raw])
+
+
+def test_jaccard_join_of_large_groups(spark, monkeypatch):
+    """Near copies in many small leaves, sets at the threshold, and sets that share passages only."""
+    monkeypatch.setattr(jaccard_join, "LEAF_SETS", 4)
+    monkeypatch.setattr(jaccard_join, "MEET", 2)
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(6))
+    base, passage = [word() for _ in range(80)], [word() for _ in range(60)]
+    rows = []
+    for i in range(60):
+        w = list(base)
+        for _ in range(rng.randint(0, 5)):
+            w[rng.randrange(80)] = word()
+        rows.append((i, " ".join(w)))
+    rows += [(100 + i, " ".join([word() for _ in range(rng.randint(2, 120))] + passage)) for i in range(40)]
+    rows += [(200 + i, " ".join(base[: 80 - i])) for i in range(0, 30, 3)]
+    rows += [(300 + i, " ".join(base[i : i + n])) for n in (1, 2, 3, 4, 6, 9) for i in range(0, 12, 2)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(7)
+    for k, percent in ((3, 90), (5, 80), (2, 60)):
+        same(jaccard_join.jaccard_components(df, shingle=k, percent=percent).collect(), brute.components(rows, k, percent))
