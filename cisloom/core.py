@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,3 +58,36 @@ def length() -> Column:
 def region_text() -> Column:
     """``seq:start..end (strand)``."""
     return F.format_string("%s:%d..%d (%s)", "seq", "r_start", "r_end", F.when(F.col("strand"), "+").otherwise("-"))
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the session's ``spark.checkpoint.dir``.
+
+    Where none is set, a local session (one JVM) makes its own, and any other stops here.
+    """
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not re.match(r"local($|\[)", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
+    return sc.getCheckpointDir()
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder once, for results that several steps read."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def in_order(df: DataFrame, *order: Column | str) -> DataFrame:
+    """``df`` sorted by ranges and written once, with ``_part`` (ascending along the order) and ``_row`` (ascending within a part).
+
+    Ranges are cut by the whole order, so that ties of its first columns are split like other rows.
+    """
+    return kept(df.orderBy(*order).withColumns({"_part": F.spark_partition_id(), "_row": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))}))

@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from itertools import product
 
-from pyspark.sql import Column
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+#: Nucleotides that one step of an Arrow function works on.
+CHUNK = 1 << 20
 
 # Order of nucleotides and the IUPAC codes.
 NUCLEOTIDES = "ATGC"
@@ -44,3 +51,39 @@ def from_text(text: Column) -> Column:
     letters = "abcdefghijklmnopqrstuvwxyz"
     to = "".join(NUCLEOTIDES[i % 4] for i in range(26))
     return F.regexp_replace(F.translate(text, letters + letters.upper(), to * 2), "[^ATGC]", "N")
+
+
+_CODE = np.full(256, 4, np.uint8)
+for _i, _c in enumerate(NUCLEOTIDES):
+    _CODE[ord(_c)] = _i
+
+
+def coded(batch: pa.RecordBatch, column: str = "dna") -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, row after the last, codes, offsets) of bounded parts of a batch: 0 to 3 in the order of NUCLEOTIDES, 4 for anything else."""
+    col = batch.column(column).cast(pa.large_string()).fill_null("")
+    at = np.frombuffer(col.buffers()[1], np.int64)[col.offset : col.offset + len(col) + 1]
+    data = np.frombuffer(col.buffers()[2], np.uint8) if col.buffers()[2] is not None else np.zeros(0, np.uint8)
+    lo = 0
+    while lo < len(col):
+        hi = max(lo + 1, int(np.searchsorted(at, at[lo] + CHUNK, "right")) - 1)
+        yield lo, hi, _CODE[data[at[lo] : at[hi]]], at[lo : hi + 1] - at[lo]
+        lo = hi
+
+
+def row_vectors(seqs: DataFrame, vectors: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
+    """``seqs`` with ``features`` in place of ``dna``: ``vectors`` maps codes and offsets of some rows to a matrix of their features.
+
+    Row-local: all other columns are carried, nothing is joined or shuffled.
+    """
+    kept = [c for c in seqs.columns if c not in ("dna", "features")]
+    schema = T.StructType([seqs.schema[c] for c in kept] + [T.StructField("features", T.ArrayType(T.DoubleType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, codes, at in coded(batch):
+                m = vectors(codes, at)
+                part = batch.slice(lo, hi - lo)
+                values = pa.ListArray.from_arrays(pa.array(np.arange(len(m) + 1, dtype=np.int32) * m.shape[1]), pa.array(m.ravel()))
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in kept], values], names=[*kept, "features"])
+
+    return seqs.select(*kept, "dna").mapInArrow(run, schema)

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..core import as_regions
-from .regions import flatten
+from .regions import flatten, islands
 
 
 def fixed_regions(curve: DataFrame, threshold: float, compat: bool = False) -> DataFrame:
@@ -19,13 +19,13 @@ def fixed_regions(curve: DataFrame, threshold: float, compat: bool = False) -> D
     return _stretches(hits, F.max("value"), 0 if compat else 1)
 
 
-def _stretches(hits: DataFrame, score, gap: int) -> DataFrame:
+#: Positions of a stretch: rows of a sequence meet within stretches only.
+STRETCH = 1 << 20
+
+
+def _stretches(hits: DataFrame, score: Column, gap: int) -> DataFrame:
     """Rows that overlap (or, with a gap of 1, adjoin) as one region with an aggregate of their values."""
-    order = Window.partitionBy("seq").orderBy("r_start")
-    before = F.max("r_end").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    new = hits.withColumn("new", F.when(before + gap >= F.col("r_start"), 0).otherwise(1))
-    island = new.withColumn("island", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return as_regions(island.groupBy("seq", "island").agg(F.min("r_start").alias("r_start"), F.max("r_end").alias("r_end"), score.alias("score")), False)
+    return as_regions(islands(hits.select("seq", "r_start", "r_end", "value"), ["seq"], STRETCH, gap, score), False)
 
 
 def variable_regions(curve: DataFrame, threshold: float) -> DataFrame:
@@ -34,9 +34,16 @@ def variable_regions(curve: DataFrame, threshold: float) -> DataFrame:
 
 
 def fill_gaps(curve: DataFrame) -> DataFrame:
-    """Each span reaches to the next start; the last of a sequence is 0."""
-    order = Window.partitionBy("seq").orderBy("start", "value")
-    return curve.withColumn("span", F.coalesce(F.lead("start").over(order) - F.col("start"), F.lit(0)))
+    """Each span reaches to the next start; the last of a sequence is 0.
+
+    Starts follow each other within stretches; the last one of a stretch ends at the first of the next that has any.
+    """
+    rows = curve.withColumn("_s", F.floor(F.col("start") / STRETCH))
+    first = rows.groupBy("seq", "_s").agg(F.min("start").alias("_first"))
+    after = first.withColumn("_after", F.lead("_first").over(Window.partitionBy("seq").orderBy("_s"))).drop("_first")
+    order = Window.partitionBy("seq", "_s").orderBy("start", "value")
+    next_ = F.coalesce(F.lead("start").over(order), F.col("_after"))
+    return rows.join(after, ["seq", "_s"]).withColumn("span", F.coalesce(next_ - F.col("start"), F.lit(0))).select(*curve.columns)
 
 
 def rasterise(curve: DataFrame, start: int, end: int, bins: int = 2048) -> DataFrame:

@@ -1,7 +1,7 @@
 """ROC, PRC, areas, confusion and threshold search over (score, positive, id) rows.
 
-Curves need a running count over the sorted scores.  ``_running`` sorts by ranges of the score: each range is sorted and counted on its own and
-the ranges' totals (one small row each) are added, so that no task holds all scores.
+Curves need a running count over the sorted scores.  ``_running`` sorts by ranges: each range is counted on its own and the ranges' totals
+(one small row each) are added, so that no task holds all scores, however many of them are tied.
 """
 
 from __future__ import annotations
@@ -9,21 +9,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-RANGES = 64
+from ..core import in_order, kept
+
+
+def _once(scored: DataFrame) -> DataFrame:
+    """Scores are read several times and may be dear to compute: they are written once."""
+    return kept(scored.select("id", "score", "positive"))
 
 
 def _running(scored: DataFrame, descending: bool) -> DataFrame:
     """``scored`` with ``rn``, ``tp`` and ``fp``: rows, positives and negatives up to and including each row; positives come first on ties."""
-    sign = -1.0 if descending else 1.0
-    df = scored.withColumn("k", F.col("score") * sign).where("score IS NOT NULL")
-    cuts = df.agg(F.percentile_approx("k", [i / RANGES for i in range(1, RANGES)], 1000).alias("cuts"))
-    df = df.crossJoin(F.broadcast(cuts)).withColumn("part", F.coalesce(F.size(F.filter("cuts", lambda c: c < F.col("k"))), F.lit(0))).drop("cuts")
+    way = F.col("score").desc() if descending else F.col("score").asc()
+    df = in_order(scored.where("score IS NOT NULL"), way, F.col("positive").desc(), "id")
     p, n = F.col("positive").cast("bigint"), (~F.col("positive")).cast("bigint")
-    totals = df.groupBy("part").agg(F.sum(p).alias("p"), F.sum(n).alias("n"))
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    base = totals.select("part", F.coalesce(F.sum("p").over(before), F.lit(0)).alias("p0"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n0"))
-    order = Window.partitionBy("part").orderBy("k", F.col("positive").desc(), "id").rowsBetween(Window.unboundedPreceding, 0)
-    out = df.join(F.broadcast(base), "part").withColumns({"tp": F.col("p0") + F.sum(p).over(order), "fp": F.col("n0") + F.sum(n).over(order)})
+    totals = df.groupBy("_part").agg(F.sum(p).alias("p"), F.sum(n).alias("n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    base = totals.select("_part", F.coalesce(F.sum("p").over(before), F.lit(0)).alias("p0"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n0"))
+    order = Window.partitionBy("_part").orderBy("_row").rowsBetween(Window.unboundedPreceding, 0)
+    out = df.join(F.broadcast(base), "_part").withColumns({"tp": F.col("p0") + F.sum(p).over(order), "fp": F.col("n0") + F.sum(n).over(order)})
     return out.withColumn("rn", F.col("tp") + F.col("fp")).select("id", "score", "positive", "rn", "tp", "fp")
 
 
@@ -33,6 +36,7 @@ def _totals(scored: DataFrame) -> DataFrame:
 
 def roc(scored: DataFrame) -> DataFrame:
     """Points (rank, x false positive rate, y true positive rate): one a sample, between (0, 0) and (1, 1); the diagonal if a class is empty."""
+    scored = _once(scored)
     t = _totals(scored)
     points = _running(scored, True).crossJoin(F.broadcast(t)).where("np > 0 AND nn > 0")
     points = points.select(F.col("rn").alias("rank"), (F.col("fp") / F.col("nn")).alias("x"), (F.col("tp") / F.col("np")).alias("y"))
@@ -42,6 +46,7 @@ def roc(scored: DataFrame) -> DataFrame:
 
 def prc(scored: DataFrame, steps: int = 4) -> DataFrame:
     """Points (rank, x recall, y precision): each sample in ``steps`` equal parts, between (0, 0) and (1, P / (P + N))."""
+    scored = _once(scored)
     t = _totals(scored)
     r = _running(scored, True).crossJoin(F.broadcast(t)).where("np > 0 AND nn > 0").withColumn("j", F.explode(F.sequence(F.lit(1), F.lit(steps))))
     pos = F.col("positive").cast("bigint")
@@ -84,6 +89,7 @@ def confusion_statistics(matrix: DataFrame) -> DataFrame:
 
 def accuracy_threshold(scored: DataFrame) -> DataFrame:
     """The highest score whose use as a threshold (above it is positive) gives the best accuracy; -infinity if nothing beats "all positive"."""
+    scored = _once(scored)
     t = _totals(scored)
     r = _running(scored, False).crossJoin(F.broadcast(t))
     right = r.select("score", "rn", (F.col("fp") + F.col("np") - F.col("tp")).alias("right"))
@@ -93,6 +99,7 @@ def accuracy_threshold(scored: DataFrame) -> DataFrame:
 
 def precision_threshold(scored: DataFrame, wanted: float) -> DataFrame:
     """The lowest score from which precision reaches ``wanted``, interpolated with the one before it; the highest score if it never does."""
+    scored = _once(scored)
     t = _totals(scored)
     r = _running(scored, False).crossJoin(F.broadcast(t))
     tp, fp = F.col("np") - F.col("tp") + F.col("positive").cast("bigint"), F.col("nn") - F.col("fp") + (~F.col("positive")).cast("bigint")

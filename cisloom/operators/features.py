@@ -2,40 +2,107 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.dna import NUCLEOTIDES, kmers, reverse_complement, reverse_complement_column
-from .motifs import IUPACMotif, count, occurrences
+from ..functions.dna import IUPAC, NUCLEOTIDES, kmers, reverse_complement, reverse_complement_column, row_vectors
+from .motifs import IUPACMotif, count
+
+
+def frequencies(dna: Column, motifs: tuple[IUPACMotif, ...], per: float = 1000.0) -> list[Column]:
+    """Occurrences of each motif per ``per`` nucleotides; 0 for an empty sequence."""
+    n = F.length(dna)
+    return [F.when(n > 0, count(dna, m) * F.lit(per) / n).otherwise(0.0) for m in motifs]
 
 
 def occurrence_frequencies(seqs: DataFrame, motifs: tuple[IUPACMotif, ...], per: float = 1000.0) -> DataFrame:
     """Occurrences of each motif per ``per`` nucleotides, one column a motif."""
-    n = F.length("dna")
-    return seqs.select("sid", *[F.when(n > 0, count(F.col("dna"), m) * F.lit(per) / n).otherwise(0.0).alias(m.name) for m in motifs])
+    return seqs.select("sid", *[f.alias(m.name) for f, m in zip(frequencies(F.col("dna"), motifs, per), motifs, strict=True)])
+
+
+def _starts(codes: np.ndarray, row: np.ndarray, motif: IUPACMotif) -> np.ndarray:
+    """Places of the hits of ``motif`` on both strands, ascending; a place that hits on both stands twice."""
+    k, out = len(motif.pattern), []
+    allowed = np.array([[c in IUPAC[x] for c in NUCLEOTIDES] + [False] for x in motif.pattern])
+    for table in (allowed, allowed[::-1][:, [1, 0, 3, 2, 4]]):
+        i = np.flatnonzero(row[: max(0, len(row) - k + 1)] == row[k - 1 :])
+        if motif.mismatches:
+            wrong = np.zeros(len(i), np.uint8)
+            for j in range(k):
+                c = codes[i + j]
+                wrong += np.where(c == 4, np.uint8(2), (~table[j][c]).astype(np.uint8))
+                i, wrong = i[wrong < 2], wrong[wrong < 2]
+        else:
+            for j in range(k):
+                i = i[table[j][codes[i + j]]]
+        out.append(i)
+    return np.sort(np.concatenate(out))
+
+
+def pair_vectors(seqs: DataFrame, motifs: tuple[IUPACMotif, ...], distance: int = 219, per: float = 1000.0) -> DataFrame:
+    """``seqs`` with ``features``, in place of ``dna``: of each pair of motifs (a motif with itself and those after it) the hits not further
+    apart than ``distance``, per ``per`` nucleotides.
+
+    The hits of a row are found and counted against each other by binary search among sorted places; nothing is joined.
+    """
+    span = distance + max(len(m.pattern) for m in motifs) + 1
 
+    def vectors(codes: np.ndarray, at: np.ndarray) -> np.ndarray:
+        n = np.diff(at)
+        row = np.repeat(np.arange(len(n)), n)
+        hits = [_starts(codes, row, m) for m in motifs]
+        spread = [h + row[h] * span for h in hits]  # rows lie too far apart to meet
+        out = []
+        for i, a in enumerate(motifs):
+            for j, b in enumerate(motifs[i:], i):
+                x, y = spread[i], spread[j]
+                count = lambda lo, hi: np.searchsorted(y, x + hi, "right") - np.searchsorted(y, x + lo, "left")  # noqa: B023, E731
+                found = count(-distance - len(b.pattern), -len(b.pattern))
+                if i != j:
+                    found += count(len(a.pattern), len(a.pattern) + distance)
+                out.append(np.bincount(row[hits[i]], found, minlength=len(n)))
+        return np.stack(out, 1) * per / np.maximum(n, 1)[:, None]
 
-def pair_frequencies(seqs: DataFrame, motifs: tuple[IUPACMotif, ...], distance: int = 219, per: float = 1000.0) -> DataFrame:
-    """Hits of each pair of motifs not further apart than ``distance``, per ``per`` nucleotides (sid, motif_a, motif_b, value).
+    return row_vectors(seqs, vectors)
 
-    A band join within a sequence: hits are dealt to bins of ``distance`` and meet those of the same and the next bins, not all others.
-    """
-    longest = max(len(m.pattern) for m in motifs)
-    width = distance + longest
-    hits = occurrences(seqs, motifs).select("sid", "motif", "o_start", "o_end", "strand")
-    order = F.create_map(*[F.lit(x) for i, m in enumerate(motifs) for x in (m.name, i)])
-    bin_ = F.floor(F.col("o_start") / width)
-    a = hits.select("sid", *[F.col(c).alias(f"a_{c}") for c in ("motif", "o_start", "o_end", "strand")], bin_.alias("bin"))
-    b = hits.select("sid", *[F.col(c).alias(f"b_{c}") for c in ("motif", "o_start", "o_end", "strand")], F.explode(F.array(bin_ - 1, bin_, bin_ + 1)).alias("bin"))
-    gap = F.greatest(F.col("b_o_start") - F.col("a_o_end"), F.col("a_o_start") - F.col("b_o_end"))
-    same = F.col("a_motif") == F.col("b_motif")
-    near = a.join(b, ["sid", "bin"]).where((gap >= 0) & (gap <= distance) & ((same & (F.col("b_o_start") < F.col("a_o_start"))) | (order[F.col("a_motif")] < order[F.col("b_motif")])))
-    found = near.groupBy("sid", F.col("a_motif").alias("motif_a"), F.col("b_motif").alias("motif_b")).agg(F.count(F.lit(1)).alias("hits"))
-    names = [m.name for m in motifs]
-    pairs = F.array(*[F.struct(F.lit(x).alias("motif_a"), F.lit(y).alias("motif_b")) for i, x in enumerate(names) for y in names[i:]])
-    every = seqs.select("sid", F.length("dna").alias("n"), F.explode(pairs).alias("p")).select("sid", "n", "p.*")
-    value = F.when(F.col("n") > 0, F.coalesce("hits", F.lit(0)) * F.lit(per) / F.col("n")).otherwise(0.0)
-    return every.join(found, ["sid", "motif_a", "motif_b"], "left").select("sid", "motif_a", "motif_b", value.alias("value"))
+
+def pair_names(motifs: tuple[IUPACMotif, ...]) -> list[tuple[str, str]]:
+    n = [m.name for m in motifs]
+    return [(x, y) for i, x in enumerate(n) for y in n[i:]]
+
+
+def pair_frequencies(seqs: DataFrame, motifs: tuple[IUPACMotif, ...], distance: int = 219, per: float = 1000.0) -> DataFrame:
+    """Hits of each pair of motifs not further apart than ``distance``, per ``per`` nucleotides (sid, motif_a, motif_b, value)."""
+    pairs = F.array(*[F.struct(F.lit(x).alias("motif_a"), F.lit(y).alias("motif_b")) for x, y in pair_names(motifs)])
+    v = pair_vectors(seqs.select("sid", "dna"), motifs, distance, per)
+    return v.select("sid", F.explode(F.arrays_zip(pairs.alias("p"), F.col("features").alias("v"))).alias("x")).select("sid", "x.p.*", F.col("x.v").alias("value"))
+
+
+def kmer_vectors(seqs: DataFrame, k: int, mismatch: bool = False, double_own: bool = False, per: float = 1000.0) -> DataFrame:
+    """``seqs`` with ``features``, in place of ``dna``: the k-mer spectrum of each row as a dense vector in the order of ``kmers(k)``; see
+    :func:`kmer_spectrum` and :func:`kmer_spectrum_mismatch` for the long forms."""
+    size = 4**k
+    reverse = np.zeros(size, np.int64)
+    for j in range(k):  # complements are neighbours in the order A, T, G, C
+        reverse += ((np.arange(size) // 4**j % 4) ^ 1) * 4 ** (k - 1 - j)
+
+    def vectors(codes: np.ndarray, at: np.ndarray) -> np.ndarray:
+        n = np.diff(at)
+        row = np.repeat(np.arange(len(n)), n)
+        i = np.flatnonzero(row[: max(0, len(row) - k + 1)] == row[k - 1 :])
+        index = np.zeros(len(i), np.int64)
+        for j in range(k):
+            index = np.where((codes[i + j] == 4) | (index < 0), -1, index * 4 + codes[i + j])
+        own = np.bincount((row[i] * size + index)[index >= 0], minlength=len(n) * size).reshape(len(n), size).astype(float)
+        own += own[:, reverse]
+        if mismatch:
+            cube = own.reshape(len(n), *[4] * k)
+            near = sum(np.broadcast_to(cube.sum(axis, keepdims=True), cube.shape) for axis in range(1, k + 1)).reshape(len(n), size)
+            own = near if double_own else near - (k - 1) * own
+        return own * per / np.maximum(n, 1)[:, None]
+
+    return row_vectors(seqs, vectors)
 
 
 def _kmers(seqs: DataFrame, k: int) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.dna import NUCLEOTIDES, kmers, reverse_complement_column
+from ..sources.sequences import write_fasta
 
 
 def iid_model(seqs: DataFrame, pseudo: int = 1, complements: bool = True) -> DataFrame:
@@ -35,7 +36,7 @@ def markov_model(seqs: DataFrame, degree: int = 4, pseudo: int = 1, complements:
 def generate(spark: SparkSession, model: DataFrame, n: int, length: int, seed: int = 0, partitions: int | None = None) -> DataFrame:
     """(sid, name, dna): ``n`` sequences from an IID or Markov model (4 ** (degree + 1) rows, collected).
 
-    Each sequence has its own generator, seeded by (seed, sid), so that results do not depend on partitions.
+    The nucleotides of many sequences are drawn together, one place after the other.  Each sequence has its own generator, seeded by (seed, sid), so that results do not depend on partitions.
     """
     rows = model.collect()
     contexts = sorted({r["context"] for r in rows}) if "context" in model.columns else [""]
@@ -48,18 +49,25 @@ def generate(spark: SparkSession, model: DataFrame, n: int, length: int, seed: i
     start = np.cumsum(weight.sum(1) / weight.sum())
     after = np.array([[where[(c + x)[1:]] if degree else 0 for x in NUCLEOTIDES] for c in contexts])
 
+    letters = np.frombuffer(NUCLEOTIDES.encode(), np.uint8)
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            out = []
-            for sid in frame["id"]:
-                rng = np.random.default_rng([seed, sid])
-                state = min(int(np.searchsorted(start, rng.random())), len(contexts) - 1)
-                text = [contexts[state]]
-                for u in rng.random(max(0, length - degree)):
-                    x = min(int(np.searchsorted(upto[state], u)), 3)
-                    text.append(NUCLEOTIDES[x])
+            for ids in np.array_split(frame["id"].to_numpy(), max(1, len(frame) * length >> 22)):
+                u = np.stack([np.random.default_rng([seed, sid]).random(1 + max(0, length - degree)) for sid in ids]) if len(ids) else np.zeros((0, 1))
+                state = np.minimum(np.searchsorted(start, u[:, 0]), len(contexts) - 1)
+                text = np.empty((len(ids), degree + u.shape[1] - 1), np.uint8)
+                if degree:
+                    text[:, :degree] = np.frombuffer("".join(contexts).encode(), np.uint8).reshape(-1, degree)[state]
+                for j in range(1, u.shape[1]):
+                    x = np.minimum((upto[state] < u[:, j, None]).sum(1), 3)
+                    text[:, degree + j - 1] = letters[x]
                     state = after[state, x]
-                out.append((sid, f"generated_{seed}_{sid}", "".join(text)[:length]))
-            yield pd.DataFrame(out, columns=["sid", "name", "dna"])
+                yield pd.DataFrame({"sid": ids, "name": [f"generated_{seed}_{i}" for i in ids], "dna": [t.tobytes().decode()[:length] for t in text]})
 
     return spark.range(0, n, 1, partitions or max(1, min(n, spark.sparkContext.defaultParallelism))).mapInPandas(run, "sid bigint, name string, dna string")
+
+
+def write_generated(spark: SparkSession, path: str, model: DataFrame, n: int, length: int, seed: int = 0) -> None:
+    """``n`` generated sequences as FASTA files."""
+    write_fasta(generate(spark, model, n, length, seed), path)

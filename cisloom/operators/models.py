@@ -4,16 +4,20 @@ from __future__ import annotations
 
 from abc import ABC, abstractmethod
 from collections.abc import Callable
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.ml.classification import LinearSVC, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import LinearRegression
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..core import kept
 from . import evaluation
 from .curves import _stretches
+from .generators import generate, iid_model, markov_model
+from .sequences import ranked
 
 
 class BaseModel(ABC):
@@ -77,10 +81,11 @@ class SVM(BaseModel):
         return df.withColumn("_x", array_to_vector(x))
 
     def fit(self, vectors: DataFrame) -> SVM:
-        first = vectors.select(F.size("features").alias("n")).first()
-        gamma = 1.0 / max(1, first["n"] if first else 1)
+        """The penalty is spread over the rows, so that ``c`` weighs the sum of all losses against it."""
+        rows = vectors.agg(F.count(F.lit(1)).alias("rows"), F.max(F.size("features")).alias("n")).first()
+        gamma = 1.0 / max(1, rows["n"] or 1)
         df = self._vectors(vectors, gamma).withColumn("_y", (F.col("label") > 0).cast("double"))
-        model = LinearSVC(featuresCol="_x", labelCol="_y", maxIter=self.rounds, regParam=1.0 / self.c / 100, standardization=False).fit(df)
+        model = LinearSVC(featuresCol="_x", labelCol="_y", maxIter=self.rounds, regParam=1.0 / (self.c * max(1, rows["rows"])), standardization=False).fit(df)
         return SVM(self.degree, self.c, self.rounds, model, gamma)
 
     def score(self, vectors: DataFrame) -> DataFrame:
@@ -138,6 +143,23 @@ def calibrate(model_scores: Callable[[DataFrame], DataFrame], positives: DataFra
     return evaluation.precision_threshold(both.withColumn("id", F.col("sid")), precision)
 
 
+def calibrate_genomewide(
+    model_scores: Callable[[DataFrame], DataFrame], positives: DataFrame, genome: DataFrame, factor: float = 1.0, precision: float = 0.8, degree: int = 4, seed: int = 0,
+) -> DataFrame:
+    """Threshold at which ``positives`` reach ``precision`` among as much background as a genome holds, times ``factor``.
+
+    The background is generated: ``int(factor * genome length / mean length of the positives)`` sequences of that mean length, by a Markov model of ``genome``
+    (name, dna), of independent nucleotides if ``degree`` is 0.
+    """
+    size = genome.agg(F.sum(F.length("dna")).alias("n")).first()["n"] or 0
+    mean = int(positives.agg(F.avg(F.length("dna")).alias("n")).first()["n"] or 0)
+    if not mean:
+        raise ValueError("there are no positives to calibrate with")
+    model = markov_model(genome, degree) if degree else iid_model(genome)
+    background = generate(positives.sparkSession, model, int(factor * size / mean), mean, seed)
+    return calibrate(model_scores, positives.select("sid", "dna"), background.select("sid", "dna"), precision)
+
+
 def cv_split(seqs: DataFrame, label: Column, key: str = "sid", repeats: int = 20, ratio: float = 0.8, ratio_neg_pos: float | None = None, seed: int = 0) -> DataFrame:
     """``seqs`` by repeat with ``part`` train or validate.
 
@@ -145,13 +167,11 @@ def cv_split(seqs: DataFrame, label: Column, key: str = "sid", repeats: int = 20
     not in training, positives and negatives in the wanted ratio.
     """
     df = seqs.withColumn("label", label).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
-    order = F.md5(F.concat_ws(":", F.lit(seed), "rep", F.col(key).cast("string")))
-    place = F.row_number().over(Window.partitionBy("rep", "label").orderBy(order, key))
     sizes = seqs.withColumn("label", label).agg(F.count_if(F.col("label") > 0).alias("p"), F.count_if(F.col("label") <= 0).alias("n"))
-    df = df.withColumn("place", place).crossJoin(F.broadcast(sizes))
+    df = ranked(df, seed, key, ("rep", "label"), ("rep",)).crossJoin(F.broadcast(sizes))
     train = df.where(F.col("place") <= F.floor(F.least("p", "n") * F.lit(ratio)))
-    rest = df.join(train.select("rep", "dna").distinct(), ["rep", "dna"], "left_anti")
-    again = rest.withColumn("place", F.row_number().over(Window.partitionBy("rep", "label").orderBy(order, key)))
+    rest = df.drop("place").join(train.select("rep", "dna").distinct(), ["rep", "dna"], "left_anti")
+    again = ranked(rest, seed, key, ("rep", "label"), ("rep",))
     have = rest.groupBy("rep").agg(F.count_if(F.col("label") > 0).alias("vp"), F.count_if(F.col("label") <= 0).alias("vn"))
     want = F.lit(ratio_neg_pos) if ratio_neg_pos else F.col("n") / F.col("p")
     pos = F.floor(F.least(F.col("vp").cast("double"), F.col("vn") / want))
@@ -160,17 +180,64 @@ def cv_split(seqs: DataFrame, label: Column, key: str = "sid", repeats: int = 20
     return train.select(*cols, F.lit("train").alias("part")).unionByName(valid.select(*cols, F.lit("validate").alias("part")))
 
 
-def cross_validate(split: DataFrame, models: dict[str, BaseModel], repeats: int) -> DataFrame:
-    """(model, rep, roc_auc, prc_auc) of each model trained and scored on each repeat of ``split`` (features, label, part).  A loop over repeats plans them; Spark runs them."""
+@dataclass(frozen=True)
+class CrossValidation:
+    """Models trained on the repeats of a split: ``trained[name][rep]``, and what they score on the repeats' validation rows.
+
+    ``scored`` has (model, rep, sid, label, score); it is written once and all tables come from it.
+    """
+
+    trained: dict[str, list[BaseModel]]
+    scored: DataFrame
+
+    def _by_repeat(self) -> list[tuple[str, int, DataFrame]]:
+        rows = self.scored.select("model", "rep", F.col("sid").alias("id"), "score", (F.col("label") > 0).alias("positive"))
+        return [(name, rep, rows.where((F.col("model") == name) & (F.col("rep") == rep)).select("id", "score", "positive")) for name, reps in self.trained.items() for rep in range(len(reps))]
+
+    def curves(self, kind: str = "roc") -> DataFrame:
+        """(model, rep, rank, x, y): points of the ROC or PRC curve of each model on each repeat, for plots and for ``average_by_x``."""
+        draw = {"roc": evaluation.roc, "prc": evaluation.prc}[kind]
+        return reduce(DataFrame.unionByName, [draw(s).select(F.lit(name).alias("model"), F.lit(rep).alias("rep"), "rank", "x", "y") for name, rep, s in self._by_repeat()])
+
+    def areas(self) -> DataFrame:
+        """(model, rep, roc_auc, prc_auc)."""
+        both = [evaluation.auc(self.curves(kind), ("model", "rep")).withColumnRenamed("auc", f"{kind}_auc") for kind in ("roc", "prc")]
+        return both[0].join(both[1], ["model", "rep"])
+
+    def thresholds(self, precision: float = 0.8) -> DataFrame:
+        """(model, rep, threshold) at which each model reaches ``precision`` on its repeat's validation rows."""
+        return reduce(DataFrame.unionByName, [evaluation.precision_threshold(s, precision).select(F.lit(name).alias("model"), F.lit(rep).alias("rep"), "threshold") for name, rep, s in self._by_repeat()])
+
+    def predict(self, windows: DataFrame, thresholds: DataFrame) -> DataFrame:
+        """(model, rep, seq, r_start, r_end, score): regions that each trained model predicts from ``windows`` (seq, r_start, r_end, features) at its threshold."""
+        scored = [m.score(windows).select(F.lit(name).alias("model"), F.lit(rep).alias("rep"), "seq", "r_start", "r_end", "score") for name, reps in self.trained.items() for rep, m in enumerate(reps)]
+        hits = reduce(DataFrame.unionByName, scored).join(F.broadcast(thresholds), ["model", "rep"]).where("score > threshold")  # one row a model and repeat
+        key = hits.select(F.to_json(F.struct("model", "rep", "seq")).alias("seq"), "r_start", "r_end", F.col("score").alias("value"))
+        own = F.from_json("seq", "model string, rep int, seq string")
+        return _stretches(key, F.avg("value"), 1).select(own.alias("k"), "r_start", "r_end", "score").select("k.*", "r_start", "r_end", "score")
+
+
+def cross_validation(split: DataFrame, models: dict[str, BaseModel], repeats: int) -> CrossValidation:
+    """Each model trained on the training rows and scored on the validation rows of each repeat of ``split`` (sid, rep, features, label, part).
+
+    A loop over repeats plans the fits; Spark runs them.
+    """
+    split = kept(split.select("sid", "rep", "features", "label", "part"))
+    trained: dict[str, list[BaseModel]] = {}
     out = []
     for name, model in models.items():
         for rep in range(repeats):
             own = split.where(F.col("rep") == rep)
-            scored = model.fit(own.where("part = 'train'").select("features", "label")).score(own.where("part = 'validate'").select("sid", "features", "label"))
-            s = scored.select(F.col("sid").alias("id"), "score", (F.col("label") > 0).alias("positive"))
-            areas = evaluation.auc(evaluation.roc(s)).withColumnRenamed("auc", "roc_auc").crossJoin(evaluation.auc(evaluation.prc(s)).withColumnRenamed("auc", "prc_auc"))
-            out.append(areas.select(F.lit(name).alias("model"), F.lit(rep).alias("rep"), "roc_auc", "prc_auc"))
-    return reduce(DataFrame.unionByName, out)
+            m = model.fit(own.where("part = 'train'").select("features", "label"))
+            trained.setdefault(name, []).append(m)
+            scored = m.score(own.where("part = 'validate'").select("sid", "features", "label"))
+            out.append(scored.select(F.lit(name).alias("model"), F.lit(rep).alias("rep"), "sid", "label", "score"))
+    return CrossValidation(trained, kept(reduce(DataFrame.unionByName, out)))
+
+
+def cross_validate(split: DataFrame, models: dict[str, BaseModel], repeats: int) -> DataFrame:
+    """(model, rep, roc_auc, prc_auc) of each model on each repeat of ``split``."""
+    return cross_validation(split, models, repeats).areas()
 
 
 def auc_table(areas: DataFrame) -> DataFrame:

@@ -6,11 +6,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.dna import IUPAC, NUCLEOTIDES
+from ..functions.dna import IUPAC, NUCLEOTIDES, coded
 
 
 @dataclass(frozen=True)
@@ -92,31 +92,34 @@ def _as_hits(places: Column, m: IUPACMotif, strand: bool) -> Column:
 
 def pwm_occurrences(seqs: DataFrame, motifs: tuple[PWMMotif, ...]) -> DataFrame:
     """Hits of weight matrices on both strands, with scores.  At an N the sum stops, and what it has counts."""
-    code = np.full(256, 4, np.uint8)
-    for i, c in enumerate(NUCLEOTIDES):
-        code[ord(c)] = i
     tables = []
     for m in motifs:
         w = np.asarray(m.weights, float)
         for strand, table in ((True, w), (False, w[::-1][:, [1, 0, 3, 2]])):
             tables.append((m.name, strand, np.hstack([table, np.zeros((len(table), 1))]), m.threshold))
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for sid, dna in zip(frame["sid"], frame["dna"], strict=True):
-                s = code[np.frombuffer(dna.encode("latin-1", "replace"), np.uint8)]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, codes, at in coded(batch):
+                row = np.repeat(np.arange(hi - lo), np.diff(at))
                 for name, strand, table, threshold in tables:
-                    k = len(table)
-                    if len(s) < k:
+                    n, k = len(codes) - len(table) + 1, len(table)
+                    if n <= 0:
                         continue
-                    view = np.lib.stride_tricks.sliding_window_view(s, k)
-                    alive = np.cumprod(view != 4, axis=1)
-                    score = (table[np.arange(k), view] * alive).sum(1)
-                    at = np.flatnonzero(score > threshold).astype(np.int32)
-                    if len(at):
-                        yield pd.DataFrame({"sid": sid, "motif": name, "o_start": at, "o_end": at + k, "strand": strand, "score": score[at]})
-
-    return seqs.select("sid", "dna").mapInPandas(run, OCCURRENCE)
+                    score, alive = np.zeros(n), np.ones(n, bool)
+                    for j in range(k):
+                        c = codes[j : j + n]
+                        alive &= c != 4
+                        score += np.where(alive, table[j][c], 0.0)
+                    hit = np.flatnonzero((score > threshold) & (row[:n] == row[k - 1 :]))
+                    start = (hit - at[row[hit]]).astype(np.int32)
+                    same = lambda x, t: pa.array([x], t).take(pa.array(np.zeros(len(hit), np.int32)))  # noqa: B023, E731
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column("sid").take(pa.array(lo + row[hit])), same(name, pa.string()), pa.array(start), pa.array(start + np.int32(k)), same(strand, pa.bool_()), pa.array(score[hit])],
+                        names=[x.split()[0] for x in OCCURRENCE.split(", ")],
+                    )
+
+    return seqs.select(F.col("sid").cast("bigint").alias("sid"), "dna").mapInArrow(run, OCCURRENCE)
 
 
 def pwm_threshold(background: DataFrame, motif: PWMMotif, e_value: float = 1.0, unit: int = 1000) -> DataFrame:

@@ -62,9 +62,17 @@ class Node:
         return Cat((*mine, *(other.parts if isinstance(other, Cat) else (other,))))
 
 
-def _attach(seqs: DataFrame, vectors: DataFrame, width: int) -> DataFrame:
-    """Vectors by ``sid`` for every row of ``seqs``; rows without any get zeros."""
-    return seqs.drop("dna").join(vectors, "sid", "left").withColumn("features", F.coalesce("features", F.array(*[F.lit(0.0)] * width)))
+@dataclass(frozen=True)
+class Vectors(Node):
+    """Vectors that rows have already, in a column ``features``."""
+
+    width: int
+
+    def names(self) -> list[str]:
+        return [str(i) for i in range(self.width)]
+
+    def transform(self, seqs: DataFrame) -> DataFrame:
+        return seqs
 
 
 @dataclass(frozen=True)
@@ -75,8 +83,7 @@ class MotifFrequencies(Node):
         return [m.name for m in self.motifs]
 
     def transform(self, seqs: DataFrame) -> DataFrame:
-        v = X.occurrence_frequencies(seqs, self.motifs)
-        return _attach(seqs, v.select("sid", F.array(*[F.col(m.name) for m in self.motifs]).alias("features")), len(self.motifs))
+        return seqs.withColumn("features", F.array(*X.frequencies(F.col("dna"), self.motifs))).drop("dna")
 
 
 @dataclass(frozen=True)
@@ -85,13 +92,10 @@ class PairFrequencies(Node):
     distance: int = 219
 
     def names(self) -> list[str]:
-        n = [m.name for m in self.motifs]
-        return [f"{x}:{y}" for i, x in enumerate(n) for y in n[i:]]
+        return [f"{x}:{y}" for x, y in X.pair_names(self.motifs)]
 
     def transform(self, seqs: DataFrame) -> DataFrame:
-        long = X.pair_frequencies(seqs, self.motifs, self.distance)
-        long = long.select("sid", F.concat_ws(":", "motif_a", "motif_b").alias("kmer"), "value")
-        return _attach(seqs, X.vectors(long, self.names()), len(self.names()))
+        return X.pair_vectors(seqs, self.motifs, self.distance)
 
 
 @dataclass(frozen=True)
@@ -103,8 +107,7 @@ class KSpectrum(Node):
         return kmers(self.k)
 
     def transform(self, seqs: DataFrame) -> DataFrame:
-        long = (X.kmer_spectrum_mismatch if self.mismatch else X.kmer_spectrum)(seqs, self.k)
-        return _attach(seqs, X.vectors(long, self.names()), 4**self.k)
+        return X.kmer_vectors(seqs, self.k, self.mismatch)
 
 
 @dataclass(frozen=True)
@@ -198,10 +201,12 @@ class Cat(Node):
         return [n for p in self.parts for n in p.names()]
 
     def transform(self, seqs: DataFrame) -> DataFrame:
-        out = seqs.drop("dna")
+        out = seqs.select(F.struct(*seqs.columns).alias("_row"))
         for i, p in enumerate(self.parts):
-            out = out.join(p.transform(seqs).select("sid", F.col("features").alias(f"_f{i}")), "sid")
-        return out.withColumn("features", F.concat(*[F.col(f"_f{i}") for i in range(len(self.parts))])).drop(*[f"_f{i}" for i in range(len(self.parts))])
+            done = [f"_f{j}" for j in range(i)]
+            out = p.transform(out.select("_row.*", "_row", *done)).select("_row", *done, F.col("features").alias(f"_f{i}"))
+        kept = [c for c in seqs.columns if c not in ("dna", "features")]
+        return out.select(*[F.col("_row")[c].alias(c) for c in kept], F.concat(*[F.col(f"_f{i}") for i in range(len(self.parts))]).alias("features"))
 
     def fit(self, seqs: DataFrame, label: Column) -> Cat:
         return replace(self, parts=tuple(p.fit(seqs, label) for p in self.parts))
@@ -215,11 +220,10 @@ class WindowNode(Over):
     step: int = 250
 
     def _windows(self, seqs: DataFrame) -> DataFrame:
-        w = windows(seqs, self.size, self.step)
-        return w.withColumns({"seq_sid": F.col("sid"), "sid": F.xxhash64("sid", "w_start"), "dna": F.col("window")}).drop("window", "w_end")
+        return windows(seqs, self.size, self.step).withColumn("dna", F.col("window")).drop("window", "w_end")
 
     def transform(self, seqs: DataFrame) -> DataFrame:
-        return self.inner.transform(self._windows(seqs)).withColumn("sid", F.col("seq_sid")).drop("seq_sid")
+        return self.inner.transform(self._windows(seqs))
 
     def fit(self, seqs: DataFrame, label: Column) -> WindowNode:
         return replace(self, inner=self.inner.fit(self._windows(seqs.withColumn("label", label)), F.col("label")))

@@ -55,7 +55,27 @@ def non_overlap(a: DataFrame, b: DataFrame, width: int = BIN) -> DataFrame:
     return a.join(_hit(a, b, width), SPOT, "left_anti")
 
 
-def _islands(df: DataFrame, by: list[str]) -> DataFrame:
+def islands(df: DataFrame, by: list[str], width: int, gap: int = 1, value: Column | None = None) -> DataFrame:
+    """(*by, r_start, r_end): rows that overlap or stand not further apart than ``gap`` as one, with ``value`` aggregated as ``score`` if given.
+
+    Rows meet within stretches of ``width`` positions only.  What reaches into a stretch is the largest end of those before; an island's number is its
+    number within its stretch and the islands that began before.  Across stretches only one row a stretch is sorted.
+    """
+    key = [*by, "stretch"]
+    rows = df.withColumn("stretch", F.floor(F.col("r_start") / width))
+    over = Window.partitionBy(*by).orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
+    reach = rows.groupBy(*key).agg(F.max("r_end").alias("end")).withColumn("before", F.max("end").over(over)).drop("end")
+    order = Window.partitionBy(*key).orderBy("r_start", "r_end")
+    seen = F.greatest("before", F.max("r_end").over(order.rowsBetween(Window.unboundedPreceding, -1)))
+    rows = rows.join(reach, key).withColumn("new", (seen.isNull() | (seen + gap < F.col("r_start"))).cast("long")).drop("before")
+    begun = rows.groupBy(*key).agg(F.sum("new").alias("n")).withColumn("base", F.coalesce(F.sum("n").over(over), F.lit(0))).drop("n")
+    number = F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    island = rows.withColumn("nth", number).join(begun, key).withColumn("island", F.col("base") + F.col("nth"))
+    spot = [F.min("r_start").alias("r_start"), F.max("r_end").alias("r_end")]
+    return island.groupBy(*by, "island").agg(*spot, *([] if value is None else [value.alias("score")])).drop("island")
+
+
+def _within(df: DataFrame, by: list[str]) -> DataFrame:
     order = Window.partitionBy(*by).orderBy("r_start", "r_end")
     seen = F.max("r_end").over(order.rowsBetween(Window.unboundedPreceding, -1))
     new = df.withColumn("new", (seen.isNull() | (seen + 1 < F.col("r_start"))).cast("long"))
@@ -66,11 +86,12 @@ def _islands(df: DataFrame, by: list[str]) -> DataFrame:
 def flatten(a: DataFrame, by: tuple[str, ...] = (), width: int = BIN * 64) -> DataFrame:
     """Overlapping or adjoining regions of a sequence (and of each value of ``by``) as one, with default attributes.
 
-    First within stretches of ``width`` positions, which cuts the rows down in parallel even on one long sequence, then across.
+    First within stretches of ``width`` positions, which cuts the rows down in parallel even on one long sequence, then across: a row begins
+    an island unless an earlier stretch reaches it, which one row a stretch tells.
     """
     keys = [*by, "seq"]
-    part = _islands(a.select(*keys, "r_start", "r_end", F.floor(F.col("r_start") / width).alias("stretch")), [*keys, "stretch"]).drop("stretch")
-    out = _islands(part, keys)
+    rows = _within(a.select(*keys, "r_start", "r_end", F.floor(F.col("r_start") / width).alias("stretch")), [*keys, "stretch"]).drop("stretch")
+    out = islands(rows, keys, width)
     return as_regions(out, False) if not by else out
 
 

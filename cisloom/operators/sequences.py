@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..core import LABEL
+from ..core import LABEL, in_order
 
 
 def reverse_complement(dna: Column) -> Column:
@@ -25,6 +25,25 @@ def windows(seqs: DataFrame, size: int, step: int, cropped_ends: bool = False) -
     return w.withColumns({"w_end": end, "window": F.substring(F.col("dna"), (F.col("w_start") + 1).cast("int"), F.lit(size))}).drop("dna")
 
 
+def block_windows(blocks: DataFrame, size: int, step: int, block_size: int) -> DataFrame:
+    """(seq, w_start, w_end, window) over sequences that stand as blocks (seq, block_no, block) of ``block_size``.
+
+    A window that begins in one block and ends in a later one is put together from the blocks that it touches: each block is told to the windows
+    of at most ``ceil(size / block_size)`` blocks before it, and no sequence is put together whole.
+    """
+    reach = -(-(size - 1) // block_size)
+    own = blocks.select("seq", F.col("block_no").cast("bigint").alias("block_no"), "block")
+    halo = own.select("seq", F.explode(F.sequence(F.greatest(F.lit(0), F.col("block_no") - reach), F.col("block_no"))).alias("block_no"), F.struct(F.col("block_no").alias("at"), "block").alias("piece"))
+    run = halo.groupBy("seq", "block_no").agg(F.array_sort(F.collect_list("piece")).alias("pieces"))
+    text = F.substring(F.array_join(F.transform("pieces", lambda p: p["block"]), ""), 1, block_size + size - 1)
+    from_ = F.col("block_no") * block_size
+    first = F.ceil(from_ / step) * step
+    last = F.least(from_ + block_size - 1, from_ + F.length("text") - size)
+    starts = F.when(first <= last, F.sequence(first, last, F.lit(step).cast("bigint")))
+    w = run.where(F.element_at("pieces", 1)["at"] == F.col("block_no")).select("seq", "block_no", text.alias("text")).withColumn("w_start", F.explode(starts))
+    return w.select("seq", "w_start", (F.col("w_start") + size - 1).alias("w_end"), F.substring(F.col("text"), (F.col("w_start") - from_ + 1).cast("int"), F.lit(size)).alias("window"))
+
+
 def window_regions(lengths: DataFrame, size: int, step: int) -> DataFrame:
     """Coordinates of the windows of sequences ``lengths`` (seq, n); no DNA is read."""
     starts = F.sequence(F.lit(0).cast("bigint"), F.col("n") - size, F.lit(step).cast("bigint"))
@@ -61,29 +80,35 @@ def label(seqs: DataFrame, name: str, value: float) -> DataFrame:
     return seqs.withColumn("labels", F.array_union("labels", F.array(F.struct(F.lit(name).alias("name"), F.lit(value).alias("value"))).cast(f"array<{LABEL}>")))
 
 
-def with_label(seqs: DataFrame, value: float) -> DataFrame:
-    """Sequences that bear a label of this value (labels compare by value)."""
-    return seqs.where(F.exists("labels", lambda x: x["value"] == value))
+def with_label(seqs: DataFrame, value: float | list[float], ensure_all: bool = False) -> DataFrame:
+    """Sequences that bear a label of this value, or of any of these (labels compare by value).
+
+    ``ensure_all`` looks for each value first (one small query) and raises where no sequence bears it.
+    """
+    values = [float(v) for v in (value if isinstance(value, list | tuple) else [value])]
+    if ensure_all:
+        have = {r["value"] for r in labels(seqs).where(F.col("value").isin(values)).select("value").distinct().collect()}
+        if set(values) - have:
+            raise ValueError(f"no sequence has the label {sorted(set(values) - have)[0]:g}")
+    return seqs.where(F.exists("labels", lambda x: x["value"].isin(values)))
 
 
 def labels(seqs: DataFrame) -> DataFrame:
     return seqs.select(F.explode("labels").alias("label")).select("label.name", "label.value").distinct()
 
 
-def _order(seed: int, key: str) -> Window:
-    return Window.orderBy(F.md5(F.concat_ws(":", F.lit(seed), F.col(key).cast("string"))), key)
+def ranked(df: DataFrame, seed: int, key: str, by: tuple[str, ...] = (), also: tuple[str, ...] = ()) -> DataFrame:
+    """``df`` with ``place``, each row's number (from 1) in the seeded order of ``md5(seed:also:key)``, within each group of ``by``.
 
-
-def ranked(df: DataFrame, seed: int, key: str, buckets: int = 4096) -> DataFrame:
-    """``df`` with ``place``, each row's number (from 1) in the seeded order of ``md5(seed:key)``.
-
-    Rows are sorted within buckets of the hash and the buckets' sizes (4096 numbers) give the offsets, so that no task sorts all rows.
+    Rows are sorted within buckets of the hash and the buckets' sizes (4096 numbers a group) give the offsets, so that no task sorts all rows.
     """
-    hashed = df.withColumn("_h", F.md5(F.concat_ws(":", F.lit(seed), F.col(key).cast("string")))).withColumn("_b", F.substring("_h", 1, 3))
-    sizes = hashed.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
-    before = sizes.select("_b", F.coalesce(F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    inside = F.row_number().over(Window.partitionBy("_b").orderBy("_h", key))
-    return hashed.join(F.broadcast(before), "_b").withColumn("place", F.col("_before") + inside).drop("_h", "_b", "_before")
+    text = F.concat_ws(":", F.lit(seed), *[F.col(c).cast("string") for c in also], F.col(key).cast("string"))
+    hashed = df.withColumn("_h", F.md5(text)).withColumn("_b", F.substring("_h", 1, 3))
+    sizes = hashed.groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("_n"))
+    order = (Window.partitionBy(*by) if by else Window).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.select(*by, "_b", F.coalesce(F.sum("_n").over(order), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy(*by, "_b").orderBy("_h", key))
+    return hashed.join(before if by else F.broadcast(before), [*by, "_b"]).withColumn("place", F.col("_before") + inside).drop("_h", "_b", "_before")
 
 
 def random_split(df: DataFrame, key: str, ratio: float = 0.5, seed: int = 0) -> tuple[DataFrame, DataFrame]:
@@ -105,7 +130,13 @@ def bootstrap(df: DataFrame, key: str, n: int = 0, seed: int = 0) -> DataFrame:
 
 
 def split(df: DataFrame, key: str, n: int) -> DataFrame:
-    """``df`` with ``chunk``: contiguous chunks by ``key`` that end at ``int(count * (i + 1) / n)``; empty chunks have no rows."""
-    place = F.row_number().over(Window.orderBy(key)) - 1
-    size = df.agg(F.count(F.lit(1)).alias("_size"))
-    return df.withColumn("_place", place).crossJoin(F.broadcast(size)).withColumn("chunk", F.floor(((F.col("_place") + 1) * n - 1) / F.col("_size")).cast("int")).drop("_place", "_size")
+    """``df`` with ``chunk``: contiguous chunks by ``key`` that end at ``int(count * (i + 1) / n)``; empty chunks have no rows.
+
+    Rows are sorted by ranges; a row's number is its number in its range and the sizes of those before.
+    """
+    sorted_ = in_order(df, key)
+    sizes = sorted_.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    whole = Window.orderBy("_part")  # one row a range
+    before = sizes.select("_part", F.coalesce(F.sum("_n").over(whole.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"), F.sum("_n").over(whole.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("_size"))
+    out = sorted_.join(F.broadcast(before), "_part")
+    return out.withColumn("chunk", F.floor(((F.col("_before") + F.col("_row") + 1) * n - 1) / F.col("_size")).cast("int")).select(*df.columns, "chunk")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..core import kept
 from ..functions.dna import kmer_index, kmers
 from ..operators import curves as C
 from ..operators import evaluation as E
@@ -22,7 +23,7 @@ Q: dict = {}
 SQL: dict[str, str] = {}
 MOTIFS = (IUPACMotif("GAF", "GAGAG"), IUPACMotif("PS", "GCCAT"), IUPACMotif("Z", "YGAGYG"))
 SIZE, STEP = 400, 200
-K = 2
+K = 5
 
 
 def query(sql: str | None = None):
@@ -188,16 +189,17 @@ def kmer_spectrum(spark, d):
 
 
 def _near(own: int) -> str:
-    rows = [f"('{x}', '{y}', {own if x == y else 1})" for x in kmers(K) for y in kmers(K) if sum(a != b for a, b in zip(x, y, strict=True)) <= 1]
-    return f"nb AS (SELECT * FROM (VALUES {', '.join(rows)}) t(kmer, near, w))"
+    """Each k-mer with its weight for itself, and for its neighbours."""
+    return f"""nb AS (SELECT sid, n, kmer AS near, c * {own} AS c FROM kb UNION ALL
+SELECT sid, n, substr(kmer, 1, CAST(i - 1 AS INTEGER)) || x || substr(kmer, CAST(i + 1 AS INTEGER)) AS near, c FROM kb, range(1, {K + 1}) p(i), (VALUES ('A'), ('T'), ('G'), ('C')) v(x) WHERE x <> substr(kmer, CAST(i AS INTEGER), 1))"""
 
 
-@query(f"WITH {X.DNA}, {KM}, {_near(1)} SELECT sid, near AS kmer, round(sum(c * w) * 1000.0::DOUBLE / n, 6) AS value FROM kb JOIN nb USING (kmer) GROUP BY sid, n, near")
+@query(f"WITH {X.DNA}, {KM}, {_near(1)} SELECT sid, near AS kmer, round(sum(c) * 1000.0::DOUBLE / n, 6) AS value FROM nb GROUP BY sid, n, near")
 def kmer_spectrum_mm(spark, d):
     return V.kmer_spectrum_mismatch(X.dna(spark, d), K).withColumn("value", F.round("value", 6))
 
 
-@query(f"WITH {X.DNA}, {KM}, {_near(K)} SELECT sid, near AS kmer, round(sum(c * w) * 1000.0::DOUBLE / n, 6) AS value FROM kb JOIN nb USING (kmer) GROUP BY sid, n, near")
+@query(f"WITH {X.DNA}, {KM}, {_near(K)} SELECT sid, near AS kmer, round(sum(c) * 1000.0::DOUBLE / n, 6) AS value FROM nb GROUP BY sid, n, near")
 def kmer_spectrum_mmd(spark, d):
     return V.kmer_spectrum_mismatch(X.dna(spark, d), K, True).withColumn("value", F.round("value", 6))
 
@@ -214,7 +216,7 @@ def kmer_indices(spark, d):
     return spark.createDataFrame([(x,) for x in kmers(3)], "kmer string").select("kmer", kmer_index(F.col("kmer")).alias("i"))
 
 
-EMB = "em AS (SELECT vec_id AS sid, CAST(label AS DOUBLE) AS label, [CAST(x AS DOUBLE) for x in embedding[1:6]] AS v FROM embeddings)"
+EMB = "em AS (SELECT vec_id AS sid, CAST(label AS DOUBLE) AS label, [CAST(x AS DOUBLE) for x in embedding] AS v FROM embeddings)"
 
 
 def _whole(spark, d):
@@ -222,9 +224,8 @@ def _whole(spark, d):
     return e.select(F.col("vec_id").alias("sid"), F.col("label").cast("double").alias("label"), F.transform("embedding", lambda x: x.cast("double")).alias("features"))
 
 
-def _emb(spark, d, width: int = 6):
-    """The first values only, as :data:`EMB` has them."""
-    return _whole(spark, d).withColumn("features", F.slice("features", 1, width))
+#: The leaf of the networks below: vectors as they are.
+LEAF = N.Vectors(64)
 
 
 def _long(df, name: str = "features"):
@@ -235,32 +236,70 @@ def _unnest(expr: str, source: str = "em") -> str:
     return f"SELECT sid, CAST(i AS INTEGER) AS i, round(x[i + 1], 6) AS v FROM (SELECT sid, {expr} AS x, unnest(range(0, len({expr}))) AS i FROM {source})"
 
 
-@query(f"WITH {EMB}, l AS (SELECT sid, i, v[i + 1] AS v FROM (SELECT sid, v, unnest(range(0, 6)) AS i FROM em)), p AS (SELECT i, min(v) AS lo, CASE WHEN max(v) > min(v) THEN 2 / (max(v) - min(v)) ELSE 0 END AS s FROM l GROUP BY i) SELECT sid, CAST(i AS INTEGER) AS i, round(v * s - (lo * s + 1), 6) AS v FROM l JOIN p USING (i)")
+@query(f"WITH {EMB}, l AS (SELECT sid, i, v[i + 1] AS v FROM (SELECT sid, v, unnest(range(0, len(v))) AS i FROM em)), p AS (SELECT i, min(v) AS lo, CASE WHEN max(v) > min(v) THEN 2 / (max(v) - min(v)) ELSE 0 END AS s FROM l GROUP BY i) SELECT sid, CAST(i AS INTEGER) AS i, round(v * s - (lo * s + 1), 6) AS v FROM l JOIN p USING (i)")
 def feature_scale(spark, d):
-    e = _emb(spark, d)
-    p = V.scale_parameters(e).orderBy("i").collect()
-    node = N.Scale(N.Node(), tuple((r["lo"], r["s"]) for r in p))
-    return _long(e.withColumn("features", node.apply(F.col("features"))))
+    e = _whole(spark, d)
+    return _long(LEAF.scale().fit(e, F.col("label")).transform(e))
 
 
-@query(f"WITH {EMB} " + _unnest("list_concat(v[1:2], v[4:6])"))
+@query(f"WITH {EMB} " + _unnest("list_concat(v[1:20], v[31:64], [v[25]])"))
 def feature_cat(spark, d):
-    return _long(_emb(spark, d).withColumn("features", F.concat(F.slice("features", 1, 2), F.slice("features", 4, 3))))
+    return _long((LEAF.filter(list(range(20))) + LEAF.filter(list(range(30, 64))) + LEAF.filter([24])).transform(_whole(spark, d)))
 
 
-@query(f"WITH {EMB} " + _unnest("[v[5], v[1], v[3]]"))
+@query(f"WITH {EMB} " + _unnest("[v[5], v[1], v[64], v[3]]"))
 def feature_filter(spark, d):
-    return _long(_emb(spark, d).withColumn("features", V.pick(F.col("features"), [4, 0, 2])))
+    return _long(LEAF.filter([4, 0, 63, 2]).transform(_whole(spark, d)))
 
 
-@query(f"WITH {EMB} " + _unnest("[" + ", ".join(f"v[{i}] * v[{j}]" for i in range(1, 7) for j in range(1, i + 1)) + "]"))
+@query(f"WITH {EMB} " + _unnest("flatten(list_transform(range(1, len(v) + 1), lambda i: list_transform(range(1, i + 1), lambda j: v[i] * v[j])))", "em"))
 def feature_square(spark, d):
-    return _long(_emb(spark, d).withColumn("features", V.square(F.col("features"))))
+    return _long(LEAF.square().transform(_whole(spark, d)))
 
 
-@query(f"WITH {EMB} SELECT sid, round(v[1] + v[2] + v[3] + v[4] + v[5] + v[6], 6) AS v FROM em")
+@query(f"WITH {EMB} SELECT sid, round(list_sum(v), 6) AS v FROM em")
 def feature_sum(spark, d):
-    return _emb(spark, d).select("sid", F.round(V.add(F.col("features")), 6).alias("v"))
+    return LEAF.sum().transform(_whole(spark, d)).select("sid", F.round(F.col("features")[0], 6).alias("v"))
+
+
+ODDS = """l AS (SELECT sid, label % 2 = 1 AS up, i, abs(v[i + 1]) AS v FROM (SELECT *, unnest(range(0, len(v))) AS i FROM em)),
+s AS (SELECT i, coalesce(sum(v) FILTER (up), 0) AS p, coalesce(sum(v) FILTER (NOT up), 0) AS n, count_if(up) AS np, count_if(NOT up) AS nn FROM l GROUP BY i),
+w AS (SELECT i, ln((p + CASE WHEN p = 0 OR n = 0 THEN 1 ELSE 0 END) / np) - ln((n + CASE WHEN p = 0 OR n = 0 THEN 1 ELSE 0 END) / nn) AS w FROM s)"""
+
+
+@query(f"WITH {EMB}, {ODDS} SELECT sid, CAST(i AS INTEGER) AS i, round(v * w, 6) AS v FROM l JOIN w USING (i)")
+def feature_log_odds(spark, d):
+    e = _signed(spark, d).withColumn("features", F.transform("features", lambda x: F.abs(x)))
+    return _long(LEAF.log_odds().fit(e, F.col("label")).transform(e))
+
+
+@query(f"WITH {EMB}, {ODDS} SELECT sid, round(sum(v * w), 5) AS score FROM l JOIN w USING (i) GROUP BY sid")
+def feature_model(spark, d):
+    e = _signed(spark, d).withColumn("features", F.transform("features", lambda x: F.abs(x)))
+    return LEAF.model(MOD.LogOdds()).fit(e, F.col("label")).transform(e).select("sid", F.round(F.col("features")[0], 5).alias("score"))
+
+
+ALL_KMERS = ", ".join(f"('{x}', {i}::INTEGER)" for i, x in enumerate(kmers(K)))
+
+
+def _network(node, spark, d):
+    v = node.transform(X.dna(spark, d).select("sid", "dna"))
+    return _long(v).where("v > 0")
+
+
+@query(f"WITH {X.DNA}, {KM}, k AS (SELECT * FROM (VALUES {ALL_KMERS}) t(kmer, i)) SELECT sid, i, round(c * 1000.0::DOUBLE / n, 6) AS v FROM kb JOIN k USING (kmer)")
+def network_kspectrum(spark, d):
+    return _network(N.KSpectrum(K), spark, d)
+
+
+@query(f"WITH {X.DNA}, {KM}, {_near(1)}, k AS (SELECT * FROM (VALUES {ALL_KMERS}) t(kmer, i)) SELECT sid, i, round(sum(c) * 1000.0::DOUBLE / n, 6) AS v FROM nb JOIN k ON k.kmer = near GROUP BY sid, n, i")
+def network_kspectrum_mm(spark, d):
+    return _network(N.KSpectrum(K, True), spark, d)
+
+
+@query(f"WITH {X.DNA}, h AS (SELECT sid, motif, count(*) AS c FROM {_hits('dna')} GROUP BY ALL), m AS (SELECT * FROM (VALUES " + ", ".join(f"('{m.name}', {i}::INTEGER)" for i, m in enumerate(MOTIFS)) + ") t(motif, i)) SELECT sid, i, round(c * 1000.0::DOUBLE / length(dna), 6) AS v FROM h JOIN m USING (motif) JOIN dna USING (sid)")
+def network_motif_frequencies(spark, d):
+    return _network(N.MotifFrequencies(MOTIFS), spark, d)
 
 
 FREQ = f"f AS (SELECT sid, label, length(dna) AS n, (length(dna) - length(replace(dna, 'A', ''))) * 1000.0::DOUBLE / greatest(length(dna), 1) AS fa, (length(dna) - length(replace(dna, 'G', ''))) * 1000.0::DOUBLE / greatest(length(dna), 1) AS fg FROM lab)"
@@ -319,7 +358,7 @@ def _node():
 
 def _trained(spark, d):
     """Windows (sid, label, w_start, score) by the log-odds of motif pairs trained on all windows."""
-    v = _node().transform(X.labelled(spark, d).select("sid", "dna", "label"))
+    v = kept(_node().transform(X.labelled(spark, d).select("sid", "dna", "label")))
     return MOD.LogOdds().fit(v).score(v).withColumn("score", F.round("score", 6))
 
 

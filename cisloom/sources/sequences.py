@@ -69,7 +69,8 @@ def _decode(data: bytes, offset: int) -> str:
 def read_2bit(spark: SparkSession, path: str, block: int = 5000, only: list[str] | None = None) -> DataFrame:
     """(seq, block_no, block) of 2bit files, read as binary by Spark (so from any store that it reaches).
 
-    Files are exploded to their sequences before decoding; ``only`` names those to decode.
+    One task decodes a file, one sequence after the other (Spark's binary reader takes no ranges, and files up to 2 GB); ``only`` names
+    those to decode.  Genomes in several files, such as one a chromosome, are read in parallel.
     """
     wanted = set(only) if only else None
 
