@@ -49,18 +49,14 @@ def _sets(data: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndar
     return np.array([len(s) for s in parts], np.int64), np.concatenate(parts) if parts else np.zeros(0, np.uint64)
 
 
-def _fingerprints(n: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """128 bits for the set of each row, from two sums over its shingles and its size; and its least shingle in another order."""
+def _fingerprints(n: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits for the set of each row, from two sums over its shingles and its size."""
     start = np.concatenate([[0], np.cumsum(n)])
     out = []
     for x in (0x51ED270B, 0xA3C59AC3):
         s = np.concatenate([np.zeros(1, np.uint64), np.cumsum(R.mix(h ^ np.uint64(x)))])
         out.append(R.mix(s[start[1:]] - s[start[:-1]] + n.astype(np.uint64)).view(np.int64))
-    least = np.zeros(len(n), np.uint64)
-    some = np.flatnonzero(n)
-    if len(some):
-        least[some] = np.minimum.reduceat(R.mix(h ^ np.uint64(0x2545F491)), start[:-1][some])
-    return out[0], out[1], least.view(np.int64)
+    return out[0], out[1]
 
 
 def _sampled(n: np.ndarray, h: np.ndarray, share: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -72,7 +68,7 @@ def _sampled(n: np.ndarray, h: np.ndarray, share: int) -> tuple[np.ndarray, np.n
 
 
 def _describe(shingle: int, share: int):
-    """id and mark of every row, with the size, the sampled shingles, the id and the least shingle of its set."""
+    """id and mark of every row, with the size, the sampled shingles and the id of its set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -81,7 +77,7 @@ def _describe(shingle: int, share: int):
                 row, _, sampled = _sampled(n, h, share)
                 part = batch.slice(lo, hi - lo)
                 told = (n.astype(np.int32), np.bincount(row[sampled], minlength=hi - lo).astype(np.int32), *_fingerprints(n, h))
-                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("mark"), *map(pa.array, told)], names=["id", "mark", "size", "sampled", "a", "b", "low"])
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("mark"), *map(pa.array, told)], names=["id", "mark", "size", "sampled", "a", "b"])
 
     return run
 
@@ -349,14 +345,16 @@ class Groups:
 def find_groups(docs: DataFrame, id_col: str, text_col: str, shingle: int, percent: int) -> Groups:
     """Components of the links between all rows of ``docs``; see :func:`jaccard_components`."""
     own = marked(docs.select(docs[id_col].alias("id"), text_of(docs, text_col).alias("text")), "id", "text")
-    told = f"id {own.schema['id'].dataType.simpleString()}, mark binary, size int, sampled int, a bigint, b bigint, low bigint"
+    told = f"id {own.schema['id'].dataType.simpleString()}, mark binary, size int, sampled int, a bigint, b bigint"
     rows = stored(own.mapInArrow(_describe(shingle, share_of(percent)), told))
     posts = _candidates(own, rows, shingle, percent)
     met = posts.groupBy("token").agg(F.min("a").alias("lo"), F.max("a").alias("hi")).where("lo < hi").select("token")
     posts = stored(posts.join(met, "token"))
-    classes = rows.where("size > 0").groupBy("a", "b").agg(F.min(F.struct(F.col("id").isNull().alias("without"), "id", "mark")).alias("best"), F.first("size").alias("size"), F.first("low").alias("low"))
+    classes = rows.where("size > 0").groupBy("a", "b").agg(F.min(F.struct(F.col("id").isNull().alias("without"), "id", "mark")).alias("best"), F.first("size").alias("size"))
     both = classes.groupBy("a").agg(F.min("b").alias("lo"), F.max("b").alias("hi")).where("lo < hi").select("a")
-    wanted = posts.select("a").unionByName(both).distinct()
+    # the least of the shared rare shingles: like sets agree in it, and one that no other set has cannot be it
+    near = posts.select("a", F.xxhash64("token").alias("low")).unionByName(both.select("a", F.col("a").alias("low")))
+    wanted = near.groupBy("a").agg(F.min("low").alias("low"))
     chosen = stored(classes.join(wanted, "a").withColumn("sid", F.monotonically_increasing_id()))
     room = F.greatest(F.lit(1), F.least(F.lit(LEAF_SETS), F.floor(F.lit(LEAF_SHINGLES) / F.max("size"))))
     leaves_of = chosen.groupBy("low").agg(F.ceil(F.count(F.lit(1)) / room).cast("int").alias("leaves"))
@@ -374,12 +372,13 @@ def find_groups(docs: DataFrame, id_col: str, text_col: str, shingle: int, perce
     star = entries.select("token", "leaf").join(heads, "token").where("leaf <> y_leaf").select(F.col("leaf").alias("x_leaf"), "y_leaf").distinct()
     links = links.unionByName(_linked(leaves, star, None, percent))
     roots = components(links)
-    # tokens that still stand in several components
-    state = entries.join(roots.withColumnRenamed("u", "sid"), "sid", "left").select("token", "leaf", F.coalesce("root", "sid").alias("root"))
+    # tokens that still stand in several components; leaves whose sets are all in one and the same do not meet
+    state = entries.join(roots.withColumnRenamed("u", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     apart = state.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("token")
-    state = stored(state.join(apart, "token").distinct())
-    x, y = (state.select("token", F.col("leaf").alias(f"{s}_leaf"), F.col("root").alias(f"{s}_root")) for s in "xy")
-    rest = x.join(y, "token").where("x_leaf > y_leaf AND x_root <> y_root").select("x_leaf", "y_leaf").distinct().join(star, ["x_leaf", "y_leaf"], "left_anti")
+    state = stored(state.join(apart, "token").groupBy("token", "leaf").agg(F.min("root").alias("lo"), F.max("root").alias("hi")))
+    x, y = (state.select("token", *[F.col(c).alias(f"{s}_{c}") for c in ("leaf", "lo", "hi")]) for s in "xy")
+    open_ = x.join(y, "token").where("x_leaf > y_leaf AND NOT (x_lo = x_hi AND y_lo = y_hi AND x_lo = y_lo)")
+    rest = open_.select("x_leaf", "y_leaf").distinct().join(star, ["x_leaf", "y_leaf"], "left_anti")
     more = _linked(leaves, rest, roots, percent)
     if not more.isEmpty():
         roots = components(links.unionByName(more))
@@ -387,7 +386,7 @@ def find_groups(docs: DataFrame, id_col: str, text_col: str, shingle: int, perce
     joined = classes.select("a", "b", "best").join(linked.select("a", "b", "root"), ["a", "b"])
     of_root = joined.groupBy("root").agg(F.min("best").alias("first"))
     best = classes.select("a", "b", "best").join(linked.join(of_root, "root").select("a", "b", "first"), ["a", "b"], "left")
-    return Groups(rows, best.select("a", "b", F.coalesce("first", "best").alias("best")))
+    return Groups(rows, stored(best.select("a", "b", F.coalesce("first", "best").alias("best"))))
 
 
 def marked(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -402,7 +401,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     1. Rows with one shingle set (128 bits of hash) are one class.
     2. Of the rarest shingles of a set, a few more than linked sets differ in, linked sets share one; only classes that share one
        with another class go on.  Rarity is counted over all rows, within a sample of shingles that comes first in the order.
-    3. Classes are dealt to leaves of bounded size by their least shingle, so that like sets stand together.  Each leaf is a signature tree (OR-combined
+    3. Classes are dealt to leaves of bounded size by the least shared one of these shingles, so that like sets stand together.  Each leaf is a signature tree (OR-combined
        bitmaps, size ranges), joined with itself by dual traversal, which leaves out node pairs whose largest possible overlap
        is too small or whose sets are connected already; what is left is counted exactly.
     4. Leaves meet the first leaf of each rare shingle of theirs; then, for shingles that still stand in several components, the leaves of
