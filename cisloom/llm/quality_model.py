@@ -12,7 +12,9 @@ from .common import SPACE, cut, documents, let, text_of
 from .weak_labels import VoteModel, fit_frame, pattern, posterior_of
 
 #: Rows that train the scorer (a bounded sample, by hash of the text), its hashed dimensions, and the score from which a row is kept.
-TRAIN_ROWS, DIMENSIONS, KEEP_AT = 4000, 1 << 12, 0.5
+TRAIN_ROWS, DIMENSIONS, KEEP_AT = 4000, 1 << 14, 0.5
+#: Labellers that vote on either side; the others call text bad or abstain.
+BOTH_SIDES = (False, False, False, False, True, False)
 
 
 def _tokens(text: Column) -> Column:
@@ -24,6 +26,12 @@ def _tokens(text: Column) -> Column:
     return F.concat(shapes, let(words, lambda w: F.array_repeat(F.lit("<again>"), again(w))))
 
 
+def _features(text: Column) -> Column:
+    """What the scorer reads: the tokens of the labellers, and every word in lower case."""
+    words = F.filter(F.split(F.lower(text), SPACE), lambda w: w != "")
+    return F.concat(_tokens(text), F.transform(words, lambda w: F.concat(F.lit("="), w)))
+
+
 def labellers(tokens: Column) -> list[Column]:
     """Votes: +1 good, -1 bad, 0 abstains.  Each reads the token array of a text only."""
 
@@ -49,11 +57,12 @@ def fit_quality(docs: DataFrame, text_col: str = "text", train_rows: int = TRAIN
     Every training row enters twice, as good and as bad, weighed by its posterior.
     """
     text = text_of(docs, text_col)
-    tokens = docs.select(F.xxhash64(text).alias("key"), _tokens(text).alias("tokens"))
-    voted = cut(tokens.select("key", let(F.col("tokens"), lambda t: pattern(labellers(t))).alias("code")))
-    model = fit_frame(voted, "code", 6)
+    own = docs.select(F.xxhash64(text).alias("key"), text.alias("text"))
+    voted = cut(own.select("key", let(_tokens(F.col("text")), lambda t: pattern(labellers(t))).alias("code")))
+    model = fit_frame(voted, "code", BOTH_SIDES)
     rows = voted.groupBy("key").agg(F.min("code").alias("code")).orderBy("key").limit(train_rows)
-    sample = cut(tokens.join(F.broadcast(rows), "key").dropDuplicates(["key"]).withColumn("p", posterior_of(model, F.col("code"))).drop("key"))
+    sample = own.join(F.broadcast(rows), "key").dropDuplicates(["key"]).withColumn("p", posterior_of(model, F.col("code")))
+    sample = cut(sample.select("p", _features(F.col("text")).alias("tokens")))
     if sample.isEmpty():
         return model, None
     both = sample.select("tokens", F.explode(F.array(F.struct(F.lit(1.0).alias("label"), F.col("p").alias("weight")), F.struct(F.lit(0.0).alias("label"), (1 - F.col("p")).alias("weight")))).alias("y")).select("tokens", "y.*")
@@ -73,7 +82,7 @@ def score_quality(docs: DataFrame, scorer: PipelineModel | None, text_col: str =
         return flat.withColumn("score", F.lit(None).cast("double"))
     from pyspark.ml.functions import vector_to_array
 
-    scored = scorer.transform(flat.withColumn("tokens", _tokens(text)))
+    scored = scorer.transform(flat.withColumn("tokens", _features(text)))
     return scored.select(*flat.columns, vector_to_array("probability")[1].alias("score"))
 
 
@@ -84,7 +93,7 @@ def quality_classifier(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     train the scorer; everything else covers all rows.  No shuffle grows with texts.
 
     Cases: a null or empty text has no tokens and gets the scorer's prior; repeated rows and null ids are scored each
-    on its own; other columns are not read; an empty table gives an empty result.
+    on its own; very long texts are tokenised within one row, whole; other columns are not read; an empty table gives an empty result.
     """
     own = docs.select(docs[id_col].alias("id"), text_of(docs, text_col).alias("text"))
     _, scorer = fit_quality(own, "text", train_rows)
@@ -93,7 +102,11 @@ def quality_classifier(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def keep_good(docs: DataFrame, text_col: str = "text", train_rows: int = TRAIN_ROWS, keep_at: float = KEEP_AT) -> DataFrame:
-    """The rows of ``docs`` that the classifier keeps, with the columns of ``docs``."""
+    """The rows of ``docs`` that the classifier keeps, with the columns of ``docs``, whatever their names.
+
+    Cases: null and empty texts have no tokens and stay or go by the scorer's prior; repeated rows and ties share one verdict; null ids and
+    very long texts are rows like others; an empty table gives an empty result.
+    """
     _, scorer = fit_quality(docs, text_col, train_rows)
     out = score_quality(docs, scorer, text_col).where(F.col("score") >= keep_at)
     return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])

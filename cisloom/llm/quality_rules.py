@@ -13,6 +13,8 @@ REPEAT_WINDOW = 8
 #: Base limits of the query contract.
 BASE_MIN_WORDS, BASE_MAX_REPEAT_PERCENT = 20, 30
 KEEP_AT = 0.5
+#: Rules that vote on either side; the others call text bad or abstain.
+BOTH_SIDES = frozenset({"plain"})
 
 
 def _repeated_words(words: Column) -> Column:
@@ -96,18 +98,18 @@ def votes(stats: DataFrame) -> dict[str, Column]:
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_at: float = KEEP_AT) -> DataFrame:
     """Posterior quality of every row of ``docs`` by rules that vote or abstain.
 
-    One pass computes counts, which are checkpointed (a few numbers a row); their vote patterns, at most 3**8, fit the
-    accuracies; the posterior is a lookup.  No shuffle but that of the pattern counts.
+    One pass computes counts, which are checkpointed (a few numbers a row); their vote patterns, at most 3**8, fit how each rule votes
+    on good text and on every kind of bad text; the posterior is a lookup.  No shuffle but that of the pattern counts.
 
     Cases: a null or empty text has no words (``base_failed``); repeated rows and ids are judged each on its own; a null id
-    stays; other columns of ``docs`` are not read; an empty table gives an empty result.
+    stays; very long texts are split within one row, whole; other columns of ``docs`` are not read; an empty table gives an empty result.
 
     Returns id, counts, ``base_failed``, ``p_good``, ``kept`` and the votes ``vote_<rule>``.
     """
     stats = text_stats(docs, id_col, text_col)
     rules = votes(stats)
     voted = cut(stats.select("*", *[v.alias(f"vote_{k}") for k, v in rules.items()]).withColumn("code", pattern([F.col(f"vote_{k}") for k in rules])))
-    model = fit_frame(voted, "code", len(rules))
+    model = fit_frame(voted, "code", [k in BOTH_SIDES for k in rules])
     failed = (F.col("n_words") < BASE_MIN_WORDS) | (100 * F.col("n_repeat_words") > BASE_MAX_REPEAT_PERCENT * F.col("n_words"))
     return (
         voted.withColumns({"base_failed": failed, "p_good": posterior_of(model, F.col("code"))})

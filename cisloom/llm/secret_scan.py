@@ -21,7 +21,7 @@ HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
 # Weak candidates: told only together with a part that completes them.
 IDENTIFIER = re.compile(r"""(?:user(?:name)?|login|account|client_?id|access_?key_?id)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@._-]{3,})""", re.I | re.A)
 KEY = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}+={0,2}(?![A-Za-z0-9+/_=-])", re.A)
-ENDPOINT = re.compile(r"https?://[^\s\"'<>]+|(?<![\w.])(?:[a-z0-9-]+\.)+(?:com|net|io|org|cloud|internal)\b(?::\d+)?|(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w.])(?::\d+)?", re.A)
+ENDPOINT = re.compile(r"https?://[^\s\"'<>]+|(?<![\w.-])(?:[a-z0-9][a-z0-9-]{0,62}+\.){1,8}(?:com|net|io|org|cloud|internal)\b(?::\d+)?|(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w.])(?::\d+)?", re.A)
 ENDPOINT_HINT = re.compile(r"://|\.(?:com|net|io|org|cloud|internal)|\d\.\d", re.A)
 
 KINDS = ("assign", "access", "hex", "identifier", "key", "endpoint")

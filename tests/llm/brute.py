@@ -97,3 +97,40 @@ def base_licenses(text: str | None) -> tuple:
     found = [(i, label) for p, label in phrases.items() for i in range(len(w)) if w[i : i + len(p.split())] == p.split()]
     at = [i for i, _ in found]
     return len(w), len(found), min(at, default=None), max(at, default=None), ",".join(sorted({x for _, x in found}))
+
+
+def vote_model(counts: dict, two_sided: list, rounds: int, prior_rows: float, prior_share: float, sides: tuple) -> dict:
+    """Posterior of every vote pattern (tuples of -1, 0, 1) by EM over one good class and a bad class a labeller, in numpy."""
+    import numpy as np
+
+    pats, n = np.array(list(counts)), np.array(list(counts.values()), float)
+    r = pats.shape[1]
+    hot = (pats[:, :, None] == np.array([-1, 0, 1])).astype(float)
+    own = np.array([sides[0] if t else sides[1] for t in two_sided])  # labeller, (own kind, other kind, good), vote
+    prior = np.stack([np.where(np.arange(r)[:, None] == c, own[:, 0], own[:, 1]) for c in range(r)] + [own[:, 2]])
+    usual = np.array([(1 - prior_share) / r] * r + [prior_share])
+    bad = (pats == -1).astype(float)
+    says = bad.sum(1, keepdims=True)
+    belief = np.where(says > 0, np.hstack([0.95 * bad / np.maximum(says, 1), np.full((len(n), 1), 0.05)]), np.array([0.05 / r] * r + [0.95]))
+    for _ in range(rounds):
+        shares = (n @ belief + prior_rows * usual) / (n.sum() + prior_rows)
+        votes = np.einsum("pc,prv->crv", belief * n[:, None], hot) + prior_rows * prior
+        votes /= votes.sum(2, keepdims=True)
+        like = shares * np.exp(np.einsum("prv,crv->pc", hot, np.log(np.maximum(votes, 1e-300))))
+        belief = like / like.sum(1, keepdims=True)
+    return {tuple(p): b for p, b in zip(pats.tolist(), belief[:, -1].tolist(), strict=True)}
+
+
+def weak_secrets(text: str | None, scope: int, patterns: dict, random_key) -> list[tuple[int, int, int]]:
+    """Linked weak spans by comparing every pair of parts; ``patterns`` by kind (3 identifier, 4 key, 5 endpoint)."""
+    t = text or ""
+    base = base_secrets(t)
+    weak = [(m.start(), k, m.end()) for k, p in patterns.items() for m in p.finditer(t) if k != 4 or random_key(m[0])]
+    weak = [w for w in weak if not any(w[0] < b[2] and b[0] < w[2] for b in base)]
+    role = (0, 1, 0, 1, 0, 2)
+    out = []
+    for w in weak:
+        near = {role[p[1]] for p in (*base, *weak) if p != w and p[0] < w[2] + scope and p[2] > w[0] - scope}
+        if (w[1] == 4 and near & {1, 2}) or (w[1] == 3 and 0 in near) or (w[1] == 5 and {0, 1} <= near):
+            out.append(w)
+    return sorted(base + out)
