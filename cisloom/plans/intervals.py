@@ -153,12 +153,22 @@ def _lengths(spark, d):
     return X.events(spark, d).groupBy("seq").agg((F.max("r_end") - F.min("r_start") + 1).alias("n"))
 
 
-@query()
+def _dummy(repeats: int, seed: int = 3) -> str:
+    """Sequences end to end by the hash of their names, and each draw at a hash of its row."""
+    return f"""{X.EV}, sl AS (SELECT seq, max(r_end) - min(r_start) + 1 AS n FROM ev GROUP BY seq),
+pl AS (SELECT seq, sum(n) OVER w - n AS lo, sum(n) OVER w AS hi FROM sl WHERE n > 0 WINDOW w AS (ORDER BY md5(seq), seq, n ROWS UNBOUNDED PRECEDING)), tt AS (SELECT sum(n) AS total FROM sl WHERE n > 0),
+dr AS (SELECT rep, a.*, CAST('0x' || substr(md5('{seed}:' || rep || ':' || seq || ':' || r_start || ':' || r_end || ':' || feature), 1, 12) AS BIGINT) % total AS pos FROM a, tt, range({repeats}) t(rep)),
+dm AS (SELECT CAST(rep AS INTEGER) AS rep, pl.seq, CAST(pos - lo AS BIGINT) AS r_start, CAST(pos - lo + dr.r_end - dr.r_start AS BIGINT) AS r_end, strand, score, source, feature, grp FROM dr ASOF JOIN pl ON dr.pos >= pl.lo)"""
+
+
+@query(f"WITH {_dummy(100)}, mn AS (SELECT seq, min(r_start) AS m FROM ev GROUP BY seq), bs AS (SELECT b.seq, b.r_start - m AS r_start, b.r_end - m AS r_end FROM b JOIN mn USING (seq)), ht AS (SELECT rep, count(*) FILTER (EXISTS (SELECT 1 FROM bs b WHERE b.seq = dm.seq AND b.r_start <= dm.r_end AND dm.r_start <= b.r_end)) / count(*)::DOUBLE AS share FROM dm GROUP BY rep) SELECT round(avg(share), 9) AS expected, count(*) AS repeats FROM ht")
 def region_dummy_expected(spark, d):
-    return R.expected_overlap(X.a(spark, d), X.b(spark, d), _lengths(spark, d), seed=3)
+    first = X.events(spark, d).groupBy("seq").agg(F.min("r_start").alias("first"))
+    b = X.b(spark, d).join(first, "seq").withColumns({c: F.col(c) - F.col("first") for c in ("r_start", "r_end")}).drop("first")
+    return R.expected_overlap(X.a(spark, d), b, _lengths(spark, d), seed=3).withColumn("expected", F.round("expected", 9))
 
 
-@query()
+@query(f"WITH {_dummy(2)} SELECT rep, seq, r_start, r_end, strand, score, source, feature, grp FROM dm")
 def region_dummy(spark, d):
     return R.dummy(X.a(spark, d), _lengths(spark, d), repeats=2, seed=3)
 

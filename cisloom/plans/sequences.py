@@ -252,7 +252,7 @@ def feature_filter(spark, d):
     return _long(LEAF.filter([4, 0, 63, 2]).transform(_whole(spark, d)))
 
 
-@query(f"WITH {EMB} " + _unnest("flatten(list_transform(range(1, len(v) + 1), lambda i: list_transform(range(1, i + 1), lambda j: v[i] * v[j])))", "em"))
+@query(f"WITH {EMB}, l AS (SELECT sid, i, v[i + 1] AS v FROM (SELECT sid, v, unnest(range(0, len(v))) AS i FROM em)) SELECT x.sid, CAST(x.i * (x.i + 1) // 2 + y.i AS INTEGER) AS i, round(x.v * y.v, 6) + 0.0::DOUBLE AS v FROM l x JOIN l y ON x.sid = y.sid AND y.i <= x.i")
 def feature_square(spark, d):
     return _long(LEAF.square().transform(_whole(spark, d)))
 
@@ -267,7 +267,7 @@ s AS (SELECT i, coalesce(sum(v) FILTER (up), 0) AS p, coalesce(sum(v) FILTER (NO
 w AS (SELECT i, ln((p + CASE WHEN p = 0 OR n = 0 THEN 1 ELSE 0 END) / np) - ln((n + CASE WHEN p = 0 OR n = 0 THEN 1 ELSE 0 END) / nn) AS w FROM s)"""
 
 
-@query(f"WITH {EMB}, {ODDS} SELECT sid, CAST(i AS INTEGER) AS i, round(v * w, 6) AS v FROM l JOIN w USING (i)")
+@query(f"WITH {EMB}, {ODDS} SELECT sid, CAST(i AS INTEGER) AS i, round(v * w, 6) + 0.0::DOUBLE AS v FROM l JOIN w USING (i)")
 def feature_log_odds(spark, d):
     e = _signed(spark, d).withColumn("features", F.transform("features", lambda x: F.abs(x)))
     return _long(LEAF.log_odds().fit(e, F.col("label")).transform(e))
