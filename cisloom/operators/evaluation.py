@@ -12,50 +12,59 @@ from pyspark.sql import functions as F
 from ..core import in_order, kept
 
 
-def _once(scored: DataFrame) -> DataFrame:
-    """Scores are read several times and may be dear to compute: they are written once."""
-    return kept(scored.select("id", "score", "positive"))
+By = tuple[str, ...]
 
 
-def _running(scored: DataFrame, descending: bool) -> DataFrame:
-    """``scored`` with ``rn``, ``tp`` and ``fp``: rows, positives and negatives up to and including each row; positives come first on ties."""
-    way = F.col("score").desc() if descending else F.col("score").asc()
-    df = in_order(scored.where("score IS NOT NULL"), way, F.col("positive").desc(), "id")
-    p, n = F.col("positive").cast("bigint"), (~F.col("positive")).cast("bigint")
-    totals = df.groupBy("_part").agg(F.sum(p).alias("p"), F.sum(n).alias("n"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
-    base = totals.select("_part", F.coalesce(F.sum("p").over(before), F.lit(0)).alias("p0"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n0"))
-    order = Window.partitionBy("_part").orderBy("_row").rowsBetween(Window.unboundedPreceding, 0)
-    out = df.join(F.broadcast(base), "_part").withColumns({"tp": F.col("p0") + F.sum(p).over(order), "fp": F.col("n0") + F.sum(n).over(order)})
-    return out.withColumn("rn", F.col("tp") + F.col("fp")).select("id", "score", "positive", "rn", "tp", "fp")
+def _once(scored: DataFrame, by: By = ()) -> DataFrame:
+    """Scores are read several times and may be dear to compute: they are written once."""
+    return kept(scored.select(*by, "id", "score", "positive"))
 
 
-def _totals(scored: DataFrame) -> DataFrame:
-    return scored.agg(F.coalesce(F.sum(F.col("positive").cast("bigint")), F.lit(0)).alias("np"), F.coalesce(F.sum((~F.col("positive")).cast("bigint")), F.lit(0)).alias("nn"))
+def _beside(df: DataFrame, small: DataFrame, by: By) -> DataFrame:
+    """``df`` with the columns of ``small``, one row a group."""
+    return df.join(F.broadcast(small), list(by)) if by else df.crossJoin(F.broadcast(small))
 
 
-def roc(scored: DataFrame) -> DataFrame:
-    """Points (rank, x false positive rate, y true positive rate): one a sample, between (0, 0) and (1, 1); the diagonal if a class is empty."""
-    scored = _once(scored)
-    t = _totals(scored)
-    points = _running(scored, True).crossJoin(F.broadcast(t)).where("np > 0 AND nn > 0")
-    points = points.select(F.col("rn").alias("rank"), (F.col("fp") / F.col("nn")).alias("x"), (F.col("tp") / F.col("np")).alias("y"))
-    ends = t.select(F.explode(F.array(F.struct(F.lit(0).cast("bigint").alias("rank"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y")), F.struct((F.col("np") + F.col("nn") + 1).alias("rank"), F.lit(1.0).alias("x"), F.lit(1.0).alias("y")))).alias("e")).select("e.*")
+def _running(scored: DataFrame, descending: bool, by: By = ()) -> DataFrame:
+    """``scored`` with ``rn``, ``tp`` and ``fp``: rows, positives and negatives of its group up to and including each row; positives come first on ties."""
+    way = F.col("score").desc() if descending else F.col("score").asc()
+    df = in_order(scored.where("score IS NOT NULL"), *by, way, F.col("positive").desc(), "id")
+    p, n = F.col("positive").cast("bigint"), (~F.col("positive")).cast("bigint")
+    totals = df.groupBy(*by, "_part").agg(F.sum(p).alias("p"), F.sum(n).alias("n"))
+    before = (Window.partitionBy(*by) if by else Window).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    base = totals.select(*by, "_part", F.coalesce(F.sum("p").over(before), F.lit(0)).alias("p0"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n0"))
+    order = Window.partitionBy(*by, "_part").orderBy("_row").rowsBetween(Window.unboundedPreceding, 0)
+    out = _beside(df, base, (*by, "_part")).withColumns({"tp": F.col("p0") + F.sum(p).over(order), "fp": F.col("n0") + F.sum(n).over(order)})
+    return out.withColumn("rn", F.col("tp") + F.col("fp")).select(*by, "id", "score", "positive", "rn", "tp", "fp")
+
+
+def _totals(scored: DataFrame, by: By = ()) -> DataFrame:
+    positive, negative = F.col("positive").cast("bigint"), (~F.col("positive")).cast("bigint")
+    return scored.groupBy(*by).agg(F.coalesce(F.sum(positive), F.lit(0)).alias("np"), F.coalesce(F.sum(negative), F.lit(0)).alias("nn"))
+
+
+def roc(scored: DataFrame, by: By = ()) -> DataFrame:
+    """Points (*by, rank, x false positive rate, y true positive rate): one a sample, between (0, 0) and (1, 1); the diagonal if a class is empty."""
+    scored = _once(scored, by)
+    t = _totals(scored, by)
+    points = _beside(_running(scored, True, by), t, by).where("np > 0 AND nn > 0")
+    points = points.select(*by, F.col("rn").alias("rank"), (F.col("fp") / F.col("nn")).alias("x"), (F.col("tp") / F.col("np")).alias("y"))
+    ends = t.select(*by, F.explode(F.array(F.struct(F.lit(0).cast("bigint").alias("rank"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y")), F.struct((F.col("np") + F.col("nn") + 1).alias("rank"), F.lit(1.0).alias("x"), F.lit(1.0).alias("y")))).alias("e")).select(*by, "e.*")
     return points.unionByName(ends)
 
 
-def prc(scored: DataFrame, steps: int = 4) -> DataFrame:
-    """Points (rank, x recall, y precision): each sample in ``steps`` equal parts, between (0, 0) and (1, P / (P + N))."""
-    scored = _once(scored)
-    t = _totals(scored)
-    r = _running(scored, True).crossJoin(F.broadcast(t)).where("np > 0 AND nn > 0").withColumn("j", F.explode(F.sequence(F.lit(1), F.lit(steps))))
+def prc(scored: DataFrame, by: By = (), steps: int = 4) -> DataFrame:
+    """Points (*by, rank, x recall, y precision): each sample in ``steps`` equal parts, between (0, 0) and (1, P / (P + N))."""
+    scored = _once(scored, by)
+    t = _totals(scored, by)
+    r = _beside(_running(scored, True, by), t, by).where("np > 0 AND nn > 0").withColumn("j", F.explode(F.sequence(F.lit(1), F.lit(steps))))
     pos = F.col("positive").cast("bigint")
     tp = F.col("tp") - pos + pos * F.col("j") / steps
     fp = F.col("fp") - (1 - pos) + (1 - pos) * F.col("j") / steps
-    points = r.select((F.col("rn") * steps + F.col("j")).alias("rank"), (tp / F.col("np")).alias("x"), (tp / (tp + fp)).alias("y"))
+    points = r.select(*by, (F.col("rn") * steps + F.col("j")).alias("rank"), (tp / F.col("np")).alias("x"), (tp / (tp + fp)).alias("y"))
     some = (F.col("np") > 0) & (F.col("nn") > 0)
     last = F.struct(((F.col("np") + F.col("nn") + 2) * steps).cast("bigint").alias("rank"), F.lit(1.0).alias("x"), F.when(some, F.col("np") / (F.col("np") + F.col("nn"))).otherwise(0.0).alias("y"))
-    ends = t.select(F.explode(F.array(F.struct(F.lit(0).cast("bigint").alias("rank"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y")), last)).alias("e")).select("e.*")
+    ends = t.select(*by, F.explode(F.array(F.struct(F.lit(0).cast("bigint").alias("rank"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y")), last)).alias("e")).select(*by, "e.*")
     return points.unionByName(ends)
 
 
@@ -97,19 +106,18 @@ def accuracy_threshold(scored: DataFrame) -> DataFrame:
     return right.unionByName(start).agg(F.max_by("score", F.struct("right", "rn")).alias("threshold"))
 
 
-def precision_threshold(scored: DataFrame, wanted: float) -> DataFrame:
-    """The lowest score from which precision reaches ``wanted``, interpolated with the one before it; the highest score if it never does."""
-    scored = _once(scored)
-    t = _totals(scored)
-    r = _running(scored, False).crossJoin(F.broadcast(t))
+def precision_threshold(scored: DataFrame, wanted: float, by: By = ()) -> DataFrame:
+    """(*by, threshold): the lowest score from which precision reaches ``wanted``, interpolated with the one before it; the highest score if it never does."""
+    scored = _once(scored, by)
+    r = _beside(_running(scored, False, by), _totals(scored, by), by)
     tp, fp = F.col("np") - F.col("tp") + F.col("positive").cast("bigint"), F.col("nn") - F.col("fp") + (~F.col("positive")).cast("bigint")
-    p = r.select("rn", "score", (tp / (tp + fp)).alias("p"))
-    first = p.agg(F.coalesce(F.min(F.when(F.col("p") >= wanted, F.col("rn"))), F.max("rn")).alias("at"))
-    two = p.crossJoin(F.broadcast(first)).where("rn = at OR rn = at - 1")
-    x = two.agg(F.max_by("score", "rn").alias("s1"), F.max_by("p", "rn").alias("p1"), F.min_by("score", "rn").alias("s0"), F.min_by("p", "rn").alias("p0"), F.count(F.lit(1)).alias("n"))
+    p = r.select(*by, "rn", "score", (tp / (tp + fp)).alias("p"))
+    first = p.groupBy(*by).agg(F.coalesce(F.min(F.when(F.col("p") >= wanted, F.col("rn"))), F.max("rn")).alias("at"))
+    two = _beside(p, first, by).where("rn = at OR rn = at - 1")
+    x = two.groupBy(*by).agg(F.max_by("score", "rn").alias("s1"), F.max_by("p", "rn").alias("p1"), F.min_by("score", "rn").alias("s0"), F.min_by("p", "rn").alias("p0"), F.count(F.lit(1)).alias("n"))
     s0, p0 = F.when(F.col("n") == 2, F.col("s0")).otherwise(0.0), F.when(F.col("n") == 2, F.col("p0")).otherwise(-1.0)
     mid = s0 + (wanted - p0) * (F.col("s1") - s0) / (F.col("p1") - p0)
-    return x.select(F.when((F.col("p1") >= wanted) & (F.col("p1") > p0), mid).otherwise(F.col("s1")).alias("threshold"))
+    return x.select(*by, F.when((F.col("p1") >= wanted) & (F.col("p1") > p0), mid).otherwise(F.col("s1")).alias("threshold"))
 
 
 def interval95(value: Column) -> tuple[Column, Column]:

@@ -190,14 +190,12 @@ class CrossValidation:
     trained: dict[str, list[BaseModel]]
     scored: DataFrame
 
-    def _by_repeat(self) -> list[tuple[str, int, DataFrame]]:
-        rows = self.scored.select("model", "rep", F.col("sid").alias("id"), "score", (F.col("label") > 0).alias("positive"))
-        return [(name, rep, rows.where((F.col("model") == name) & (F.col("rep") == rep)).select("id", "score", "positive")) for name, reps in self.trained.items() for rep in range(len(reps))]
+    def _samples(self) -> DataFrame:
+        return self.scored.select("model", "rep", F.col("sid").alias("id"), "score", (F.col("label") > 0).alias("positive"))
 
     def curves(self, kind: str = "roc") -> DataFrame:
         """(model, rep, rank, x, y): points of the ROC or PRC curve of each model on each repeat, for plots and for ``average_by_x``."""
-        draw = {"roc": evaluation.roc, "prc": evaluation.prc}[kind]
-        return reduce(DataFrame.unionByName, [draw(s).select(F.lit(name).alias("model"), F.lit(rep).alias("rep"), "rank", "x", "y") for name, rep, s in self._by_repeat()])
+        return {"roc": evaluation.roc, "prc": evaluation.prc}[kind](self._samples(), ("model", "rep"))
 
     def areas(self) -> DataFrame:
         """(model, rep, roc_auc, prc_auc)."""
@@ -206,7 +204,7 @@ class CrossValidation:
 
     def thresholds(self, precision: float = 0.8) -> DataFrame:
         """(model, rep, threshold) at which each model reaches ``precision`` on its repeat's validation rows."""
-        return reduce(DataFrame.unionByName, [evaluation.precision_threshold(s, precision).select(F.lit(name).alias("model"), F.lit(rep).alias("rep"), "threshold") for name, rep, s in self._by_repeat()])
+        return evaluation.precision_threshold(self._samples(), precision, ("model", "rep"))
 
     def predict(self, windows: DataFrame, thresholds: DataFrame) -> DataFrame:
         """(model, rep, seq, r_start, r_end, score): regions that each trained model predicts from ``windows`` (seq, r_start, r_end, features) at its threshold."""

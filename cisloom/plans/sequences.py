@@ -466,11 +466,41 @@ def cv_split(spark, d):
     return MOD.cv_split(s.select("sid", "dna", F.col("label").alias("y")), F.col("y"), repeats=3, ratio=0.6, seed=9).select("rep", "sid", "label", "part")
 
 
-@query()
+REPEATS = 20
+CV = f"""{EMB}, sg AS (SELECT sid, CASE WHEN label % 2 = 1 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS y, v FROM em), z AS (SELECT count_if(y > 0) AS p, count_if(y < 0) AS n FROM sg),
+r AS (SELECT rep, sid, y, row_number() OVER (PARTITION BY rep, y ORDER BY md5('9:' || rep || ':' || sid), sid) AS i FROM sg, range({REPEATS}) t(rep)),
+tr AS (SELECT rep, sid, y FROM r, z WHERE i <= floor(least(p, n) * 0.6)),
+rest AS (SELECT rep, sid, y, row_number() OVER (PARTITION BY rep, y ORDER BY md5('9:' || rep || ':' || sid), sid) AS i FROM r ANTI JOIN tr USING (rep, sid)),
+q AS (SELECT rep, floor(least(count_if(y > 0)::DOUBLE, count_if(y < 0) / (any_value(n) / any_value(p)::DOUBLE))) AS pos, any_value(n) / any_value(p)::DOUBLE AS want FROM rest, z GROUP BY rep),
+va AS (SELECT rep, sid, y FROM rest JOIN q USING (rep) WHERE i <= CASE WHEN y > 0 THEN pos ELSE floor(pos * want) END),
+l AS (SELECT sid, y, i, abs(v[i + 1]) AS v FROM (SELECT *, unnest(range(0, len(v))) AS i FROM sg)),
+wl AS (SELECT rep, i, coalesce(sum(v) FILTER (l.y > 0), 0) AS p, coalesce(sum(v) FILTER (l.y < 0), 0) AS n, count_if(l.y > 0) AS np, count_if(l.y < 0) AS nn FROM tr JOIN l USING (sid) GROUP BY rep, i),
+w AS (SELECT rep, i, ln((p + CASE WHEN p = 0 OR n = 0 THEN 1 ELSE 0 END) / np) - ln((n + CASE WHEN p = 0 OR n = 0 THEN 1 ELSE 0 END) / nn) AS w FROM wl),
+cs AS (SELECT 'log-odds' AS model, va.rep, va.sid, va.y AS label, round(sum(v * w), 6) AS score FROM va JOIN l USING (sid) JOIN w ON w.rep = va.rep AND w.i = l.i GROUP BY va.rep, va.sid, va.y
+  UNION ALL SELECT 'dummy', va.rep, va.sid, va.y, round(sum(v), 6) FROM va JOIN l USING (sid) GROUP BY va.rep, va.sid, va.y)"""
+
+
+def _validated(spark, d):
+    e = _signed(spark, d).withColumn("dna", F.col("sid").cast("string")).withColumn("features", F.transform("features", lambda x: F.abs(x))).withColumnRenamed("label", "y")
+    cv = MOD.cross_validation(MOD.cv_split(e, F.col("y"), repeats=REPEATS, ratio=0.6, seed=9), {"log-odds": MOD.LogOdds(), "dummy": MOD.Dummy()}, REPEATS)
+    return MOD.CrossValidation(cv.trained, cv.scored.withColumn("score", F.round("score", 6)))
+
+
+@query(f"WITH {CV} SELECT model, CAST(rep AS INTEGER) AS rep, sid, label, score FROM cs")
+def cv_scores(spark, d):
+    return _validated(spark, d).scored
+
+
+@query(f"""WITH {CV}, ru AS (SELECT *, label > 0 AS pos, row_number() OVER o AS rn, sum((label > 0)::INT) OVER o AS tp, sum((label < 0)::INT) OVER o AS fp, count_if(label > 0) OVER k AS np, count_if(label < 0) OVER k AS nn FROM cs
+  WINDOW o AS (PARTITION BY model, rep ORDER BY score DESC, label DESC, sid ROWS UNBOUNDED PRECEDING), k AS (PARTITION BY model, rep)),
+ra AS (SELECT model, rep, sum(CASE WHEN pos THEN 0 ELSE tp / np::DOUBLE / nn END) AS roc FROM ru GROUP BY ALL),
+pq AS (SELECT model, rep, rn * 4 + j AS k, np, nn, tp - pos::INT + pos::INT * j / 4::DOUBLE AS t, fp - (NOT pos)::INT + (NOT pos)::INT * j / 4::DOUBLE AS f FROM ru, range(1, 5) g(j)),
+pc AS (SELECT model, rep, k, t / np AS x, t / (t + f) AS y FROM pq UNION ALL SELECT DISTINCT model, rep, 0, 0, 0 FROM ru UNION ALL SELECT DISTINCT model, rep, (np + nn + 2) * 4, 1, np / (np + nn)::DOUBLE FROM ru),
+pa AS (SELECT model, rep, sum((x - px) * (y + py) / 2) AS prc FROM (SELECT *, lag(x) OVER o AS px, lag(y) OVER o AS py FROM pc WINDOW o AS (PARTITION BY model, rep ORDER BY k)) GROUP BY ALL)
+SELECT model, round(avg(roc), 6) AS roc_auc_mean, round(1.96 * stddev_samp(roc) / sqrt(count(*)), 6) AS roc_auc_ci, round(avg(prc), 6) AS prc_auc_mean, round(1.96 * stddev_samp(prc) / sqrt(count(*)), 6) AS prc_auc_ci FROM ra JOIN pa USING (model, rep) GROUP BY model""")
 def cv_auc_table(spark, d):
-    e = _signed(spark, d).withColumn("dna", F.concat_ws(",", "features")).withColumn("features", F.transform("features", lambda x: F.abs(x))).withColumnRenamed("label", "y")
-    s = MOD.cv_split(e, F.col("y"), repeats=20, ratio=0.6, seed=9)
-    return MOD.auc_table(MOD.cross_validate(s, {"log-odds": MOD.LogOdds(), "dummy": MOD.Dummy()}, 20))
+    t = MOD.auc_table(_validated(spark, d).areas())
+    return t.select("model", *[F.round(c, 6).alias(c) for c in t.columns if c != "model"])
 
 
 def _signed(spark, d):
