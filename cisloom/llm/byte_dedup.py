@@ -326,3 +326,17 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(documents(spark, sf_dir), with_bytes=False)
+
+
+OP9_SQL = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n FROM documents),
+w AS (SELECT doc_id, unnest(range(0, n - 99)) AS p, unnest(list_transform(range(0, n - 99), lambda i: md5(substr(h, CAST(2 * i + 1 AS BIGINT), 200)))) AS k FROM d WHERE n >= 100),
+f AS (SELECT doc_id, p FROM (SELECT doc_id, p, row_number() OVER (PARTITION BY k ORDER BY doc_id, p) AS nth FROM w) WHERE nth > 1),
+l AS (SELECT doc_id, p, p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS gap FROM f),
+i AS (SELECT doc_id, p, gap, sum(CASE WHEN gap <= 100 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY p ROWS UNBOUNDED PRECEDING) AS run FROM l),
+s AS (SELECT doc_id, run, min(p) AS a, max(p) + 100 AS b FROM i GROUP BY doc_id, run),
+k AS (SELECT s.doc_id, a, b, substr(h, CAST(2 * lag(b, 1, 0) OVER o + 1 AS BIGINT), CAST(2 * (a - lag(b, 1, 0) OVER o) AS BIGINT)) AS before FROM s JOIN d USING (doc_id) WINDOW o AS (PARTITION BY s.doc_id ORDER BY a)),
+t AS (SELECT doc_id, sum(b - a) AS gone, count(*) AS spans, string_agg(before, '' ORDER BY a) AS kept, max(b) AS last FROM k GROUP BY doc_id)
+SELECT d.doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(coalesce(kept, '') || substr(h, CAST(2 * coalesce(last, 0) + 1 AS BIGINT)))) AS kept_sha256 FROM d LEFT JOIN t USING (doc_id)
+"""

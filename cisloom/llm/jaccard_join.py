@@ -437,3 +437,13 @@ def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(documents(spark, sf_dir))
+
+
+OP8_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, CASE WHEN text IS NULL THEN [] ELSE regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') END AS w FROM documents),
+g AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i : i + 2], ' '))) END AS s FROM d),
+t AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM g),
+e AS (SELECT a.doc_id AS u, b.doc_id AS v FROM t a JOIN t b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+r AS (SELECT doc_id AS u, doc_id AS v FROM g UNION SELECT r.u, e.v FROM r JOIN e ON r.v = e.u)
+SELECT g.doc_id, CAST(len(s) AS BIGINT) AS n_shingles, c.component_id FROM g JOIN (SELECT u, min(v) AS component_id FROM r GROUP BY u) c ON c.u = g.doc_id
+"""

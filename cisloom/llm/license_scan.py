@@ -25,10 +25,22 @@ TEMPLATES = {
     "cc-by-nc-4.0": ("licensed under cc by nc 4 0", ["cc by nc"]),
     "cc-by-4.0": ("this work is licensed under a creative commons attribution 4 0 international license", ["creative commons attribution"]),
     "mpl-2.0": ("this source code form is subject to the terms of the mozilla public license v 2 0", ["mozilla public license"]),
+    "gpl-warranty": ("this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose", ["in the hope that it will be useful", "implied warranty of merchantability"]),
+    "lgpl-program": ("this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation", ["gnu lesser general public license", "redistribute it and or modify"]),
+    "agpl-program": ("this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation", ["gnu affero general public license", "redistribute it and or modify"]),
+    "apache-2.0-terms": ("unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied", ["required by applicable law or agreed to in writing", "warranties or conditions of any kind"]),
+    "mit-warranty": ("the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement", ["copies or substantial portions of the software", "fitness for a particular purpose and noninfringement"]),
+    "bsd-3-clause": ("neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", ["endorse or promote products derived from this software", "specific prior written permission"]),
+    "unlicense": ("this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means", ["free and unencumbered software", "public domain"]),
+    "cc0-1.0": ("to the extent possible under law the author has waived all copyright and related or neighboring rights to this work", ["extent possible under law", "related or neighboring rights"]),
+    "cc-by-sa-4.0": ("this work is licensed under a creative commons attribution sharealike 4 0 international license", ["creative commons attribution sharealike"]),
+    "zlib": ("this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software", ["without any express or implied warranty", "authors be held liable for any damages"]),
+    "boost-1.0": ("distributed under the boost software license version 1 0 see accompanying file or copy at", ["boost software license"]),
+    "epl-2.0": ("this program and the accompanying materials are made available under the terms of the eclipse public license v 2 0", ["accompanying materials are made available", "eclipse public license"]),
     "isc": ("permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", ["permission to use copy modify"]),
 }
 #: Words of the templates too common in any prose to be looked up.
-COMMON = frozenset("a and any are as at by for in is it may not of or that the this to under use v with you your 0 2 3 4".split())
+COMMON = frozenset("a all an and any anyone are as at be but by can either even file for form from has held hope in into is it its kind law made may means name names nor not no of on or other see sell shall that the this to under use used v will with without work you your 0 1 2 3 4".split())
 #: Rarest words of each template found in a file that are looked up, and the share of a template's rarity that must agree in position.
 RAREST, AGREE = 6, 0.5
 

@@ -21,4 +21,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_license_scan": license_scan.op10_license_scan,
 }
 
-SQL: dict[str, str] = {"op4_substring_dedup": window_dedup.OP4_SQL, "op5_mixing": mixing.OP5_SQL}
+SQL: dict[str, str] = {"op4_substring_dedup": window_dedup.OP4_SQL, "op5_mixing": mixing.OP5_SQL, "op8_jaccard_join": jaccard_join.OP8_SQL, "op9_suffix_dedup": byte_dedup.OP9_SQL}

@@ -134,3 +134,33 @@ def weak_secrets(text: str | None, scope: int, patterns: dict, random_key) -> li
         if (w[1] == 4 and near & {1, 2}) or (w[1] == 3 and 0 in near) or (w[1] == 5 and {0, 1} <= near):
             out.append(w)
     return sorted(base + out)
+
+
+def licenses(rows: list[tuple], templates: dict, base: dict, common: frozenset, rarest: int, agree: float) -> list[tuple]:
+    """(id, labels, score) by scanning every template over every file."""
+    import math
+
+    vocabulary = {w for text, _ in templates.values() for w in text.split()} - common
+    files = [re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(LOWER)) for _, t in rows]
+    df = Counter(w for f in files for w in set(f) & vocabulary)
+    idf = {w: math.log1p(max(1, len(rows)) / (1 + df[w])) for w in vocabulary}
+    has = lambda f, p: any(f[i : i + len(p.split())] == p.split() for i in range(len(f)))
+    out = []
+    for (d, _), f in zip(rows, files, strict=True):
+        labels, best = {x for p, x in base.items() if has(f, p)}, 0.0
+        for name, (text, keys) in templates.items():
+            words = text.split()
+            known = set(words) & vocabulary
+            top = sorted(((idf[w], w) for w in set(f) & known), reverse=True)[:rarest]
+            whole = sum(sorted((idf[w] for w in known), reverse=True)[:rarest])
+            shifts = defaultdict(float)
+            for i, w in enumerate(f):
+                for j, x in enumerate(words):
+                    if w == x and (idf.get(w), w) in top:
+                        shifts[i - j] += idf[w]
+            score = min(1.0, max(shifts.values(), default=0.0) / max(sum(x for x, _ in top), whole * agree, 1e-9))
+            if score >= agree and all(has(f, k) for k in keys):
+                labels.add(name)
+                best = max(best, score)
+        out.append((d, ",".join(sorted(labels)), best))
+    return out

@@ -467,6 +467,25 @@ def test_license_scan(odd, rows, empty):
     assert license_scan.license_scan(empty).count() == 0
 
 
+def test_license_scan_equals_plain_scan(spark, small):
+    """Labels and scores of real rows, of whole and torn templates and of their mixtures, against a scan of every template over every file."""
+    rng = random.Random(11)
+    texts = [t for t, _ in license_scan.TEMPLATES.values()]
+    rows = [(r[0], r[1]) for r in spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").collect()]
+    for i in range(120):
+        parts = []
+        for _ in range(rng.randint(1, 4)):
+            w = rng.choice(texts).split()
+            a, b = sorted((rng.randint(0, len(w)), rng.randint(0, len(w)))) if rng.random() < 0.6 else (0, len(w))
+            w = [x.upper() if rng.random() < 0.1 else x for x in w[a:b] if rng.random() > 0.05]
+            parts.append(rng.choice([" ", ", ", "\n * "]).join(w))
+        rows.append((100_000 + i, " between ".join(parts)))
+    rows += [(None, None), (1_000_001, ""), (1_000_002, "warranty " * 300)]
+    got = {r[0]: (r[1], r[2]) for r in license_scan.license_scan(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)).select("doc_id", "labels", "score").collect()}
+    for d, labels, score in brute.licenses(rows, license_scan.TEMPLATES, license_scan.BASE, license_scan.COMMON, license_scan.RAREST, license_scan.AGREE):
+        assert got[d][0] == labels and abs(got[d][1] - score) < 1e-9, (d, got[d], labels, score)
+
+
 def test_license_scan_many_licences(spark):
     """One long licence does not use up the lookups of the others, whatever the filler between them."""
     notices = {k: text for k, (text, _) in license_scan.TEMPLATES.items()}
