@@ -20,7 +20,7 @@ def targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, budget: float
     Sources by code point, null last, take ``weights`` in turn and share ``budget`` times all words.  A source stops at ``max_epochs`` times its size
     and the excess goes to the others by weight, until none is above.  That is one water level: with the sources
     by cap / weight, level k is what the sources from k on get per unit of weight when those before are full, and the first k
-    whose level stays under its own cap / weight is the one.  One row per source goes through these windows.
+    whose level stays under its own cap / weight is the one.  These windows see one row a source, in one task: sources are few, whatever the rows.
     """
     weight = F.array(*[F.lit(float(w)) for w in weights])
     order = Window.orderBy(F.col("source").asc_nulls_last())
@@ -49,14 +49,14 @@ def mix(
     bucket totals give each bucket's place, and only rows of one bucket are ever sorted together, so that no source, however
     large, meets in one task.
 
-    Cases: a null text has size 0; a null source is a source of its own, the last; rows with a null id share one place in the order, and
-    repeated rows are taken each on its own; without words every target is 0; an empty table gives an empty result.
+    Cases: a null text has size 0; a null source is a source of its own, the last; rows with a null id stand by a hash of their text, and
+    repeated rows are taken each on its own; very long texts only count their words; without words every target is 0; an empty table gives an empty result.
 
     Returns ``carry`` columns, id, ``size``, ``source_size``, ``target``, ``copies`` and ``taken`` (copies times size).
     """
     size = F.regexp_count(text_of(docs, text_col), F.lit(WORD)).cast("long")
     source = docs[source_col].cast("string")
-    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(docs[id_col].cast("string"), F.lit(""))))
+    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(docs[id_col].cast("string"), F.md5(text_of(docs, text_col)))))
     own = [docs[id_col].alias("id"), source.alias("source"), F.coalesce(F.concat(F.lit("s"), source), F.lit("n")).alias("src"), size.alias("size"), key.alias("key")]
     kept = [docs[c].alias(f"carry_{i}") for i, c in enumerate(carry)]
     slim = docs.select(*own, *kept).withColumn("bucket", F.substring("key", 1, BUCKET_DIGITS))
@@ -81,7 +81,10 @@ def mix(
 
 
 def repeated(docs: DataFrame, **how) -> DataFrame:
-    """The mix itself: the rows of ``docs``, each as often as :func:`mix` takes it, with the columns of ``docs``."""
+    """The mix itself: the rows of ``docs``, each as often as :func:`mix` takes it, with the columns of ``docs``, whatever their names.
+
+    Cases as in :func:`mix`; rows without words are not taken, and an empty table gives an empty result.
+    """
     renamed = docs.toDF(*[f"col_{i}" for i in range(len(docs.columns))])
     names = {"id_col": "doc_id", "text_col": "text", "source_col": "source"} | {k: how.pop(k) for k in list(how) if k.endswith("_col")}
     at = {k: f"col_{docs.columns.index(v)}" for k, v in names.items()}
@@ -96,7 +99,7 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP5_SQL = r"""
-WITH d AS (SELECT doc_id, source, CASE WHEN text IS NULL THEN 0 ELSE len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) END AS size, md5('17:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS key FROM documents),
+WITH d AS (SELECT doc_id, source, CASE WHEN text IS NULL THEN 0 ELSE len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) END AS size, md5('17:' || coalesce(CAST(doc_id AS VARCHAR), md5(coalesce(text, '')))) AS key FROM documents),
 s AS (SELECT source, CAST(sum(size) AS DOUBLE) AS source_size FROM d GROUP BY source),
 r AS (SELECT *, (row_number() OVER (ORDER BY source NULLS LAST) - 1) AS rank FROM s),
 w AS (SELECT *, [5.0::DOUBLE, 2.0::DOUBLE, 1.0::DOUBLE][CAST(rank % 3 AS INT) + 1] AS weight, 2.0::DOUBLE * source_size AS cap FROM r),

@@ -125,7 +125,7 @@ def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     One pass over the texts; spans (not texts) are checkpointed and only parts are shuffled, by text digest and cell.
 
     Cases: a null or empty text has no spans; copies share their links; repeated rows and null ids stay, one row
-    each; other columns are not read; an empty table gives an empty result.
+    each; very long texts take time in proportion to their length; other columns are not read; an empty table gives an empty result.
 
     Returns id, ``base`` and ``all_spans`` (arrays of start, kind, end in code points, end exclusive).
     """
@@ -135,9 +135,12 @@ def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return out.select(F.col("id").alias(id_col), "digest", "base", both.alias("all_spans"))
 
 
-def redact(docs: DataFrame, text_col: str = "text", mark: str = "<secret>") -> DataFrame:
+def redact(docs: DataFrame, text_col: str = "text", mark: str = "<secret>", length_col: str | None = None) -> DataFrame:
     """``docs`` with the spans of keys and identifiers in its text replaced by ``mark``; all rows and columns stay.
 
+    ``length_col`` names a column that gets the new length of the texts that change.  Null and empty texts have no spans; null ids,
+    repeated rows and clashing names stay as they are; an empty table gives an empty result.
+
     Spans come from :func:`secret_scan` by text digest, one row a text, so that copies and repeated rows are not multiplied.
     """
     flat = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
@@ -155,7 +158,11 @@ def redact(docs: DataFrame, text_col: str = "text", mark: str = "<secret>") -> D
     clean = F.aggregate(hidden, zero, step, lambda a: F.concat(a["out"], F.col(text).substr(a["at"] + 1, F.length(F.col(text)))))
     joined = flat.withColumn("digest", F.md5(F.coalesce(text, F.lit("")))).join(spans, "digest", "left")
     shown = F.when(n > 0, clean).otherwise(F.col(text))
-    return joined.select(*[(shown if c == text else F.col(c)).alias(o) for c, o in zip(flat.columns, docs.columns, strict=True)])
+    out = joined.withColumn(text, shown)
+    if length_col is not None:
+        at = f"c{docs.columns.index(length_col)}"
+        out = out.withColumn(at, F.when(n > 0, F.length(text)).otherwise(F.col(at)).cast(docs.schema[length_col].dataType))
+    return out.select(*[F.col(c).alias(o) for c, o in zip(flat.columns, docs.columns, strict=True)])
 
 
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from cisloom.llm.bpe import encode_texts
 from cisloom.llm.common import stored
@@ -14,34 +13,48 @@ from cisloom.llm.secret_scan import redact
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that the weakly labelled classifier keeps, all columns as they are."""
+    """Rows that the weakly labelled classifier keeps, all columns as they are.
+
+    Null and empty texts stay or go by the scorer's prior; copies share a verdict; an empty table stays empty.
+    """
     return keep_good(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near duplicates (shingles of five words, Jaccard 0.8 or more): that with the smallest doc_id."""
+    """One row of each group of near duplicates (shingles of five words, Jaccard 0.8 or more): that with the smallest doc_id.
+
+    Rows without words all stay; null ids count as largest; of rows with one id and text one stays; an empty table stays empty.
+    """
     return first_of_each(docs, shingle=5, percent=80)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All rows; keys and identifiers in their texts are replaced, and n_chars follows the text where it changed."""
-    clean = redact(docs)
-    return clean.withColumn("n_chars", F.when(F.col("text").contains("<secret>"), F.length("text")).otherwise(F.col("n_chars")).cast("long")) if "n_chars" in docs.columns else clean
+    """All rows; keys and identifiers in their texts are replaced, and n_chars follows the text where it changed.
+
+    Null and empty texts, null ids and repeated rows stay as they are; an empty table stays empty.
+    """
+    return redact(docs, length_col="n_chars" if "n_chars" in docs.columns else None)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows as often as the mix of sources takes them."""
+    """Rows as often as the mix of sources takes them.
+
+    A null source is one of its own; rows without words are not taken; rows with a null id stand in the order by their text; an empty table stays empty.
+    """
     return repeated(docs)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each row, with digests of the ids and of the bytes they decode to."""
+    """Token ids of each row, with digests of the ids and of the bytes they decode to.
+
+    A null text has no ids; repeated rows are encoded each on its own; new columns give way to those there; an empty table gives an empty result.
+    """
     return encode_texts(docs)
 
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("secrets", secrets), ("mixing", mixing), ("encoding", encoding)]
 
-#: Expectation-maximisation and byte-pair merges are beyond SQL; tests compare every stage with a brute-force version.
+#: Expectation-maximisation and byte-pair merges are beyond SQL; tests/llm/test_pipeline.py holds the rows of every stage against a plain version of it.
 ORACLE_SQL = None
 
 

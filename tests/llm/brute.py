@@ -164,3 +164,42 @@ def licenses(rows: list[tuple], templates: dict, base: dict, common: frozenset,
                 best = max(best, score)
         out.append((d, ",".join(sorted(labels)), best))
     return out
+
+
+def redacted(text: str | None, spans: list[tuple[int, int, int]]) -> str | None:
+    """Spans but those of endpoints replaced; what overlaps becomes one mark."""
+    out, at = "", 0
+    for start, kind, end in spans:
+        if kind != 5:
+            if start >= at:
+                out += text[at:start] + "<secret>"
+            at = max(at, end)
+    return text and out + text[at:]
+
+
+def mixed(rows: list[tuple], weights: tuple, budget: float, epochs: float, seed: int) -> Counter:
+    """How often each (id, source, text) is taken: excess over the caps goes round until none is above."""
+    import math
+
+    size = {r: len(WORD.findall(r[2] or "")) for r in rows}
+    sources = sorted({r[1] for r in rows}, key=lambda s: (s is None, s or ""))
+    own = {s: sum(size[r] for r in rows if r[1] == s) for s in sources}
+    weight = {s: weights[i % len(weights)] for i, s in enumerate(sources)}
+    target, left, free = {}, budget * sum(own.values()), set(sources)
+    while free:
+        level = left / sum(weight[s] for s in free)
+        full = {s for s in free if weight[s] * level >= epochs * own[s]}
+        if not full:
+            target |= {s: weight[s] * level for s in free}
+            break
+        target |= {s: epochs * own[s] for s in full}
+        left -= sum(target[s] for s in full)
+        free -= full
+    out: Counter = Counter()
+    for s in sources:
+        key = lambda r: hashlib.md5(f"{seed}:{hashlib.md5((r[2] or '').encode()).hexdigest() if r[0] is None else r[0]}".encode()).hexdigest()
+        before, whole = 0, math.floor(target[s] / own[s]) if own[s] else 0
+        for r in sorted((r for r in rows if r[1] == s), key=lambda r: (key(r), r[0] is not None, r[0] or 0, size[r])):
+            out[r] += whole + (size[r] > 0 and before + size[r] / 2 <= target[s] - whole * own[s])
+            before += size[r]
+    return out
