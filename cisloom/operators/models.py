@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from abc import ABC, abstractmethod
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
 from pyspark.ml.classification import LinearSVC, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import LinearRegression
@@ -16,6 +18,7 @@ from pyspark.sql import functions as F
 from ..core import kept
 from . import evaluation
 from .curves import _stretches
+from .features import scale_parameters, scaled
 from .generators import generate, iid_model, markov_model
 from .sequences import ranked
 
@@ -71,28 +74,63 @@ def quadratic(v: Column, gamma: float) -> Column:
 
 
 class SVM(BaseModel):
-    """Linear support vectors, of degree 2 over the explicit feature map (what a collapsed quadratic kernel computes)."""
+    """Linear support vectors, of degree 2 over the explicit feature map; ``auto_scale`` brings every feature to [-1, 1] by its range in training."""
 
-    def __init__(self, degree: int = 1, c: float = 1.0, rounds: int = 50, model=None, gamma: float = 1.0):
-        self.degree, self.c, self.rounds, self.model, self.gamma = degree, c, rounds, model, gamma
+    def __init__(self, degree: int = 1, c: float = 1.0, rounds: int = 50, model=None, gamma: float = 1.0, auto_scale: bool = False, scale: tuple = ()):
+        self.degree, self.c, self.rounds, self.model, self.gamma, self.auto_scale, self.scale = degree, c, rounds, model, gamma, auto_scale, scale
 
-    def _vectors(self, df: DataFrame, gamma: float) -> DataFrame:
-        x = quadratic(F.col("features"), gamma) if self.degree == 2 else F.col("features")
-        return df.withColumn("_x", array_to_vector(x))
+    def _scaled(self, v: Column) -> Column:
+        if not self.scale:
+            return v
+        lo, s = (F.array(*[F.lit(p[i]) for p in self.scale]) for i in (0, 1))
+        return F.transform(F.arrays_zip(v.alias("v"), lo.alias("lo"), s.alias("s")), lambda z: scaled(z["v"], z["lo"], z["s"]))
+
+    def _vectors(self, df: DataFrame) -> DataFrame:
+        v = self._scaled(F.col("features"))
+        return df.withColumn("_x", array_to_vector(quadratic(v, self.gamma) if self.degree == 2 else v))
 
     def fit(self, vectors: DataFrame) -> SVM:
         """The penalty is spread over the rows, so that ``c`` weighs the sum of all losses against it."""
         rows = vectors.agg(F.count(F.lit(1)).alias("rows"), F.max(F.size("features")).alias("n")).first()
-        gamma = 1.0 / max(1, rows["n"] or 1)
-        df = self._vectors(vectors, gamma).withColumn("_y", (F.col("label") > 0).cast("double"))
-        model = LinearSVC(featuresCol="_x", labelCol="_y", maxIter=self.rounds, regParam=1.0 / (self.c * max(1, rows["rows"])), standardization=False).fit(df)
-        return SVM(self.degree, self.c, self.rounds, model, gamma)
+        scale = tuple((r["lo"], r["s"]) for r in scale_parameters(vectors).orderBy("i").collect()) if self.auto_scale else ()  # one a feature
+        own = SVM(self.degree, self.c, self.rounds, None, 1.0 / max(1, rows["n"] or 1), self.auto_scale, scale)
+        df = own._vectors(vectors).withColumn("_y", (F.col("label") > 0).cast("double"))
+        own.model = LinearSVC(featuresCol="_x", labelCol="_y", maxIter=self.rounds, regParam=1.0 / (self.c * max(1, rows["rows"])), standardization=False).fit(df)
+        return own
 
     def score(self, vectors: DataFrame) -> DataFrame:
-        out = self.model.transform(self._vectors(vectors, self.gamma).drop("score"))
+        out = self.model.transform(self._vectors(vectors).drop("score"))
         names = {c: self.model.getOrDefault(self.model.getParam(c)) for c in ("rawPredictionCol", "predictionCol")}
         return out.withColumn("score", vector_to_array(names["rawPredictionCol"])[1]).select(*vectors.columns, "score")
 
+    def collapsed(self) -> tuple[np.ndarray, float]:
+        """Matrix M and intercept b of a model of degree 2: it scores scaled features x by x M x + b."""
+        if self.degree != 2:
+            raise ValueError("only models of degree 2 collapse to a matrix")
+        w = self.model.coefficients.toArray()
+        n = int((math.isqrt(8 * len(w) + 1) - 1) // 2)
+        i, j = np.tril_indices(n)
+        m = np.zeros((n, n))
+        m[i, j] = w * self.gamma * np.where(i == j, 1.0, math.sqrt(0.5))
+        return m + np.tril(m, -1).T, float(self.model.intercept)
+
+
+class CollapsedSVM(BaseModel):
+    """A trained SVM of degree 2 as its matrix: n * n products a row in place of the explicit map."""
+
+    def __init__(self, trained: SVM):
+        self.trained = trained
+        self.matrix, self.intercept = trained.collapsed()
+
+    def fit(self, vectors: DataFrame) -> CollapsedSVM:
+        return CollapsedSVM(self.trained.fit(vectors))
+
+    def score(self, vectors: DataFrame) -> DataFrame:
+        rows = F.array(*[F.array(*[F.lit(float(x)) for x in r]) for r in self.matrix])
+        dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+        v = F.transform(F.array(self.trained._scaled(F.col("features"))), lambda x: dot(x, F.transform(rows, lambda r: dot(r, x))) + self.intercept)
+        return vectors.withColumn("score", v[0])
+
 
 class RandomForest(BaseModel):
     def __init__(self, trees: int = 100, depth: int = 5, seed: int = 0, model=None):

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from ..functions.dna import kmers
 from . import features as X
-from .models import BaseModel, Dummy, LogOdds, log_odds_weights, sequence_scores
+from .curves import fixed_regions
+from .models import BaseModel, Dummy, LogOdds, log_odds_weights, predict_regions, prediction_curves, sequence_scores
 from .motifs import IUPACMotif
 from .sequences import windows
 
@@ -264,6 +265,18 @@ class SequenceModel:
     def score(self, seqs: DataFrame) -> DataFrame:
         return sequence_scores(self.window_scores(seqs), seqs)
 
+    def predict(self, seqs: DataFrame, curves: bool = True) -> DataFrame:
+        """Regions of ``seqs`` (name, dna) whose windows score above the threshold: as stretches of the score curve (the highest value
+        of each), or as merged windows (their mean)."""
+        w = self.window_scores(seqs).select(F.col("name").alias("seq"), F.col("w_start").alias("r_start"), F.col("w_end").alias("r_end"), "score")
+        if curves:
+            return fixed_regions(prediction_curves(w, self.size, self.step), self.threshold)
+        return predict_regions(w, self.threshold)
+
+    def predict_core(self, seqs: DataFrame) -> DataFrame | None:
+        """Cores of predicted regions, for models that have them: none by default."""
+        return None
+
 
 def pre_dictor(motifs: tuple[IUPACMotif, ...], distance: int = 219, size: int = 500, step: int = 10, trained: bool = True) -> SequenceModel:
     """Motif pairs by log-odds (or just their sum) in windows: the preset predictor."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..core import LABEL, in_order
+from ..core import LABEL, as_regions, in_order
 
 
 def reverse_complement(dna: Column) -> Column:
@@ -50,6 +50,27 @@ def window_regions(lengths: DataFrame, size: int, step: int) -> DataFrame:
     return lengths.where(F.col("n") >= size).select("seq", F.explode(starts).alias("r_start")).withColumn("r_end", F.col("r_start") + size - 1)
 
 
+def source_regions(df: DataFrame) -> DataFrame:
+    """Where sequences come from, as regions: extracts (seq, r_start, r_end) as they are; windows (w_start, w_end) within the sequence ``name``,
+    or within the extract that they were cut from."""
+    have = set(df.columns)
+    extract_, window = {"seq", "r_start", "r_end"} <= have, {"w_start", "w_end"} <= have
+    if not extract_ and not window:
+        raise ValueError("no source: neither seq, r_start, r_end nor w_start, w_end")
+    from_ = F.col("r_start") if extract_ else F.lit(0)
+    start, end = (from_ + F.col("w_start"), from_ + F.col("w_end")) if window else (F.col("r_start"), F.col("r_end"))
+    return as_regions(df.select(F.col("seq" if extract_ else "name").alias("seq"), start.alias("r_start"), end.alias("r_end")), False)
+
+
+def statistics(seqs: DataFrame) -> DataFrame:
+    """Count, labelled sequences, and mean, least, largest and total length."""
+    n = F.length("dna")
+    return seqs.agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.size("labels") > 0).alias("n_labelled"), F.avg(n).alias("mean_length"), F.min(n).alias("min_length"),
+        F.max(n).alias("max_length"), F.sum(n.cast("bigint")).alias("total_length"),
+    )
+
+
 def lengths(seqs: DataFrame) -> DataFrame:
     """Length of each sequence; blocks of one name add up."""
     return seqs.groupBy(F.col("name").alias("seq")).agg(F.sum(F.length("dna")).cast("bigint").alias("n"))
