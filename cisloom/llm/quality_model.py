@@ -12,13 +12,16 @@ from .common import SPACE, cut, documents, let, text_of
 from .weak_labels import VoteModel, fit_frame, pattern, posterior_of
 
 #: Rows that train the scorer (a bounded sample, by hash of the text), its hashed dimensions, and the score from which a row is kept.
-TRAIN_ROWS, DIMENSIONS, KEEP_AT = 4000, 1 << 14, 0.5
+TRAIN_ROWS, DIMENSIONS, KEEP_AT = 4000, 1 << 12, 0.5
 #: Labellers that vote on either side; the others call text bad or abstain.
 BOTH_SIDES = (False, False, False, False, True, False)
 
 
 def _tokens(text: Column) -> Column:
-    """Word shapes (runs of upper case, lower case and digits become A, a and 0) and a mark for each word equal to the one before."""
+    """Word shapes (runs of upper case, lower case and digits become A, a and 0) and a mark for each word equal to the one before.
+
+    Labellers and scorer read these.  The words themselves are left out: a linear scorer of a few thousand rows learns their noise.
+    """
     words = F.filter(F.split(text, SPACE), lambda w: w != "")
     again = lambda w: F.size(F.filter(F.sequence(F.lit(1), F.size(w)), lambda i: F.get(w, i) == F.get(w, i - 1)))
     shape = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, r"\p{Ll}+", "a"), r"\p{Lu}+", "A"), r"\d+", "0")
@@ -26,12 +29,6 @@ def _tokens(text: Column) -> Column:
     return F.concat(shapes, let(words, lambda w: F.array_repeat(F.lit("<again>"), again(w))))
 
 
-def _features(text: Column) -> Column:
-    """What the scorer reads: the tokens of the labellers, and every word in lower case."""
-    words = F.filter(F.split(F.lower(text), SPACE), lambda w: w != "")
-    return F.concat(_tokens(text), F.transform(words, lambda w: F.concat(F.lit("="), w)))
-
-
 def labellers(tokens: Column) -> list[Column]:
     """Votes: +1 good, -1 bad, 0 abstains.  Each reads the token array of a text only."""
 
@@ -62,7 +59,7 @@ def fit_quality(docs: DataFrame, text_col: str = "text", train_rows: int = TRAIN
     model = fit_frame(voted, "code", BOTH_SIDES)
     rows = voted.groupBy("key").agg(F.min("code").alias("code")).orderBy("key").limit(train_rows)
     sample = own.join(F.broadcast(rows), "key").dropDuplicates(["key"]).withColumn("p", posterior_of(model, F.col("code")))
-    sample = cut(sample.select("p", _features(F.col("text")).alias("tokens")))
+    sample = cut(sample.select("p", _tokens(F.col("text")).alias("tokens")))
     if sample.isEmpty():
         return model, None
     both = sample.select("tokens", F.explode(F.array(F.struct(F.lit(1.0).alias("label"), F.col("p").alias("weight")), F.struct(F.lit(0.0).alias("label"), (1 - F.col("p")).alias("weight")))).alias("y")).select("tokens", "y.*")
@@ -82,7 +79,7 @@ def score_quality(docs: DataFrame, scorer: PipelineModel | None, text_col: str =
         return flat.withColumn("score", F.lit(None).cast("double"))
     from pyspark.ml.functions import vector_to_array
 
-    scored = scorer.transform(flat.withColumn("tokens", _features(text)))
+    scored = scorer.transform(flat.withColumn("tokens", _tokens(text)))
     return scored.select(*flat.columns, vector_to_array("probability")[1].alias("score"))
 
 
