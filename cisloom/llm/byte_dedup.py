@@ -31,7 +31,7 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             row = np.repeat(np.arange(len(at) - 1), np.diff(at))
             i = np.arange(max(0, len(data) - GRAM + 1))
             i = i[row[i] == row[i + GRAM - 1]]
-            h = R.windows(R.table(1)[data], GRAM)[i]
+            h = R.byte_windows(data, GRAM)[i]
             m = R.minimisers(h, row[i], LENGTH - GRAM + 1)
             p = i[m]
             yield candidates(batch, lo + row[p], p - at[row[p]], h[m])
@@ -44,15 +44,10 @@ def _around(p: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray,
 
 def _surroundings(data: np.ndarray, p: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
     """A hash of the bytes ``s`` to ``e`` and of the place of ``p`` in them."""
-    step, width = 16, 2 * LENGTH - GRAM
-    blocks = R.windows(R.table(4)[data], step)
+    width = 2 * LENGTH - GRAM
     out = np.zeros(len(p), np.uint64)
     whole = e - s == width
-    at = s[whole]
-    acc = np.full(len(at), width, np.uint64)
-    for x in [*range(0, width - step, step), width - step]:
-        acc = R.combine(acc, blocks[at + x])
-    out[whole] = acc
+    out[whole] = R.bytes_at(data, s[whole], width)
     edge, place = np.flatnonzero(~whole), np.arange(width)
     for some in np.array_split(edge, len(edge) // 4096 + 1):  # texts' ends
         where = s[some][:, None] + place
@@ -68,7 +63,7 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lo, hi, data, at in R.chunks(batch, "text"):
             row, place = lists(batch, "places", lo, hi)
             p = at[row] + place
-            v = R.windows(R.table(1)[data], GRAM)[p].view(np.int64)
+            v = R.bytes_at(data, p, GRAM).view(np.int64)
             s, e = _around(p, at[row], at[row + 1])
             c = _surroundings(data, p, s, e).view(np.int64)
             ids = batch.column("first_id").slice(lo, hi - lo)
@@ -110,7 +105,7 @@ def _shared(data: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
     out = np.zeros(len(p), np.uint64)
     for k, (a, b) in enumerate(RANGES):
         mine = q == k
-        out[mine] = R.combine(R.windows(R.table(1)[data], LENGTH - b + a)[p[mine] - a], np.full(int(mine.sum()), k + 1, np.uint64))
+        out[mine] = R.combine(R.bytes_at(data, p[mine] - a, LENGTH - b + a), np.full(int(mine.sum()), k + 1, np.uint64))
     return out
 
 

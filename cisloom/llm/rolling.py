@@ -75,6 +75,31 @@ def windows(h: np.ndarray, length: int) -> np.ndarray:
     return h
 
 
+def eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes at every place as one number."""
+    return np.ndarray((max(0, len(data) - 7),), "<u8", np.ascontiguousarray(data), 0, (1,))
+
+
+def byte_windows(data: np.ndarray, length: int) -> np.ndarray:
+    """Hashes of every ``length`` (8 or more) neighbouring bytes, by doubling from eights."""
+    h = eights(data) * _ODD
+    h ^= h >> np.uint64(32)
+    width = 8
+    while width < length:
+        step = min(width, length - width)
+        h = combine(h[: max(0, len(h) - step)], h[step:])
+        width += step
+    return h
+
+
+def bytes_at(data: np.ndarray, start: np.ndarray, length: int) -> np.ndarray:
+    """Hashes of ``length`` (8 or more) bytes at some places, eight by eight."""
+    words, out = eights(data), np.full(len(start), length, np.uint64)
+    for x in [*range(0, length - 8, 8), length - 8] if len(start) else []:
+        out = combine(mix(out), words[start + x])
+    return out
+
+
 def chunks(batch: pa.RecordBatch, column: str, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, row after the last, bytes, offsets) of parts of a batch; nulls count as empty."""
     col = batch.column(column).cast(pa.large_string()).fill_null("")
