@@ -19,6 +19,7 @@ import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import documents, free_name, text_of
+from .rolling import chunks
 
 #: Pre-tokens that a worker remembers; the memory is emptied when full.
 CACHE = 500_000
@@ -99,8 +100,8 @@ class Codec:
         for x, f in zip(chunks, found, strict=True):
             known[x] = " ".join([str(i) for p in f for i in ids[p]])
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        """Ids of each text.
+    def decimals(self, texts: list[str]) -> list[str]:
+        """Ids of each text in decimal, joined by spaces.
 
         No pre-token reaches over a space that stands between two other characters, so that such a space begins a chunk
         whose pre-tokens depend on nothing else; most chunks have been met before.
@@ -115,7 +116,11 @@ class Codec:
             if new:
                 self.learn(known, new, before)
         bare, spaced = self.bare, self.spaced
-        return [list(map(int, " ".join([*[bare[x] for x in c[:1]], *[spaced[x] for x in c[1:]]]).split())) for c in split]
+        return [" ".join(filter(None, [*[bare[x] for x in c[:1]], *[spaced[x] for x in c[1:]]])) for c in split]
+
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        """Ids of each text."""
+        return [list(map(int, d.split())) for d in self.decimals(texts)]
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
@@ -142,7 +147,7 @@ def encode_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """Token ids of every whole text and their digests, then the digest of the bytes that the ids decode to.
 
     The vocabulary file is read by its path on each worker (it comes with an installed package).  Row-local: no
-    shuffle, and one text at a time in memory.
+    shuffle, and about a megabyte of texts (one text at least) at a time in memory.
 
     Cases: a null text counts as empty (no ids); repeated rows and null ids are encoded each on its own; an empty table
     gives an empty result.  With ``carry`` all columns of ``docs`` stay, and the new ones give way by underscores.
@@ -162,11 +167,11 @@ def encode_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(vocabulary, pattern)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
+            for lo, hi, _, _ in chunks(batch, source):
+                part = batch.slice(lo, hi - lo)
                 rows: tuple[list, list, list, list] = ([], [], [], [])
-                for ids in c.encode([t or "" for t in part.column(source).to_pylist()]):
-                    decimal = " ".join(map(str, ids))
+                for decimal in c.decimals([t or "" for t in part.column(source).to_pylist()]):
+                    ids = list(map(int, decimal.split()))
                     rows[0].append(len(ids))
                     rows[1].append(hashlib.sha256(decimal.encode()).hexdigest())
                     rows[2].append(hashlib.sha256(c.decode(ids)).hexdigest())
