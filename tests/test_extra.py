@@ -156,3 +156,28 @@ def test_wiggle_over_splits(spark, tmp_path):
         rows = [(r["kind"], r["seq"], r["start"], r["span"], r["i"], r["value"]) for r in got.collect()]
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
         assert sorted(rows, key=str) == sorted(want, key=str), size
+
+
+def test_compressed_files(spark, tmp_path):
+    """What is read from gzip equals what is read from the plain file."""
+    import gzip
+
+    from cisloom.sources import regions as RR
+    from cisloom.sources import sequences as SS
+
+    texts = {
+        "x.gff": "##gff\nchr1\tsrc\texon\t5\t20\t1.5\t-\t.\tgene \"a\"\nchr2\tsrc\tCDS\t7\t9\t.\t+\t.\tg\n",
+        "x.bed": "chr1\t3\t9\tname\t2.5\t-\n2\t1\t4\n",
+        "x.coord": "X:10..20\nY:5..7\n",
+        "x.fa": ">one a\nACGT\nACG\n>two\nGGGTTT\n",
+        "x.wig": "fixedStep chrom=chr1 start=10 step=5\n1\n2\n3\nvariableStep chrom=chr2 span=4\n7 1.5\n",
+    }
+    readers = {"x.gff": RR.read_gff, "x.bed": RR.read_bed, "x.coord": RR.read_coordinates, "x.fa": lambda s, p: SS.read_fasta(s, p).select("name", "dna"), "x.wig": W.read_wig}
+    for name, text in texts.items():
+        (tmp_path / name).write_text(text)
+        with gzip.open(tmp_path / f"{name}.gz", "wt") as f:
+            f.write(text)
+        plain, packed = (sorted(map(str, readers[name](spark, str(tmp_path / n)).collect())) for n in (name, f"{name}.gz"))
+        assert plain == packed and len(plain) >= 2, name
+    blocks = sorted(map(tuple, SS.read_sequences(spark, str(tmp_path / "x.fa.gz"), 4).collect()))
+    assert blocks == [("one", 0, "ACGT"), ("one", 1, "ACG"), ("two", 0, "GGGT"), ("two", 1, "TT")]
