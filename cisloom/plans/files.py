@@ -8,6 +8,7 @@ from ..core import REGION_COLUMNS, shared_path
 from ..sources import curves as W
 from ..sources import regions as R
 from ..sources import sequences as S
+from ..sources import twobit as T
 from . import fixtures as X
 
 Q: dict = {}
@@ -63,6 +64,16 @@ def fasta_blocks(spark, d):
     return b.select("seq", "blocks", F.md5(F.array_join(F.transform("parts", lambda p: p["block"]), "")).alias("hash"))
 
 
+@query(
+    f"WITH {X.DNA}, b AS (SELECT name, dna, unnest(range(0, length(dna), 500)) AS pos FROM dna WHERE length(dna) > 0) "
+    "SELECT name AS seq, CAST(pos // 500 AS INTEGER) AS block_no, length(substr(dna, pos + 1, 500)) AS n, md5(substr(dna, pos + 1, 500)) AS hash FROM b"
+)
+def twobit_roundtrip(spark, d):
+    path = shared_path(spark, "twobit")
+    T.write_2bit(X.dna(spark, d).where("length(dna) > 0"), path)
+    return T.read_2bit(spark, path, 500).select("seq", "block_no", F.length("block").cast("bigint").alias("n"), F.md5("block").alias("hash"))
+
+
 @query(f"WITH {X.CURVE} SELECT seq, start, span, round(value, 9) AS value FROM cv")
 def wig_roundtrip(spark, d):
     path = shared_path(spark, "wig")
