@@ -10,8 +10,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.dna import NUCLEOTIDES, kmers, reverse_complement_column
+from ..functions.draws import cuts, draws, keys
 from ..sources.sequences import write_fasta
 
+#: Places of a sequence that are drawn at once.
+DRAWN = 4096
+
 
 def iid_model(seqs: DataFrame, pseudo: int = 1, complements: bool = True) -> DataFrame:
     """(nt, n, p): counts of the four nucleotides, with those of the complement and a pseudo-count."""
@@ -36,33 +40,38 @@ def markov_model(seqs: DataFrame, degree: int = 4, pseudo: int = 1, complements:
 def generate(spark: SparkSession, model: DataFrame, n: int, length: int, seed: int = 0, partitions: int | None = None) -> DataFrame:
     """(sid, name, dna): ``n`` sequences from an IID or Markov model (4 ** (degree + 1) rows, collected).
 
-    The nucleotides of many sequences are drawn together, one place after the other.  Each sequence has its own generator, seeded by (seed, sid), so that results do not depend on partitions.
+    The draw at a place hangs on (seed, sid, place) alone: place 0 chooses the first context by the contexts' counts, each further place a nucleotide after the context
+    before it, in whole numbers.  So results do not depend on partitions, and SQL can replay them (``functions.draws``).  The
+    nucleotides of many sequences are drawn together, one place after the other; those of an IID model all at once.
     """
     rows = model.collect()
-    contexts = sorted({r["context"] for r in rows}) if "context" in model.columns else [""]
+    markov = "context" in model.columns
+    contexts = sorted({r["context"] for r in rows}) if markov else [""]
     where = {c: i for i, c in enumerate(contexts)}
-    weight = np.zeros((len(contexts), 4))
+    weight = [[0] * 4 for _ in contexts]
     for r in rows:
-        weight[where[r["context"] if "context" in model.columns else ""], NUCLEOTIDES.index(r["nt"])] = r["n"]
+        weight[where[r["context"] if markov else ""]][NUCLEOTIDES.index(r["nt"])] = int(r["n"])
     degree = len(contexts[0])
-    upto = np.cumsum(weight / weight.sum(1, keepdims=True), 1)
-    start = np.cumsum(weight.sum(1) / weight.sum())
+    start, upto = np.array(cuts([sum(w) for w in weight]), np.uint64), np.array([cuts(w) for w in weight], np.uint64)
     after = np.array([[where[(c + x)[1:]] if degree else 0 for x in NUCLEOTIDES] for c in contexts])
-
     letters = np.frombuffer(NUCLEOTIDES.encode(), np.uint8)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for ids in np.array_split(frame["id"].to_numpy(), max(1, len(frame) * length >> 22)):
-                u = np.stack([np.random.default_rng([seed, sid]).random(1 + max(0, length - degree)) for sid in ids]) if len(ids) else np.zeros((0, 1))
-                state = np.minimum(np.searchsorted(start, u[:, 0]), len(contexts) - 1)
-                text = np.empty((len(ids), degree + u.shape[1] - 1), np.uint8)
+            for ids in np.array_split(frame["id"].to_numpy(), max(1, len(frame) * length >> 20)):
+                key, m = keys(seed, ids), max(0, length - degree)
+                text = np.empty((len(ids), degree + m), np.uint8)
+                state = np.searchsorted(start, draws(key, np.zeros(1))[:, 0], "right")
                 if degree:
                     text[:, :degree] = np.frombuffer("".join(contexts).encode(), np.uint8).reshape(-1, degree)[state]
-                for j in range(1, u.shape[1]):
-                    x = np.minimum((upto[state] < u[:, j, None]).sum(1), 3)
-                    text[:, degree + j - 1] = letters[x]
-                    state = after[state, x]
+                for lo in range(0, m, DRAWN):
+                    u = draws(key, np.arange(lo + 1, min(lo + DRAWN, m) + 1))
+                    if not degree:
+                        text[:, lo : lo + u.shape[1]] = letters[np.searchsorted(upto[0], u, "right")]
+                    for j in range(u.shape[1] if degree else 0):
+                        x = (upto[state] <= u[:, j, None]).sum(1)
+                        text[:, degree + lo + j] = letters[x]
+                        state = after[state, x]
                 yield pd.DataFrame({"sid": ids, "name": [f"generated_{seed}_{i}" for i in ids], "dna": [t.tobytes().decode()[:length] for t in text]})
 
     return spark.range(0, n, 1, partitions or max(1, min(n, spark.sparkContext.defaultParallelism))).mapInPandas(run, "sid bigint, name string, dna string")

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.dna import IUPAC, NUCLEOTIDES, coded
+from .generators import generate
 
 
 @dataclass(frozen=True)
@@ -128,6 +129,11 @@ def pwm_threshold(background: DataFrame, motif: PWMMotif, e_value: float = 1.0,
     return best.agg(F.avg("best").alias("threshold"))
 
 
+def pwm_evalue_threshold(spark: SparkSession, model: DataFrame, motif: PWMMotif, e_value: float = 1.0, unit: int = 1000, iterations: int = 100, seed: int = 0) -> DataFrame:
+    """The score that ``motif`` passes ``e_value`` times in ``unit`` nucleotides of background: the mean best score of ``iterations`` sequences from ``model``."""
+    return pwm_threshold(generate(spark, model, iterations, int(unit / e_value), seed), motif)
+
+
 def read_meme(spark: SparkSession, path: str, threshold: float = 0.0) -> list[PWMMotif]:
     """Motifs of a MEME 4 file; probabilities are used as weights.  One small file, read by Spark as one text."""
     text = spark.read.text(path, wholetext=True).first()[0]

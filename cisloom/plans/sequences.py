@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..core import kept
 from ..functions.dna import kmer_index, kmers
+from ..functions.draws import draw_sql, keys_sql
 from ..operators import curves as C
 from ..operators import evaluation as E
 from ..operators import features as V
@@ -15,6 +16,7 @@ from ..operators import network as N
 from ..operators import sequences as S
 from ..operators import tables as T
 from ..operators.motifs import IUPACMotif, PWMMotif, occurrences, pwm_occurrences
+from ..operators.motifs import pwm_evalue_threshold as pwm_threshold_of
 from ..streaming.merge import merge_stream
 from . import fixtures as X
 from .intervals import islands
@@ -165,14 +167,14 @@ def motif_pair_freq(spark, d):
 PWM = PWMMotif("P", ((1.0, 0.0, 0.25, 0.5), (0.0, 0.125, 1.0, 0.5), (0.75, 0.0, 0.5, 0.25), (0.0, 1.0, 0.5, 0.125)), 3.25)
 
 
-def _pwm_sql() -> str:
+def _pwm_sql(source: str = "dna") -> str:
     """Sum per position; from the first N on, nothing is added."""
     out = []
     for strand in (True, False):
         rows = PWM.weights if strand else [(r[1], r[0], r[3], r[2]) for r in reversed(PWM.weights)]
         terms = " + ".join(f"CASE WHEN instr(substr(w, 1, {i + 1}), 'N') > 0 THEN 0 ELSE CASE substr(w, {i + 1}, 1) WHEN 'A' THEN {r[0]} WHEN 'T' THEN {r[1]} WHEN 'G' THEN {r[2]} ELSE {r[3]} END END" for i, r in enumerate(rows))
         out.append(f"SELECT sid, i AS o_start, {str(strand).lower()} AS strand, CAST({terms} AS DOUBLE) AS score FROM g")
-    return f"g AS (SELECT sid, i, substr(dna, i + 1, 4) AS w FROM (SELECT sid, dna, unnest(range(0, greatest(length(dna) - 3, 0))) AS i FROM dna)), u AS ({' UNION ALL '.join(out)})"
+    return f"g AS (SELECT sid, i, substr(dna, i + 1, 4) AS w FROM (SELECT sid, dna, unnest(range(0, greatest(length(dna) - 3, 0))) AS i FROM {source})), u AS ({' UNION ALL '.join(out)})"
 
 
 @query(f"WITH {X.DNA}, {_pwm_sql()} SELECT sid, CAST(o_start AS INTEGER) AS o_start, strand, score FROM u WHERE score > 3.25")
@@ -339,11 +341,64 @@ def markov_model(spark, d):
     return GEN.markov_model(X.dna(spark, d), degree=2).withColumn("p", F.round("p", 9))
 
 
-@query()
+def _background(degree: int, n: str, length: str, seed: int) -> str:
+    """Counts, cuts, keys and the sequences ``gen`` (sid, dna) of :func:`generators.generate` in SQL: one row a sequence and place, each found from the one before it."""
+    k, big = degree + 1, 1 << 32
+    a, b = keys_sql(seed, "sid")
+    cut = f"CAST((sum(n) OVER (PARTITION BY {{by}} ORDER BY {{o}}) * {big}::HUGEINT + sum(n) OVER (PARTITION BY {{by}}) - 1) // sum(n) OVER (PARTITION BY {{by}}) AS UBIGINT)"
+    ends = lambda by, o: cut.format(by=by, o=o)
+    return f"""mk AS MATERIALIZED (SELECT k, count(*) AS c FROM (SELECT unnest(list_filter(list_transform(range(0, greatest(length(dna) - {degree}, 0)), lambda i: substr(dna, i + 1, {k})), lambda x: NOT contains(x, 'N'))) AS k FROM dna) GROUP BY k),
+mn AS MATERIALIZED (SELECT left(e.k, {degree}) AS context, right(e.k, 1) AS nt, instr('ATGC', right(e.k, 1)) AS j, coalesce(b.c, 0) + 1 AS n FROM (SELECT * FROM (VALUES {", ".join(f"('{x}')" for x in kmers(k))}) t(k)) e
+  LEFT JOIN (SELECT k, sum(c) AS c FROM (SELECT k, c FROM mk UNION ALL SELECT {_rc("k")}, c FROM mk) GROUP BY k) b ON b.k = e.k),
+nx AS MATERIALIZED (SELECT context, nt, coalesce(lag(hi) OVER (PARTITION BY context ORDER BY j), 0) AS lo, hi FROM (SELECT *, {ends("context", "j")} AS hi FROM mn)),
+st AS (SELECT context, coalesce(lag(hi) OVER (ORDER BY context), 0) AS lo, hi FROM (SELECT context, {ends("1", "context")} AS hi FROM (SELECT context, sum(n) AS n FROM mn GROUP BY context))),
+ky AS MATERIALIZED (SELECT sid, {a} AS a, {b} AS b FROM (SELECT unnest(range(CAST({n} AS BIGINT))) AS sid)),
+s0 AS (SELECT sid, a, b, {draw_sql("a", "b", "0")} AS u FROM ky), ln AS (SELECT CAST({length} AS BIGINT) AS len),
+gs AS (SELECT sid, a, b, 0 AS p, context, context AS out FROM s0 JOIN st ON u >= lo AND u < hi
+  UNION ALL SELECT x.sid, a, b, p + 1, right(x.context || nt, {degree}), nt FROM (SELECT *, {draw_sql("a", "b", "p + 1")} AS u FROM gs, ln WHERE p < len - {degree}) x JOIN nx ON nx.context = x.context AND u >= lo AND u < hi),
+gen AS MATERIALIZED (SELECT sid, left(string_agg(out, '' ORDER BY p), any_value(len)) AS dna FROM gs, ln GROUP BY sid)"""
+
+
+@query(f"WITH RECURSIVE {X.DNA}, {_background(3, '20', '500', 1)} SELECT sid, 'generated_1_' || sid AS name, dna FROM gen")
 def markov_generate(spark, d):
     return GEN.generate(spark, GEN.markov_model(X.dna(spark, d), degree=3), 20, 500, seed=1)
 
 
+def _iid_background(n: int, length: int, seed: int) -> str:
+    """``gen`` of an IID model: every place on its own."""
+    a, b = keys_sql(seed, "sid")
+    counts = ", ".join(f"sum(length(dna) - length(replace(dna, '{x}', ''))) AS {x}" for x in "ATGC")
+    rows = " UNION ALL ".join(f"SELECT '{x}' AS nt, {j} AS j, CAST({x} + {y} + 1 AS HUGEINT) AS n FROM ic" for j, (x, y) in enumerate(zip("ATGC", "TACG", strict=True)))
+    return f"""ic AS (SELECT {counts} FROM dna), ir AS (SELECT nt, j, (sum(n) OVER (ORDER BY j) * {1 << 32} + sum(n) OVER () - 1) // sum(n) OVER () AS hi FROM ({rows})),
+ix AS (SELECT nt, coalesce(lag(hi) OVER (ORDER BY j), 0) AS lo, hi FROM ir), ky AS MATERIALIZED (SELECT sid, {a} AS a, {b} AS b FROM (SELECT unnest(range({n})) AS sid)),
+gen AS MATERIALIZED (SELECT sid, string_agg(nt, '' ORDER BY p) AS dna FROM (SELECT sid, p, {draw_sql("a", "b", "p")} AS u FROM ky, range(1, {length + 1}) r(p)) JOIN ix ON u >= lo AND u < hi GROUP BY sid)"""
+
+
+@query(f"WITH {X.DNA}, {_iid_background(100, 1000, 2)}, {_pwm_sql('gen')} SELECT round(avg(best), 9) AS threshold FROM (SELECT sid, max(score) AS best FROM u GROUP BY sid)")
+def pwm_evalue_threshold(spark, d):
+    return pwm_threshold_of(spark, GEN.iid_model(X.dna(spark, d)), PWM, seed=2).select(F.round("threshold", 9).alias("threshold"))
+
+
+def _hit_rates(seqs):
+    """(sid, score): hits of all motifs in 1000 nucleotides."""
+    f = V.occurrence_frequencies(seqs, MOTIFS)
+    return f.select("sid", F.round(sum((F.col(m.name) for m in MOTIFS), F.lit(0.0)), 6).alias("score"))
+
+
+@query(f"""WITH RECURSIVE {X.DNA}, ps AS (SELECT sid, dna FROM lab WHERE label > 0), me AS (SELECT CAST(floor(avg(length(dna))) AS BIGINT) AS mean FROM ps), sz AS (SELECT sum(length(dna)) AS size FROM dna),
+{_background(4, "(SELECT floor(size / mean) FROM sz, me)", "(SELECT mean FROM me)", 0)},
+al AS MATERIALIZED (SELECT sid, true AS positive, dna FROM ps UNION ALL SELECT sid, false, dna FROM gen), h AS (SELECT sid, positive, count(*) AS c FROM {_hits("al", keys="sid, positive")} GROUP BY ALL),
+have AS (SELECT al.sid, al.positive, round(coalesce(c, 0) * 1000.0::DOUBLE / greatest(length(dna), 1), 6) AS score FROM al LEFT JOIN h ON h.sid = al.sid AND h.positive = al.positive),
+tot AS (SELECT count_if(positive) AS np, count_if(NOT positive) AS nn FROM have),
+c AS (SELECT row_number() OVER o AS rn, score, np - sum(positive::INT) OVER o + positive::INT AS t, nn - sum((NOT positive)::INT) OVER o + (NOT positive)::INT AS f FROM have, tot WINDOW o AS (ORDER BY score, positive DESC, sid ROWS UNBOUNDED PRECEDING)),
+l AS (SELECT rn, score, t / (t + f)::DOUBLE AS p, lag(score, 1, 0) OVER (ORDER BY rn) AS s0, lag(t / (t + f)::DOUBLE, 1, -1) OVER (ORDER BY rn) AS p0 FROM c),
+f AS (SELECT * FROM l ORDER BY (p >= 0.8) DESC, CASE WHEN p >= 0.8 THEN rn ELSE -rn END LIMIT 1)
+SELECT round(CASE WHEN p >= 0.8 AND p > p0 THEN s0 + (0.8 - p0) * (score - s0) / (p - p0) ELSE score END, 5) AS threshold FROM f""")
+def calibrate_genomewide(spark, d):
+    positives = X.labelled(spark, d).where("label > 0").select("sid", "dna")
+    return MOD.calibrate_genomewide(_hit_rates, positives, X.dna(spark, d)).select(F.round("threshold", 5).alias("threshold"))
+
+
 PF = f"""{X.DNA}, {WIN}, {_pairs("win", "sid, w_start", "w", "sid, w_start")},
 pv AS (SELECT win.sid, win.label, win.w_start, mp.motif_a || ':' || mp.motif_b AS f, coalesce(c, 0) * 1000.0::DOUBLE / {SIZE} AS v FROM win CROSS JOIN mp LEFT JOIN pr ON pr.sid = win.sid AND pr.w_start = win.w_start AND pr.motif_a = mp.motif_a AND pr.motif_b = mp.motif_b),
 ws AS (SELECT f, sum(CASE WHEN label > 0 THEN v ELSE 0 END) AS p, sum(CASE WHEN label < 0 THEN v ELSE 0 END) AS n, count_if(label > 0) AS np, count_if(label < 0) AS nn FROM pv GROUP BY f),
