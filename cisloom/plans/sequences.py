@@ -16,6 +16,7 @@ from ..operators import network as N
 from ..operators import sequences as S
 from ..operators import tables as T
 from ..operators.motifs import IUPACMotif, PWMMotif, occurrences, pwm_occurrences
+from ..operators.svm import DualSVM
 from ..operators.motifs import pwm_evalue_threshold as pwm_threshold_of
 from ..streaming.merge import merge_stream
 from . import fixtures as X
@@ -574,6 +575,18 @@ def svm_quadratic(spark, d):
     return MOD.SVM(degree=2).fit(v).score(v).select("sid", "label", "score")
 
 
+@query()
+def svm_dual_linear(spark, d):
+    v = _signed(spark, d)
+    return DualSVM().fit(v).score(v).select("sid", "label", F.round("score", 4).alias("score"))
+
+
+@query()
+def svm_dual_quadratic(spark, d):
+    v = _signed(spark, d)
+    return DualSVM(degree=2).fit(v).score(v).select("sid", "label", F.round("score", 4).alias("score"))
+
+
 @query()
 def random_forest(spark, d):
     v = _signed(spark, d)
