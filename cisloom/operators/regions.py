@@ -9,33 +9,54 @@ from pyspark.sql import functions as F
 
 from ..core import REGION_COLUMNS, as_regions, length
 
-#: Width of the bins by which range joins are dealt; an interval goes to every bin that it touches.
-BIN = 1 << 14
+#: Width of the smallest bins by which range joins are dealt; bins of each further level are eight times as wide.
+BIN, EIGHT = 1 << 14, 3
 SPOT = ["seq", "r_start", "r_end"]
 
 
-def _binned(df: DataFrame, prefix: str, width: int) -> DataFrame:
+def _place(df: DataFrame, width: int) -> tuple[Column, Column, Column]:
+    """First and last smallest bin of an interval, and its level: the lowest on which it lies in two bins at most."""
     first, last = F.floor(F.col("r_start") / width), F.floor(F.col("r_end") / width)
-    named = df.select("seq", *[F.col(c).alias(f"{prefix}_{c}") for c in df.columns if c != "seq"], first.alias(f"{prefix}_bin"), F.explode(F.sequence(first, last)).alias("bin"))
-    return named
+    bits = F.when(last - first > 1, F.length(F.bin(last - first - 1))).otherwise(0)
+    return first, last, F.ceil(bits / EIGHT).cast("int")
+
+
+def _levels(a: DataFrame, b: DataFrame, width: int) -> Column:
+    """The levels that occur at all (22 at most), as a subquery: mostly there is one, and then nothing is repeated."""
+    found = [df.select(_place(df, width)[2].alias("level")) for df in (a, b)]
+    return found[0].unionByName(found[1]).agg(F.array_sort(F.collect_set("level"))).scalar()
+
+
+def _binned(df: DataFrame, prefix: str, width: int, levels: Column) -> DataFrame:
+    """A row for each bin that an interval touches on its own level and on the wider ones that occur: two a level at most, however long it is."""
+    first, last, own = _place(df, width)
+    named = df.select("seq", *[F.col(c).alias(f"{prefix}_{c}") for c in df.columns if c != "seq"], first.alias(f"{prefix}_bin"), last.alias("_last"), own.alias(f"{prefix}_level"), levels.alias("_levels"))
+    at = lambda x, l: F.call_function("shiftright", x, l * EIGHT)  # noqa: E731, E741
+    spots = F.flatten(F.transform(F.filter("_levels", lambda l: l >= F.col(f"{prefix}_level")), lambda l: F.transform(F.sequence(at(F.col(f"{prefix}_bin"), l), at(F.col("_last"), l)), lambda x: F.struct(l.alias("level"), x.alias("bin")))))  # noqa: E741
+    return named.withColumn("_spot", F.explode(spots)).select("*", "_spot.level", "_spot.bin").drop("_spot", "_last", "_levels")
 
 
 def overlap_pairs(a: DataFrame, b: DataFrame, width: int = BIN) -> DataFrame:
     """Every overlapping pair once: ``seq`` and the other columns as ``a_*`` and ``b_*``.
 
-    An equi-join on (seq, bin), so that one long sequence spreads over many tasks and skewed bins can be split; a pair is
-    kept in the bin where the later of the two starts.
+    An equi-join on (seq, level, bin), so that one long sequence spreads over many tasks and skewed bins can be split.  Bins are nested: an interval as long as its
+    sequence has two rows on its own level, and short ones go up to that level.  A pair meets on the higher of its two levels and is kept in the bin where the later of
+    the two starts.
     """
-    joined = _binned(a, "a", width).join(_binned(b, "b", width), ["seq", "bin"])
-    hit = (F.col("a_r_start") <= F.col("b_r_end")) & (F.col("b_r_start") <= F.col("a_r_end"))
-    return joined.where(hit & (F.col("bin") == F.greatest("a_bin", "b_bin"))).drop("bin", "a_bin", "b_bin")
+    levels = _levels(a, b, width)
+    joined = _binned(a, "a", width, levels).join(_binned(b, "b", width, levels), ["seq", "level", "bin"])
+    hit = (F.col("a_r_start") <= F.col("b_r_end")) & (F.col("b_r_start") <= F.col("a_r_end")) & (F.col("level") == F.greatest("a_level", "b_level"))
+    later = F.call_function("shiftright", F.greatest("a_bin", "b_bin"), F.col("level") * EIGHT)
+    return joined.where(hit & (F.col("bin") == later)).drop("level", "bin", "a_bin", "b_bin", "a_level", "b_level")
 
 
 def _hit(a: DataFrame, b: DataFrame, width: int) -> DataFrame:
     """Distinct intervals of ``a`` that overlap any of ``b``."""
-    left = _binned(a.select(*SPOT), "a", width)
-    right = _binned(b.select(*SPOT).distinct(), "b", width)
-    cond = (left.seq == right.seq) & (left.bin == right.bin) & (left.a_r_start <= right.b_r_end) & (right.b_r_start <= left.a_r_end)
+    levels = _levels(a, b, width)
+    left = _binned(a.select(*SPOT), "a", width, levels)
+    right = _binned(b.select(*SPOT).distinct(), "b", width, levels)
+    cond = (left.seq == right.seq) & (left.level == right.level) & (left.bin == right.bin) & (left.a_r_start <= right.b_r_end) & (right.b_r_start <= left.a_r_end)
+    cond &= F.greatest(left.a_level, right.b_level) == left.level
     return left.join(right, cond, "left_semi").select("seq", F.col("a_r_start").alias("r_start"), F.col("a_r_end").alias("r_end")).distinct()
 
 
