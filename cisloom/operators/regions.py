@@ -107,12 +107,18 @@ def _within(df: DataFrame, by: list[str]) -> DataFrame:
 def flatten(a: DataFrame, by: tuple[str, ...] = (), width: int = BIN * 64) -> DataFrame:
     """Overlapping or adjoining regions of a sequence (and of each value of ``by``) as one, with default attributes.
 
-    First within stretches of ``width`` positions, which cuts the rows down in parallel even on one long sequence, then across: a row begins
-    an island unless an earlier stretch reaches it, which one row a stretch tells.
+    First within stretches of ``width`` positions, which cuts the rows down in parallel even on one long sequence.  What neither an earlier stretch reaches nor
+    reaches the next one is done; what an earlier stretch covers goes; of the rest, some three rows a stretch at most, islands are made across.
     """
     keys = [*by, "seq"]
-    rows = _within(a.select(*keys, "r_start", "r_end", F.floor(F.col("r_start") / width).alias("stretch")), [*keys, "stretch"]).drop("stretch")
-    out = islands(rows, keys, width)
+    local = _within(a.select(*keys, "r_start", "r_end", F.floor(F.col("r_start") / width).alias("stretch")), [*keys, "stretch"])
+    earlier = Window.partitionBy(*keys).orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)  # one row a stretch
+    reach = local.groupBy(*keys, "stretch").agg(F.max("r_end").alias("end")).withColumn("before", F.max("end").over(earlier)).drop("end")
+    met = local.join(reach, [*keys, "stretch"])
+    apart = (F.col("before").isNull() | (F.col("before") + 1 < F.col("r_start"))) & (F.col("r_end") + 1 < (F.col("stretch") + 1) * width)
+    done = met.where(apart).select(*keys, "r_start", "r_end")
+    across = met.where(~apart & (F.col("before").isNull() | (F.col("r_end") > F.col("before")))).select(*keys, "r_start", "r_end")
+    out = done.unionByName(_within(across, keys).select(*keys, "r_start", "r_end"))
     return as_regions(out, False) if not by else out
 
 

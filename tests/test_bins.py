@@ -46,3 +46,15 @@ def test_whole_sequences_against_short_reads(spark):
     reads = spark.range(20_000).select(F.lit("X").alias("seq"), (F.col("id") * 12_345).alias("r_start"), (F.col("id") * 12_345 + 100).alias("r_end"))
     whole = regions(spark, [("X", 0, 20_000 * 12_345)] * 3)
     assert R.overlap_pairs(reads, whole.select(*R.SPOT)).count() == 60_000
+
+
+@pytest.mark.parametrize(("longest", "width"), [(40, 1), (40, 16), (5000, 64), (5000, 1 << 20)])
+def test_flatten_across_stretches(spark, longest, width):
+    rows = some(longest + width, 300, longest) + [("X", 0, width - 1), ("X", width, width), ("Y", 3 * width - 1, 3 * width - 1), ("Y", 3 * width + 1, 5 * width)]
+    want = []
+    for seq, start, end in sorted(rows):
+        if want and want[-1][0] == seq and start <= want[-1][2] + 1:
+            want[-1] = (seq, want[-1][1], max(end, want[-1][2]))
+        else:
+            want.append((seq, start, end))
+    assert sorted(tuple(r)[:3] for r in R.flatten(regions(spark, rows), width=width).collect()) == want
