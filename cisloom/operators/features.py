@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.dna import IUPAC, NUCLEOTIDES, kmers, reverse_complement, reverse_complement_column, row_vectors
+from ..functions.dna import IUPAC, NUCLEOTIDES, coded, kmers, reverse_complement, reverse_complement_column, row_vectors
+from ..functions.spectra import counted, texts
 from .motifs import IUPACMotif, count
 
 
@@ -105,40 +110,48 @@ def kmer_vectors(seqs: DataFrame, k: int, mismatch: bool = False, double_own: bo
     return row_vectors(seqs, vectors)
 
 
-def _kmers(seqs: DataFrame, k: int) -> DataFrame:
-    found = F.regexp_extract_all("dna", F.lit(f"(?=([{NUCLEOTIDES}]{{{k}}}))"), F.lit(1))
-    return seqs.select("sid", F.length("dna").alias("n"), F.explode(found).alias("kmer"))
+def _counted(seqs: DataFrame, k: int, own: int | None, per: float, letters: bool) -> DataFrame:
+    """Spectra by row: one row a k-mer (sid, kmer, value), or one row a sequence (sid, indices, values)."""
+    out = "kmer string, value double" if letters else "indices array<bigint>, values array<double>"
+    schema = T.StructType([seqs.schema["sid"], *T._parse_datatype_string(out).fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, codes, at in coded(batch):
+                n, sid = np.diff(at), batch.column("sid").slice(lo, hi - lo)
+                seen = 0
+                for row, index, count in counted(codes, at, k, own):
+                    value = pa.array(count * per / n[row])
+                    if letters:
+                        yield pa.RecordBatch.from_arrays([sid.take(pa.array(row)), texts(index, k), value], names=["sid", "kmer", "value"])
+                        continue
+                    upto = int(row[-1]) + 1 if len(row) else seen  # rows without k-mers come along empty
+                    ends = pa.array(np.searchsorted(row, np.arange(seen, upto + 1)).astype(np.int32))
+                    yield pa.RecordBatch.from_arrays([sid.slice(seen, upto - seen), pa.ListArray.from_arrays(ends, pa.array(index)), pa.ListArray.from_arrays(ends, value)], names=["sid", "indices", "values"])
+                    seen = upto
+                if not letters and seen < hi - lo:
+                    ends = pa.array(np.zeros(hi - lo - seen + 1, np.int32))
+                    yield pa.RecordBatch.from_arrays([sid.slice(seen), pa.ListArray.from_arrays(ends, pa.array([], pa.int64())), pa.ListArray.from_arrays(ends, pa.array([], pa.float64()))], names=["sid", "indices", "values"])
+
+    return seqs.select("sid", "dna").mapInArrow(run, schema)
 
 
 def kmer_spectrum(seqs: DataFrame, k: int, per: float = 1000.0) -> DataFrame:
-    """N-free k-mers on both strands per ``per`` nucleotides (sid, kmer, value); absent k-mers have no row.
+    """N-free k-mers (k up to 31) on both strands per ``per`` nucleotides (sid, kmer, value); absent k-mers have no row.
 
-    Strands are added after counting, so that only counts are doubled.
+    Counted within each row of ``seqs``, in memory that follows the text: no shuffle, and nothing as large as 4 ** k.
     """
-    counted = _kmers(seqs, k).groupBy("sid", "n", "kmer").agg(F.count(F.lit(1)).alias("c"))
-    return _both_strands(counted).select("sid", "kmer", (F.col("c") * F.lit(per) / F.col("n")).alias("value"))
-
-
-def _both_strands(counted: DataFrame) -> DataFrame:
-    both = counted.select("sid", "n", "c", F.explode(F.array("kmer", reverse_complement_column(F.col("kmer")))).alias("kmer"))
-    return both.groupBy("sid", "n", "kmer").agg(F.sum("c").alias("c"))
-
-
-def neighbours(spark: SparkSession, k: int, own: int) -> DataFrame:
-    """(kmer, near, w): every k-mer with itself (weight ``own``) and its 3k one-substitution neighbours (weight 1); 4**k * (3k + 1) rows."""
-    rows = []
-    for kmer in kmers(k):
-        rows.append((kmer, kmer, own))
-        rows += [(kmer, f"{kmer[:i]}{c}{kmer[i + 1 :]}", 1) for i in range(k) for c in NUCLEOTIDES if c != kmer[i]]
-    return spark.createDataFrame(rows, "kmer string, near string, w int")
+    return _counted(seqs, k, None, per, True)
 
 
 def kmer_spectrum_mismatch(seqs: DataFrame, k: int, double_own: bool = False, per: float = 1000.0) -> DataFrame:
     """k-mer spectrum in which each k-mer also counts for its one-substitution neighbours; ``double_own`` counts it k times for itself."""
-    counted = _both_strands(_kmers(seqs, k).groupBy("sid", "n", "kmer").agg(F.count(F.lit(1)).alias("c")))
-    table = neighbours(seqs.sparkSession, k, k if double_own else 1)
-    spread = counted.join(table, "kmer").groupBy("sid", "n", F.col("near").alias("kmer")).agg(F.sum(F.col("c") * F.col("w")).alias("c"))
-    return spread.select("sid", "kmer", (F.col("c") * F.lit(per) / F.col("n")).alias("value"))
+    return _counted(seqs, k, k if double_own else 1, per, True)
+
+
+def kmer_sparse(seqs: DataFrame, k: int, mismatch: bool = False, double_own: bool = False, per: float = 1000.0) -> DataFrame:
+    """The spectra as sparse vectors, one row a sequence: (sid, indices, values), indices ascending in the order of ``kmers(k)``."""
+    return _counted(seqs, k, (k if double_own else 1) if mismatch else None, per, False)
 
 
 def kmer_spectrum_positional(seqs: DataFrame, k: int, per: float = 1000.0) -> DataFrame:

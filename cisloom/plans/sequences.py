@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..core import kept
-from ..functions.dna import kmer_index, kmers
+from ..functions.dna import kmer_index, kmer_of, kmers
 from ..functions.draws import draw_sql, keys_sql
 from ..operators import curves as C
 from ..operators import evaluation as E
@@ -214,6 +214,18 @@ def kmer_spectrum_gps(spark, d):
     return V.kmer_spectrum_positional(X.dna(spark, d), K).select("sid", "kmer", F.round("a", 4).alias("a"), F.round("b", 4).alias("b"))
 
 
+@query(f"""WITH {X.DNA}, f AS (SELECT sid, length(dna) AS n, unnest(list_filter(list_transform(range(0, greatest(length(dna) - 11, 0)), lambda i: substr(dna, i + 1, 12)), lambda x: NOT contains(x, 'N'))) AS k FROM dna),
+b AS (SELECT sid, n, k, count(*) AS c FROM (SELECT sid, n, k FROM f UNION ALL SELECT sid, n, {_rc("k")} FROM f) GROUP BY ALL)
+SELECT dna.sid, count(k) AS n_kmers, coalesce(sum(c), 0)::BIGINT AS total, coalesce(max(c), 0)::BIGINT AS most, max(k) AS last FROM dna LEFT JOIN b ON b.sid = dna.sid GROUP BY dna.sid""")
+def kmer_sparse_long(spark, d):
+    """Spectra of k = 12 as sparse vectors: 4 ** 12 possible k-mers, and only those that stand in a text take room."""
+    s = X.dna(spark, d).select("sid", "dna", F.length("dna").alias("n"))
+    v = V.kmer_sparse(s, 12, per=1.0).join(s.select("sid", "n"), "sid")
+    c = F.transform("values", lambda x: F.round(x * F.col("n")).cast("bigint"))
+    order = F.array_max(F.transform("indices", lambda i: kmer_of(i, 12)))
+    return v.select("sid", F.size("indices").cast("bigint").alias("n_kmers"), F.aggregate(c, F.lit(0).cast("bigint"), lambda a, x: a + x).alias("total"), F.coalesce(F.array_max(c), F.lit(0).cast("bigint")).alias("most"), order.alias("last"))
+
+
 @query(f"SELECT kmer, i FROM (VALUES {', '.join(f'({chr(39)}{x}{chr(39)}, {i}::BIGINT)' for i, x in enumerate(kmers(3)))}) t(kmer, i)")
 def kmer_indices(spark, d):
     return spark.createDataFrame([(x,) for x in kmers(3)], "kmer string").select("kmer", kmer_index(F.col("kmer")).alias("i"))
