@@ -16,6 +16,7 @@ from ..operators import network as N
 from ..operators import sequences as S
 from ..operators import tables as T
 from ..operators.motifs import IUPACMotif, PWMMotif, occurrences, pwm_occurrences
+from ..operators.scan import scan
 from ..operators.svm import DualSVM
 from ..operators.motifs import pwm_evalue_threshold as pwm_threshold_of
 from ..streaming.merge import merge_stream
@@ -165,6 +166,17 @@ def motif_pair_freq(spark, d):
     return V.pair_frequencies(X.dna(spark, d), MOTIFS).withColumn("value", F.round("value", 6))
 
 
+#: Every eighth word of six letters: 512 motifs, 1024 strands.
+MANY = tuple(IUPACMotif(w, w) for w in kmers(6)[::8])
+
+
+@query(f"""WITH {X.DNA}, w AS (SELECT substr(dna, i + 1, 6) AS w, i FROM (SELECT dna, unnest(range(0, greatest(length(dna) - 5, 0))) AS i FROM dna)),
+m AS (SELECT motif, word, plus FROM (VALUES {", ".join(f"('{m.name}')" for m in MANY)}) t(motif), (SELECT unnest([true, false]) AS plus), LATERAL (SELECT CASE WHEN plus THEN motif ELSE {_rc("motif")} END AS word))
+SELECT motif, plus AS strand, count(*) AS n, CAST(sum(i) AS BIGINT) AS starts FROM w JOIN m ON word = w GROUP BY motif, plus""")
+def motif_scan_many(spark, d):
+    return scan(X.dna(spark, d), MANY).groupBy("motif", "strand").agg(F.count(F.lit(1)).alias("n"), F.sum("o_start").alias("starts"))
+
+
 PWM = PWMMotif("P", ((1.0, 0.0, 0.25, 0.5), (0.0, 0.125, 1.0, 0.5), (0.75, 0.0, 0.5, 0.25), (0.0, 1.0, 0.5, 0.125)), 3.25)
 
 
