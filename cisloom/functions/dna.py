@@ -58,6 +58,11 @@ for _i, _c in enumerate(NUCLEOTIDES):
     _CODE[ord(_c)] = _i
 
 
+def text_codes(dna: str) -> np.ndarray:
+    """Codes of one sequence: 0 to 3 in the order of NUCLEOTIDES, 4 for anything else."""
+    return _CODE[np.frombuffer(dna.encode("latin-1", "replace"), np.uint8)]
+
+
 def coded(batch: pa.RecordBatch, column: str = "dna") -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, row after the last, codes, offsets) of bounded parts of a batch: 0 to 3 in the order of NUCLEOTIDES, 4 for anything else."""
     col = batch.column(column).cast(pa.large_string()).fill_null("")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -45,12 +45,8 @@ def _starts(codes: np.ndarray, row: np.ndarray, motif: IUPACMotif) -> np.ndarray
     return np.sort(np.concatenate(out))
 
 
-def pair_vectors(seqs: DataFrame, motifs: tuple[IUPACMotif, ...], distance: int = 219, per: float = 1000.0) -> DataFrame:
-    """``seqs`` with ``features``, in place of ``dna``: of each pair of motifs (a motif with itself and those after it) the hits not further
-    apart than ``distance``, per ``per`` nucleotides.
-
-    The hits of a row are found and counted against each other by binary search among sorted places; nothing is joined.
-    """
+def pair_function(motifs: tuple[IUPACMotif, ...], distance: int = 219, per: float = 1000.0) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """What :func:`pair_vectors` counts, as a function of codes and offsets."""
     span = distance + max(len(m.pattern) for m in motifs) + 1
 
     def vectors(codes: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -69,7 +65,16 @@ def pair_vectors(seqs: DataFrame, motifs: tuple[IUPACMotif, ...], distance: int
                 out.append(np.bincount(row[hits[i]], found, minlength=len(n)))
         return np.stack(out, 1) * per / np.maximum(n, 1)[:, None]
 
-    return row_vectors(seqs, vectors)
+    return vectors
+
+
+def pair_vectors(seqs: DataFrame, motifs: tuple[IUPACMotif, ...], distance: int = 219, per: float = 1000.0) -> DataFrame:
+    """``seqs`` with ``features``, in place of ``dna``: of each pair of motifs (a motif with itself and those after it) the hits not further
+    apart than ``distance``, per ``per`` nucleotides.
+
+    The hits of a row are found and counted against each other by binary search among sorted places; nothing is joined.
+    """
+    return row_vectors(seqs, pair_function(motifs, distance, per))
 
 
 def pair_names(motifs: tuple[IUPACMotif, ...]) -> list[tuple[str, str]]:
