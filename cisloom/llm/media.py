@@ -228,7 +228,8 @@ def read_audio(blob: bytes) -> Audio:
     """
     out, good = Audio(), {}
     at, end = _tags(blob, out)
-    unit = int(out.tags["unit"]) if out.tags.get("unit", "").isdecimal() else None
+    said = out.tags.get("unit", "")
+    unit = int(said) if said.isdecimal() and len(said) < 19 else None
     parts, lost, first = [], False, True
     while at + 4 <= end:
         h = read_header(blob[at : at + 4])
