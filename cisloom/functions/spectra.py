@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-from .dna import NUCLEOTIDES
+from .dna import NUCLEOTIDES, coded
 
 #: Counted k-mers (neighbours included) that are held at once.
 HELD = 1 << 21
@@ -36,6 +36,26 @@ def _joined(a: tuple[np.ndarray, np.ndarray, int], b: tuple[np.ndarray, np.ndarr
     return (a[0][:n] << 2 * b[2]) | b[0][a[2] :][:n], (b[1][a[2] :][:n] << 2 * a[2]) | a[1][:n], a[2] + b[2]
 
 
+def placed(codes: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, k-mer, reverse complement) of every place with a k-mer of its row that holds no other letter."""
+    row = np.repeat(np.arange(len(at) - 1), np.diff(at))
+    fore, back = indices(codes, k)
+    m = len(fore)
+    other = np.concatenate([[0], np.cumsum(codes == 4)])
+    good = np.flatnonzero((other[k : k + m] == other[:m]) & (row[:m] == row[k - 1 : k - 1 + m])) if m else np.zeros(0, np.int64)
+    return row[good], fore[good], back[good]
+
+
+def totals(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """(i, c): how often each k-mer (k up to 11) stands in a task's sequences, on the strand given."""
+    c = np.zeros(4**k, np.int64)
+    for batch in batches:
+        for _, _, codes, at in coded(batch):
+            c += np.bincount(placed(codes, at, k)[1], minlength=len(c))
+    i = np.flatnonzero(c)
+    yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(c[i])], names=["i", "c"])
+
+
 def _totals(row: np.ndarray, index: np.ndarray, n: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sums of ``n`` by (row, index), sorted."""
     if len(row) and (int(row.max()) + 1) << 2 * k < 1 << 62:
@@ -52,13 +72,8 @@ def counted(codes: np.ndarray, at: np.ndarray, k: int, own: int | None = None) -
 
     With ``own``, each k-mer counts so many times for itself and once for each of its 3k neighbours by one substitution; rows are then taken a few at a time.
     """
-    n = np.diff(at)
-    row = np.repeat(np.arange(len(n)), n)
-    fore, back = indices(codes, k)
-    m = len(fore)
-    other = np.concatenate([[0], np.cumsum(codes == 4)])
-    good = np.flatnonzero((other[k : k + m] == other[:m]) & (row[:m] == row[k - 1 : k - 1 + m])) if m else np.zeros(0, np.int64)
-    r, i, c = _totals(np.tile(row[good], 2), np.concatenate([fore[good], back[good]]), np.ones(2 * len(good), np.int64), k)
+    row, fore, back = placed(codes, at, k)
+    r, i, c = _totals(np.tile(row, 2), np.concatenate([fore, back]), np.ones(2 * len(row), np.int64), k)
     if own is None:
         yield r, i, c
         return

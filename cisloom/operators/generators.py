@@ -9,8 +9,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.dna import NUCLEOTIDES, kmers, reverse_complement_column
+from ..functions.dna import NUCLEOTIDES, kmer_of, kmers, reverse_complement_column
 from ..functions.draws import cuts, draws, keys
+from ..functions.spectra import totals
 from ..sources.sequences import write_fasta
 
 #: Places of a sequence that are drawn at once.
@@ -28,8 +29,7 @@ def iid_model(seqs: DataFrame, pseudo: int = 1, complements: bool = True) -> Dat
 def markov_model(seqs: DataFrame, degree: int = 4, pseudo: int = 1, complements: bool = True) -> DataFrame:
     """(context, nt, n, p): conditional probabilities after ``degree`` nucleotides; every context has four rows."""
     k = degree + 1
-    found = F.regexp_extract_all(F.upper("dna"), F.lit(f"(?=([{NUCLEOTIDES}]{{{k}}}))"), F.lit(1))
-    counts = seqs.select(F.explode(found).alias("kmer")).groupBy("kmer").agg(F.count(F.lit(1)).alias("c"))
+    counts = seqs.select(F.upper("dna").alias("dna")).mapInArrow(lambda batches: totals(batches, k), "i bigint, c bigint").groupBy("i").agg(F.sum("c").alias("c")).select(kmer_of(F.col("i"), k).alias("kmer"), "c")
     if complements:
         counts = counts.select("c", F.explode(F.array("kmer", reverse_complement_column(F.col("kmer")))).alias("kmer")).groupBy("kmer").agg(F.sum("c").alias("c"))
     every = seqs.sparkSession.createDataFrame([(x,) for x in kmers(k)], "kmer string")
@@ -74,7 +74,8 @@ def generate(spark: SparkSession, model: DataFrame, n: int, length: int, seed: i
                         state = after[state, x]
                 yield pd.DataFrame({"sid": ids, "name": [f"generated_{seed}_{i}" for i in ids], "dna": [t.tobytes().decode()[:length] for t in text]})
 
-    return spark.range(0, n, 1, partitions or max(1, min(n, spark.sparkContext.defaultParallelism))).mapInPandas(run, "sid bigint, name string, dna string")
+    tasks = max(spark.sparkContext.defaultParallelism, n * length >> 22)  # some four million draws each
+    return spark.range(0, n, 1, partitions or max(1, min(n, tasks))).mapInPandas(run, "sid bigint, name string, dna string")
 
 
 def write_generated(spark: SparkSession, path: str, model: DataFrame, n: int, length: int, seed: int = 0) -> None:

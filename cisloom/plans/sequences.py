@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from ..core import kept
-from ..functions.dna import kmer_index, kmer_of, kmers
+from ..core import kept, shared_path
+from ..functions.dna import from_text, kmer_index, kmer_of, kmers
 from ..functions.draws import draw_sql, keys_sql
 from ..operators import curves as C
 from ..operators import evaluation as E
@@ -20,6 +21,7 @@ from ..operators.scan import scan
 from ..operators.svm import DualSVM
 from ..operators.motifs import pwm_evalue_threshold as pwm_threshold_of
 from ..streaming.merge import merge_stream
+from ..streaming.predict import predict_stream
 from . import fixtures as X
 from .intervals import islands
 
@@ -420,7 +422,8 @@ l AS (SELECT rn, score, t / (t + f)::DOUBLE AS p, lag(score, 1, 0) OVER (ORDER B
 f AS (SELECT * FROM l ORDER BY (p >= 0.8) DESC, CASE WHEN p >= 0.8 THEN rn ELSE -rn END LIMIT 1)
 SELECT round(CASE WHEN p >= 0.8 AND p > p0 THEN s0 + (0.8 - p0) * (score - s0) / (p - p0) ELSE score END, 5) AS threshold FROM f""")
 def calibrate_genomewide(spark, d):
-    positives = X.labelled(spark, d).where("label > 0").select("sid", "dna")
+    good = kept(X.table(spark, d, "labels").where("quality = 1").select(F.col("doc_id").alias("sid")))
+    positives = kept(X.dna(spark, d).select("sid", "dna").join(F.broadcast(good) if good.count() <= 1_000_000 else good, "sid"))  # beyond 8 MB of ids a shuffle
     return MOD.calibrate_genomewide(_hit_rates, positives, X.dna(spark, d)).select(F.round("threshold", 5).alias("threshold"))
 
 
@@ -528,6 +531,25 @@ def predict_regions(spark, d):
     return MOD.predict_regions(w, CUT).select("seq", "r_start", "r_end", F.round("score", 4).alias("score"))
 
 
+BLOCK = 500
+
+
+@query(SQL["predict_regions"])
+def stream_predict_regions(spark, d):
+    """The same regions from a stream of the texts' blocks, by the weights that a batch has learned."""
+    weights = np.array(MOD.LogOdds().fit(_node().transform(X.labelled(spark, d).select("sid", "dna", "label"))).weights)
+    vectors = V.pair_function(MOTIFS, 219)
+    docs = spark.readStream.schema(X.table(spark, d, "documents").schema).parquet(f"{d}/documents.parque[t]")  # a pattern, since streams do not start from a file's name
+    q = X.table(spark, d, "labels").where("quality IS NOT NULL").select(F.col("doc_id").alias("sid"))
+    seqs = docs.select(F.col("doc_id").alias("sid"), from_text(F.col("text")).alias("dna")).join(q, "sid")
+    cut = seqs.select(F.col("sid").cast("string").alias("seq"), F.posexplode(F.regexp_extract_all("dna", F.lit(f".{{1,{BLOCK}}}"), F.lit(0))).alias("block_no", "block"), F.length("dna").alias("n"))
+    blocks = cut.select("seq", "block_no", "block", (F.col("block_no") == F.floor((F.col("n") - 1) / BLOCK)).alias("last"))
+    found = predict_stream(blocks, lambda codes, at: vectors(codes, at) @ weights, CUT, SIZE, STEP, 6)
+    path = shared_path(spark, "stream")
+    found.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(found.schema).parquet(f"{path}/out").withColumn("score", F.round("score", 4))
+
+
 @query(f"""WITH {PF}, hit AS (SELECT CAST(sid AS VARCHAR) AS seq, w_start AS r_start, w_start + {SIZE} - 1 AS r_end, score FROM sc WHERE score >= {CUT}),
 g AS (SELECT *, CASE WHEN lag(r_end) OVER (PARTITION BY seq ORDER BY r_start) + 1 >= r_start THEN 0 ELSE 1 END AS new FROM hit), k AS (SELECT *, sum(new) OVER (PARTITION BY seq ORDER BY r_start ROWS UNBOUNDED PRECEDING) AS island FROM g)
 SELECT seq, CAST(min(r_start) AS BIGINT) AS r_start, CAST(max(r_end) AS BIGINT) AS r_end, max(score) AS score FROM k GROUP BY seq, island""")
