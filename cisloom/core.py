@@ -55,6 +55,16 @@ def length() -> Column:
     return F.col("r_end") - F.col("r_start") + 1
 
 
+def center() -> Column:
+    """The middle of a region, cut towards 0."""
+    return F.expr("(r_start + r_end) div 2")
+
+
+def region_table(df: DataFrame) -> DataFrame:
+    """What a printed region set shows: (seq, r_start, r_end, strand as a sign, length, text)."""
+    return df.select("seq", "r_start", "r_end", F.when(F.col("strand"), "+").otherwise("-").alias("strand"), length().alias("length"), region_text().alias("text"))
+
+
 def region_text() -> Column:
     """``seq:start..end (strand)``."""
     return F.format_string("%s:%d..%d (%s)", "seq", "r_start", "r_end", F.when(F.col("strand"), "+").otherwise("-"))

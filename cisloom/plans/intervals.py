@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..core import REGION_COLUMNS
+from ..core import REGION_COLUMNS, center, region_table, shared_path
 from ..operators import biomarkers as M
 from ..operators import curves as C
 from ..operators import genome as G
 from ..operators import regions as R
+from ..operators.pyramid import Pyramid
 from . import fixtures as X
 
 Q: dict = {}
@@ -227,6 +228,23 @@ def curve_rasterise(spark, d):
     return C.rasterise(X.event_curve(spark, d), 1704067200, 1704067200 + 2592000 - 1)
 
 
+@query(f"WITH {X.EV} SELECT seq, r_start, r_end, CASE WHEN strand THEN '+' ELSE '-' END AS strand, r_end - r_start + 1 AS length, seq || ':' || r_start || '..' || r_end || ' (' || CASE WHEN strand THEN '+' ELSE '-' END || ')' AS text, CAST(trunc((r_start + r_end) / 2.0::DOUBLE) AS BIGINT) AS center FROM a")
+def region_forms(spark, d):
+    return region_table(X.a(spark, d)).withColumn("center", center())
+
+
+VIEW = (1704067200 + 3 * 86400, 1704067200 + 10 * 86400 - 1)
+
+
+@query(f"""WITH {X.CURVE} SELECT seq, start // 4096 * 4096 AS start, CAST(4096 AS BIGINT) AS span, count(*) AS n, round(avg(value), 6) AS mean, min(value) AS lowest, max(value) AS highest FROM cv
+WHERE seq = 'view' AND start // 4096 BETWEEN {VIEW[0]} // 4096 AND {VIEW[1]} // 4096 GROUP BY 1, 2""")
+def curve_zoom_viewport(spark, d):
+    """A week of one track at about a hundred cells, from stored resolutions."""
+    p = Pyramid(shared_path(spark, "pyramid"))
+    p.write(X.event_curve(spark, d))
+    return p.viewport(spark, "view", *VIEW, cells=100).withColumn("mean", F.round("mean", 6))
+
+
 @query(f"WITH {X.CURVE} SELECT seq, count(*) AS n, count(*) FILTER (value >= 50) AS above FROM cv GROUP BY seq")
 def curve_table(spark, d):
     return X.event_curve(spark, d).groupBy("seq").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("value") >= 50).alias("above"))
