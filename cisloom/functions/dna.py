@@ -75,6 +75,20 @@ def coded(batch: pa.RecordBatch, column: str = "dna") -> Iterator[tuple[int, int
         lo = hi
 
 
+def with_codes(seqs: DataFrame) -> DataFrame:
+    """``seqs`` with ``codes`` (in place of any such column): a byte a nucleotide, 0 to 3 in the order of NUCLEOTIDES, 255 for anything else, lower case included."""
+    kept = [c for c in seqs.columns if c != "codes"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, codes, at in coded(batch):
+                values = np.where(codes == 4, np.uint8(255), codes).tobytes()
+                part = pa.array([values[a:b] for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())
+                yield pa.RecordBatch.from_arrays([*batch.slice(lo, hi - lo).columns, part], names=[*kept, "codes"])
+
+    return seqs.select(*kept).mapInArrow(run, T.StructType([*[seqs.schema[c] for c in kept], T.StructField("codes", T.BinaryType())]))
+
+
 def row_vectors(seqs: DataFrame, vectors: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
     """``seqs`` with ``features`` in place of ``dna``: ``vectors`` maps codes and offsets of some rows to a matrix of their features.
 

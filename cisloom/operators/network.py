@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.dna import kmers
@@ -34,6 +34,21 @@ class Node:
         """A trained copy; ``label`` is 1 for positives and -1 for negatives."""
         return self
 
+    def weights_table(self, spark: SparkSession) -> DataFrame:
+        """(i, feature, weight) of a fitted node: its log-odds weights, those of a log-odds model in it, or of the node within; ones where nothing was learned."""
+        return spark.createDataFrame([(i, n, float(w)) for i, (n, w) in enumerate(self._weighed())], "i int, feature string, weight double")
+
+    def _weighed(self) -> list[tuple[str, float]]:
+        own = getattr(self, "weights", None) or getattr(getattr(self, "base", None), "weights", None)
+        inner = getattr(self, "inner", None)
+        if own:
+            return list(zip((inner or self).names(), own, strict=True))
+        if isinstance(self, Cat):
+            return [x for p in self.parts for x in p._weighed()]
+        if isinstance(self, Filter):
+            return [inner._weighed()[i] for i in self.indices]
+        return inner._weighed() if inner is not None and len(inner.names()) == len(self.names()) else [(n, 1.0) for n in self.names()]
+
     def scale(self) -> Scale:
         return Scale(self)
 

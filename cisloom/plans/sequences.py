@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from ..core import kept, shared_path
-from ..functions.dna import from_text, kmer_index, kmer_of, kmers
+from ..functions.dna import from_text, kmer_index, kmer_of, kmers, with_codes
 from ..functions.draws import draw_sql, keys_sql
 from ..operators import curves as C
 from ..operators import evaluation as E
@@ -16,6 +16,7 @@ from ..operators import models as MOD
 from ..operators import network as N
 from ..operators import sequences as S
 from ..operators import tables as T
+from ..operators.convolution import ConvolutionModel
 from ..operators.motifs import IUPACMotif, PWMMotif, occurrences, pwm_occurrences
 from ..operators.scan import scan
 from ..operators.svm import DualSVM
@@ -92,6 +93,11 @@ def seq_revcomp(spark, d):
     return X.dna(spark, d).select("sid", F.md5(S.reverse_complement(F.col("dna"))).alias("hash"))
 
 
+@query(f"WITH {X.DNA} SELECT sid, md5(upper(replace(replace(replace(replace(replace(dna, 'N', 'ff'), 'A', '00'), 'T', '01'), 'G', '02'), 'C', '03'))) AS hash FROM dna WHERE dna IS NOT NULL")
+def seq_codes(spark, d):
+    return with_codes(X.dna(spark, d).where("dna IS NOT NULL").select("sid", "dna")).select("sid", F.md5(F.hex("codes")).alias("hash"))
+
+
 @query(f"WITH {X.DNA} SELECT CASE WHEN label > 0 THEN 'positive' ELSE 'negative' END AS name, CAST(label AS DOUBLE) AS value FROM lab GROUP BY ALL")
 def seq_labels(spark, d):
     return S.labels(X.labelled(spark, d))
@@ -302,6 +308,12 @@ def feature_log_odds(spark, d):
     return _long(LEAF.log_odds().fit(e, F.col("label")).transform(e))
 
 
+@query(f"WITH {EMB}, {ODDS} SELECT CAST(i AS INTEGER) AS i, CAST(i AS VARCHAR) AS feature, round(w, 6) AS weight FROM w")
+def network_weights(spark, d):
+    e = _signed(spark, d).withColumn("features", F.transform("features", lambda x: F.abs(x)))
+    return LEAF.log_odds().fit(e, F.col("label")).weights_table(spark).withColumn("weight", F.round("weight", 6))
+
+
 @query(f"WITH {EMB}, {ODDS} SELECT sid, round(sum(v * w), 5) AS score FROM l JOIN w USING (i) GROUP BY sid")
 def feature_model(spark, d):
     e = _signed(spark, d).withColumn("features", F.transform("features", lambda x: F.abs(x)))
@@ -633,6 +645,13 @@ def svm_dual_quadratic(spark, d):
     return DualSVM(degree=2).fit(v).score(v).select("sid", "label", F.round("score", 4).alias("score"))
 
 
+@query()
+def convolution_scores(spark, d):
+    """Documents by their quality label: ten steps of training over whole texts, then the probability of the positive class."""
+    s = X.labelled(spark, d).select("sid", "dna", "label")
+    return ConvolutionModel(detectors=8, width=6, steps=10).fit(s).score(s).select("sid", "label", F.round(F.col("probabilities")[1], 4).alias("score"))
+
+
 @query()
 def random_forest(spark, d):
     v = _signed(spark, d)
