@@ -23,6 +23,8 @@ from .models import BaseModel
 #: Dimensions of the feature map up to which rows stay distributed; also the rows up to which a wider map is replaced by the rows' own kernel matrix.
 WIDEST = 4096
 SUMS = "r int, v binary"
+#: Bytes of the feature map of a task's rows; bytes of all tasks' sums that are added up on the driver itself.
+TASK_BYTES, DIRECT_BYTES = 64 << 20, 32 << 20
 
 
 @dataclass
@@ -125,12 +127,13 @@ def _states(batches: Iterator[pa.RecordBatch], kernel: tuple[int, float, float],
 class _Rows:
     """Passes over training rows that Spark holds."""
 
-    def __init__(self, rows: DataFrame, degree: int, gamma: float, c: float):
-        self.rows, self.kernel, self.c = rows, (degree, gamma, c), c
+    def __init__(self, rows: DataFrame, degree: int, gamma: float, c: float, parts: int, direct: bool):
+        self.rows, self.kernel, self.c, self.parts, self.direct = rows, (degree, gamma, c), c, parts, direct
 
-    def _summed(self, steps: list[Step], measure, least_first: bool = False) -> np.ndarray:
-        """``measure`` of all rows added up line by line (of the first entry the least, if so asked): each task sends one row a line, and lines meet by their number."""
-        kernel = self.kernel
+    def _summed(self, steps: list[Step], measure, least_first: bool = False, direct: bool = True) -> list[np.ndarray]:
+        """``measure`` of all rows added up line by line (of the first entry the least, if so asked): each task sends one row a line, and lines meet by their number, in
+        one task after some others have added up theirs, or ``direct``ly on the driver where all tasks' lines are small."""
+        kernel, upper = self.kernel, not least_first and measure is not _ends
 
         def add(held: dict[int, np.ndarray], r: int, v: np.ndarray) -> None:
             if r not in held:
@@ -150,11 +153,11 @@ class _Rows:
             for state in _states(batches, kernel, steps):
                 m = np.atleast_2d(measure(state))
                 if least_first:
-                    for r, v in enumerate(m):
-                        add(held, r, v)
+                    add(held, 0, m[0])
                 else:
                     total = m if total is None else total + m
-            yield out(held if total is None else dict(enumerate(total)))
+            # of a symmetric matrix the upper half goes
+            yield out(held if total is None else {r: v[r if upper else 0 :] for r, v in enumerate(total)})
 
         def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held: dict[int, np.ndarray] = {}
@@ -163,11 +166,21 @@ class _Rows:
                     add(held, r, np.frombuffer(v))
             yield out(held)
 
-        lines = self.rows.mapInArrow(first, SUMS).repartition("r").mapInArrow(second, SUMS)
-        return np.stack([np.frombuffer(v) for _, v in sorted(map(tuple, lines.collect()))])  # one row a dimension of the feature map
+        lines = self.rows.mapInArrow(first, SUMS)
+        for tasks in [] if direct else [*([round(self.parts**0.5)] if self.parts > 16 else []), 1]:
+            lines = lines.repartition(tasks).mapInArrow(second, SUMS)  # a task holds one matrix, whatever it reads
+        held = {}
+        for r, v in zip(*(c.to_pylist() for c in lines.toArrow().columns), strict=True):  # a row a dimension of the feature map, or a few
+            add(held, r, np.frombuffer(v))
+        return [held[r] for r in sorted(held)]
 
     def system(self, steps: list[Step], mu: float) -> np.ndarray:
-        return self._summed(steps, lambda s: _system(s, mu))
+        lines = self._summed(steps, lambda s: _system(s, mu), direct=self.direct)
+        out = np.zeros((len(lines), len(lines) + 2))
+        for r, v in enumerate(lines):
+            out[r, r:] = v
+            out[r + 1 :, r] = v[1:-2]
+        return out
 
     def limits(self, steps: list[Step], step: Step) -> np.ndarray:
         return self._summed(steps, lambda s: _limits(s, step), True)[0]
@@ -257,16 +270,18 @@ class DualSVM(BaseModel):
         self.support: DataFrame | None = None
 
     def fit(self, vectors: DataFrame) -> DualSVM:
-        rows = kept(vectors.select(F.col("features").cast("array<double>").alias("features"), F.col("label").cast("double").alias("label")))
+        rows = vectors.select(F.col("features").cast("array<double>").alias("features"), F.col("label").cast("double").alias("label"))
         seen = rows.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("features")).alias("k"), F.min("label").alias("lo"), F.max("label").alias("hi")).first()
         n, k = seen["n"], seen["k"] or 0
         out = DualSVM(self.degree, self.c, self.gamma or 1.0 / max(1, k), self.tolerance, self.most_steps)
+        wide = k if self.degree == 1 else k * (k + 1) // 2
+        parts = 1 + n * wide * 8 // TASK_BYTES
+        rows = kept(rows.coalesce(parts))  # the passes are many and short: no more tasks than the work fills
         if not n or seen["lo"] == seen["hi"]:
             out.weights, out.intercept, out.support = np.zeros(k), float(seen["lo"] or 0.0), rows.withColumn("alpha", F.lit(0.0)).limit(0)
             return out
-        wide = k if self.degree == 1 else k * (k + 1) // 2
         if wide <= WIDEST:
-            passes = _Rows(rows, self.degree, out.gamma, self.c)
+            passes = _Rows(rows, self.degree, out.gamma, self.c, parts, parts * wide * wide * 8 <= DIRECT_BYTES)
             steps, w, out.gap = solve(passes, self.tolerance, self.most_steps)
             weighed = passes.weighed(steps)
             if self.degree == 1:

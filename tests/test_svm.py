@@ -71,6 +71,16 @@ def test_more_features_than_rows(spark, monkeypatch):
         DualSVM(2).fit(frame(spark, x, y))
 
 
+@pytest.mark.parametrize("task_bytes", [200, 4000])
+def test_sums_by_many_tasks(spark, monkeypatch, task_bytes):
+    x, y = rows(5, 80, 4, 0.4)
+    one = DualSVM(2).fit(frame(spark, x, y))
+    monkeypatch.setattr(svm, "TASK_BYTES", task_bytes)
+    monkeypatch.setattr(svm, "DIRECT_BYTES", 0)
+    many = DualSVM(2).fit(frame(spark, x, y).repartition(24))
+    assert abs(one.matrix - many.matrix).max() < 1e-6 and abs(one.intercept - many.intercept) < 1e-6 and many.gap < 1e-6
+
+
 def test_cases(spark):
     x, y = rows(1, 20, 3, 0.1)
     assert {r["score"] for r in DualSVM().fit(frame(spark, x, abs(y))).score(frame(spark, x, y)).collect()} == {1.0}
