@@ -54,7 +54,8 @@ def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("secrets", secrets), ("mixing", mixing), ("encoding", encoding)]
 
-#: Expectation-maximisation and byte-pair merges are beyond SQL; tests/llm/test_pipeline.py holds the rows of every stage against a plain version of it.
+#: Expectation-maximisation and byte-pair merges are beyond SQL; tests/llm/test_pipeline.py holds the rows of the stages after the first against a plain version,
+#: and those of the first against its operator, which tests/llm/test_operators.py holds against plain expectation-maximisation.
 ORACLE_SQL = None
 
 
