@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..core import REGION_COLUMNS, as_regions, length
+from ..core import REGION_COLUMNS, as_regions, kept, length
 
 #: Width of the smallest bins by which range joins are dealt; bins of each further level are eight times as wide.
 BIN, EIGHT = 1 << 14, 3
 SPOT = ["seq", "r_start", "r_end"]
+#: Rows of a stretch in which random draws meet regions; a start that no draw reaches.
+DRAWS, NEVER = 1 << 14, (1 << 63) - 1
 
 
 def _place(df: DataFrame, width: int) -> tuple[Column, Column, Column]:
@@ -209,6 +211,12 @@ def _placed(lengths: DataFrame) -> DataFrame:
     return upto.select("seq", (F.col("upto") - F.col("n")).alias("from"), "upto")
 
 
+def _drawn(seed: int) -> Column:
+    """The place of a draw among ``total`` positions, by a hash of its row and repeat."""
+    row = F.concat_ws(":", F.lit(seed), "rep", "seq", "r_start", "r_end", "feature")
+    return F.pmod(F.conv(F.substring(F.md5(row), 1, 12), 16, 10).cast("bigint"), F.col("total"))
+
+
 def dummy(a: DataFrame, lengths: DataFrame, repeats: int = 1, seed: int = 0) -> DataFrame:
     """``repeats`` sets (column ``rep``) of regions as long as those of ``a``, at seeded random places of the sequences ``lengths`` (seq, n).
 
@@ -216,10 +224,8 @@ def dummy(a: DataFrame, lengths: DataFrame, repeats: int = 1, seed: int = 0) ->
     total, and a draw meets a few sequences on average, however many there are and however their lengths differ.
     """
     total = lengths.where("n > 0").agg(F.sum("n").alias("total"), F.greatest(F.lit(1), F.floor(F.sum("n") / F.count(F.lit(1)))).alias("width"))
-    row = F.concat_ws(":", F.lit(seed), "rep", "seq", "r_start", "r_end", "feature")
     draws = a.select(*REGION_COLUMNS, F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("rep")).crossJoin(F.broadcast(total))
-    at = F.pmod(F.conv(F.substring(F.md5(row), 1, 12), 16, 10).cast("bigint"), F.col("total"))
-    draws = draws.withColumn("at", at).withColumn("size", length()).withColumn("bin", F.floor(F.col("at") / F.col("width"))).drop("seq", "r_start", "r_end")
+    draws = draws.withColumn("at", _drawn(seed)).withColumn("size", length()).withColumn("bin", F.floor(F.col("at") / F.col("width"))).drop("seq", "r_start", "r_end")
     first, last = F.floor(F.col("from") / F.col("width")), F.floor((F.col("upto") - 1) / F.col("width"))
     spots = _placed(lengths).crossJoin(F.broadcast(total.select("width"))).select("seq", "from", "upto", F.explode(F.sequence(first, last)).alias("bin"))
     d, s = draws.alias("d"), spots.alias("s")
@@ -228,13 +234,38 @@ def dummy(a: DataFrame, lengths: DataFrame, repeats: int = 1, seed: int = 0) ->
     return d.join(s, here, "left").select("rep", F.col("s.seq").alias("seq"), start.alias("r_start"), (start + F.col("size") - 1).alias("r_end"), *REGION_COLUMNS[3:])
 
 
-def expected_overlap(a: DataFrame, b: DataFrame, lengths: DataFrame, repeats: int = 100, seed: int = 0, width: int = BIN) -> DataFrame:
-    """Mean over dummy sets of the share of regions that overlap ``b``: what chance alone would give :func:`overlap_precision`."""
-    sets = dummy(a, lengths, repeats, seed).withColumn("seq_rep", F.col("rep"))
-    hits = overlap_pairs(sets.select("seq", "r_start", "r_end", "rep", F.monotonically_increasing_id().alias("row")), b.select(*SPOT), width)
-    hit = hits.groupBy(F.col("a_rep").alias("rep")).agg(F.count_distinct("a_row").alias("hit"))
-    size = sets.groupBy("rep").agg(F.count(F.lit(1)).alias("n"))
-    return size.join(hit, "rep", "left").agg(F.avg(F.coalesce("hit", F.lit(0)) / F.col("n")).alias("expected"), F.count(F.lit(1)).alias("repeats"))
+def expected_overlap(a: DataFrame, b: DataFrame, lengths: DataFrame, repeats: int = 100, seed: int = 0) -> DataFrame:
+    """Mean over dummy sets of the share of regions that overlap ``b``: what chance alone would give :func:`overlap_precision`.
+
+    With the sequences end to end, a draw at a position hits if the first flattened region of ``b`` that ends there or later, before the sequence does, starts within the
+    draw.  Draws (repeat, position, size, and how many equal regions they stand for) and the ends of regions and sequences are sorted within DRAWS-row stretches of the
+    positions; the first end after a stretch comes from one row a stretch.  Nothing is made a draw but its own row.
+    """
+    laid = kept(_placed(lengths))
+    size = a.agg(F.count(F.lit(1)).alias("n"))
+    rows = laid.agg(F.max("upto").alias("total"), F.count(F.lit(1)).alias("ends"))
+    flat = flatten(b).select(*SPOT)
+    some = kept(rows.crossJoin(F.broadcast(size)).crossJoin(F.broadcast(b.agg(F.count(F.lit(1)).alias("more")))))
+    stretches = F.greatest(F.lit(1), F.ceil((F.col("n") * repeats + F.col("ends") + F.col("more")) / DRAWS))
+    total = some.select("total", F.greatest(F.lit(1), F.ceil(F.col("total") / stretches)).alias("width"))
+    stretch = F.floor(F.col("at") / F.col("width"))
+    # equal regions draw the same place
+    spots = a.groupBy("seq", "r_start", "r_end", "feature").agg(F.count(F.lit(1)).alias("weight"))
+    draws = spots.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1)))).crossJoin(F.broadcast(total))
+    draws = draws.select("rep", _drawn(seed).alias("at"), length().alias("size"), "weight", "width").select(stretch.alias("stretch"), "at", F.lit(None).cast("bigint").alias("start"), "rep", "size", "weight")
+    ends = flat.join(laid, "seq").where("r_end >= 0").select((F.col("from") + F.least("r_end", F.col("upto") - F.col("from") - 1)).alias("at"), (F.col("from") + F.col("r_start")).alias("start"))
+    ends = ends.unionByName(laid.select((F.col("upto") - 1).alias("at"), F.lit(NEVER).alias("start"))).crossJoin(F.broadcast(total)).select(stretch.alias("stretch"), "at", "start")
+    ends = kept(ends)
+    order = Window.orderBy(F.col("stretch").desc()).rowsBetween(Window.unboundedPreceding, -1)  # one row a stretch
+    every = some.select(F.explode(F.sequence(F.lit(0).cast("bigint"), stretches)).alias("stretch")).join(ends.groupBy("stretch").agg(F.min(F.struct("at", "start")).alias("first")), "stretch", "left")
+    beyond = every.select("stretch", F.last("first", True).over(order).alias("first")).where("first IS NOT NULL").select("stretch", "first.at", "first.start")
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("rep", "int"), ("size", "bigint"), ("weight", "bigint"))]
+    met = draws.unionByName(ends.unionByName(beyond).select("*", *none))
+    down = Window.partitionBy("stretch").orderBy(F.col("at").desc(), F.col("start").desc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
+    next_ = met.withColumn("next", F.last("start", True).over(down)).where("rep IS NOT NULL")
+    hit = next_.groupBy("rep").agg(F.sum(F.when(F.col("next") < F.col("at") + F.col("size"), F.col("weight")).otherwise(0)).alias("hit"))
+    whole = some.select("n", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("rep")).where("n > 0")
+    return whole.join(hit, "rep", "left").agg(F.avg(F.coalesce("hit", F.lit(0)) / F.col("n")).alias("expected"), F.count(F.lit(1)).alias("repeats"))
 
 
 def expected(a: DataFrame, lengths: DataFrame, statistic: Callable[[DataFrame], DataFrame], repeats: int = 100, seed: int = 0) -> DataFrame:

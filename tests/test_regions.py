@@ -116,3 +116,19 @@ def test_dummy_places_by_join(spark, ab):
     assert Counter((r["rep"], r["seq"], r["r_start"], r["r_end"]) for r in out.collect()) == want
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "collect_list" not in plan and "windowspecdefinition(seq" not in plan
+
+
+def test_expected_overlap_moves_only_draws(spark):
+    """The share of hits equals a plain count over the dummy sets, with equal regions, regions of ``b`` over the ends and sequences without any; no draw meets regions by bins."""
+    a = regions(spark, [("X", i * 7 % 50, i * 7 % 50 + i) for i in range(40)] + [("X", 3, 9)] * 5)
+    b = regions(spark, [("X", 5, 9), ("X", 8, 20), ("X", 95, 130), ("Y", -4, 3), ("Y", 48, 49), ("Y", 55, 60), ("W", 1, 5)])
+    lengths = spark.createDataFrame([("X", 100), ("Y", 50), ("Z", 30), ("V", 0)], "seq string, n bigint")
+    out = R.expected_overlap(a, b, lengths, 4, seed=5)
+    d = R.dummy(a, lengths, 4, seed=5).select("rep", "seq", "r_start", "r_end").collect()
+    plain = [(r.seq, r.r_start, r.r_end) for r in b.collect()]
+    hits = [any(s == seq and x <= e and y >= f for s, x, y in plain) for _, seq, f, e in d]
+    got = out.first()
+    assert got["repeats"] == 4 and got["expected"] == pytest.approx(sum(hits) / len(d))
+    assert "monotonically_increasing_id" not in out._jdf.queryExecution().toString()
+    assert R.expected_overlap(a, b, lengths.limit(0), 2).first()["expected"] == 0
+    assert tuple(R.expected_overlap(a.limit(0), b, lengths, 2).first()) == (None, 0)
