@@ -15,7 +15,7 @@ from .common import documents, stored, text_of
 from .graph import components
 
 SHINGLE, PERCENT = 3, 90
-#: Most sets and most shingles in a leaf; bits of a node's signature; sets in the smallest node; longs of the signature by which pairs of leaves are left out; leaves that meet one leaf in one task.
+#: Most sets and most shingles in a leaf; bits of a node's signature; sets in the smallest node; longs of the signature by which pairs of sets are left out; leaves that meet one leaf in one task.
 LEAF_SETS, LEAF_SHINGLES, BITS, TIP, SIGNATURE, MEET = 256, 100_000, 1 << 13, 8, 32, 16
 #: Most keys that are broadcast to pick rows by; more are joined by a shuffle.
 BROADCAST_KEYS = 1_000_000
@@ -205,27 +205,25 @@ class Tree:
                     self.join(x, y, forest)
 
 
-LEAF = "low bigint, part int, ids array<bigint>, sizes array<int>, sets binary, bits array<bigint>, least int, most int, hidden int, us array<bigint>, vs array<bigint>"
+SET = "sid bigint, size int, shingles binary, bits array<bigint>, hidden int, us array<bigint>, vs array<bigint>"
 
 
 def _make_leaves(shingle: int):
-    """Gather the sets of a leaf (its rows follow each other), link them, and pack them for joins with other leaves."""
+    """Gather the sets of a leaf (its rows follow each other; those with one ``sid`` are one set) and link them; one row a set, with its signature, and the leaf's links beside its first."""
 
     def run(percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def packed(key: tuple, ids: list[int], sets: list[np.ndarray]) -> tuple:
+        def packed(ids: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
             tree, forest = Tree(sets, percent), Forest(len(sets))
             root = tree.build(np.arange(len(sets)))
             tree.join(root, root, forest)
-            bits = np.zeros(SIGNATURE * 64, bool)
-            every = np.concatenate(sets) % np.uint64(SIGNATURE * 64)
-            bits[every.astype(np.int64)] = True
-            hidden = max(len(s) - len(np.unique(s % np.uint64(SIGNATURE * 64))) for s in sets)
-            us, vs = [ids[i] for i, _ in forest.links], [ids[j] for _, j in forest.links]
-            sizes = [len(s) for s in sets]
-            return (*key, ids, sizes, np.concatenate(sets).tobytes(), np.packbits(bits).view(np.int64), min(sizes), max(sizes), hidden, us, vs)
+            bits = np.zeros((len(sets), SIGNATURE * 64), bool)
+            bits[tree.owner, (np.concatenate(sets) % np.uint64(SIGNATURE * 64)).astype(np.int64)] = True
+            links = [[[ids[link[side]] for link in forest.links]] + [[]] * (len(ids) - 1) for side in (0, 1)]
+            longs = pa.list_(pa.int64())
+            told = [pa.array(ids, pa.int64()), pa.array(tree.size.astype(np.int32)), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array(list(np.packbits(bits, 1).view(np.int64)), longs)]
+            return pa.RecordBatch.from_arrays([*told, pa.array((tree.size - bits.sum(1)).astype(np.int32)), *[pa.array(x, longs) for x in links]], names=[x.split()[0] for x in SET.split(", ")])
 
         key, ids, sets = None, [], []
-        out: list[tuple] = []
         for batch in batches:
             keys = list(zip(*(batch.column(c).to_pylist() for c in ("low", "part", "sid")), strict=True))
             for lo, hi, data, at in R.chunks(batch, "text"):
@@ -233,44 +231,31 @@ def _make_leaves(shingle: int):
                 for (low, part, sid), s in zip(keys[lo:hi], np.split(h, np.cumsum(n)[:-1]), strict=True):
                     if (low, part) != key:
                         if key is not None:
-                            out.append(packed(key, ids, sets))
+                            yield packed(ids, sets)
                         key, ids, sets = (low, part), [], []
-                    ids.append(sid)
-                    sets.append(s.copy())
-                    if len(out) >= 64:
-                        yield _leaf_batch(out)
-                        out = []
+                    if not ids or ids[-1] != sid:
+                        ids.append(sid)
+                        sets.append(s.copy())
         if key is not None:
-            out.append(packed(key, ids, sets))
-        if out:
-            yield _leaf_batch(out)
+            yield packed(ids, sets)
 
     return run
 
 
-def _leaf_batch(rows: list[tuple]) -> pa.RecordBatch:
-    names = [x.split()[0] for x in LEAF.split(", ")]
-    long, ints = pa.list_(pa.int64()), pa.int32()
-    types = [pa.int64(), ints, long, pa.list_(ints), pa.binary(), long, ints, ints, ints, long, long]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
-
-
 def _meet(percent: int):
-    """Links between the one leaf of a group on side 0 and each of its leaves on side 1; sets with one root are linked already."""
+    """Links between the sets of a group on side 0 and those of each of its leaves on side 1; sets with one root are linked already."""
 
     def run(group: pa.Table) -> pa.Table:
-        group = group.sort_by("side")
-        ids, sets, roots, ends = [], [], [], []
-        for i in range(group.num_rows):
-            sets += np.split(np.frombuffer(group.column("sets")[i].as_buffer(), np.uint64), np.cumsum(group.column("sizes")[i].as_py())[:-1])
-            ids += group.column("ids")[i].as_py()
-            roots += group.column("roots")[i].as_py()
-            ends.append(len(ids))
+        group = group.sort_by([("side", "ascending"), ("x_leaf", "ascending"), ("sid", "ascending")])
+        ids, roots = group.column("sid").to_pylist(), group.column("root").to_pylist()
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in group.column("shingles")]
         tree, forest = Tree(sets, percent), Forest(len(sets))
         first: dict[int, int] = {}
         for i, r in enumerate(roots):
             forest.link(first.setdefault(r, i), i)
         forest.links = []
+        side, leaf = group.column("side").to_numpy(), group.column("x_leaf").to_numpy()
+        ends = [*(np.flatnonzero((side[1:] != side[:-1]) | (leaf[1:] != leaf[:-1])) + 1).tolist(), len(ids)]
         one = tree.build(np.arange(ends[0]))
         for lo, hi in zip(ends, ends[1:], strict=False):
             tree.join(one, tree.build(np.arange(lo, hi)), forest)
@@ -280,34 +265,46 @@ def _meet(percent: int):
     return run
 
 
+def _fits(percent: int) -> Column:
+    """Whether sets of the sizes of ``x`` and of ``y`` can be linked."""
+    return (100 * F.col("x.most") >= percent * F.col("y.least")) & (100 * F.col("y.most") >= percent * F.col("x.least"))
+
+
 def _possible(percent: int) -> Column:
-    """Whether leaves ``x`` and ``y`` can hold linked sets, by their sizes and by the overlap that their signatures allow."""
-    fits = (100 * F.col("x.most") >= percent * F.col("y.least")) & (100 * F.col("y.most") >= percent * F.col("x.least"))
+    """Whether sets of ``x`` and of ``y`` can be linked, by the overlap that their signatures allow."""
     both = F.aggregate(F.zip_with("x.bits", "y.bits", lambda a, b: F.bit_count(a.bitwiseAND(b))), F.lit(0), lambda s, c: s + c)
-    return fits & ((both + F.least("x.hidden", "y.hidden")) * (100 + percent) >= percent * (F.col("x.least") + F.col("y.least")))
+    return (both + F.least("x.hidden", "y.hidden")) * (100 + percent) >= percent * (F.col("x.least") + F.col("y.least"))
 
 
-def _linked(leaves: DataFrame, pairs: DataFrame, roots: DataFrame | None, percent: int) -> DataFrame:
-    """Links (u, v) found between the leaves of every pair (x, y: structs of low and part).
+def _meeting(sets: DataFrame, entries: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """(y_leaf, task, side, x_leaf, sid): the sets that must meet for ``pairs`` (token, x, y: structs that begin with a leaf, and least and most size of its sets with the token).
 
-    Pairs are left out by signature before sets move; a leaf then travels once for every MEET leaves that it is paired with.
+    Only sets that bear the token meet, and only if the signatures of both leaves' sets with it allow a link: texts that share a passage by chance stay where they are.
+    The y sets of a leaf travel once for every MEET leaves that they are paired with.
     """
-    slim = leaves.select(F.struct("low", "part").alias("leaf"), F.struct("bits", "least", "most", "hidden").alias("told"))
-    for side in "xy":
-        pairs = pairs.join(slim.withColumnsRenamed({"leaf": f"{side}_leaf", "told": side}), f"{side}_leaf")
-    pairs = stored(pairs.where(_possible(percent)).select("x_leaf", "y_leaf"))
-    tasks = pairs.groupBy("y_leaf").agg(F.ceil(F.count(F.lit(1)) / MEET).cast("int").alias("tasks"))
-    dealt = pairs.join(tasks, "y_leaf").withColumn("task", F.pmod(F.xxhash64("x_leaf"), F.col("tasks")))
-    ones = dealt.select("y_leaf", "task").distinct()
-    sides = ones.select("y_leaf", "task", F.lit(0).alias("side"), F.col("y_leaf").alias("leaf")).unionByName(dealt.select("y_leaf", "task", F.lit(1).alias("side"), F.col("x_leaf").alias("leaf")))
-    held = leaves.select(F.struct("low", "part").alias("leaf"), "ids", "sizes", "sets")
-    if roots is None:
-        held = held.withColumn("roots", F.col("ids"))
-    else:
-        each = held.select("leaf", F.posexplode("ids").alias("at", "sid")).join(roots.withColumnRenamed("u", "sid"), "sid", "left")
-        each = each.groupBy("leaf").agg(F.sort_array(F.collect_list(F.struct("at", F.coalesce("root", "sid").alias("root")))).alias("r"))
-        held = held.join(each, "leaf").withColumn("roots", F.col("r.root")).drop("r")
-    rows = sides.join(held, "leaf").drop("leaf")
+    pairs = stored(pairs.select("token", *[F.struct(f"{s}.leaf", f"{s}.least", f"{s}.most").alias(s) for s in "xy"]))
+    wanted = pairs.select("token", F.col("x.leaf").alias("leaf")).unionByName(pairs.select("token", F.col("y.leaf").alias("leaf"))).distinct()
+    bearers = stored(entries.select("token", "leaf", "sid").join(wanted, ["token", "leaf"]))
+    signed = bearers.join(sets.select("sid", "bits", "hidden"), "sid").groupBy("token", "leaf").agg(F.array(*[F.bit_or(F.col("bits")[i]) for i in range(SIGNATURE)]).alias("bits"), F.max("hidden").alias("hidden"))
+    signed = stored(signed)
+    for s in "xy":
+        told = signed.select("token", F.col("leaf").alias(f"{s}_leaf"), F.struct("bits", "hidden").alias("told"))
+        pairs = pairs.withColumn(f"{s}_leaf", F.col(f"{s}.leaf")).join(told, ["token", f"{s}_leaf"]).withColumn(s, F.struct(f"{s}.least", f"{s}.most", "told.*")).drop("told")
+    left = stored(pairs.where(_possible(percent)).select("token", "x_leaf", "y_leaf"))
+    tasks = left.select("x_leaf", "y_leaf").distinct().groupBy("y_leaf").agg(F.ceil(F.count(F.lit(1)) / MEET).cast("int").alias("tasks"))
+    dealt = left.join(tasks, "y_leaf").withColumn("task", F.pmod(F.xxhash64("x_leaf"), F.col("tasks")))
+    sides = [dealt.join(bearers.withColumnRenamed("leaf", f"{s}_leaf"), ["token", f"{s}_leaf"]) for s in "yx"]
+    none = F.struct(F.lit(0).cast("bigint").alias("low"), F.lit(0).alias("part"))
+    y, x = (d.select("y_leaf", "task", F.lit(i).alias("side"), (F.col("x_leaf") if i else none).alias("x_leaf"), "sid").distinct() for i, d in enumerate(sides))
+    return y.unionByName(x)
+
+
+def _linked(sets: DataFrame, entries: DataFrame, pairs: DataFrame, roots: DataFrame | None, percent: int) -> DataFrame:
+    """Links (u, v) between the sets of every pair (token, x, y); see :func:`_meeting`."""
+    rows = stored(_meeting(sets, entries, pairs, percent).withColumn("x_leaf", F.xxhash64("x_leaf")))
+    moved = picked(sets.select("sid", "shingles"), stored(rows.select("sid").distinct()), "sid", "inner")
+    rows = rows.join(moved, "sid")
+    rows = rows.withColumn("root", F.col("sid")) if roots is None else rows.join(roots.withColumnRenamed("u", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     return stored(rows.groupBy("y_leaf", "task").applyInArrow(_meet(percent), "u bigint, v bigint"))
 
 
@@ -359,27 +356,28 @@ def find_groups(docs: DataFrame, id_col: str, text_col: str, shingle: int, perce
     room = F.greatest(F.lit(1), F.least(F.lit(LEAF_SETS), F.floor(F.lit(LEAF_SHINGLES) / F.max("size"))))
     leaves_of = chosen.groupBy("low").agg(F.ceil(F.count(F.lit(1)) / room).cast("int").alias("leaves"))
     placed = chosen.join(leaves_of, "low").withColumn("part", F.pmod(F.xxhash64("sid"), F.col("leaves")).cast("int"))
-    placed = stored(placed.select("sid", "a", "b", "low", "part", F.col("best.mark").alias("mark")))
-    texts = picked(own.select("mark", "text"), placed.select("mark", "sid", "low", "part"), "mark", "inner").groupBy("low", "part", "sid").agg(F.first("text").alias("text"))
+    placed = stored(placed.select("sid", "a", "b", "low", "part", "size", F.col("best.mark").alias("mark")))
+    texts = picked(own.select("mark", "text"), placed.select("mark", "sid", "low", "part"), "mark", "inner").select("low", "part", "sid", "text")
     make = _make_leaves(shingle)
-    leaves = stored(texts.repartition("low", "part").sortWithinPartitions("low", "part", "sid").mapInArrow(lambda x: make(percent, x), LEAF))
-    links = leaves.select(F.explode(F.arrays_zip(F.col("us").alias("u"), F.col("vs").alias("v"))).alias("l")).select("l.u", "l.v")
+    sets = stored(texts.repartition("low", "part").sortWithinPartitions("low", "part", "sid").mapInArrow(lambda x: make(percent, x), SET))
+    links = sets.select(F.explode(F.arrays_zip(F.col("us").alias("u"), F.col("vs").alias("v"))).alias("l")).select("l.u", "l.v")
     # sets whose first 64 bits agree meet too, whatever they share
     tokens = posts.select("token", "a").unionByName(both.select((-F.col("a").bitwiseAND(F.lit((1 << 62) - 1)) - 1).alias("token"), "a"))
-    where = placed.select("a", "sid", F.struct("low", "part").alias("leaf"))
-    entries = stored(tokens.join(where, "a").select("token", "leaf", "sid"))
-    heads = entries.groupBy("token").agg(F.min("leaf").alias("y_leaf"), F.max("leaf").alias("last")).where("y_leaf < last").select("token", "y_leaf")
-    star = entries.select("token", "leaf").join(heads, "token").where("leaf <> y_leaf").select(F.col("leaf").alias("x_leaf"), "y_leaf").distinct()
-    links = links.unionByName(_linked(leaves, star, None, percent))
+    where = placed.select("a", "sid", "size", F.struct("low", "part").alias("leaf"))
+    entries = stored(tokens.join(where, "a").select("token", "leaf", "sid", "size"))
+    of_leaf = [F.min("size").alias("least"), F.max("size").alias("most")]
+    groups = entries.groupBy("token", "leaf").agg(*of_leaf)
+    heads = groups.groupBy("token").agg(F.min(F.struct("leaf", "least", "most")).alias("y"), F.max("leaf").alias("last")).where("y.leaf < last").select("token", "y")
+    star = groups.select("token", F.struct("leaf", "least", "most").alias("x")).join(heads, "token").where("x.leaf <> y.leaf").where(_fits(percent))
+    links = links.unionByName(_linked(sets, entries, star, None, percent))
     roots = components(links)
-    # tokens that still stand in several components; leaves whose sets are all in one and the same do not meet
+    # tokens that still stand in several components; leaves whose sets are all in one and the same do not meet, and a token's first leaf has met the others
     state = entries.join(roots.withColumnRenamed("u", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-    apart = state.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("token")
-    state = stored(state.join(apart, "token").groupBy("token", "leaf").agg(F.min("root").alias("lo"), F.max("root").alias("hi")))
-    x, y = (state.select("token", *[F.col(c).alias(f"{s}_{c}") for c in ("leaf", "lo", "hi")]) for s in "xy")
-    open_ = x.join(y, "token").where("x_leaf > y_leaf AND NOT (x_lo = x_hi AND y_lo = y_hi AND x_lo = y_lo)")
-    rest = open_.select("x_leaf", "y_leaf").distinct().join(star, ["x_leaf", "y_leaf"], "left_anti")
-    more = _linked(leaves, rest, roots, percent)
+    apart = state.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("leaf").alias("head")).where("lo < hi").select("token", "head")
+    state = stored(state.join(apart, "token").where("leaf <> head").groupBy("token", "leaf").agg(*of_leaf, F.min("root").alias("lo"), F.max("root").alias("hi")))
+    x, y = (state.select("token", F.struct("leaf", "least", "most", "lo", "hi").alias(s)) for s in "xy")
+    rest = x.join(y, "token").where("x.leaf > y.leaf AND NOT (x.lo = x.hi AND y.lo = y.hi AND x.lo = y.lo)").where(_fits(percent))
+    more = _linked(sets, entries, rest, roots, percent)
     if not more.isEmpty():
         roots = components(links.unionByName(more))
     linked = stored(placed.select("a", "b", "sid").join(roots.withColumnRenamed("u", "sid"), "sid"))
@@ -404,8 +402,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     3. Classes are dealt to leaves of bounded size by the least shared one of these shingles, so that like sets stand together.  Each leaf is a signature tree (OR-combined
        bitmaps, size ranges), joined with itself by dual traversal, which leaves out node pairs whose largest possible overlap
        is too small or whose sets are connected already; what is left is counted exactly.
-    4. Leaves meet the first leaf of each rare shingle of theirs; then, for shingles that still stand in several components, the leaves of
-       different components meet.  Pairs of leaves are left out by their signatures before sets move.  No link between components is missed.
+    4. The sets of a leaf that bear a rare shingle meet those of its first leaf that do; then, for shingles that still stand in several components, those of
+       different components meet.  Pairs are left out by sizes and signatures before sets move, and no others move.  No link between components is missed.
 
     Cases: a null text or one without words has no set: its component is its own id.  Repeated rows are linked.  A null id is
     no candidate for ``component_id``, which is null if no row of the component has an id.  Very long texts have leaves of their own; other

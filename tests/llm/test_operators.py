@@ -543,3 +543,22 @@ def test_jaccard_join_of_large_groups(spark, monkeypatch):
     df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(7)
     for k, percent in ((5, 80), (2, 60)):
         same(jaccard_join.jaccard_components(df, shingle=k, percent=percent).collect(), brute.components(rows, k, percent))
+
+
+def test_jaccard_moves_only_what_may_link(spark):
+    """Of the sets of two leaves that share a shingle, those meet that bear it and whose sizes and signatures allow a link."""
+    rng = np.random.default_rng(4)
+    words = [f"w{i}" for i in rng.integers(0, 1 << 40, 20_000)]
+    texts = [" ".join(words[200 * i : 200 * i + 200]) for i in range(20)]
+    own = [(i, i // 10, i, t) for i, t in enumerate([*texts, texts[3] + " more"])]
+    rows = spark.createDataFrame(own, "low bigint, part int, sid bigint, text string").coalesce(1).sortWithinPartitions("low", "part", "sid")
+    make = jaccard_join._make_leaves(3)
+    sets = rows.mapInArrow(lambda x: make(90, x), jaccard_join.SET)
+    assert sorted(r.size for r in sets.collect()) == [198] * 20 + [199]
+    leaf = F.struct("low", "part")
+    entries = spark.createDataFrame([(s, 0, s, 198 + (s == 20), 7) for s in (1, 3, 15, 20)], "low bigint, part int, sid bigint, size int, token bigint").select("token", leaf.alias("leaf"), "sid", "size")
+    side = lambda s: entries.select("token", F.struct("leaf", F.col("size").alias("least"), F.col("size").alias("most")).alias(s))
+    pairs = side("x").join(side("y"), "token").where("x.leaf > y.leaf")
+    got = jaccard_join._meeting(sets, entries, pairs, 90).collect()
+    assert {r.sid for r in got} == {3, 20} and len(got) == 2
+    assert [sorted(r) for r in jaccard_join._linked(sets, entries, pairs, None, 90).collect()] == [[3, 20]]
