@@ -10,27 +10,65 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.dna import IUPAC, NUCLEOTIDES, coded, kmers, reverse_complement, reverse_complement_column, row_vectors
-from ..functions.spectra import counted, texts
-from .motifs import IUPACMotif, count
+from ..functions.dna import IUPAC, NUCLEOTIDES, coded, kmers, reverse_complement, row_vectors
+from ..functions.spectra import counted, positioned, texts
+from .motifs import IUPACMotif
 
 
-def frequencies(dna: Column, motifs: tuple[IUPACMotif, ...], per: float = 1000.0) -> list[Column]:
-    """Occurrences of each motif per ``per`` nucleotides; 0 for an empty sequence."""
-    n = F.length(dna)
-    return [F.when(n > 0, count(dna, m) * F.lit(per) / n).otherwise(0.0) for m in motifs]
+def count_function(motifs: tuple[IUPACMotif, ...], per: float = 1000.0) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """Occurrences of each motif on both strands per ``per`` nucleotides (0 for an empty row), as a function of codes and offsets.
+
+    Eight strands at a time: a byte a place holds those that its letter allows at one place of the pattern, and bytes of successive places are combined.
+    """
+    exact = [(m, i, t) for i, m in enumerate(motifs) if not m.mismatches for t in _allowed(m)]
+
+    def vectors(codes: np.ndarray, at: np.ndarray) -> np.ndarray:
+        n = np.diff(at)
+        out = np.zeros((len(n), len(motifs)))
+        row = np.repeat(np.arange(len(n)), n)
+        apart = np.full(len(codes) + len(n), 4, np.uint8)  # a letter that no pattern allows ends each row
+        apart[np.arange(len(codes)) + row] = codes
+        text, starts = apart.tobytes(), at[:-1] + np.arange(len(n))
+        for lo in range(0, len(exact), 8):
+            some = exact[lo : lo + 8]
+            hit = np.full(len(apart), 255 >> (8 - len(some)), np.uint8)
+            for j in range(max(len(t) for *_, t in some)):
+                letters = [sum(1 << s for s, (*_, t) in enumerate(some) if j >= len(t) or t[j][c]) for c in range(5)]
+                hit[: max(0, len(hit) - j)] &= np.frombuffer(text.translate(bytes(letters) + bytes(251)), np.uint8)[j:]
+                past = sum(1 << s for s, (*_, t) in enumerate(some) if j >= len(t))
+                hit[max(0, len(hit) - j) :] &= np.uint8(past)
+            place = np.flatnonzero(hit)
+            found, of = hit[place], np.searchsorted(starts, place, "right") - 1
+            for s, (_, i, _) in enumerate(some):
+                out[:, i] += np.bincount(of[(found >> s) & 1 == 1], minlength=len(n))
+        for i, m in enumerate(motifs):
+            if m.mismatches:
+                out[:, i] = np.bincount(row[_starts(codes, row, m)], minlength=len(n))
+        return out * per / np.maximum(n, 1)[:, None]
+
+    return vectors
+
+
+def occurrence_vectors(seqs: DataFrame, motifs: tuple[IUPACMotif, ...], per: float = 1000.0) -> DataFrame:
+    """``seqs`` with ``features``, in place of ``dna``: occurrences of each motif per ``per`` nucleotides."""
+    return row_vectors(seqs, count_function(motifs, per))
 
 
 def occurrence_frequencies(seqs: DataFrame, motifs: tuple[IUPACMotif, ...], per: float = 1000.0) -> DataFrame:
     """Occurrences of each motif per ``per`` nucleotides, one column a motif."""
-    return seqs.select("sid", *[f.alias(m.name) for f, m in zip(frequencies(F.col("dna"), motifs, per), motifs, strict=True)])
+    return occurrence_vectors(seqs.select("sid", "dna"), motifs, per).select("sid", *[F.col("features")[i].alias(m.name) for i, m in enumerate(motifs)])
+
+
+def _allowed(motif: IUPACMotif) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each place of the pattern allows each code, and the same of its reverse complement."""
+    table = np.array([[c in IUPAC[x] for c in NUCLEOTIDES] + [False] for x in motif.pattern])
+    return table, table[::-1][:, [1, 0, 3, 2, 4]]
 
 
 def _starts(codes: np.ndarray, row: np.ndarray, motif: IUPACMotif) -> np.ndarray:
     """Places of the hits of ``motif`` on both strands, ascending; a place that hits on both stands twice."""
     k, out = len(motif.pattern), []
-    allowed = np.array([[c in IUPAC[x] for c in NUCLEOTIDES] + [False] for x in motif.pattern])
-    for table in (allowed, allowed[::-1][:, [1, 0, 3, 2, 4]]):
+    for table in _allowed(motif):
         i = np.flatnonzero(row[: max(0, len(row) - k + 1)] == row[k - 1 :])
         if motif.mismatches:
             wrong = np.zeros(len(i), np.uint8)
@@ -161,13 +199,20 @@ def kmer_sparse(seqs: DataFrame, k: int, mismatch: bool = False, double_own: boo
 
 def kmer_spectrum_positional(seqs: DataFrame, k: int, per: float = 1000.0) -> DataFrame:
     """Positional spectrum (sid, kmer, a, b): with p the place of the k-mer's last nucleotide over the length, forward adds p to a and 1 - p to b,
-    the reverse complement the other way round."""
-    found = F.regexp_extract_all("dna", F.lit(f"(?=([{NUCLEOTIDES}]{{{k}}}|))[ATGCN]"), F.lit(1))
-    at = seqs.select("sid", F.length("dna").alias("n"), F.posexplode(found).alias("pos", "kmer")).where("kmer <> ''")
-    p, q = F.col("pos") + (k - 1), F.col("n") - (F.col("pos") + (k - 1))  # sums of whole numbers do not depend on the order of rows
-    both = F.array(F.struct(F.col("kmer").alias("kmer"), p.alias("a"), q.alias("b")), F.struct(reverse_complement_column(F.col("kmer")).alias("kmer"), q.alias("a"), p.alias("b")))
-    x = at.select("sid", "n", F.explode(both).alias("x")).select("sid", "n", "x.*")
-    return x.groupBy("sid", "n", "kmer").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).select("sid", "kmer", *[(F.col(c) * F.lit(per) / F.col("n") / F.col("n")).alias(c) for c in "ab"])
+    the reverse complement the other way round.
+
+    Summed within each row of ``seqs``: no row a nucleotide, no shuffle.
+    """
+    schema = T.StructType([seqs.schema["sid"], *T._parse_datatype_string("kmer string, a double, b double").fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, codes, at in coded(batch):
+                row, index, sums = positioned(codes, at, k)  # whole numbers
+                n = np.diff(at)[row]
+                yield pa.RecordBatch.from_arrays([batch.column("sid").slice(lo, hi - lo).take(pa.array(row)), texts(index, k), *[pa.array(x * per / n / n) for x in sums]], names=["sid", "kmer", "a", "b"])
+
+    return seqs.select("sid", "dna").mapInArrow(run, schema)
 
 
 def vectors(long: DataFrame, names: list[str], key: str = "kmer") -> DataFrame:

@@ -99,7 +99,7 @@ class MotifFrequencies(Node):
         return [m.name for m in self.motifs]
 
     def transform(self, seqs: DataFrame) -> DataFrame:
-        return seqs.withColumn("features", F.array(*X.frequencies(F.col("dna"), self.motifs))).drop("dna")
+        return X.occurrence_vectors(seqs, self.motifs)
 
 
 @dataclass(frozen=True)
