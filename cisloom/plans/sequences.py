@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..core import kept, shared_path
@@ -43,6 +44,11 @@ def query(sql: str | None = None):
     return keep
 
 
+def _rounded(x: Column, digits: int) -> Column:
+    """``round`` of values that are not negative, in doubles and not in decimals, for some billions of rows."""
+    return F.floor(x * 10.0**digits + 0.5) / 10.0**digits
+
+
 def _md5(seed: int, key: str = "sid") -> str:
     return f"md5('{seed}:' || {key})"
 
@@ -208,7 +214,7 @@ KM = f"km AS (SELECT sid, n, unnest(list_filter(list_transform(range(0, greatest
 
 @query(f"WITH {X.DNA}, {KM} SELECT sid, kmer, round(c * 1000.0::DOUBLE / n, 6) AS value FROM kb")
 def kmer_spectrum(spark, d):
-    return V.kmer_spectrum(X.dna(spark, d), K).withColumn("value", F.round("value", 6))
+    return V.kmer_spectrum(X.dna(spark, d), K).withColumn("value", _rounded(F.col("value"), 6))
 
 
 def _near(own: int) -> str:
@@ -219,19 +225,19 @@ SELECT sid, n, substr(kmer, 1, CAST(i - 1 AS INTEGER)) || x || substr(kmer, CAST
 
 @query(f"WITH {X.DNA}, {KM}, {_near(1)} SELECT sid, near AS kmer, round(sum(c) * 1000.0::DOUBLE / n, 6) AS value FROM nb GROUP BY sid, n, near")
 def kmer_spectrum_mm(spark, d):
-    return V.kmer_spectrum_mismatch(X.dna(spark, d), K).withColumn("value", F.round("value", 6))
+    return V.kmer_spectrum_mismatch(X.dna(spark, d), K).withColumn("value", _rounded(F.col("value"), 6))
 
 
 @query(f"WITH {X.DNA}, {KM}, {_near(K)} SELECT sid, near AS kmer, round(sum(c) * 1000.0::DOUBLE / n, 6) AS value FROM nb GROUP BY sid, n, near")
 def kmer_spectrum_mmd(spark, d):
-    return V.kmer_spectrum_mismatch(X.dna(spark, d), K, True).withColumn("value", F.round("value", 6))
+    return V.kmer_spectrum_mismatch(X.dna(spark, d), K, True).withColumn("value", _rounded(F.col("value"), 6))
 
 
 @query(f"""WITH {X.DNA}, {KM}, pos AS (SELECT sid, n, split_part(x, ':', 1) AS k, CAST(split_part(x, ':', 2) AS BIGINT) + {K} - 1 AS p FROM km),
 ab AS (SELECT sid, n, k AS kmer, p AS a, n - p AS b FROM pos UNION ALL SELECT sid, n, {_rc('k')}, n - p, p FROM pos)
 SELECT sid, kmer, round(sum(a) * 1000.0::DOUBLE / n / n, 4) AS a, round(sum(b) * 1000.0::DOUBLE / n / n, 4) AS b FROM ab GROUP BY sid, n, kmer""")
 def kmer_spectrum_gps(spark, d):
-    return V.kmer_spectrum_positional(X.dna(spark, d), K).select("sid", "kmer", F.round("a", 4).alias("a"), F.round("b", 4).alias("b"))
+    return V.kmer_spectrum_positional(X.dna(spark, d), K).select("sid", "kmer", _rounded(F.col("a"), 4).alias("a"), _rounded(F.col("b"), 4).alias("b"))
 
 
 @query(f"""WITH {X.DNA}, f AS (SELECT sid, length(dna) AS n, unnest(list_filter(list_transform(range(0, greatest(length(dna) - 11, 0)), lambda i: substr(dna, i + 1, 12)), lambda x: NOT contains(x, 'N'))) AS k FROM dna),
@@ -324,8 +330,8 @@ ALL_KMERS = ", ".join(f"('{x}', {i}::INTEGER)" for i, x in enumerate(kmers(K)))
 
 
 def _network(node, spark, d):
-    v = node.transform(X.dna(spark, d).select("sid", "dna"))
-    return _long(v).where("v > 0")
+    v = node.transform(X.dna(spark, d).select("sid", "dna")).select("sid", F.posexplode("features").alias("i", "v"))
+    return v.where("v > 0").withColumn("v", _rounded(F.col("v"), 6)).where("v > 0")
 
 
 @query(f"WITH {X.DNA}, {KM}, k AS (SELECT * FROM (VALUES {ALL_KMERS}) t(kmer, i)) SELECT sid, i, round(c * 1000.0::DOUBLE / n, 6) AS v FROM kb JOIN k USING (kmer)")
