@@ -16,6 +16,8 @@ from ..functions.dna import coded
 
 #: Nucleotides whose activations are held at once.
 HELD = 1 << 17
+#: Letters that are looked up together.
+WORD = 3
 SUMS = "sums binary"
 
 
@@ -46,12 +48,22 @@ class Network:
         width, _, n = self.detectors.shape
         table = np.concatenate([self.detectors, np.zeros((width, 1, n))], 1)
         places = codes.shape[1] - width + 1
-        z = np.broadcast_to(self.low, (len(codes), places, n)).copy()
-        for j in range(width):
-            z += table[j][codes[:, j : j + places]]
-        z[np.arange(places)[None, :] > np.maximum(0, length - width)[:, None]] = -np.inf
-        best = z.argmax(1)
-        top = np.maximum(np.take_along_axis(z, best[:, None, :], 1)[:, 0], 0.0)
+        words = []  # number of the word at every place, and what each word adds to a detector
+        for lo in range(0, width, WORD):
+            number, score = np.zeros((len(codes), places), np.intp), np.zeros((1, n)) if lo else self.low[None, :]
+            for j in range(lo, min(lo + WORD, width)):
+                number = number * 5 + codes[:, j : j + places]
+                score = (score[:, None, :] + table[j][None]).reshape(-1, n)
+            words.append((number, np.ascontiguousarray(score.T)))
+        past = np.arange(places)[None, :] > np.maximum(0, length - width)[:, None]
+        best, top = np.zeros((len(codes), n), np.int64), np.zeros((len(codes), n))
+        for d in range(n):
+            z = words[0][1][d].take(words[0][0])
+            for number, score in words[1:]:
+                z += score[d].take(number)
+            z[past] = -np.inf
+            best[:, d] = z.argmax(1)
+            top[:, d] = np.maximum(z[np.arange(len(z)), best[:, d]], 0.0)
         out = top @ self.classes + self.high
         e = np.exp(out - out.max(1, keepdims=True))
         return e / e.sum(1, keepdims=True), best, top

@@ -64,3 +64,18 @@ def test_sums_do_not_hang_on_partitions(spark, monkeypatch):
 def test_no_rows(spark):
     with pytest.raises(ValueError, match="no rows"):
         ConvolutionModel().fit(frame(spark, []), "kind")
+
+
+def test_words_are_looked_up_together(monkeypatch):
+    """Any grouping of letters gives what single letters give; fewer lookups a place than a detector has letters."""
+    from cisloom.operators import convolution
+
+    rng = np.random.default_rng(3)
+    codes, length = rng.integers(0, 5, (7, 60)).astype(np.uint8), np.array([60, 60, 8, 3, 0, 33, 59])
+    for i, n in enumerate(length):
+        codes[i, n:] = 4
+    net = convolution.Network.random(4, 8, 2, 1)
+    whole = net.forward(codes, length)
+    assert convolution.WORD > 1
+    monkeypatch.setattr(convolution, "WORD", 1)
+    assert all(np.allclose(x, y) for x, y in zip(whole, net.forward(codes, length), strict=True))
