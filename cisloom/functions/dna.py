@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Nucleotides that one step of an Arrow function works on.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 # Order of nucleotides and the IUPAC codes.
 NUCLEOTIDES = "ATGC"
