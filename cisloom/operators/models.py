@@ -15,7 +15,7 @@ from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..core import kept
+from ..core import kept, shared_path
 from . import evaluation
 from .curves import _stretches
 from .features import scale_parameters, scaled
@@ -256,9 +256,11 @@ class CrossValidation:
 def cross_validation(split: DataFrame, models: dict[str, BaseModel], repeats: int) -> CrossValidation:
     """Each model trained on the training rows and scored on the validation rows of each repeat of ``split`` (sid, rep, features, label, part).
 
-    A loop over repeats plans the fits; Spark runs them.
+    A loop over repeats plans the fits; Spark runs them.  Rows are written in a folder a repeat, so that a repeat reads its own rows only.
     """
-    split = kept(split.select("sid", "rep", "features", "label", "part"))
+    split, path = split.select("sid", "rep", "features", "label", "part"), shared_path(split.sparkSession, "split")
+    split.write.partitionBy("rep").parquet(path)
+    split = split.sparkSession.read.schema(split.schema).parquet(path)
     trained: dict[str, list[BaseModel]] = {}
     out = []
     for name, model in models.items():

@@ -181,3 +181,29 @@ def test_compressed_files(spark, tmp_path):
         assert plain == packed and len(plain) >= 2, name
     blocks = sorted(map(tuple, SS.read_sequences(spark, str(tmp_path / "x.fa.gz"), 4).collect()))
     assert blocks == [("one", 0, "ACGT"), ("one", 1, "ACG"), ("two", 0, "GGGT"), ("two", 1, "TT")]
+
+
+def test_a_repeat_reads_its_own_rows(spark):
+    from pyspark.sql import functions as F
+
+    from cisloom.operators import models
+
+    plans = []
+
+    class Watched(models.Dummy):
+        def fit(self, vectors):
+            plans.append(vectors._jdf.queryExecution().executedPlan().toString())
+            return self
+
+    split = spark.range(12).select(F.col("id").alias("sid"), (F.col("id") % 3).cast("int").alias("rep"), F.array(F.lit(1.0)).alias("features"), F.lit(1.0).alias("label"), F.when(F.col("id") > 5, "train").otherwise("validate").alias("part"))
+    assert models.cross_validation(split, {"m": Watched()}, 3).scored.count() == 6
+    assert len(plans) == 3 and all("PartitionFilters: [isnotnull(rep" in p for p in plans)
+
+
+def test_parts_of_a_batch_are_small():
+    import pyarrow as pa
+
+    from cisloom.functions import dna
+
+    batch = pa.RecordBatch.from_arrays([pa.array(["ATGC" * 1000] * 300)], names=["dna"])
+    assert max(at[-1] for *_, at in dna.coded(batch)) <= 1 << 18
