@@ -54,10 +54,10 @@ class State:
         weight = 1.0 / (self.s / self.alpha + self.xi / eta)
         return weight, mu / self.alpha - mu / eta - (self.y * self.f - 1.0)
 
-    def moves(self, step: Step) -> tuple[np.ndarray, ...]:
-        """Directions of margin, dual weight, loss and slack."""
+    def moves(self, step: Step, df: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+        """Directions of margin (``df``, where it is known), dual weight, loss and slack."""
         weight, rest = self.parts(step.mu)
-        df = self.phi @ step.dw
+        df = self.phi @ step.dw if df is None else df
         da = weight * (rest - self.y * df)
         eta = self.c - self.alpha
         return df, da, (step.mu + self.xi * da) / eta - self.xi, (step.mu - self.s * da) / self.alpha - self.s
@@ -66,15 +66,16 @@ class State:
         """Dual weights, 0 where the slack is the larger of the two: their product is all but 0, so a row has one or the other."""
         return np.where(self.alpha > self.c * self.s, self.alpha, 0.0)
 
-    def take(self, step: Step) -> None:
-        df, da, dx, ds = self.moves(step)
+    def take(self, step: Step, df: np.ndarray) -> None:
+        df, da, dx, ds = self.moves(step, df)
         self.f, self.alpha, self.xi, self.s = self.f + step.share * df, self.alpha + step.share * da, self.xi + step.share * dx, self.s + step.share * ds
 
 
 def replayed(phi: np.ndarray, y: np.ndarray, c: float, steps: list[Step]) -> State:
     state = State(phi, y, c)
-    for step in steps:
-        state.take(step)
+    if steps:  # margins of all steps in one pass over the map
+        for step, df in zip(steps, np.ascontiguousarray((phi @ np.stack([x.dw for x in steps], 1)).T), strict=True):
+            state.take(step, df)
     return state
 
 
@@ -82,7 +83,8 @@ def _system(state: State, mu: float) -> np.ndarray:
     """Sums over the rows, one line a dimension: weighted products, right side, and what the dual weights add up to."""
     weight, rest = state.parts(mu)
     wide = np.empty((state.phi.shape[1], state.phi.shape[1] + 2))
-    wide[:, :-2] = (state.phi * weight[:, None]).T @ state.phi
+    half = state.phi * np.sqrt(weight)[:, None]
+    wide[:, :-2] = half.T @ half  # a matrix with itself: half the products
     wide[:, -2] = state.phi.T @ (weight * rest * state.y)
     wide[:, -1] = state.phi.T @ (state.alpha * state.y)
     return wide
@@ -155,7 +157,10 @@ class _Rows:
                 if least_first:
                     add(held, 0, m[0])
                 else:
-                    total = m if total is None else total + m
+                    if total is None:
+                        total = m
+                    else:
+                        total += m
             # of a symmetric matrix the upper half goes
             yield out(held if total is None else {r: v[r if upper else 0 :] for r, v in enumerate(total)})
 
@@ -275,7 +280,8 @@ class DualSVM(BaseModel):
         n, k = seen["n"], seen["k"] or 0
         out = DualSVM(self.degree, self.c, self.gamma or 1.0 / max(1, k), self.tolerance, self.most_steps)
         wide = k if self.degree == 1 else k * (k + 1) // 2
-        parts = 1 + n * wide * 8 // TASK_BYTES
+        # tasks take rows by blocks, so their number follows the cores: each sends a matrix in every step
+        parts = min(1 + n * wide * 8 // TASK_BYTES, max(16, 2 * rows.sparkSession.sparkContext.defaultParallelism))
         rows = kept(rows.coalesce(parts))  # the passes are many and short: no more tasks than the work fills
         if not n or seen["lo"] == seen["hi"]:
             out.weights, out.intercept, out.support = np.zeros(k), float(seen["lo"] or 0.0), rows.withColumn("alpha", F.lit(0.0)).limit(0)

@@ -98,3 +98,30 @@ def test_learns_what_a_line_cannot(spark):
     y = np.sign(x[:, 0] * x[:, 1])
     right = lambda d: np.mean([(r["score"] > 0) == (r["label"] > 0) for r in DualSVM(d, 100.0).fit(frame(spark, x, y)).score(frame(spark, x, y)).collect()])
     assert right(2) > 0.95 > 0.7 > right(1)
+
+
+def test_tasks_follow_the_cores(spark, monkeypatch):
+    """However many rows there are, tasks (each sends a matrix a step) are no more than twice the cores, or 16."""
+
+
+    seen = []
+    monkeypatch.setattr(svm, "TASK_BYTES", 64)
+    monkeypatch.setattr(svm, "solve", lambda passes, *_: seen.append(passes.parts) or ([], np.zeros(4), 0.0))
+    rows = spark.createDataFrame([([float(i % 7), float(i % 3)], 1.0 if i % 2 else -1.0) for i in range(300)], "features array<double>, label double")
+    svm.DualSVM(degree=2).fit(rows)
+    assert seen == [max(16, 2 * spark.sparkContext.defaultParallelism)]
+
+
+def test_steps_replayed_together():
+    """Rows' states after some steps equal those of steps taken one by one."""
+
+
+    rng = np.random.default_rng(2)
+    phi, y = rng.normal(size=(40, 5)), np.where(rng.random(40) < 0.5, 1.0, -1.0)
+    steps = [svm.Step(m, rng.normal(size=5) * 0.1, 0.3) for m in (1.0, 0.5, 0.2)]
+    one = svm.State(phi, y, 1.0)
+    for s in steps:
+        one.take(s, phi @ s.dw)
+    assert np.allclose(svm.replayed(phi, y, 1.0, steps).alpha, one.alpha)
+    weight, _ = one.parts(0.1)
+    assert np.allclose(svm._system(one, 0.1)[:, :-2], (phi * weight[:, None]).T @ phi)
