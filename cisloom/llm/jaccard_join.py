@@ -17,6 +17,8 @@ from .graph import components
 SHINGLE, PERCENT = 3, 90
 #: Most sets and most shingles in a leaf; bits of a node's signature; sets in the smallest node; longs of the signature by which pairs of sets are left out; leaves that meet one leaf in one task.
 LEAF_SETS, LEAF_SHINGLES, BITS, TIP, SIGNATURE, MEET = 256, 100_000, 1 << 13, 8, 32, 16
+#: Cells of the table that orders shingles by how many sets still apart have them; most sets and most shingles of such a block.
+CELLS, BLOCK_SETS, BLOCK_SHINGLES = 1 << 20, 512, 250_000
 #: Most keys that are broadcast to pick rows by; more are joined by a shuffle.
 BROADCAST_KEYS = 1_000_000
 
@@ -293,7 +295,8 @@ def _meeting(sets: DataFrame, entries: DataFrame, pairs: DataFrame, percent: int
     left = stored(pairs.where(_possible(percent)).select("token", "x_leaf", "y_leaf"))
     tasks = left.select("x_leaf", "y_leaf").distinct().groupBy("y_leaf").agg(F.ceil(F.count(F.lit(1)) / MEET).cast("int").alias("tasks"))
     dealt = left.join(tasks, "y_leaf").withColumn("task", F.pmod(F.xxhash64("x_leaf"), F.col("tasks")))
-    sides = [dealt.join(bearers.withColumnRenamed("leaf", f"{s}_leaf"), ["token", f"{s}_leaf"]) for s in "yx"]
+    ways = dealt.select("token", "y_leaf", "task").distinct(), dealt
+    sides = [d.join(bearers.withColumnRenamed("leaf", f"{s}_leaf"), ["token", f"{s}_leaf"]) for s, d in zip("yx", ways, strict=True)]
     none = F.struct(F.lit(0).cast("bigint").alias("low"), F.lit(0).alias("part"))
     y, x = (d.select("y_leaf", "task", F.lit(i).alias("side"), (F.col("x_leaf") if i else none).alias("x_leaf"), "sid").distinct() for i, d in enumerate(sides))
     return y.unionByName(x)
@@ -308,6 +311,99 @@ def _linked(sets: DataFrame, entries: DataFrame, pairs: DataFrame, roots: DataFr
     return stored(rows.groupBy("y_leaf", "task").applyInArrow(_meet(percent), "u bigint, v bigint"))
 
 
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Some rows of sets at once, and their shingles one after the other."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, rows):
+            part = batch.slice(lo, rows)
+            yield part, np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in part.column("shingles")])
+
+
+def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(cell, n): shingles of a task's sets, by cell of the table."""
+    n = np.zeros(CELLS, np.int64)
+    for _, h in _slices(batches):
+        cell, more = np.unique(h % np.uint64(CELLS), return_counts=True)
+        n[cell.astype(np.int64)] += more
+    cell = np.flatnonzero(n)
+    yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(n[cell])], names=["cell", "n"])
+
+
+def _prefixes(percent: int, table: np.ndarray):
+    """(token, sid, root, size, kind, short): the first shingles of every set in the order of ``table`` and hash.
+
+    The first shingle that two linked sets share is among them, and among the ``short`` ones of the smaller set.  Linked sets are of one
+    ``kind``, by size, or of kinds that follow each other.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, h in _slices(batches):
+            n = batch.column("size").to_numpy().astype(np.int64)
+            row = np.repeat(np.arange(len(n)), n)
+            h = h[np.lexsort((h, table[(h % np.uint64(len(table))).astype(np.int64)], row))]
+            at, long, short = R.within(n), n - (n * percent + 99) // 100 + 1, n + 1 + (-2 * percent * n) // (100 + percent)
+            pick = np.flatnonzero(at < long[row])
+            of = row[pick]
+            kind = np.floor(np.log(n) / np.log(100.1 / percent)).astype(np.int32)
+            told = [h[pick].view(np.int64), batch.column("sid").to_numpy()[of], batch.column("root").to_numpy()[of], n[of].astype(np.int32), kind[of], at[pick] < short[of]]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in told], names=["token", "sid", "root", "size", "kind", "short"])
+
+    return run
+
+
+def _meet_blocks(percent: int):
+    """Links between the sets of one block, or of two: those of the group's kind with each other and with the smaller ones that visit."""
+
+    def run(group: pa.Table) -> pa.Table:
+        group = group.sort_by([("side", "ascending"), ("visits", "ascending"), ("sid", "ascending")])
+        ids, roots = group.column("sid").to_pylist(), group.column("root").to_pylist()
+        tree, forest = Tree([np.frombuffer(x.as_buffer(), np.uint64) for x in group.column("shingles")], percent), Forest(len(ids))
+        first: dict[int, int] = {}
+        for i, r in enumerate(roots):
+            forest.link(first.setdefault(r, i), i)
+        forest.links = []
+        part = 2 * group.column("side").to_numpy() + group.column("visits").to_numpy()
+        own, guests, other, others = (tree.build(m) if len(m := np.flatnonzero(part == i)) else None for i in range(4))
+        one = group.column("lo")[0].as_py() == group.column("hi")[0].as_py()
+        for a, b in ((own, own), (own, guests)) if one else ((own, other), (guests, other), (own, others)):
+            if a is not None and b is not None:
+                tree.join(a, b, forest)
+        us, vs = [ids[i] for i, _ in forest.links], [ids[j] for _, j in forest.links]
+        return pa.table({"u": pa.array(us, pa.int64()), "v": pa.array(vs, pa.int64())})
+
+    return run
+
+
+def _dealt(prefixes: DataFrame) -> DataFrame:
+    """(token, kind, lo, hi, side, visits, sid, root): prefixes (stored) in groups by token and kind of size, cut into blocks that meet two by two.
+
+    A set stands in the group of its kind, and visits that of the next with its short prefix.  Groups of one component stay where they are.
+    """
+    both = prefixes.withColumn("visits", F.lit(0)).unionByName(prefixes.where("short").withColumn("visits", F.lit(1)).withColumn("kind", F.col("kind") + 1))
+    room = F.greatest(F.lit(1), F.least(F.lit(BLOCK_SETS), F.floor(F.lit(BLOCK_SHINGLES) / F.max("size"))))
+    told = [F.min("root").alias("first"), F.max("root").alias("last"), F.min("visits").alias("least"), F.max("short").alias("some"), F.ceil(F.count(F.lit(1)) / room).cast("int").alias("blocks")]
+    groups = both.groupBy("token", "kind").agg(*told).where("first < last AND least = 0 AND some").select("token", "kind", "blocks")
+    cut = both.join(groups, ["token", "kind"]).withColumn("block", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
+    met = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return met.select("token", "kind", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), (F.col("block") > F.col("other")).cast("int").alias("side"), "visits", "sid", "root")
+
+
+def _linked_apart(sets: DataFrame, apart: DataFrame, percent: int) -> DataFrame:
+    """Links (u, v) between all sets of ``apart`` (sid, root) whose roots differ.
+
+    The rarest shingles of these sets are taken anew, over all of their shingles and counted among them alone: what many of them share comes last, so
+    that sets with words of their own meet only in those.  Counts are kept by cell, so that the order needs no join and is the same everywhere.
+    """
+    apart = stored(apart)
+    live = stored(picked(sets.select("sid", "size", "shingles"), apart, "sid", "inner"))
+    counts = live.select("shingles").mapInArrow(_tally, "cell int, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    table = np.zeros(CELLS, np.int32)
+    table[counts.column("cell").to_numpy()] = np.minimum(counts.column("n").to_numpy(), (1 << 31) - 1)
+    prefixes = stored(live.mapInArrow(_prefixes(percent, table), "token bigint, sid bigint, root bigint, size int, kind int, short boolean"))
+    rows = stored(_dealt(prefixes)).join(live.select("sid", "shingles"), "sid")
+    return stored(rows.groupBy("token", "kind", "lo", "hi").applyInArrow(_meet_blocks(percent), "u bigint, v bigint"))
+
+
 def picked(rows: DataFrame, keys: DataFrame, on: str, how: str) -> DataFrame:
     """``rows`` joined with ``keys`` (stored, one row a key): broadcast up to BROADCAST_KEYS keys, beyond that by a shuffle."""
     return rows.join(F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys, on, how)
@@ -371,13 +467,12 @@ def find_groups(docs: DataFrame, id_col: str, text_col: str, shingle: int, perce
     star = groups.select("token", F.struct("leaf", "least", "most").alias("x")).join(heads, "token").where("x.leaf <> y.leaf").where(_fits(percent))
     links = links.unionByName(_linked(sets, entries, star, None, percent))
     roots = components(links)
-    # tokens that still stand in several components; leaves whose sets are all in one and the same do not meet, and a token's first leaf has met the others
+    # sets that share a token with one of another component; a token's first leaf has met the others
     state = entries.join(roots.withColumnRenamed("u", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     apart = state.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("leaf").alias("head")).where("lo < hi").select("token", "head")
-    state = stored(state.join(apart, "token").where("leaf <> head").groupBy("token", "leaf").agg(*of_leaf, F.min("root").alias("lo"), F.max("root").alias("hi")))
-    x, y = (state.select("token", F.struct("leaf", "least", "most", "lo", "hi").alias(s)) for s in "xy")
-    rest = x.join(y, "token").where("x.leaf > y.leaf AND NOT (x.lo = x.hi AND y.lo = y.hi AND x.lo = y.lo)").where(_fits(percent))
-    more = _linked(sets, entries, rest, roots, percent)
+    state = state.join(apart, "token").where("leaf <> head").select("token", "sid", "root")
+    still = state.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("token")
+    more = _linked_apart(sets, state.join(still, "token").select("sid", "root").distinct(), percent)
     if not more.isEmpty():
         roots = components(links.unionByName(more))
     linked = stored(placed.select("a", "b", "sid").join(roots.withColumnRenamed("u", "sid"), "sid"))
@@ -402,8 +497,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     3. Classes are dealt to leaves of bounded size by the least shared one of these shingles, so that like sets stand together.  Each leaf is a signature tree (OR-combined
        bitmaps, size ranges), joined with itself by dual traversal, which leaves out node pairs whose largest possible overlap
        is too small or whose sets are connected already; what is left is counted exactly.
-    4. The sets of a leaf that bear a rare shingle meet those of its first leaf that do; then, for shingles that still stand in several components, those of
-       different components meet.  Pairs are left out by sizes and signatures before sets move, and no others move.  No link between components is missed.
+    4. The sets of a leaf that bear a rare shingle meet those of its first leaf that do.  Pairs are left out by sizes and signatures before sets move.
+    5. Of the sets that still share such a shingle with one of another component, the rarest shingles among themselves are taken, of all that they have;
+       sets of like sizes that share one of these meet, in blocks of bounded size.  No link between components is missed.
 
     Cases: a null text or one without words has no set: its component is its own id.  Repeated rows are linked.  A null id is
     no candidate for ``component_id``, which is null if no row of the component has an id.  Very long texts have leaves of their own; other

@@ -562,3 +562,44 @@ def test_jaccard_moves_only_what_may_link(spark):
     got = jaccard_join._meeting(sets, entries, pairs, 90).collect()
     assert {r.sid for r in got} == {3, 20} and len(got) == 2
     assert [sorted(r) for r in jaccard_join._linked(sets, entries, pairs, None, 90).collect()] == [[3, 20]]
+
+
+@pytest.mark.parametrize("blocks", [3, 64])
+def test_jaccard_join_of_a_cloud_at_the_threshold(spark, monkeypatch, blocks):
+    """Near copies of which some are linked and most are not, of several sizes, in blocks that meet two by two."""
+    monkeypatch.setattr(jaccard_join, "LEAF_SETS", 4)
+    monkeypatch.setattr(jaccard_join, "BLOCK_SETS", blocks)
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(6))
+    base = [word() for _ in range(150)]
+    rows = []
+    for i in range(90):
+        w = base[: rng.choice([150, 150, 140, 130, 118])]
+        for _ in range(rng.randint(0, 7)):
+            w[rng.randrange(len(w))] = word()
+        rows.append((i, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    for k, percent in ((3, 90), (5, 80)):
+        want = brute.components(rows, k, percent)
+        assert 10 < len({c for _, _, c in want}) < 80
+        same(jaccard_join.jaccard_components(df, shingle=k, percent=percent).collect(), want)
+
+
+def test_jaccard_meetings_grow_with_the_rows(spark, monkeypatch):
+    """Twice as many texts that share a passage and are not linked make twice as many rows in each step, and no more."""
+    monkeypatch.setattr(jaccard_join, "LEAF_SETS", 4)
+    rng, most, stored = random.Random(9), [], jaccard_join.stored
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(6))
+
+    def counted(df):
+        out = stored(df)
+        most[-1] = max(most[-1], out.count())
+        return out
+
+    monkeypatch.setattr(jaccard_join, "stored", counted)
+    passage = [word() for _ in range(60)]
+    for n in (80, 160):
+        most.append(0)
+        rows = [(i, " ".join([*(word() for _ in range(12)), *passage])) for i in range(n)]
+        assert jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)).where("component_id <> doc_id").isEmpty()
+    assert most[1] < 3 * most[0]
