@@ -27,6 +27,20 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def files_for(rows: int | None, each: int) -> int | None:
+    """Most files for a table that grows with ``rows``; None, as many as there are partitions, where these are not known.
+
+    A file costs the same however small it is (on a local disk, Hadoop starts a process or more for each), so that partitions far
+    smaller than a task should be are written together.
+    """
+    return None if rows is None else 1 + rows // each
+
+
+def few(df: DataFrame, files: int | None) -> DataFrame:
+    """``df`` in at most ``files`` partitions, without an exchange."""
+    return df if files is None else df.coalesce(files)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the cluster's checkpoint folder and go on from there."""
     return kept(df)

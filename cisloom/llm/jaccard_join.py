@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import rolling as R
-from .common import documents, stored, text_of
+from .common import documents, few, files_for, stored, text_of
 from .graph import components
 
 SHINGLE, PERCENT = 3, 90
@@ -19,6 +19,8 @@ SHINGLE, PERCENT = 3, 90
 LEAF_SETS, LEAF_SHINGLES, BITS, TIP, SIGNATURE, MEET = 256, 100_000, 1 << 13, 8, 32, 16
 #: Cells of the table that orders shingles by how many sets still apart have them; most sets and most shingles of such a block.
 CELLS, BLOCK_SETS, BLOCK_SHINGLES = 1 << 20, 512, 250_000
+#: Rows of the input for each file of a table: of one whose tasks read texts or compare sets, and of a slim one.
+ROWS, SLIM_ROWS = 1 << 10, 1 << 13
 #: Most keys that are broadcast to pick rows by; more are joined by a shuffle.
 BROADCAST_KEYS = 1_000_000
 
@@ -278,21 +280,22 @@ def _possible(percent: int) -> Column:
     return (both + F.least("x.hidden", "y.hidden")) * (100 + percent) >= percent * (F.col("x.least") + F.col("y.least"))
 
 
-def _meeting(sets: DataFrame, entries: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+def _meeting(sets: DataFrame, entries: DataFrame, pairs: DataFrame, percent: int, rows: int | None = None) -> DataFrame:
     """(y_leaf, task, side, x_leaf, sid): the sets that must meet for ``pairs`` (token, x, y: structs that begin with a leaf, and least and most size of its sets with the token).
 
     Only sets that bear the token meet, and only if the signatures of both leaves' sets with it allow a link: texts that share a passage by chance stay where they are.
-    The y sets of a leaf travel once for every MEET leaves that they are paired with.
+    The y sets of a leaf travel once for every MEET leaves that they are paired with.  ``rows``, where known, are those of the input.
     """
-    pairs = stored(pairs.select("token", *[F.struct(f"{s}.leaf", f"{s}.least", f"{s}.most").alias(s) for s in "xy"]))
+    files = files_for(rows, SLIM_ROWS)
+    pairs = stored(few(pairs.select("token", *[F.struct(f"{s}.leaf", f"{s}.least", f"{s}.most").alias(s) for s in "xy"]), files))
     wanted = pairs.select("token", F.col("x.leaf").alias("leaf")).unionByName(pairs.select("token", F.col("y.leaf").alias("leaf"))).distinct()
-    bearers = stored(entries.select("token", "leaf", "sid").join(wanted, ["token", "leaf"]))
+    bearers = stored(few(entries.select("token", "leaf", "sid").join(wanted, ["token", "leaf"]), files))
     signed = bearers.join(sets.select("sid", "bits", "hidden"), "sid").groupBy("token", "leaf").agg(F.array(*[F.bit_or(F.col("bits")[i]) for i in range(SIGNATURE)]).alias("bits"), F.max("hidden").alias("hidden"))
-    signed = stored(signed)
+    signed = stored(few(signed, files))
     for s in "xy":
         told = signed.select("token", F.col("leaf").alias(f"{s}_leaf"), F.struct("bits", "hidden").alias("told"))
         pairs = pairs.withColumn(f"{s}_leaf", F.col(f"{s}.leaf")).join(told, ["token", f"{s}_leaf"]).withColumn(s, F.struct(f"{s}.least", f"{s}.most", "told.*")).drop("told")
-    left = stored(pairs.where(_possible(percent)).select("token", "x_leaf", "y_leaf"))
+    left = stored(few(pairs.where(_possible(percent)).select("token", "x_leaf", "y_leaf"), files))
     tasks = left.select("x_leaf", "y_leaf").distinct().groupBy("y_leaf").agg(F.ceil(F.count(F.lit(1)) / MEET).cast("int").alias("tasks"))
     dealt = left.join(tasks, "y_leaf").withColumn("task", F.pmod(F.xxhash64("x_leaf"), F.col("tasks")))
     ways = dealt.select("token", "y_leaf", "task").distinct(), dealt
@@ -302,13 +305,13 @@ def _meeting(sets: DataFrame, entries: DataFrame, pairs: DataFrame, percent: int
     return y.unionByName(x)
 
 
-def _linked(sets: DataFrame, entries: DataFrame, pairs: DataFrame, roots: DataFrame | None, percent: int) -> DataFrame:
-    """Links (u, v) between the sets of every pair (token, x, y); see :func:`_meeting`."""
-    rows = stored(_meeting(sets, entries, pairs, percent).withColumn("x_leaf", F.xxhash64("x_leaf")))
-    moved = picked(sets.select("sid", "shingles"), stored(rows.select("sid").distinct()), "sid", "inner")
+def _linked(sets: DataFrame, entries: DataFrame, pairs: DataFrame, roots: DataFrame | None, percent: int, n: int | None = None) -> DataFrame:
+    """Links (u, v) between the sets of every pair (token, x, y), of an input of ``n`` rows; see :func:`_meeting`."""
+    rows = stored(few(_meeting(sets, entries, pairs, percent, n).withColumn("x_leaf", F.xxhash64("x_leaf")), files_for(n, SLIM_ROWS)))
+    moved = picked(sets.select("sid", "shingles"), stored(few(rows.select("sid").distinct(), files_for(n, SLIM_ROWS))), "sid", "inner")
     rows = rows.join(moved, "sid")
     rows = rows.withColumn("root", F.col("sid")) if roots is None else rows.join(roots.withColumnRenamed("u", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-    return stored(rows.groupBy("y_leaf", "task").applyInArrow(_meet(percent), "u bigint, v bigint"))
+    return stored(few(rows.groupBy("y_leaf", "task").applyInArrow(_meet(percent), "u bigint, v bigint"), files_for(n, ROWS)))
 
 
 def _slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
@@ -388,20 +391,20 @@ def _dealt(prefixes: DataFrame) -> DataFrame:
     return met.select("token", "kind", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), (F.col("block") > F.col("other")).cast("int").alias("side"), "visits", "sid", "root")
 
 
-def _linked_apart(sets: DataFrame, apart: DataFrame, percent: int) -> DataFrame:
-    """Links (u, v) between all sets of ``apart`` (sid, root) whose roots differ.
+def _linked_apart(sets: DataFrame, apart: DataFrame, percent: int, n: int) -> DataFrame:
+    """Links (u, v) between all sets of ``apart`` (sid, root), of an input of ``n`` rows, whose roots differ.
 
     The rarest shingles of these sets are taken anew, over all of their shingles and counted among them alone: what many of them share comes last, so
     that sets with words of their own meet only in those.  Counts are kept by cell, so that the order needs no join and is the same everywhere.
     """
-    apart = stored(apart)
-    live = stored(picked(sets.select("sid", "size", "shingles"), apart, "sid", "inner"))
+    apart = stored(few(apart, files_for(n, SLIM_ROWS)))
+    live = stored(few(picked(sets.select("sid", "size", "shingles"), apart, "sid", "inner"), files_for(n, ROWS)))
     counts = live.select("shingles").mapInArrow(_tally, "cell int, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     table = np.zeros(CELLS, np.int32)
     table[counts.column("cell").to_numpy()] = np.minimum(counts.column("n").to_numpy(), (1 << 31) - 1)
-    prefixes = stored(live.mapInArrow(_prefixes(percent, table), "token bigint, sid bigint, root bigint, size int, kind int, short boolean"))
-    rows = stored(_dealt(prefixes)).join(live.select("sid", "shingles"), "sid")
-    return stored(rows.groupBy("token", "kind", "lo", "hi").applyInArrow(_meet_blocks(percent), "u bigint, v bigint"))
+    prefixes = stored(few(live.mapInArrow(_prefixes(percent, table), "token bigint, sid bigint, root bigint, size int, kind int, short boolean"), files_for(n, ROWS)))
+    rows = stored(few(_dealt(prefixes), files_for(n, ROWS))).join(live.select("sid", "shingles"), "sid")
+    return stored(few(rows.groupBy("token", "kind", "lo", "hi").applyInArrow(_meet_blocks(percent), "u bigint, v bigint"), files_for(n, ROWS)))
 
 
 def picked(rows: DataFrame, keys: DataFrame, on: str, how: str) -> DataFrame:
@@ -409,7 +412,7 @@ def picked(rows: DataFrame, keys: DataFrame, on: str, how: str) -> DataFrame:
     return rows.join(F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys, on, how)
 
 
-def _candidates(own: DataFrame, rows: DataFrame, shingle: int, percent: int) -> DataFrame:
+def _candidates(own: DataFrame, rows: DataFrame, shingle: int, percent: int, files: int) -> DataFrame:
     """(token, a): what sets must be compared for.
 
     Linked sets differ in few shingles, so that of the rarest of each, a few more than these, one is shared; passages that
@@ -424,15 +427,16 @@ def _candidates(own: DataFrame, rows: DataFrame, shingle: int, percent: int) ->
     known = shared.join(sets, "a").withColumns({"inside": F.sort_array(inside), "outside": F.filter("s", lambda x: x["token"] % share != 0)})
     look = F.col("size") - F.floor((F.col("size") * percent + 99) / 100) + 1 - (F.col("sampled") - F.size("inside"))
     rare = F.when(F.col("several"), F.col("inside")).otherwise(F.slice("inside", 1, F.greatest(F.lit(0), look.cast("int"))))
-    return stored(known.select("a", F.explode(F.concat(rare, "outside")).alias("x")).select("x.token", "a"))
+    return stored(few(known.select("a", F.explode(F.concat(rare, "outside")).alias("x")).select("x.token", "a"), files))
 
 
 @dataclass
 class Groups:
-    """``rows``: id, mark, size, a, b of every row; ``best``: for every set (a, b) its component's best row (without, id, mark)."""
+    """``rows``: id, mark, size, a, b of every row; ``best``: for every set (a, b) its component's best row (without, id, mark); ``files`` for a slim table of them."""
 
     rows: DataFrame
     best: DataFrame
+    files: int
 
 
 def find_groups(docs: DataFrame, id_col: str, text_col: str, shingle: int, percent: int) -> Groups:
@@ -440,46 +444,48 @@ def find_groups(docs: DataFrame, id_col: str, text_col: str, shingle: int, perce
     own = marked(docs.select(docs[id_col].alias("id"), text_of(docs, text_col).alias("text")), "id", "text")
     told = f"id {own.schema['id'].dataType.simpleString()}, mark binary, size int, sampled int, a bigint, b bigint"
     rows = stored(own.mapInArrow(_describe(shingle, share_of(percent)), told))
-    posts = _candidates(own, rows, shingle, percent)
+    n = rows.agg(F.greatest(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0)).cast("bigint") / 256).cast("bigint")).first()[0]  # a long text counts as several rows
+    files, slim = files_for(n, ROWS), files_for(n, SLIM_ROWS)
+    posts = _candidates(own, rows, shingle, percent, files)
     met = posts.groupBy("token").agg(F.min("a").alias("lo"), F.max("a").alias("hi")).where("lo < hi").select("token")
-    posts = stored(posts.join(met, "token"))
+    posts = stored(few(posts.join(met, "token"), files))
     classes = rows.where("size > 0").groupBy("a", "b").agg(F.min(F.struct(F.col("id").isNull().alias("without"), "id", "mark")).alias("best"), F.first("size").alias("size"))
     both = classes.groupBy("a").agg(F.min("b").alias("lo"), F.max("b").alias("hi")).where("lo < hi").select("a")
     # the least of the shared rare shingles: like sets agree in it, and one that no other set has cannot be it
     near = posts.select("a", F.xxhash64("token").alias("low")).unionByName(both.select("a", F.col("a").alias("low")))
     wanted = near.groupBy("a").agg(F.min("low").alias("low"))
-    chosen = stored(classes.join(wanted, "a").withColumn("sid", F.monotonically_increasing_id()))
+    chosen = stored(few(classes.join(wanted, "a").withColumn("sid", F.monotonically_increasing_id()), slim))
     room = F.greatest(F.lit(1), F.least(F.lit(LEAF_SETS), F.floor(F.lit(LEAF_SHINGLES) / F.max("size"))))
     leaves_of = chosen.groupBy("low").agg(F.ceil(F.count(F.lit(1)) / room).cast("int").alias("leaves"))
     placed = chosen.join(leaves_of, "low").withColumn("part", F.pmod(F.xxhash64("sid"), F.col("leaves")).cast("int"))
-    placed = stored(placed.select("sid", "a", "b", "low", "part", "size", F.col("best.mark").alias("mark")))
+    placed = stored(few(placed.select("sid", "a", "b", "low", "part", "size", F.col("best.mark").alias("mark")), slim))
     texts = picked(own.select("mark", "text"), placed.select("mark", "sid", "low", "part"), "mark", "inner").select("low", "part", "sid", "text")
     make = _make_leaves(shingle)
-    sets = stored(texts.repartition("low", "part").sortWithinPartitions("low", "part", "sid").mapInArrow(lambda x: make(percent, x), SET))
+    sets = stored(few(texts.repartition("low", "part").sortWithinPartitions("low", "part", "sid").mapInArrow(lambda x: make(percent, x), SET), files))
     links = sets.select(F.explode(F.arrays_zip(F.col("us").alias("u"), F.col("vs").alias("v"))).alias("l")).select("l.u", "l.v")
     # sets whose first 64 bits agree meet too, whatever they share
     tokens = posts.select("token", "a").unionByName(both.select((-F.col("a").bitwiseAND(F.lit((1 << 62) - 1)) - 1).alias("token"), "a"))
     where = placed.select("a", "sid", "size", F.struct("low", "part").alias("leaf"))
-    entries = stored(tokens.join(where, "a").select("token", "leaf", "sid", "size"))
+    entries = stored(few(tokens.join(where, "a").select("token", "leaf", "sid", "size"), files))
     of_leaf = [F.min("size").alias("least"), F.max("size").alias("most")]
     groups = entries.groupBy("token", "leaf").agg(*of_leaf)
     heads = groups.groupBy("token").agg(F.min(F.struct("leaf", "least", "most")).alias("y"), F.max("leaf").alias("last")).where("y.leaf < last").select("token", "y")
     star = groups.select("token", F.struct("leaf", "least", "most").alias("x")).join(heads, "token").where("x.leaf <> y.leaf").where(_fits(percent))
-    links = links.unionByName(_linked(sets, entries, star, None, percent))
-    roots = components(links)
+    links = links.unionByName(_linked(sets, entries, star, None, percent, n))
+    roots = components(links, files=slim)
     # sets that share a token with one of another component; a token's first leaf has met the others
     state = entries.join(roots.withColumnRenamed("u", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     apart = state.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("leaf").alias("head")).where("lo < hi").select("token", "head")
     state = state.join(apart, "token").where("leaf <> head").select("token", "sid", "root")
     still = state.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("token")
-    more = _linked_apart(sets, state.join(still, "token").select("sid", "root").distinct(), percent)
+    more = _linked_apart(sets, state.join(still, "token").select("sid", "root").distinct(), percent, n)
     if not more.isEmpty():
-        roots = components(links.unionByName(more))
+        roots = components(links.unionByName(more), files=slim)
     linked = stored(placed.select("a", "b", "sid").join(roots.withColumnRenamed("u", "sid"), "sid"))
     joined = classes.select("a", "b", "best").join(linked.select("a", "b", "root"), ["a", "b"])
     of_root = joined.groupBy("root").agg(F.min("best").alias("first"))
     best = classes.select("a", "b", "best").join(linked.join(of_root, "root").select("a", "b", "first"), ["a", "b"], "left")
-    return Groups(rows, stored(best.select("a", "b", F.coalesce("first", "best").alias("best"))))
+    return Groups(rows, stored(few(best.select("a", "b", F.coalesce("first", "best").alias("best")), slim)), slim)
 
 
 def marked(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -523,7 +529,7 @@ def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     g = find_groups(flat, i, t, shingle, percent)
     each = g.rows.where("size > 0").groupBy("mark", "a", "b").agg(F.count(F.lit(1)).alias("n")).join(g.best, ["a", "b"])
     stays = F.col("mark") == F.col("best.mark")
-    fate = stored(each.where(~stays | (F.col("n") > 1)).select("mark", stays.alias("once")).groupBy("mark").agg(F.max("once").alias("once")))
+    fate = stored(few(each.where(~stays | (F.col("n") > 1)).select("mark", stays.alias("once")).groupBy("mark").agg(F.max("once").alias("once")), g.files))
     met = picked(marked(flat, i, t), fate, "mark", "left")
     out = met.where("once IS NULL").select(*flat.columns).unionByName(met.where("once").dropDuplicates(["mark"]).select(*flat.columns))
     return out.toDF(*docs.columns)

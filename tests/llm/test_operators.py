@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import zlib
+from pathlib import Path
 
 import brute
 import numpy as np
@@ -603,3 +604,25 @@ def test_jaccard_meetings_grow_with_the_rows(spark, monkeypatch):
         rows = [(i, " ".join([*(word() for _ in range(12)), *passage])) for i in range(n)]
         assert jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)).where("component_id <> doc_id").isEmpty()
     assert most[1] < 3 * most[0]
+
+
+def test_jaccard_files_follow_the_rows(spark):
+    """Few rows in many partitions make few files: a process or more starts for each."""
+    rng = random.Random(6)
+    base = [str(rng.randrange(10**6)) for _ in range(60)]
+    rows = [(i, " ".join([*base[: 60 - i % 9], *(str(rng.randrange(10**6)) for _ in range(i % 7))])) for i in range(120)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    shared = Path(spark.sparkContext.getCheckpointDir().removeprefix("file:"))
+    was, conf = set(shared.rglob("part-*")), {"spark.sql.shuffle.partitions": "24", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        same(jaccard_join.jaccard_components(df, shingle=5, percent=80).collect(), brute.components(rows, 5, 80))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    folders = {}
+    for f in set(shared.rglob("part-*")) - was:
+        folders.setdefault(f.parent, []).append(f)
+    assert len(folders) > 10 and max(map(len, folders.values())) <= 5
