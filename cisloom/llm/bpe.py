@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import documents, free_name, text_of
 from .rolling import chunks
 
-#: Pre-tokens that a worker remembers; the memory is emptied when full.
+#: Chunks that a task remembers, and as many that begin a text; the memory is emptied when full and at the task's end.
 CACHE = 500_000
 # Python's white space holds all that the pattern's does, so that a chunk never ends inside a run of it.
 ODD_SPACE = re.compile(r"\s\s|^\s|\s\Z").search
@@ -118,6 +118,10 @@ class Codec:
         bare, spaced = self.bare, self.spaced
         return [" ".join(filter(None, [*[bare[x] for x in c[:1]], *[spaced[x] for x in c[1:]]])) for c in split]
 
+    def forget(self) -> None:
+        """Give back the memory of the chunks met so far."""
+        self.spaced, self.bare = {}, {}
+
     def encode(self, texts: list[str]) -> list[list[int]]:
         """Ids of each text."""
         return [list(map(int, d.split())) for d in self.decimals(texts)]
@@ -166,19 +170,22 @@ def encode_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(vocabulary, pattern)
-        for batch in batches:
-            for lo, hi, _, _ in chunks(batch, source):
-                part = batch.slice(lo, hi - lo)
-                rows: tuple[list, list, list, list] = ([], [], [], [])
-                for decimal in c.decimals([t or "" for t in part.column(source).to_pylist()]):
-                    ids = list(map(int, decimal.split()))
-                    rows[0].append(len(ids))
-                    rows[1].append(hashlib.sha256(decimal.encode()).hexdigest())
-                    rows[2].append(hashlib.sha256(c.decode(ids)).hexdigest())
-                    rows[3].append(ids if with_ids else None)
-                cols = [pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.string()), pa.array(rows[2], pa.string())]
-                cols += [pa.array(rows[3], pa.list_(pa.int32()))] * with_ids
-                yield pa.RecordBatch.from_arrays([part.column(x) for x in shown] + cols, names=[*shown, *names])
+        try:
+            for batch in batches:
+                for lo, hi, _, _ in chunks(batch, source):
+                    part = batch.slice(lo, hi - lo)
+                    rows: tuple[list, list, list, list] = ([], [], [], [])
+                    for decimal in c.decimals([t or "" for t in part.column(source).to_pylist()]):
+                        ids = list(map(int, decimal.split()))
+                        rows[0].append(len(ids))
+                        rows[1].append(hashlib.sha256(decimal.encode()).hexdigest())
+                        rows[2].append(hashlib.sha256(c.decode(ids)).hexdigest())
+                        rows[3].append(ids if with_ids else None)
+                    cols = [pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.string()), pa.array(rows[2], pa.string())]
+                    cols += [pa.array(rows[3], pa.list_(pa.int32()))] * with_ids
+                    yield pa.RecordBatch.from_arrays([part.column(x) for x in shown] + cols, names=[*shown, *names])
+        finally:  # the worker lives on, beside other steps
+            c.forget()
 
     return kept.mapInArrow(run, schema)
 

@@ -8,6 +8,7 @@ from pathlib import Path
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -626,3 +627,15 @@ def test_jaccard_files_follow_the_rows(spark):
     for f in set(shared.rglob("part-*")) - was:
         folders.setdefault(f.parent, []).append(f)
     assert len(folders) > 10 and max(map(len, folders.values())) <= 5
+
+
+def test_byte_bpe_leaves_no_memory(spark, monkeypatch):
+    """A worker that has encoded keeps the vocabulary, not the chunks it met."""
+    df = spark.createDataFrame([(1, "some words and some more words")], "doc_id bigint, text string")
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, run, schema: run)
+    run = bpe.encode_texts(df, with_ids=False)
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1], "text": ["some words and some more words"]})
+    (told,) = run(iter([batch]))
+    c = bpe.codec(*bpe.default_vocabulary())
+    assert told.column("n_tokens").to_pylist() == [len(c.encode(["some words and some more words"])[0])]
+    assert list(run(iter([batch]))) and not c.spaced and not c.bare
