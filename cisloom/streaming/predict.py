@@ -86,11 +86,11 @@ class PredictRegions(StatefulProcessor):
             for n, (block, last) in new.items():
                 if n >= p.next:
                     self.waiting.updateValue((n,), (block, last))
-        over = False
+        over = whole
+        if whole:  # scored together, since a call of the scorer costs more than a block's windows
+            p.add("".join([new[n][0] for n in range(len(new))]))
         while not over:
-            if whole:
-                block, over = new[p.next]
-            elif self.waiting.containsKey((p.next,)):
+            if self.waiting.containsKey((p.next,)):
                 block, over = self.waiting.getValue((p.next,))
                 self.waiting.removeKey((p.next,))
             else:
@@ -105,13 +105,15 @@ class PredictRegions(StatefulProcessor):
                 self._clear()
             else:
                 self.open.update(p.state())
-        yield self._rows(key, p)
+        if p.done:
+            yield self._rows(key, p)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         p = Prediction(*self.how, tuple(self.open.get()) if self.open.exists() else NONE)
         p.close()
         self._clear()
-        yield self._rows(key, p)
+        if p.done:
+            yield self._rows(key, p)
 
     def _timer(self, at: int | None) -> None:
         for old in list(self.handle.listTimers()):
@@ -124,7 +126,8 @@ class PredictRegions(StatefulProcessor):
         self.waiting.clear()
 
     def _rows(self, key, p: Prediction) -> pd.DataFrame:
-        return pd.DataFrame({"seq": pd.Series([key[0]] * len(p.done), dtype=object), "r_start": [x[0] for x in p.done], "r_end": [x[1] for x in p.done], "score": [x[2] for x in p.done]}).astype({"r_start": "int64", "r_end": "int64", "score": "float64"})
+        starts, ends, scores = zip(*p.done, strict=True)
+        return pd.DataFrame({"seq": pd.Series([key[0]] * len(p.done), dtype=object), "r_start": np.array(starts, np.int64), "r_end": np.array(ends, np.int64), "score": np.array(scores, np.float64)})
 
 
 def predict_stream(blocks: DataFrame, scorer: Scorer, threshold: float, size: int, step: int, digits: int | None = None, idle_ms: int | None = None) -> DataFrame:

@@ -6,9 +6,10 @@ import random
 import time
 
 import numpy as np
+import pandas as pd
 import pytest
 
-from cisloom.streaming.predict import NONE, Prediction, predict_stream
+from cisloom.streaming.predict import NONE, Prediction, PredictRegions, predict_stream
 
 SCHEMA = "seq string, block_no int, block string, last boolean"
 
@@ -75,3 +76,15 @@ def test_idle_sequences_end(spark, tmp_path):
         assert [tuple(r) for r in spark.table("idle").collect()] == [("x", 0, 49, 1.0)]
     finally:
         q.stop()
+
+
+def test_whole_sequences_are_scored_at_once():
+    """Blocks that all came together make one call of the scorer, and a sequence without regions gives nothing."""
+    calls = []
+    how = PredictRegions(lambda codes, at: calls.append(len(at) - 1) or score(codes, at), 0.4, 20, 10, None, None)
+    for name, dna in [("x", "ACGTAAAAAC" * 30), ("y", "CGT" * 100)]:
+        calls.clear()
+        rows = pd.DataFrame([b[1:] for b in blocks([(name, dna)], 50)], columns=["block_no", "block", "last"])
+        out = [tuple(r) for f in how.handleInputRows((name,), iter([rows.iloc[3:], rows.iloc[:3]]), None) for r in f.itertuples(index=False)]
+        assert calls == [29] and [(s, a, b, round(x, 9)) for s, a, b, x in out] == batch_regions([(name, dna)], 0.4, 20, 10)
+    assert not list(how.handleInputRows(("y",), iter([rows]), None))
